@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_classification"]
+_MODULES = ["q_classification", "q_text"]
 
 
 def load_all() -> None:
