@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.labels import IGNORE_INDEX, UPOS_LABELS, WIKIANN_LABELS
+from .functions.labels import IGNORE_INDEX, UPOS_DEFAULT, UPOS_LABELS, WIKIANN_LABELS, encode_or_default
 from .functions.text import ws_tokens
 from .operators.joins import join_dim
 
@@ -36,8 +36,26 @@ SPAN_WORD_WIDTH = 5            # 'w008 ' -> 5 characters per word
 # ---------------------------------------------------------------------------
 
 
+# Row key of every driver table; used to spread a scan that yields too few splits.
+TABLE_KEYS = {"documents": "doc_id", "labels": "doc_id", "conversations": "conv_id", "events": "event_id",
+              "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "lineitem": "l_orderkey",
+              "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan one driver table.
+
+    A large table normally yields many splits; when the files give fewer
+    splits than the cluster has cores (one row group per file), the rows are
+    hash-spread on their key so per-row work (tokenising, array functions)
+    runs on every core.  With enough splits this is a no-op.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    key = TABLE_KEYS.get(name)
+    if key and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, key)
+    return df
 
 
 def split_of(doc_id: Column) -> Column:
@@ -203,7 +221,7 @@ def fx_ner_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
         _md5_digit(F.col("transfer_lang"), F.lit(":"), F.col("id"), F.lit(":"), i.cast("string")) < thr, F.lit(0)).otherwise(t))
     labels = F.transform("tags", lambda t, i: F.when(F.pmod(i, F.lit(MASK_EVERY)) == MASK_EVERY - 1, F.lit(IGNORE_INDEX)).otherwise(t))
     return rows.select("task", F.lit(MODEL).alias("model"), "transfer_lang", F.col("lang").alias("task_lang"), "id",
-                       "tokens", labels.alias("labels"), pred.alias("pred_tags"))
+                       "tokens", "tags", labels.alias("labels"), pred.alias("pred_tags"))
 
 
 _HEX = "0123456789abcdef"
@@ -235,6 +253,23 @@ def fx_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tokens", "upos", np_str(F.col("tokens")).alias("tokens_str"), np_str(F.col("upos")).alias("upos_str"))
 
 
+def fx_pos_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per transfer language: gold UPOS ids (unknown tag -> ``X``, every 7th
+    position masked) and predictions that shift some ids by one."""
+    pos = fx_pos(spark, sf_dir)
+    langs = pos.select("task", F.col("lang").alias("transfer_lang")).distinct()
+    rows = with_transfer_languages(pos.select("task", "lang", "id", "upos"), langs)
+    ids = F.transform("upos", lambda t: encode_or_default(t, UPOS_LABELS, UPOS_DEFAULT))
+    rows = rows.select("task", "transfer_lang", "lang", "id", ids.alias("ids"))
+    thr = F.when(F.col("transfer_lang") == F.col("lang"), F.lit(NER_DROP_BELOW_IN_LANG)).otherwise(F.lit(NER_DROP_BELOW))
+    pred = F.transform("ids", lambda t, i: F.when(
+        _md5_digit(F.col("transfer_lang"), F.lit(":"), F.col("id"), F.lit(":"), i.cast("string")) < thr,
+        F.pmod(t + 1, F.lit(len(UPOS_LABELS)))).otherwise(t))
+    labels = F.transform("ids", lambda t, i: F.when(F.pmod(i, F.lit(MASK_EVERY)) == MASK_EVERY - 1, F.lit(IGNORE_INDEX)).otherwise(t))
+    return rows.select("task", F.lit(MODEL).alias("model"), "transfer_lang", F.col("lang").alias("task_lang"), "id",
+                       labels.alias("labels"), pred.alias("preds"))
+
+
 # --- sentence pairs and training runs ---------------------------------------
 
 def fx_pair(spark: SparkSession, sf_dir: str) -> DataFrame:

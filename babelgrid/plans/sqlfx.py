@@ -91,7 +91,7 @@ FX: dict[str, tuple[list[str], str]] = {
                     FROM (SELECT doc_id, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)))"""),
     "fx_ner_langs": (["fx_sent"], "SELECT DISTINCT lang AS transfer_lang FROM fx_sent"),
     "fx_ner_pred_tok": (["fx_ner_tok", "fx_ner_langs"], """
-        SELECT t.transfer_lang, n.lang AS task_lang, n.id, n.pos, n.tok,
+        SELECT t.transfer_lang, n.lang AS task_lang, n.id, n.pos, n.tok, n.tag,
                CASE WHEN n.pos % 7 = 6 THEN -100 ELSE n.tag END AS label,
                CASE WHEN substr(md5(t.transfer_lang || ':' || n.id || ':' || CAST(n.pos AS VARCHAR)), 1, 1)
                          < CASE WHEN t.transfer_lang = n.lang THEN '1' ELSE '3' END THEN 0 ELSE n.tag END AS pred
@@ -100,6 +100,14 @@ FX: dict[str, tuple[list[str], str]] = {
         SELECT doc_id, lang, id, pos, tok,
                coalesce({UPOS_SQL}[((({_hex('substr(md5(tok), 1, 1)')}) * 16 + {_hex('substr(md5(tok), 2, 1)')}) % 19) + 1], 'UNK') AS upos
         FROM (SELECT doc_id, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)"""),
+    "fx_pos_langs": (["fx_sent"], "SELECT DISTINCT lang AS transfer_lang FROM fx_sent"),
+    "fx_pos_pred_tok": (["fx_pos_tok", "fx_pos_langs"], f"""
+        SELECT t.transfer_lang, p.lang AS task_lang, p.id, p.pos,
+               CASE WHEN p.pos % 7 = 6 THEN -100 ELSE p.uid END AS label,
+               CASE WHEN substr(md5(t.transfer_lang || ':' || p.id || ':' || CAST(p.pos AS VARCHAR)), 1, 1)
+                         < CASE WHEN t.transfer_lang = p.lang THEN '1' ELSE '3' END THEN (p.uid + 1) % 18 ELSE p.uid END AS pred
+        FROM (SELECT *, CAST(coalesce(list_position({UPOS_SQL}, upos) - 1, 16) AS INTEGER) AS uid FROM fx_pos_tok) p
+        CROSS JOIN fx_pos_langs t"""),
     "fx_pair": ([], """
         SELECT 'pair' AS task, 'und' AS lang, 'test' AS split,
                CAST(a.conv_id AS VARCHAR) || ':' || CAST(a.turn AS VARCHAR) AS id,
