@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .functions.labels import IGNORE_INDEX, UPOS_DEFAULT, UPOS_LABELS, WIKIANN_LABELS, encode_or_default
 from .functions.text import ws_tokens
 from .operators.joins import join_dim
+from .operators.ranking import bucketed_row_number
 
 # --- fixed values of the fixture rules --------------------------------------
 SEED = "42"
@@ -288,7 +289,9 @@ def fx_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation logs: one run per user, steps numbered by (ts, event_id)."""
     ev = read(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").cast("string").alias("run"),
-                     F.row_number().over(w).cast("int").alias("step"),
+    # step = row number per user by (ts, event_id), computed in hour buckets so
+    # one very active user is not one task
+    hour = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3_600_000_000)).alias("_hour")
+    ev = bucketed_row_number(ev, ["user_id"], [hour], [F.col("_hour")], [F.col("ts"), F.col("event_id")], "step")
+    return ev.select(F.col("user_id").cast("string").alias("run"), F.col("step").cast("int"),
                      F.col("value").cast("double").alias("metric"))
