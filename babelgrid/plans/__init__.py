@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_classification", "q_text", "q_qa", "q_ner", "q_features", "q_sampling"]
+_MODULES = ["q_classification", "q_text", "q_qa", "q_ner", "q_features", "q_sampling", "q_io"]
 
 
 def load_all() -> None:
