@@ -24,8 +24,8 @@ MODEL = "fixture"
 # Hex digit thresholds that decide whether a synthetic prediction is right.
 CLS_RIGHT_BELOW = "b"          # cross-language
 CLS_RIGHT_BELOW_IN_LANG = "e"  # same language
-NER_DROP_BELOW = "3"
-NER_DROP_BELOW_IN_LANG = "1"
+NER_DROP_BELOW = 3             # of 16 hash values
+NER_DROP_BELOW_IN_LANG = 1
 # Entity type of a word by the first hex digit of md5(word).
 NER_TYPE_BY_DIGIT = {"0": "PER", "1": "PER", "2": "ORG", "3": "LOC"}
 MASK_EVERY = 7                 # label masked where pos % 7 == 6
@@ -138,10 +138,10 @@ def fx_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
         answers.alias("answers"))
 
 
-def fx_qapred(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_qapred(spark: SparkSession, sf_dir: str, qa: DataFrame | None = None) -> DataFrame:
     """Two predictions per (transfer language, answerable example): seq 0 is a
     stale one, seq 1 the final one; some ids get none."""
-    qa = fx_qa(spark, sf_dir)
+    qa = qa if qa is not None else fx_qa(spark, sf_dir)
     rows = qa.filter((F.pmod("doc_id", F.lit(10)) != QA_UNANSWERABLE_MOD) & (F.pmod("doc_id", F.lit(QA_MISSING_PRED_MOD)) != 0))
     rows = rows.select("task", "lang", "id", "doc_id", "question", F.get(F.col("answers.text"), 0).alias("ans"))
     langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
@@ -208,7 +208,12 @@ def fx_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         F.lit("ner").alias("task"), "lang", F.lit("test").alias("split"),
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("id"),
-        "tokens", tags.alias("tags"))
+        "doc_id", "line", "tokens", tags.alias("tags"))
+
+
+def _pos_hash(i: Column) -> Column:
+    """Cheap deterministic hash of (row hash ``_h``, position) into 0..15."""
+    return F.pmod(F.col("_h") + i * 7, F.lit(16))
 
 
 def fx_ner_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,9 +222,9 @@ def fx_ner_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     ner = fx_ner(spark, sf_dir)
     langs = ner.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = with_transfer_languages(ner, langs)
+    rows = rows.withColumn("_h", F.col("doc_id") * 31 + F.col("line") * 17 + F.ascii("transfer_lang") * 13)
     thr = F.when(F.col("transfer_lang") == F.col("lang"), F.lit(NER_DROP_BELOW_IN_LANG)).otherwise(F.lit(NER_DROP_BELOW))
-    pred = F.transform("tags", lambda t, i: F.when(
-        _md5_digit(F.col("transfer_lang"), F.lit(":"), F.col("id"), F.lit(":"), i.cast("string")) < thr, F.lit(0)).otherwise(t))
+    pred = F.transform("tags", lambda t, i: F.when(_pos_hash(i) < thr, F.lit(0)).otherwise(t))
     labels = F.transform("tags", lambda t, i: F.when(F.pmod(i, F.lit(MASK_EVERY)) == MASK_EVERY - 1, F.lit(IGNORE_INDEX)).otherwise(t))
     return rows.select("task", F.lit(MODEL).alias("model"), "transfer_lang", F.col("lang").alias("task_lang"), "id",
                        "tokens", "tags", labels.alias("labels"), pred.alias("pred_tags"))
@@ -251,7 +256,7 @@ def fx_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         F.lit("pos").alias("task"), "lang", F.lit("test").alias("split"),
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("id"),
-        "tokens", "upos", np_str(F.col("tokens")).alias("tokens_str"), np_str(F.col("upos")).alias("upos_str"))
+        "doc_id", "line", "tokens", "upos", np_str(F.col("tokens")).alias("tokens_str"), np_str(F.col("upos")).alias("upos_str"))
 
 
 def fx_pos_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,13 +264,12 @@ def fx_pos_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     position masked) and predictions that shift some ids by one."""
     pos = fx_pos(spark, sf_dir)
     langs = pos.select("task", F.col("lang").alias("transfer_lang")).distinct()
-    rows = with_transfer_languages(pos.select("task", "lang", "id", "upos"), langs)
+    rows = with_transfer_languages(pos.select("task", "lang", "id", "doc_id", "line", "upos"), langs)
     ids = F.transform("upos", lambda t: encode_or_default(t, UPOS_LABELS, UPOS_DEFAULT))
-    rows = rows.select("task", "transfer_lang", "lang", "id", ids.alias("ids"))
+    rows = rows.select("task", "transfer_lang", "lang", "id", ids.alias("ids"),
+                       (F.col("doc_id") * 31 + F.col("line") * 17 + F.ascii("transfer_lang") * 13).alias("_h"))
     thr = F.when(F.col("transfer_lang") == F.col("lang"), F.lit(NER_DROP_BELOW_IN_LANG)).otherwise(F.lit(NER_DROP_BELOW))
-    pred = F.transform("ids", lambda t, i: F.when(
-        _md5_digit(F.col("transfer_lang"), F.lit(":"), F.col("id"), F.lit(":"), i.cast("string")) < thr,
-        F.pmod(t + 1, F.lit(len(UPOS_LABELS)))).otherwise(t))
+    pred = F.transform("ids", lambda t, i: F.when(_pos_hash(i) < thr, F.pmod(t + 1, F.lit(len(UPOS_LABELS)))).otherwise(t))
     labels = F.transform("ids", lambda t, i: F.when(F.pmod(i, F.lit(MASK_EVERY)) == MASK_EVERY - 1, F.lit(IGNORE_INDEX)).otherwise(t))
     return rows.select("task", F.lit(MODEL).alias("model"), "transfer_lang", F.col("lang").alias("task_lang"), "id",
                        labels.alias("labels"), pred.alias("preds"))

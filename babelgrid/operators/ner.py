@@ -49,10 +49,44 @@ def entities(tags: str) -> Column:
     return F.zip_with(starts, ends, lambda s_, e_: F.struct(_etype(F.get(a, s_)).alias("type"), s_.alias("start"), e_.alias("end")))
 
 
+def _label_tables(labels: list[str]) -> tuple[list[str], Column, Column]:
+    """Entity type names, and per label id: type index (0 = ``O``) and B flag."""
+    types: list[str] = []
+    for lab in labels:
+        if lab != "O" and lab[2:] not in types:
+            types.append(lab[2:])
+    type_of = F.array(*[F.lit(0 if lab == "O" else types.index(lab[2:]) + 1) for lab in labels])
+    is_b = F.array(*[F.lit(lab.startswith("B-")) for lab in labels])
+    return types, type_of, is_b
+
+
+def entity_ids(ids: str, labels: list[str]) -> Column:
+    """H6 on a label-id array column (same chunk rule as ``entities``), with
+    integer comparisons only: array<struct<type (index), start, end>>."""
+    _, type_of, is_b = _label_tables(labels)
+    a = F.col(ids)
+    n = F.size(a)
+
+    def ty(x):
+        return F.get(type_of, x)
+
+    def opens(t, i):
+        prev = F.get(a, i - 1)
+        return (ty(t) > 0) & (F.get(is_b, t) | (i == 0) | (ty(prev) != ty(t)))
+
+    def closes(t, i):
+        nxt = F.get(a, i + 1)
+        return (ty(t) > 0) & ((i == n - 1) | opens(nxt, i + 1) | (ty(nxt) == 0))
+
+    starts = F.filter(F.transform(a, lambda t, i: F.when(opens(t, i), i)), lambda x: x.isNotNull())
+    ends = F.filter(F.transform(a, lambda t, i: F.when(closes(t, i), i)), lambda x: x.isNotNull())
+    return F.zip_with(starts, ends, lambda s_, e_: F.struct(ty(F.get(a, s_)).alias("type"), s_.alias("start"), e_.alias("end")))
+
+
 def ner_rows(preds: DataFrame, cell: list[str], labels: list[str], pred_arr: str = "pred_tags",
              label_arr: str = "labels") -> DataFrame:
     """Per sentence: kept (pred, label) pairs re-indexed after dropping the
-    ignore index, true / predicted entities and their exact matches.
+    ignore index, true / predicted entities (type index) and their matches.
 
     Each step is its own projection so arrays are computed once and then
     referenced as columns by the array lambdas.
@@ -60,37 +94,51 @@ def ner_rows(preds: DataFrame, cell: list[str], labels: list[str], pred_arr: str
     z = preds.select(*cell, "id", masked_pairs(pred_arr, label_arr).alias("z"))
     z = z.select(*cell, "id",
                  F.size(F.filter("z", lambda s: s["p"] == s["l"])).alias("correct"), F.size("z").alias("tokens"),
-                 decode_array(F.transform("z", lambda s: s["l"]), labels).alias("tn"),
-                 decode_array(F.transform("z", lambda s: s["p"]), labels).alias("pn"))
-    z = z.select(*cell, "id", "correct", "tokens", entities("tn").alias("te"), entities("pn").alias("pe"))
+                 F.transform("z", lambda s: s["l"]).alias("tl"), F.transform("z", lambda s: s["p"]).alias("pl"))
+    z = z.select(*cell, "id", "correct", "tokens", entity_ids("tl", labels).alias("te"), entity_ids("pl", labels).alias("pe"))
     return z.withColumn("me", F.array_intersect("te", "pe"))
 
 
-def type_prf(rows: DataFrame, cell: list[str], digits: int = 6) -> DataFrame:
-    """Per (cell, entity type): true / predicted / matched counts, P, R, F1."""
+def _type_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """One pass over the sentences: per (cell, type index) true / predicted /
+    matched entity counts, plus type 0 carrying the token accuracy counts."""
     def tagged(arr, t, p, tp):
-        return F.transform(arr, lambda e: F.struct(e["type"].alias("type"), F.lit(t).alias("t"), F.lit(p).alias("p"), F.lit(tp).alias("tp")))
-    ex = rows.select(*cell, F.inline(F.concat(tagged(F.col("te"), 1, 0, 0), tagged(F.col("pe"), 0, 1, 0), tagged(F.col("me"), 0, 0, 1))))
-    g = ex.groupBy(*cell, "type").agg(F.sum("t").alias("n_true"), F.sum("p").alias("n_pred"), F.sum("tp").alias("tp"))
-    prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
-    rec = F.when(F.col("n_true") > 0, F.col("tp") / F.col("n_true")).otherwise(F.lit(0.0))
+        return F.transform(arr, lambda e: F.struct(e["type"].alias("type"), F.lit(t).alias("t"), F.lit(p).alias("p"),
+                                                   F.lit(tp).alias("tp"), F.lit(0).alias("c"), F.lit(0).alias("n")))
+    tok = F.array(F.struct(F.lit(0).alias("type"), F.lit(0).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("tp"),
+                           F.col("correct").alias("c"), F.col("tokens").alias("n")))
+    ex = rows.select(*cell, F.inline(F.concat(tagged(F.col("te"), 1, 0, 0), tagged(F.col("pe"), 0, 1, 0),
+                                              tagged(F.col("me"), 0, 0, 1), tok)))
+    return ex.groupBy(*cell, "type").agg(*[F.sum(c).cast("long").alias(c) for c in ("t", "p", "tp", "c", "n")])
+
+
+def _prf(g: DataFrame, labels: list[str], digits: int) -> DataFrame:
+    types, _, _ = _label_tables(labels)
+    g = g.filter(F.col("type") > 0).withColumn("type", F.element_at(F.array(*[F.lit(x) for x in types]), F.col("type")))
+    prec = F.when(F.col("p") > 0, F.col("tp") / F.col("p")).otherwise(F.lit(0.0))
+    rec = F.when(F.col("t") > 0, F.col("tp") / F.col("t")).otherwise(F.lit(0.0))
     g = g.withColumn("precision", prec).withColumn("recall", rec)
     f1 = F.when(F.col("precision") + F.col("recall") > 0,
                 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(F.lit(0.0))
-    return g.select(*cell, "type", F.col("n_true").cast("long"), F.col("n_pred").cast("long"), F.col("tp").cast("long"),
-                    F.round("precision", digits).alias("precision"), F.round("recall", digits).alias("recall"),
-                    f1.alias("f1"))
+    return g.withColumn("f1", f1)
+
+
+def type_prf(rows: DataFrame, cell: list[str], labels: list[str], digits: int = 6) -> DataFrame:
+    """Per (cell, entity type): true / predicted / matched counts, P, R, F1."""
+    g = _prf(_type_counts(rows, cell), labels, digits)
+    return g.select(*cell, "type", F.col("t").alias("n_true"), F.col("p").alias("n_pred"), "tp",
+                    F.round("precision", digits).alias("precision"), F.round("recall", digits).alias("recall"), "f1")
 
 
 def ner_grid(preds: DataFrame, cell: list[str], labels: list[str], digits: int = 6) -> DataFrame:
     """H7 + H8: macro-over-types F1 (0 when no entity on either side) and
-    token accuracy per cell."""
-    rows = ner_rows(preds, cell, labels)
-    acc = rows.groupBy(*cell).agg((F.sum("correct") / F.sum("tokens")).alias("accuracy"))
-    macro = type_prf(rows, cell, digits).groupBy(*cell).agg(F.avg("f1").alias("f1_score"))
-    g = acc.join(macro, cell, "left")
-    return g.select(*cell, F.round("accuracy", digits).alias("accuracy"),
-                    F.round(F.coalesce("f1_score", F.lit(0.0)), digits).alias("f1_score"))
+    token accuracy per cell, from a single aggregate over the sentences."""
+    g = _type_counts(ner_rows(preds, cell, labels), cell)
+    acc = g.filter(F.col("type") == 0).select(*cell, (F.col("c") / F.col("n")).alias("accuracy"))
+    macro = _prf(g, labels, digits).groupBy(*cell).agg(F.avg("f1").alias("f1_score"))
+    out = acc.join(macro, cell, "left")
+    return out.select(*cell, F.round("accuracy", digits).alias("accuracy"),
+                      F.round(F.coalesce("f1_score", F.lit(0.0)), digits).alias("f1_score"))
 
 
 def tag_string_scores(gold: Column, pred: Column, g: Column, p: Column) -> tuple[Column, Column]:

@@ -32,6 +32,9 @@ def doc_tokens(c) -> F.Column:
     return ws_tokens(F.lower(c if not isinstance(c, str) else F.col(c)))
 
 
+HOT_TOKENS = 1000
+
+
 @dataclass
 class NaiveBayesModel:
     token_counts: DataFrame   # task, transfer_lang, token, counts array<long>[K]
@@ -71,7 +74,11 @@ def predict_naive_bayes(model: NaiveBayesModel, test: DataFrame, langs: DataFram
     keys = ["task", "lang", "id", "label"]
     tf = test.select(*keys, F.explode(doc_tokens("text")).alias("token")) \
         .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    hits = join_dim(tf, model.token_counts, ["task", "token"], salt_by=["id"]) \
+    # frequent tokens are the hot join keys; only they are salted when the
+    # weight table is too large to broadcast
+    hot = model.token_counts.select("task", "token", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")) \
+        .groupBy("task", "token").agg(F.sum("total").alias("total")).orderBy(F.col("total").desc()).limit(HOT_TOKENS)
+    hits = join_dim(tf, model.token_counts, ["task", "token"], salt_by=["id"], hot=hot) \
         .select(*keys, "transfer_lang", "tf", "counts")
     # every (row, transfer language) pair exists even with no known token
     base = with_transfer_languages(test.select(*keys), langs) \

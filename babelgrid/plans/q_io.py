@@ -14,6 +14,7 @@ from .. import fixtures as fx
 from ..operators.classification import argmax, classification_grid
 from ..operators.qa import last_prediction, squad_grid
 from ..operators.scoring import compute_metrics, linear_model, score
+from ..session import materialize
 from ..sources import io
 from ..streaming.grid_stream import run_once
 from .registry import register
@@ -74,8 +75,8 @@ def grid_union(spark, sf_dir):
     """I2 + A10: grids with different metric columns written as files, read
     back and unioned by name (missing metrics NULL), one aggregated CSV."""
     cls = classification_grid(fx.fx_pred(spark, sf_dir), CELL).select(*CELL, "accuracy", "f1_score")
-    qa = fx.fx_qa(spark, sf_dir)
-    fin = last_prediction(fx.fx_qapred(spark, sf_dir), ["task", "transfer_lang", "task_lang", "id"])
+    qa = materialize(fx.fx_qa(spark, sf_dir), "fx_qa")
+    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), ["task", "transfer_lang", "task_lang", "id"])
     langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = fx.with_transfer_languages(qa.select("task", F.col("lang").alias("task_lang"), "id",
                                                 F.coalesce(F.get(F.col("answers.text"), 0), F.lit("")).alias("gold")), langs)

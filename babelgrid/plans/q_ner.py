@@ -64,7 +64,7 @@ def ner_type_prf(spark, sf_dir):
     """H6: per entity type precision / recall / F1 (lenient IOB2 chunks, after
     dropping ignored positions)."""
     rows = ner_rows(fx.fx_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
-    return type_prf(rows, CELL).withColumn("f1", F.round("f1", 6))
+    return type_prf(rows, CELL, WIKIANN_LABELS).withColumn("f1", F.round("f1", 6))
 
 
 @register("ner_macro_grid", with_fx(_NER_BASE + """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.text import first_answer
+from ..session import materialize
 from ..operators.qa import em_f1_fraction_grid, last_prediction, squad_grid
 from .q_text import _normalize_sql
 from .registry import register
@@ -50,11 +51,17 @@ SELECT task_lang, transfer_lang, round(100.0 * avg(em), 6) AS exact_match, round
 FROM best GROUP BY ALL""", "fx_qapred", "fx_qa_langs")
 
 
+def _qa(spark, sf_dir):
+    """QA examples, materialised once: the plan reads them for references,
+    predictions and the language dimension."""
+    return materialize(fx.fx_qa(spark, sf_dir), "fx_qa")
+
+
 @register("qa_squad_grid", _SQUAD)
 def qa_squad_grid(spark, sf_dir):
-    qa = fx.fx_qa(spark, sf_dir).withColumnRenamed("lang", "task_lang")
-    fin = last_prediction(fx.fx_qapred(spark, sf_dir), ["task", "transfer_lang", "task_lang", "id"])
-    return squad_grid(qa, fin, CELL)
+    qa = _qa(spark, sf_dir)
+    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), ["task", "transfer_lang", "task_lang", "id"])
+    return squad_grid(qa.withColumnRenamed("lang", "task_lang"), fin, CELL)
 
 
 _FRAC = with_fx(_FINAL + """,
@@ -71,8 +78,8 @@ SELECT task_lang, transfer_lang, round(avg(em), 6) AS em_frac, round(avg(f1), 6)
 def qa_em_f1_frac(spark, sf_dir):
     """Generative QA during training: one target (first answer or empty) per
     example, mean EM / F1 as fractions."""
-    qa = fx.fx_qa(spark, sf_dir)
-    fin = last_prediction(fx.fx_qapred(spark, sf_dir), ["task", "transfer_lang", "id"])
+    qa = _qa(spark, sf_dir)
+    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), ["task", "transfer_lang", "id"])
     langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = fx.with_transfer_languages(qa.select("task", F.col("lang").alias("task_lang"), "id", first_answer("answers").alias("gold")), langs)
     rows = rows.join(fin, ["task", "transfer_lang", "id"], "left").withColumn("pred_text", F.coalesce("pred_text", F.lit("")))

@@ -81,31 +81,31 @@ FX: dict[str, tuple[list[str], str]] = {
         SELECT doc_id, lang, line, CAST(doc_id AS VARCHAR) || ':' || CAST(line AS VARCHAR) AS id, toks AS tokens
         FROM (SELECT *, {words('line_text')} AS toks FROM fx_lines) WHERE len(toks) > 0"""),
     "fx_ner_tok": (["fx_sent"], f"""
-        SELECT doc_id, lang, id, pos, tok,
+        SELECT doc_id, line, lang, id, pos, tok,
                CASE WHEN typ = 'O' THEN 0
                     ELSE list_position({NER_LABELS_SQL},
                          CASE WHEN pos = 0 OR prev_typ <> typ THEN 'B-' ELSE 'I-' END || typ) - 1 END AS tag
         FROM (SELECT *, lag(typ) OVER (PARTITION BY id ORDER BY pos) AS prev_typ
               FROM (SELECT *, CASE substr(md5(tok), 1, 1) WHEN '0' THEN 'PER' WHEN '1' THEN 'PER'
                                    WHEN '2' THEN 'ORG' WHEN '3' THEN 'LOC' ELSE 'O' END AS typ
-                    FROM (SELECT doc_id, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)))"""),
+                    FROM (SELECT doc_id, line, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)))"""),
     "fx_ner_langs": (["fx_sent"], "SELECT DISTINCT lang AS transfer_lang FROM fx_sent"),
     "fx_ner_pred_tok": (["fx_ner_tok", "fx_ner_langs"], """
         SELECT t.transfer_lang, n.lang AS task_lang, n.id, n.pos, n.tok, n.tag,
                CASE WHEN n.pos % 7 = 6 THEN -100 ELSE n.tag END AS label,
-               CASE WHEN substr(md5(t.transfer_lang || ':' || n.id || ':' || CAST(n.pos AS VARCHAR)), 1, 1)
-                         < CASE WHEN t.transfer_lang = n.lang THEN '1' ELSE '3' END THEN 0 ELSE n.tag END AS pred
+               CASE WHEN (n.doc_id * 31 + n.line * 17 + ascii(t.transfer_lang) * 13 + n.pos * 7) % 16
+                         < CASE WHEN t.transfer_lang = n.lang THEN 1 ELSE 3 END THEN 0 ELSE n.tag END AS pred
         FROM fx_ner_tok n CROSS JOIN fx_ner_langs t"""),
     "fx_pos_tok": (["fx_sent"], f"""
-        SELECT doc_id, lang, id, pos, tok,
+        SELECT doc_id, line, lang, id, pos, tok,
                coalesce({UPOS_SQL}[((({_hex('substr(md5(tok), 1, 1)')}) * 16 + {_hex('substr(md5(tok), 2, 1)')}) % 19) + 1], 'UNK') AS upos
-        FROM (SELECT doc_id, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)"""),
+        FROM (SELECT doc_id, line, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)"""),
     "fx_pos_langs": (["fx_sent"], "SELECT DISTINCT lang AS transfer_lang FROM fx_sent"),
     "fx_pos_pred_tok": (["fx_pos_tok", "fx_pos_langs"], f"""
         SELECT t.transfer_lang, p.lang AS task_lang, p.id, p.pos,
                CASE WHEN p.pos % 7 = 6 THEN -100 ELSE p.uid END AS label,
-               CASE WHEN substr(md5(t.transfer_lang || ':' || p.id || ':' || CAST(p.pos AS VARCHAR)), 1, 1)
-                         < CASE WHEN t.transfer_lang = p.lang THEN '1' ELSE '3' END THEN (p.uid + 1) % 18 ELSE p.uid END AS pred
+               CASE WHEN (p.doc_id * 31 + p.line * 17 + ascii(t.transfer_lang) * 13 + p.pos * 7) % 16
+                         < CASE WHEN t.transfer_lang = p.lang THEN 1 ELSE 3 END THEN (p.uid + 1) % 18 ELSE p.uid END AS pred
         FROM (SELECT *, CAST(coalesce(list_position({UPOS_SQL}, upos) - 1, 16) AS INTEGER) AS uid FROM fx_pos_tok) p
         CROSS JOIN fx_pos_langs t"""),
     "fx_pair": ([], """
