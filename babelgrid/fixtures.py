@@ -216,10 +216,10 @@ def _pos_hash(i: Column) -> Column:
     return F.pmod(F.col("_h") + i * 7, F.lit(16))
 
 
-def fx_ner_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_ner_pred(spark: SparkSession, sf_dir: str, ner: DataFrame | None = None) -> DataFrame:
     """Per transfer language: gold ids (masked every 7th position) and
     predictions that turn some tokens into ``O``."""
-    ner = fx_ner(spark, sf_dir)
+    ner = ner if ner is not None else fx_ner(spark, sf_dir)
     langs = ner.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = with_transfer_languages(ner, langs)
     rows = rows.withColumn("_h", F.col("doc_id") * 31 + F.col("line") * 17 + F.ascii("transfer_lang") * 13)
@@ -259,10 +259,10 @@ def fx_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "line", "tokens", "upos", np_str(F.col("tokens")).alias("tokens_str"), np_str(F.col("upos")).alias("upos_str"))
 
 
-def fx_pos_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_pos_pred(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None) -> DataFrame:
     """Per transfer language: gold UPOS ids (unknown tag -> ``X``, every 7th
     position masked) and predictions that shift some ids by one."""
-    pos = fx_pos(spark, sf_dir)
+    pos = pos if pos is not None else fx_pos(spark, sf_dir)
     langs = pos.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = with_transfer_languages(pos.select("task", "lang", "id", "doc_id", "line", "upos"), langs)
     ids = F.transform("upos", lambda t: encode_or_default(t, UPOS_LABELS, UPOS_DEFAULT))

@@ -162,14 +162,7 @@ def context_token_rows(examples: DataFrame, keys: list[str], text: str = "contex
                        (F.col("s") + F.length("piece")).cast("int").alias("e"))
 
 
-def qa_features(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_STRIDE) -> DataFrame:
-    """Windows over the context with the question kept whole.
-
-    ``examples``: id, question, context, answers.  Returns one row per window:
-    id, feature_idx, tok_start, tok_end (context token range), seq_len,
-    offsets (array<struct<s, e>> over the whole sequence, null outside the
-    context), start_position, end_position.
-    """
+def _window_frame(examples: DataFrame, max_len: int, stride: int) -> DataFrame:
     ex = examples.select(
         "id", F.size(ws_tokens(strip("question"))).alias("qlen"),
         F.size(ws_tokens("context")).alias("n"), "context",
@@ -179,31 +172,63 @@ def qa_features(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA
     ex = ex.withColumn("cap", cap).withColumn("step", F.col("cap") - stride)
     ex = ex.withColumn("cap", F.when(F.col("step") > 0, F.col("cap")).otherwise(
         F.raise_error(F.lit("question too long for max_len and stride")).cast("int")))
-    ex = ex.withColumn("nwin", F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("cap")) / F.col("step"))).cast("int") + 1)
-    keys = ["id", "qlen", "n", "sc", "ec", "cap", "step", "nwin"]
+    return ex.withColumn("nwin", F.greatest(F.lit(0), F.ceil((F.col("n") - F.col("cap")) / F.col("step"))).cast("int") + 1)
+
+
+def qa_windows(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_STRIDE) -> DataFrame:
+    """D4 + D5 + D7 without exploding tokens.
+
+    Windows follow from the token count alone.  Because token offsets grow
+    with the token index, the answer's token span needs two numbers per
+    example: ``a`` = tokens starting at or before the answer's first
+    character (the tokens of the text up to it), ``b`` = tokens ending before
+    the answer's end (the tokens of the text before it, minus a token cut by
+    that boundary).  A window [t0, t1) holds the answer iff t0 < a and
+    t1 - 1 >= b; then start = cs + min(a, t1) - t0 - 1, end = cs + min(b, t1) - t0.
+
+    ``examples``: id, question, context, answers.  Returns id, feature_idx,
+    tok_start, tok_end, seq_len, start_position, end_position.
+    """
+    ex = _window_frame(examples, max_len, stride)
+    nws = _not_ws()
+    cut_len = F.col("ec") - 1
+    cut = ((cut_len > 0) & (F.length("context") > cut_len)
+           & F.substring("context", cut_len + 1, 1).rlike(nws) & F.substring("context", cut_len, 1).rlike(nws))
+    ex = ex.select("id", "qlen", "n", "cap", "step", "nwin", "sc",
+                   F.size(ws_tokens(F.substring("context", 1, F.col("sc") + 1))).alias("a"),
+                   (F.size(ws_tokens(F.substring("context", 1, cut_len))) - F.when(cut, 1).otherwise(0)).alias("b"))
+    w = ex.select("*", F.explode(F.sequence(F.lit(0), F.col("nwin") - 1)).alias("feature_idx"))
+    t0 = F.col("feature_idx") * F.col("step")
+    t1 = F.least(t0 + F.col("cap"), F.col("n"))
+    w = w.withColumn("tok_start", t0).withColumn("tok_end", t1)
+    cs = F.col("qlen") + 3                       # <s> question </s></s>
+    inside = F.col("sc").isNotNull() & (F.col("tok_start") < F.col("a")) & (F.col("tok_end") - 1 >= F.col("b"))
+    return w.select(
+        "id", F.col("feature_idx").cast("int"), F.col("tok_start").cast("int"), F.col("tok_end").cast("int"),
+        (cs + F.col("tok_end") - F.col("tok_start") + 1).cast("int").alias("seq_len"),
+        F.when(inside, cs + F.least("a", "tok_end") - F.col("tok_start") - 1).otherwise(F.lit(0)).cast("int").alias("start_position"),
+        F.when(inside, cs + F.least("b", "tok_end") - F.col("tok_start")).otherwise(F.lit(0)).cast("int").alias("end_position"))
+
+
+def qa_offsets(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_STRIDE) -> DataFrame:
+    """Per window the offsets of every sequence position, null outside
+    the context.  Needs the per-token offsets, so the context is exploded
+    into token rows (one shuffle by example id) and regrouped per window.
+    """
+    ex = _window_frame(examples, max_len, stride)
+    keys = ["id", "qlen", "cap", "step", "nwin"]
     toks = context_token_rows(ex, keys)
     # windows holding token t: k*step <= t < k*step + cap, 0 <= k < nwin
     k_lo = F.greatest(F.lit(0), F.ceil((F.col("tok") - F.col("cap") + 1) / F.col("step")).cast("int"))
     k_hi = F.least(F.col("nwin") - 1, F.floor(F.col("tok") / F.col("step")).cast("int"))
     tw = toks.select(*keys, "tok", "s", "e", F.explode(F.sequence(k_lo, k_hi)).alias("feature_idx")) \
         .filter((F.col("feature_idx") >= k_lo) & (F.col("feature_idx") <= k_hi))
-    g = tw.groupBy(*keys, "feature_idx").agg(
-        F.min("tok").alias("tok_start"), (F.max("tok") + 1).alias("tok_end"),
-        F.min("s").alias("first_s"), F.max("e").alias("last_e"),
-        F.count(F.when(F.col("s") <= F.col("sc"), 1)).alias("n_le"),
-        F.count(F.when(F.col("e") < F.col("ec"), 1)).alias("n_lt"),
-        F.array_sort(F.collect_list(F.struct("tok", "s", "e"))).alias("toks"))
-    cs = F.col("qlen") + 3                       # <s> question </s></s>
-    inside = F.col("sc").isNotNull() & (F.col("first_s") <= F.col("sc")) & (F.col("last_e") >= F.col("ec"))
-    head = F.array_repeat(F.lit(None).cast("struct<s:int,e:int>"), cs)
-    offsets = F.concat(head, F.transform("toks", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))),
-                       F.array(F.lit(None).cast("struct<s:int,e:int>")))
-    return g.select(
-        "id", F.col("feature_idx").cast("int"), "tok_start", "tok_end",
-        (cs + F.col("tok_end") - F.col("tok_start") + 1).cast("int").alias("seq_len"),
-        offsets.alias("offsets"),
-        F.when(inside, cs + F.col("n_le") - 1).otherwise(F.lit(0)).cast("int").alias("start_position"),
-        F.when(inside, cs + F.col("n_lt")).otherwise(F.lit(0)).cast("int").alias("end_position"))
+    g = tw.groupBy("id", "qlen", "feature_idx").agg(F.array_sort(F.collect_list(F.struct("tok", "s", "e"))).alias("toks"))
+    cs = F.col("qlen") + 3
+    none = F.lit(None).cast("struct<s:int,e:int>")
+    offsets = F.concat(F.array_repeat(none, cs), F.transform("toks", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))),
+                       F.array(none))
+    return g.select("id", F.col("feature_idx").cast("int"), offsets.alias("offsets"))
 
 
 def align_labels(word_ids: Column, labels: Column, ignore: int = -100, guarded: bool = False,

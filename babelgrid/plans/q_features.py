@@ -113,8 +113,8 @@ wf AS (SELECT w.id, w.feature_idx, w.tok_start, w.tok_end, w.qlen, w.sc, w.ec,
        GROUP BY ALL)"""
 
 
-def _qa_features(spark, sf_dir):
-    return D.qa_features(fx.fx_qa(spark, sf_dir))
+def _qa_windows(spark, sf_dir):
+    return D.qa_windows(fx.fx_qa(spark, sf_dir))
 
 
 @register("qa_windows", with_fx(_QA_FEAT_SQL + """
@@ -122,14 +122,14 @@ SELECT id, CAST(feature_idx AS INTEGER) AS feature_idx, CAST(tok_start AS INTEGE
        CAST(qlen + 3 + tok_end - tok_start + 1 AS INTEGER) AS seq_len FROM wf""", "fx_qa"))
 def qa_windows(spark, sf_dir):
     """D4 + D5: strided windows (384 total, 128 overlap), window -> example."""
-    return _qa_features(spark, sf_dir).select("id", "feature_idx", F.col("tok_start").cast("int"), F.col("tok_end").cast("int"), "seq_len")
+    return _qa_windows(spark, sf_dir).select("id", "feature_idx", "tok_start", "tok_end", "seq_len")
 
 
 @register("qa_offset_mask", with_fx(_QA_FEAT_SQL + """
 SELECT id, CAST(feature_idx AS INTEGER) AS feature_idx, repeat('N,', CAST(qlen + 3 AS INTEGER)) || offs || ',N' AS offsets FROM wf""", "fx_qa"))
 def qa_offset_mask(spark, sf_dir):
     """Per-position offsets, null (N) outside the context."""
-    f = _qa_features(spark, sf_dir)
+    f = D.qa_offsets(fx.fx_qa(spark, sf_dir))
     s = F.array_join(F.transform("offsets", lambda o: F.coalesce(F.concat(o["s"].cast("string"), F.lit(":"), o["e"].cast("string")), F.lit("N"))), ",")
     return f.select("id", "feature_idx", s.alias("offsets"))
 
@@ -141,7 +141,7 @@ SELECT id, CAST(feature_idx AS INTEGER) AS feature_idx,
 FROM wf""", "fx_qa"))
 def qa_token_span(spark, sf_dir):
     """Answer character span -> token span per window, (0, 0) outside."""
-    return _qa_features(spark, sf_dir).select("id", "feature_idx", "start_position", "end_position")
+    return _qa_windows(spark, sf_dir).select("id", "feature_idx", "start_position", "end_position")
 
 
 # --- D8 / D9 ------------------------------------------------------------------------

@@ -8,12 +8,19 @@ from .. import fixtures as fx
 from ..functions.labels import WIKIANN_LABELS, decode_array
 from ..operators.classification import token_classification_grid
 from ..operators.ner import entities, ner_grid, ner_rows, tag_string_grid, type_prf
+from ..session import materialize
 from .registry import register
 from .sqlfx import NER_LABELS_SQL, cls_metrics_sql, with_fx
 
 CELL = ["task_lang", "transfer_lang"]
 
 
+def _ner_pred(spark, sf_dir):
+    """Tagged sentences are materialised once: the plan reads them for the
+    language dimension and for the predictions."""
+    return fx.fx_ner_pred(spark, sf_dir, materialize(fx.fx_ner(spark, sf_dir), "fx_ner"))
+
+
 def _chunks_sql(src: str, part: str, order: str, name: str) -> str:
     """Entities of tag-name column ``name`` in ``src``, rows grouped by ``part``
     and ordered by ``order`` -> (part..., type, s, e)."""
@@ -63,7 +70,7 @@ SELECT task_lang, transfer_lang, type, CAST(n_true AS BIGINT) AS n_true, CAST(n_
 def ner_type_prf(spark, sf_dir):
     """H6: per entity type precision / recall / F1 (lenient IOB2 chunks, after
     dropping ignored positions)."""
-    rows = ner_rows(fx.fx_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
+    rows = ner_rows(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
     return type_prf(rows, CELL, WIKIANN_LABELS).withColumn("f1", F.round("f1", 6))
 
 
@@ -73,13 +80,13 @@ FROM acc a LEFT JOIN (SELECT task_lang, transfer_lang, avg(f1) AS f1 FROM prf1 G
                                     "fx_ner_pred_tok"))
 def ner_macro_grid(spark, sf_dir):
     """H7 + H8: the (task_lang, transfer_lang, accuracy, f1_score) NER grid."""
-    return ner_grid(fx.fx_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
+    return ner_grid(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
 
 
 @register("ner_token_accuracy", with_fx(_NER_BASE + """
 SELECT task_lang, transfer_lang, round(accuracy, 6) AS accuracy FROM acc""", "fx_ner_pred_tok"))
 def ner_token_accuracy(spark, sf_dir):
-    return ner_grid(fx.fx_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS).select(*CELL, "accuracy")
+    return ner_grid(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS).select(*CELL, "accuracy")
 
 
 _TAGSTR = with_fx(f"""
@@ -101,14 +108,14 @@ FROM sc GROUP BY ALL""", "fx_ner_pred_tok")
 @register("tag_multiset_f1", _TAGSTR)
 def tag_multiset_f1(spark, sf_dir):
     """H13 (+H14): generated tag strings scored by multiset F1 per row."""
-    return tag_string_grid(fx.fx_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
+    return tag_string_grid(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
 
 
 @register("tag_exact_match", _TAGSTR.replace("SELECT task_lang, transfer_lang, round(avg(em), 6) AS exact_match,\n       round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 6) AS f1_score",
                                               "SELECT task_lang, transfer_lang, round(avg(em), 6) AS exact_match"))
 def tag_exact_match(spark, sf_dir):
     """Mean exact match of stripped generated strings."""
-    return tag_string_grid(fx.fx_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS).select(*CELL, "exact_match")
+    return tag_string_grid(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS).select(*CELL, "exact_match")
 
 
 @register("pos_metrics_grid", with_fx(f"""
@@ -117,5 +124,5 @@ FROM {cls_metrics_sql('(SELECT task_lang, transfer_lang, label, pred FROM fx_pos
                                       "fx_pos_pred_tok"))
 def pos_metrics_grid(spark, sf_dir):
     """H5: masked token accuracy and macro F1 over all kept tokens of a cell."""
-    p = fx.fx_pos_pred(spark, sf_dir)
+    p = fx.fx_pos_pred(spark, sf_dir, materialize(fx.fx_pos(spark, sf_dir), "fx_pos"))
     return token_classification_grid(p, CELL, "preds", "labels").select(*CELL, "accuracy", "f1_score")

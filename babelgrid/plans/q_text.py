@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import labels as L
 from ..functions import text as T
+from ..session import materialize
 from .registry import register
 from .sqlfx import NER_LABELS_SQL, UPOS_SQL, strip, with_fx, words
 
@@ -108,7 +109,7 @@ def first_n_cap(spark, sf_dir):
 SELECT transfer_lang, id, string_agg(CAST(CASE WHEN label >= 0 AND label < 7 THEN label ELSE 0 END AS VARCHAR), ' ' ORDER BY pos) AS label_ids
 FROM fx_ner_pred_tok GROUP BY ALL""", "fx_ner_pred_tok"))
 def sentinel_mask(spark, sf_dir):
-    p = fx.fx_ner_pred(spark, sf_dir)
+    p = fx.fx_ner_pred(spark, sf_dir, materialize(fx.fx_ner(spark, sf_dir), "fx_ner"))
     return p.select("transfer_lang", "id", F.array_join(L.replace_sentinels("labels", F.lit(len(L.WIKIANN_LABELS)), 0), " ").alias("label_ids"))
 
 
@@ -118,7 +119,7 @@ SELECT transfer_lang, id, CAST(count(*) FILTER (WHERE label <> -100) AS INTEGER)
        coalesce(string_agg(CAST(label AS VARCHAR), ' ' ORDER BY pos) FILTER (WHERE label <> -100), '') AS labels
 FROM fx_ner_pred_tok GROUP BY ALL""", "fx_ner_pred_tok"))
 def masked_pairs(spark, sf_dir):
-    p = fx.fx_ner_pred(spark, sf_dir).select("transfer_lang", "id", L.masked_pairs("pred_tags", "labels").alias("z"))
+    p = fx.fx_ner_pred(spark, sf_dir, materialize(fx.fx_ner(spark, sf_dir), "fx_ner")).select("transfer_lang", "id", L.masked_pairs("pred_tags", "labels").alias("z"))
     return p.select("transfer_lang", "id", F.size("z").alias("n_kept"),
                     F.array_join(F.transform("z", lambda s: s["p"]), " ").alias("preds"),
                     F.array_join(F.transform("z", lambda s: s["l"]), " ").alias("labels"))
