@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.labels import IGNORE_INDEX, UPOS_DEFAULT, UPOS_LABELS, WIKIANN_LABELS, encode_or_default
-from .functions.text import ws_tokens
+from .functions.text import WS_CLASS, ws_tokens
 from .operators.joins import join_dim
 from .operators.ranking import bucketed_row_number
 
@@ -175,6 +175,15 @@ def fx_span(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- token classification ---------------------------------------------------
 
+def _sentence_langs(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
+    """(task, transfer_lang) of the tagged-sentence tables, straight from the
+    documents: a document yields a sentence iff it has a non-space character.
+    A cheap column scan, so the size check does not recompute the sentences."""
+    d = read(spark, sf_dir, "documents").select("lang", "text")
+    d = d.filter(F.col("text").rlike("[^" + WS_CLASS[1:-1] + "]"))
+    return d.select(F.lit(task).alias("task"), F.col("lang").alias("transfer_lang")).distinct()
+
+
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a whitespace-tokenised sentence."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -220,7 +229,7 @@ def fx_ner_pred(spark: SparkSession, sf_dir: str, ner: DataFrame | None = None)
     """Per transfer language: gold ids (masked every 7th position) and
     predictions that turn some tokens into ``O``."""
     ner = ner if ner is not None else fx_ner(spark, sf_dir)
-    langs = ner.select("task", F.col("lang").alias("transfer_lang")).distinct()
+    langs = _sentence_langs(spark, sf_dir, "ner")
     rows = with_transfer_languages(ner, langs)
     rows = rows.withColumn("_h", F.col("doc_id") * 31 + F.col("line") * 17 + F.ascii("transfer_lang") * 13)
     thr = F.when(F.col("transfer_lang") == F.col("lang"), F.lit(NER_DROP_BELOW_IN_LANG)).otherwise(F.lit(NER_DROP_BELOW))
@@ -263,7 +272,7 @@ def fx_pos_pred(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None)
     """Per transfer language: gold UPOS ids (unknown tag -> ``X``, every 7th
     position masked) and predictions that shift some ids by one."""
     pos = pos if pos is not None else fx_pos(spark, sf_dir)
-    langs = pos.select("task", F.col("lang").alias("transfer_lang")).distinct()
+    langs = _sentence_langs(spark, sf_dir, "pos")
     rows = with_transfer_languages(pos.select("task", "lang", "id", "doc_id", "line", "upos"), langs)
     ids = F.transform("upos", lambda t: encode_or_default(t, UPOS_LABELS, UPOS_DEFAULT))
     rows = rows.select("task", "transfer_lang", "lang", "id", ids.alias("ids"),

@@ -114,7 +114,12 @@ def _type_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
 
 def _prf(g: DataFrame, labels: list[str], digits: int) -> DataFrame:
     types, _, _ = _label_tables(labels)
-    g = g.filter(F.col("type") > 0).withColumn("type", F.element_at(F.array(*[F.lit(x) for x in types]), F.col("type")))
+    g = g.filter(F.col("type") > 0)
+    g = _prf_cols(g)
+    return g.withColumn("type", F.element_at(F.array(*[F.lit(x) for x in types]), F.col("type")))
+
+
+def _prf_cols(g: DataFrame) -> DataFrame:
     prec = F.when(F.col("p") > 0, F.col("tp") / F.col("p")).otherwise(F.lit(0.0))
     rec = F.when(F.col("t") > 0, F.col("tp") / F.col("t")).otherwise(F.lit(0.0))
     g = g.withColumn("precision", prec).withColumn("recall", rec)
@@ -134,9 +139,12 @@ def ner_grid(preds: DataFrame, cell: list[str], labels: list[str], digits: int =
     """H7 + H8: macro-over-types F1 (0 when no entity on either side) and
     token accuracy per cell, from a single aggregate over the sentences."""
     g = _type_counts(ner_rows(preds, cell, labels), cell)
-    acc = g.filter(F.col("type") == 0).select(*cell, (F.col("c") / F.col("n")).alias("accuracy"))
-    macro = _prf(g, labels, digits).groupBy(*cell).agg(F.avg("f1").alias("f1_score"))
-    out = acc.join(macro, cell, "left")
+    # one more (tiny) aggregate: token accuracy from type 0, macro F1 over the
+    # entity types; both from the same per-type counts
+    prf = _prf_cols(g)
+    out = prf.groupBy(*cell).agg(
+        (F.sum(F.when(F.col("type") == 0, F.col("c"))) / F.sum(F.when(F.col("type") == 0, F.col("n")))).alias("accuracy"),
+        F.avg(F.when(F.col("type") > 0, F.col("f1"))).alias("f1_score"))
     return out.select(*cell, F.round("accuracy", digits).alias("accuracy"),
                       F.round(F.coalesce("f1_score", F.lit(0.0)), digits).alias("f1_score"))
 

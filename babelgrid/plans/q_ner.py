@@ -8,7 +8,6 @@ from .. import fixtures as fx
 from ..functions.labels import WIKIANN_LABELS, decode_array
 from ..operators.classification import token_classification_grid
 from ..operators.ner import entities, ner_grid, ner_rows, tag_string_grid, type_prf
-from ..session import materialize
 from .registry import register
 from .sqlfx import NER_LABELS_SQL, cls_metrics_sql, with_fx
 
@@ -16,9 +15,8 @@ CELL = ["task_lang", "transfer_lang"]
 
 
 def _ner_pred(spark, sf_dir):
-    """Tagged sentences are materialised once: the plan reads them for the
-    language dimension and for the predictions."""
-    return fx.fx_ner_pred(spark, sf_dir, materialize(fx.fx_ner(spark, sf_dir), "fx_ner"))
+    """Per-language predictions over the tagged sentences."""
+    return fx.fx_ner_pred(spark, sf_dir)
 
 
 def _chunks_sql(src: str, part: str, order: str, name: str) -> str:
@@ -124,5 +122,5 @@ FROM {cls_metrics_sql('(SELECT task_lang, transfer_lang, label, pred FROM fx_pos
                                       "fx_pos_pred_tok"))
 def pos_metrics_grid(spark, sf_dir):
     """H5: masked token accuracy and macro F1 over all kept tokens of a cell."""
-    p = fx.fx_pos_pred(spark, sf_dir, materialize(fx.fx_pos(spark, sf_dir), "fx_pos"))
+    p = fx.fx_pos_pred(spark, sf_dir)
     return token_classification_grid(p, CELL, "preds", "labels").select(*CELL, "accuracy", "f1_score")
