@@ -207,13 +207,16 @@ def fx_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = s.select("doc_id", "lang", "line", "tokens", types.alias("types"))
     lab = F.array(*[F.lit(x) for x in WIKIANN_LABELS])
 
-    def tag_of(t, i):
-        prev = F.get(F.col("types"), i - 1)
-        bio = F.when((i == 0) | (prev != t), F.lit("B-")).otherwise(F.lit("I-"))
+    def tag_of(t, prev):
+        bio = F.when(prev.isNull() | (prev != t), F.lit("B-")).otherwise(F.lit("I-"))
         name = F.when(t == "O", F.lit("O")).otherwise(F.concat(bio, t))
         return (F.array_position(lab, name) - 1).cast("int")
 
-    tags = F.transform("types", tag_of)
+    # previous type by a shifted copy, not types[i - 1]: stays linear if the
+    # optimizer inlines ``types`` into a pushed-down filter
+    prev_types = F.concat(F.array(F.lit(None).cast("string")),
+                          F.slice("types", 1, F.greatest(F.size("types") - 1, F.lit(0))))
+    tags = F.zip_with("types", prev_types, tag_of)
     return s.select(
         F.lit("ner").alias("task"), "lang", F.lit("test").alias("split"),
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("line").cast("string")).alias("id"),

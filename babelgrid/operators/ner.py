@@ -24,31 +24,6 @@ def _etype(t: Column) -> Column:
     return F.substring(t, 3, 1 << 20)
 
 
-def entities(tags: str) -> Column:
-    """H6 chunking of an IOB2 tag-name array column -> array<struct<type, start, end>>.
-
-    A token opens a chunk iff it is not ``O`` and (its prefix is ``B``, or it
-    is the first token, or the previous token is ``O`` or of another type).
-    A chunk ends at a non-``O`` token whose successor is missing, ``O`` or
-    opens a chunk; the k-th start pairs with the k-th end.  ``tags`` must be a
-    column (not an inline expression) so every element access is O(1).
-    """
-    a = F.col(tags)
-    n = F.size(a)
-
-    def opens(t, i):
-        prev = F.get(a, i - 1)
-        return (t != "O") & ((F.substring(t, 1, 1) == "B") | (i == 0) | (prev == "O") | (_etype(prev) != _etype(t)))
-
-    def closes(t, i):
-        nxt = F.get(a, i + 1)
-        return (t != "O") & ((i == n - 1) | (nxt == "O") | opens(nxt, i + 1))
-
-    starts = F.filter(F.transform(a, lambda t, i: F.when(opens(t, i), i)), lambda x: x.isNotNull())
-    ends = F.filter(F.transform(a, lambda t, i: F.when(closes(t, i), i)), lambda x: x.isNotNull())
-    return F.zip_with(starts, ends, lambda s_, e_: F.struct(_etype(F.get(a, s_)).alias("type"), s_.alias("start"), e_.alias("end")))
-
-
 def _label_tables(labels: list[str]) -> tuple[list[str], Column, Column]:
     """Entity type names, and per label id: type index (0 = ``O``) and B flag."""
     types: list[str] = []
@@ -60,27 +35,42 @@ def _label_tables(labels: list[str]) -> tuple[list[str], Column, Column]:
     return types, type_of, is_b
 
 
-def entity_ids(ids: str, labels: list[str]) -> Column:
-    """H6 on a label-id array column (same chunk rule as ``entities``), with
-    integer comparisons only: array<struct<type (index), start, end>>."""
-    _, type_of, is_b = _label_tables(labels)
-    a = F.col(ids)
-    n = F.size(a)
+def shifted(a: Column, by: int, fill: Column) -> Column:
+    """``a`` moved ``by`` places: by=+1 gives the previous element at each
+    position (``fill`` first), by=-1 the next one (``fill`` last).
 
-    def ty(x):
-        return F.get(type_of, x)
+    Neighbour access through shifted copies instead of ``a[i - 1]`` inside a
+    lambda keeps the work linear even if the optimizer inlines ``a`` (the
+    filter inferred from a later explode is pushed below projections)."""
+    rest = F.greatest(F.size(a) - 1, F.lit(0))
+    if by == 1:
+        return F.concat(F.array(fill), F.slice(a, 1, rest))
+    return F.concat(F.slice(a, 2, rest), F.array(fill))
 
-    def opens(t, i):
-        prev = F.get(a, i - 1)
-        return (ty(t) > 0) & (F.get(is_b, t) | (i == 0) | (ty(prev) != ty(t)))
 
-    def closes(t, i):
-        nxt = F.get(a, i + 1)
-        return (ty(t) > 0) & ((i == n - 1) | opens(nxt, i + 1) | (ty(nxt) == 0))
+def entity_ids(ids: str, labels: list[str]) -> Column:
+    """H6 chunking of a label-id array -> array<struct<type (index), start, end>>.
 
-    starts = F.filter(F.transform(a, lambda t, i: F.when(opens(t, i), i)), lambda x: x.isNotNull())
-    ends = F.filter(F.transform(a, lambda t, i: F.when(closes(t, i), i)), lambda x: x.isNotNull())
-    return F.zip_with(starts, ends, lambda s_, e_: F.struct(ty(F.get(a, s_)).alias("type"), s_.alias("start"), e_.alias("end")))
+    A token opens a chunk iff it is not ``O`` and (its prefix is ``B``, or it
+    is the first token, or the previous token is ``O`` or of another type).
+    A chunk ends at a non-``O`` token whose successor is missing, ``O`` or
+    opens a chunk; the k-th start pairs with the k-th end.  Integer
+    comparisons only (type index and B flag per label id).
+    """
+    _, type_of, is_b = _label_tables(labels)
+    a = F.col(ids) if isinstance(ids, str) else ids
+    ty = F.transform(a, lambda x: F.get(type_of, x))
+    b = F.transform(a, lambda x: F.get(is_b, x))
+    prev_ty = shifted(ty, 1, F.lit(-1))
+    opens = F.zip_with(F.arrays_zip(ty.alias("t"), b.alias("b")), prev_ty,
+                       lambda x, p: (x["t"] > 0) & (x["b"] | (p != x["t"])))
+    nxt = F.arrays_zip(ty.alias("t"), shifted(opens, -1, F.lit(True)).alias("o"), shifted(ty, -1, F.lit(0)).alias("n"))
+    closes = F.transform(nxt, lambda x: (x["t"] > 0) & (x["o"] | (x["n"] == 0)))
+    starts = F.filter(F.transform(F.arrays_zip(opens.alias("o"), ty.alias("t")),
+                                  lambda x, i: F.when(x["o"], F.struct(x["t"].alias("type"), i.alias("start")))),
+                      lambda x: x.isNotNull())
+    ends = F.filter(F.transform(closes, lambda c, i: F.when(c, i)), lambda x: x.isNotNull())
+    return F.zip_with(starts, ends, lambda st, e: F.struct(st["type"].alias("type"), st["start"].alias("start"), e.alias("end")))
 
 
 def ner_rows(preds: DataFrame, cell: list[str], labels: list[str], pred_arr: str = "pred_tags",
