@@ -68,7 +68,7 @@ def string_classification_grid(preds: DataFrame, cell: list[str], truth: str, pr
 
 def token_classification_grid(preds: DataFrame, cell: list[str], pred_arr: str, label_arr: str, digits: int = 6) -> DataFrame:
     """H5: masked token accuracy and macro F1, flattened over all rows of a cell."""
-    pairs = preds.select(*cell, F.inline(masked_pairs(pred_arr, label_arr)))
+    pairs = preds.select(*cell, F.inline_outer(masked_pairs(pred_arr, label_arr))).filter(F.col("l").isNotNull())
     return classification_grid(pairs, cell, "l", "p", digits)
 
 

@@ -80,7 +80,7 @@ def ordered_ids(rows: DataFrame, keys: list[str], pos: str = "pos", value: str =
 def encode_single(docs: DataFrame, vocab: DataFrame, text: str = "text", max_len: int = SINGLE_MAX_LEN) -> DataFrame:
     """<s> ids </s> truncated to ``max_len`` and padded, with attention
     mask size and the token count of the whole text."""
-    d = docs.select("id", F.posexplode(ws_tokens(F.lower(F.col(text)))).alias("pos", "token"))
+    d = docs.select("id", F.posexplode_outer(ws_tokens(F.lower(F.col(text)))).alias("pos", "token")).filter(F.col("pos").isNotNull())
     n_all = d.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"))
     kept = d.filter(F.col("pos") < max_len - 2)     # the encoder's max_length
     ids = ordered_ids(lookup_ids(kept, vocab, ["id", "pos"]), ["id"])
@@ -104,8 +104,9 @@ def pair_lengths(la: Column, lb: Column, budget: int) -> tuple[Column, Column]:
 def encode_pair(pairs: DataFrame, vocab: DataFrame, a: str = "premise", b: str = "hypothesis",
                 max_len: int = PAIR_MAX_LEN) -> DataFrame:
     """<s> A </s></s> B </s>, longest-first truncated, unpadded."""
-    ta = pairs.select("id", F.lit(0).alias("side"), F.posexplode(ws_tokens(F.lower(F.col(a)))).alias("pos", "token"))
-    tb = pairs.select("id", F.lit(1).alias("side"), F.posexplode(ws_tokens(F.lower(F.col(b)))).alias("pos", "token"))
+    ta = pairs.select("id", F.lit(0).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(a)))).alias("pos", "token"))
+    tb = pairs.select("id", F.lit(1).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(b)))).alias("pos", "token"))
+    ta, tb = ta.filter(F.col("pos").isNotNull()), tb.filter(F.col("pos").isNotNull())
     toks = ta.unionByName(tb)
     lens = pairs.select("id", F.size(ws_tokens(F.lower(F.col(a)))).alias("la"), F.size(ws_tokens(F.lower(F.col(b)))).alias("lb"))
     ka, kb = pair_lengths(F.col("la"), F.col("lb"), max_len - PAIR_SPECIALS)
@@ -124,9 +125,9 @@ def encode_pair(pairs: DataFrame, vocab: DataFrame, a: str = "premise", b: str =
 def encode_text2text(rows: DataFrame, vocab: DataFrame, source: str, target: str,
                      source_max: int = T2T_INPUT_MAX, target_max: int = T2T_TARGET_MAX) -> DataFrame:
     """D3: input ids and label ids, each truncated to its cap with </s> last."""
-    ts = rows.select("id", F.lit(0).alias("side"), F.posexplode(ws_tokens(F.lower(F.col(source)))).alias("pos", "token")) \
+    ts = rows.select("id", F.lit(0).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(source)))).alias("pos", "token")) \
         .filter(F.col("pos") < source_max - 1)
-    tt = rows.select("id", F.lit(1).alias("side"), F.posexplode(ws_tokens(F.lower(F.col(target)))).alias("pos", "token")) \
+    tt = rows.select("id", F.lit(1).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(target)))).alias("pos", "token")) \
         .filter(F.col("pos") < target_max - 1)
     t = lookup_ids(ts.unionByName(tt), vocab, ["id", "side", "pos"])
     g = t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "token_id"))).alias("sp"))
@@ -152,7 +153,8 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids") ->
 def context_token_rows(examples: DataFrame, keys: list[str], text: str = "context") -> DataFrame:
     """Token rows (keys..., tok, s, e) with code-point offsets ``[s, e)`` into
     the text, for any white space between tokens."""
-    pieces = examples.select(*keys, F.posexplode(F.split(F.col(text), _SPLIT_KEEP)).alias("pi", "piece"))
+    pieces = examples.select(*keys, F.posexplode_outer(F.split(F.col(text), _SPLIT_KEEP)).alias("pi", "piece")) \
+        .filter(F.col("pi").isNotNull())
     w = Window.partitionBy(*keys).orderBy("pi")
     pieces = pieces.select(*keys, "pi", "piece",
                            F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"),

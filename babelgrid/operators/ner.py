@@ -97,7 +97,8 @@ def _type_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
                                                    F.lit(tp).alias("tp"), F.lit(0).alias("c"), F.lit(0).alias("n")))
     tok = F.array(F.struct(F.lit(0).alias("type"), F.lit(0).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("tp"),
                            F.col("correct").alias("c"), F.col("tokens").alias("n")))
-    ex = rows.select(*cell, F.inline(F.concat(tagged(F.col("te"), 1, 0, 0), tagged(F.col("pe"), 0, 1, 0),
+    # inline_outer: never empty here (the token row), and no inferred filter
+    ex = rows.select(*cell, F.inline_outer(F.concat(tagged(F.col("te"), 1, 0, 0), tagged(F.col("pe"), 0, 1, 0),
                                               tagged(F.col("me"), 0, 0, 1), tok)))
     return ex.groupBy(*cell, "type").agg(*[F.sum(c).cast("long").alias(c) for c in ("t", "p", "tp", "c", "n")])
 

@@ -27,6 +27,11 @@ from .classification import argmax, classification_grid
 from .joins import join_dim
 
 
+# Generators below use the *_outer form plus an explicit null filter: the plain
+# form makes the optimizer infer ``size(array) > 0`` and push it below the
+# projection, which tokenizes every text twice.
+
+
 def doc_tokens(c) -> F.Column:
     """The Spark-native tokenizer of the engine: lower-case, split on white space."""
     return ws_tokens(F.lower(c if not isinstance(c, str) else F.col(c)))
@@ -45,7 +50,8 @@ class NaiveBayesModel:
 def train_naive_bayes(train: DataFrame, num_classes: int, persist: bool = True) -> NaiveBayesModel:
     """``train``: task, lang, label (0..K-1), text.  One model per (task, lang)."""
     k = range(num_classes)
-    toks = train.select("task", F.col("lang").alias("transfer_lang"), "label", F.explode(doc_tokens("text")).alias("token"))
+    toks = train.select("task", F.col("lang").alias("transfer_lang"), "label", F.explode_outer(doc_tokens("text")).alias("token")) \
+        .filter(F.col("token").isNotNull())
     counts = toks.groupBy("task", "transfer_lang", "token").agg(
         *[F.count(F.when(F.col("label") == i, F.lit(1))).alias(f"n{i}") for i in k])
     token_counts = counts.select("task", "transfer_lang", "token", F.array(*[F.col(f"n{i}") for i in k]).alias("counts"))
@@ -72,7 +78,7 @@ def predict_naive_bayes(model: NaiveBayesModel, test: DataFrame, langs: DataFram
     """
     k = range(model.num_classes)
     keys = ["task", "lang", "id", "label"]
-    tf = test.select(*keys, F.explode(doc_tokens("text")).alias("token")) \
+    tf = test.select(*keys, F.explode_outer(doc_tokens("text")).alias("token")).filter(F.col("token").isNotNull()) \
         .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     # frequent tokens are the hot join keys; only they are salted when the
     # weight table is too large to broadcast

@@ -16,7 +16,7 @@ from .sqlfx import UPOS_SQL, strip, with_fx, words
 
 def _vocab(spark, sf_dir):
     cls = fx.fx_cls(spark, sf_dir).filter(F.col("split") == "train")
-    return D.build_vocab(cls.select(F.explode(doc_tokens("text")).alias("token")))
+    return D.build_vocab(cls.select(F.explode_outer(doc_tokens("text")).alias("token")).filter(F.col("token").isNotNull()))
 
 
 _VOCAB_SQL = f"""

@@ -39,7 +39,7 @@ SELECT id, type, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM {
 def ner_entities(spark, sf_dir):
     """F4 input: gold entities (type, first token, last token) per sentence."""
     types = F.array(*[F.lit(t) for t in _label_tables(WIKIANN_LABELS)[0]])
-    n = fx.fx_ner(spark, sf_dir).select("id", F.inline(entity_ids("tags", WIKIANN_LABELS)))
+    n = fx.fx_ner(spark, sf_dir).select("id", F.inline_outer(entity_ids("tags", WIKIANN_LABELS))).filter(F.col("start").isNotNull())
     return n.select("id", F.element_at(types, F.col("type")).alias("type"), F.col("start").cast("int"), F.col("end").cast("int"))
 
 
