@@ -48,45 +48,46 @@ def shifted(a: Column, by: int, fill: Column) -> Column:
     return F.concat(F.slice(a, 2, rest), F.array(fill))
 
 
-def entity_ids(ids: str, labels: list[str]) -> Column:
-    """H6 chunking of a label-id array -> array<struct<type (index), start, end>>.
+def with_entities(df: DataFrame, ids: str, out: str, labels: list[str]) -> DataFrame:
+    """H6 chunking of a label-id array column into ``out``:
+    array<struct<type (index), start, end>>.
 
     A token opens a chunk iff it is not ``O`` and (its prefix is ``B``, or it
     is the first token, or the previous token is ``O`` or of another type).
     A chunk ends at a non-``O`` token whose successor is missing, ``O`` or
     opens a chunk; the k-th start pairs with the k-th end.  Integer
-    comparisons only (type index and B flag per label id).
+    comparisons only.  Each intermediate array is its own projection and is
+    referenced several times, so the optimizer keeps it as a column: array
+    lambdas are interpreted and would otherwise recompute repeated
+    subexpressions.
     """
     _, type_of, is_b = _label_tables(labels)
-    a = F.col(ids) if isinstance(ids, str) else ids
-    ty = F.transform(a, lambda x: F.get(type_of, x))
-    b = F.transform(a, lambda x: F.get(is_b, x))
-    prev_ty = shifted(ty, 1, F.lit(-1))
-    opens = F.zip_with(F.arrays_zip(ty.alias("t"), b.alias("b")), prev_ty,
-                       lambda x, p: (x["t"] > 0) & (x["b"] | (p != x["t"])))
-    nxt = F.arrays_zip(ty.alias("t"), shifted(opens, -1, F.lit(True)).alias("o"), shifted(ty, -1, F.lit(0)).alias("n"))
-    closes = F.transform(nxt, lambda x: (x["t"] > 0) & (x["o"] | (x["n"] == 0)))
-    starts = F.filter(F.transform(F.arrays_zip(opens.alias("o"), ty.alias("t")),
+    t, o, c = f"_{out}_ty", f"_{out}_op", f"_{out}_cl"
+    df = df.withColumn(t, F.transform(ids, lambda x: F.get(type_of, x)))
+    df = df.withColumn(o, F.zip_with(F.arrays_zip(F.col(t).alias("t"), F.transform(ids, lambda x: F.get(is_b, x)).alias("b")),
+                                     shifted(F.col(t), 1, F.lit(-1)),
+                                     lambda x, p: (x["t"] > 0) & (x["b"] | (p != x["t"]))))
+    nxt = F.arrays_zip(F.col(t).alias("t"), shifted(F.col(o), -1, F.lit(True)).alias("o"), shifted(F.col(t), -1, F.lit(0)).alias("n"))
+    df = df.withColumn(c, F.transform(nxt, lambda x: (x["t"] > 0) & (x["o"] | (x["n"] == 0))))
+    starts = F.filter(F.transform(F.arrays_zip(F.col(o).alias("o"), F.col(t).alias("t")),
                                   lambda x, i: F.when(x["o"], F.struct(x["t"].alias("type"), i.alias("start")))),
                       lambda x: x.isNotNull())
-    ends = F.filter(F.transform(closes, lambda c, i: F.when(c, i)), lambda x: x.isNotNull())
-    return F.zip_with(starts, ends, lambda st, e: F.struct(st["type"].alias("type"), st["start"].alias("start"), e.alias("end")))
+    ends = F.filter(F.transform(c, lambda v, i: F.when(v, i)), lambda x: x.isNotNull())
+    df = df.withColumn(out, F.zip_with(starts, ends, lambda st, e: F.struct(st["type"].alias("type"), st["start"].alias("start"), e.alias("end"))))
+    return df.drop(t, o, c)
 
 
 def ner_rows(preds: DataFrame, cell: list[str], labels: list[str], pred_arr: str = "pred_tags",
              label_arr: str = "labels") -> DataFrame:
     """Per sentence: kept (pred, label) pairs re-indexed after dropping the
-    ignore index, true / predicted entities (type index) and their matches.
-
-    Each step is its own projection so arrays are computed once and then
-    referenced as columns by the array lambdas.
-    """
+    ignore index, true / predicted entities (type index) and their matches."""
     z = preds.select(*cell, "id", masked_pairs(pred_arr, label_arr).alias("z"))
     z = z.select(*cell, "id",
                  F.size(F.filter("z", lambda s: s["p"] == s["l"])).alias("correct"), F.size("z").alias("tokens"),
                  F.transform("z", lambda s: s["l"]).alias("tl"), F.transform("z", lambda s: s["p"]).alias("pl"))
-    z = z.select(*cell, "id", "correct", "tokens", entity_ids("tl", labels).alias("te"), entity_ids("pl", labels).alias("pe"))
-    return z.withColumn("me", F.array_intersect("te", "pe"))
+    z = with_entities(z, "tl", "te", labels)
+    z = with_entities(z, "pl", "pe", labels)
+    return z.select(*cell, "id", "correct", "tokens", "te", "pe", F.array_intersect("te", "pe").alias("me"))
 
 
 def _type_counts(rows: DataFrame, cell: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.labels import WIKIANN_LABELS, decode_array
 from ..operators.classification import token_classification_grid
-from ..operators.ner import _label_tables, entity_ids, ner_grid, ner_rows, tag_string_grid, type_prf
+from ..operators.ner import _label_tables, ner_grid, with_entities, ner_rows, tag_string_grid, type_prf
 from .registry import register
 from .sqlfx import NER_LABELS_SQL, cls_metrics_sql, with_fx
 
@@ -39,7 +39,8 @@ SELECT id, type, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM {
 def ner_entities(spark, sf_dir):
     """F4 input: gold entities (type, first token, last token) per sentence."""
     types = F.array(*[F.lit(t) for t in _label_tables(WIKIANN_LABELS)[0]])
-    n = fx.fx_ner(spark, sf_dir).select("id", F.inline_outer(entity_ids("tags", WIKIANN_LABELS))).filter(F.col("start").isNotNull())
+    n = with_entities(fx.fx_ner(spark, sf_dir).select("id", "tags"), "tags", "ents", WIKIANN_LABELS)
+    n = n.select("id", F.inline_outer("ents")).filter(F.col("start").isNotNull())
     return n.select("id", F.element_at(types, F.col("type")).alias("type"), F.col("start").cast("int"), F.col("end").cast("int"))
 
 

@@ -8,7 +8,7 @@ from babelgrid.functions import labels as L
 from babelgrid.functions import text as TX
 from babelgrid.operators import features as D
 from babelgrid.operators.classification import argmax, classification_grid
-from babelgrid.operators.ner import entity_ids, ner_grid, tag_string_scores
+from babelgrid.operators.ner import ner_grid, tag_string_scores, with_entities
 from babelgrid.operators.qa import squad_grid, token_f1
 from babelgrid.operators.runs import best_checkpoint, early_stop, retain_checkpoints
 from babelgrid.operators.sampling import sample_exact_n
@@ -71,7 +71,7 @@ def test_ner_lenient_chunks(spark):
 
 def test_entity_ids(spark):
     df = spark.createDataFrame([([1, 2, 0, 6, 6, 3, 2],)], "a array<int>")
-    got = df.select(entity_ids("a", L.WIKIANN_LABELS).alias("e")).first()["e"]
+    got = with_entities(df, "a", "e", L.WIKIANN_LABELS).first()["e"]
     assert [(e["type"], e["start"], e["end"]) for e in got] == [(1, 0, 1), (3, 3, 4), (2, 5, 5), (1, 6, 6)]
 
 

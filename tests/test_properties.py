@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from babelgrid.functions import labels as L
 from babelgrid.operators.features import pair_lengths
-from babelgrid.operators.ner import entity_ids
+from babelgrid.operators.ner import with_entities
 
 
 def py_chunks(tags):
@@ -33,7 +33,7 @@ def test_chunks_match_loop(spark):
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a array<int>")
     types = ["PER", "ORG", "LOC"]
     got = {r["i"]: [(types[e["type"] - 1], e["start"], e["end"]) for e in r["e"]]
-           for r in df.select("i", entity_ids("a", L.WIKIANN_LABELS).alias("e")).collect()}
+           for r in with_entities(df, "a", "e", L.WIKIANN_LABELS).select("i", "e").collect()}
     for i, r in enumerate(rows):
         assert got[i] == py_chunks([L.WIKIANN_LABELS[x] for x in r]), (i, r)
 
