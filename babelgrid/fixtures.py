@@ -10,7 +10,7 @@ texts, so the work grows with the data; each rule has a SQL twin in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.labels import IGNORE_INDEX, UPOS_DEFAULT, UPOS_LABELS, WIKIANN_LABELS, encode_or_default
@@ -292,9 +292,10 @@ def fx_pos_pred(spark: SparkSession, sf_dir: str, pos: DataFrame | None = None)
 def fx_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive conversation turns as premise / hypothesis pairs."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = c.withColumn("next_turn", F.lead("turn").over(w)).withColumn("next_text", F.lead("text").over(w))
-    c = c.filter(F.col("next_turn") == F.col("turn") + 1)
+    # equi-join on the unique (conv_id, turn) key: a very long conversation is
+    # spread over tasks like any other rows (a window per conversation is not)
+    nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    c = c.join(nxt, ["conv_id", "turn"])
     return c.select(
         F.lit("pair").alias("task"), F.lit("und").alias("lang"), F.lit("test").alias("split"),
         F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("id"),
