@@ -64,9 +64,9 @@ def train_naive_bayes(train: DataFrame, num_classes: int, persist: bool = True)
     st = per_lang.join(docs, ["task", "transfer_lang"])
     logprior = F.array(*[F.when(F.col(f"d{i}") > 0, F.log(F.col(f"d{i}") / F.col("nd"))) for i in k])
     logden = F.array(*[F.log(F.col(f"t{i}") + F.col("v")) for i in k])
+    # one row per (task, language): small, computed from the materialised
+    # counts; the size-checked join persists it
     class_stats = st.select("task", "transfer_lang", logprior.alias("logprior"), logden.alias("logden"))
-    if persist:
-        class_stats = materialize(class_stats, "nb_class_stats")
     return NaiveBayesModel(token_counts, class_stats, num_classes)
 
 
