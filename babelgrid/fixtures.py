@@ -18,6 +18,8 @@ from .functions.text import WS_CLASS, ws_tokens
 from .operators.joins import join_dim
 from .operators.ranking import bucketed_row_number
 
+_NOT_WS = "[^" + WS_CLASS[1:-1] + "]"
+
 # --- fixed values of the fixture rules --------------------------------------
 SEED = "42"
 MODEL = "fixture"
@@ -121,8 +123,10 @@ def fx_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extractive QA examples over whole documents with at least 12 words."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    w = d.select("doc_id", "lang", ws_tokens("text").alias("words"))
-    w = w.filter(F.size("words") >= QA_MIN_WORDS)
+    # at least 12 words, tested by an anchored regex before tokenizing (a size
+    # filter on the words would be pushed below and tokenize twice)
+    enough = "^" + WS_CLASS + "*(?:" + _NOT_WS + "+" + WS_CLASS + "+){" + str(QA_MIN_WORDS - 1) + "}" + _NOT_WS
+    w = d.filter(F.col("text").rlike(enough)).select("doc_id", "lang", ws_tokens("text").alias("words"))
     n = F.size("words")
     a = F.pmod(F.col("doc_id"), n - 3).cast("int")
     ans = F.array_join(F.slice("words", a + 1, 3), " ")
@@ -180,16 +184,18 @@ def _sentence_langs(spark: SparkSession, sf_dir: str, task: str) -> DataFrame:
     documents: a document yields a sentence iff it has a non-space character.
     A cheap column scan, so the size check does not recompute the sentences."""
     d = read(spark, sf_dir, "documents").select("lang", "text")
-    d = d.filter(F.col("text").rlike("[^" + WS_CLASS[1:-1] + "]"))
+    d = d.filter(F.col("text").rlike(_NOT_WS))
     return d.select(F.lit(task).alias("task"), F.col("lang").alias("transfer_lang")).distinct()
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every document as a whitespace-tokenised sentence."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    lines = d.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "line_text"))
-    s = lines.select("doc_id", "lang", "line", ws_tokens("line_text").alias("tokens"))
-    return s.filter(F.size("tokens") > 0)
+    lines = d.select("doc_id", "lang", F.posexplode_outer(F.split("text", "\n")).alias("line", "line_text"))
+    # "has a token" as a regex test on the line, filtered before tokenizing
+    # (a size filter on the tokens would be pushed below and tokenize twice)
+    lines = lines.filter(F.col("line_text").rlike(_NOT_WS))
+    return lines.select("doc_id", "lang", "line", ws_tokens("line_text").alias("tokens"))
 
 
 def _word_type(w: Column) -> Column:
