@@ -54,9 +54,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     runs on every core.  With enough splits this is a no-op.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
     key = TABLE_KEYS.get(name)
-    if key and df.rdd.getNumPartitions() < cores:
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session): keep the scan as is
+        return df
+    if key and splits < cores:
         df = df.repartition(cores, key)
     return df
 

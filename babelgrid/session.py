@@ -50,15 +50,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting is given; only when it is unset (local tests) a
     private folder is created and registered.
     """
-    sc = spark.sparkContext
-    d = sc.getCheckpointDir()
-    if not d:
-        d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: only the session conf is visible
+        sc = None
+    if sc is not None:
+        d = sc.getCheckpointDir() or d or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="babelgrid-ckpt-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+        if sc is not None:
+            sc.setCheckpointDir(d)
+        else:
+            spark.conf.set("spark.checkpoint.dir", d)
+    return d
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
