@@ -102,3 +102,14 @@ def char_slice(text, start, end) -> Column:
 def prefix_before(c, sep: str) -> Column:
     """C11: the part before the first ``sep`` (``s.split(sep, 1)[0]``)."""
     return F.substring_index(_c(c), sep, 1)
+
+
+def language_filter(id_col, lang: str, mode: str = "equal") -> Column:
+    """B1: rows of one language by the ``<lang>-...`` id.  ``equal`` compares
+    the extracted prefix; ``prefix`` is the plain ``startswith`` test, under
+    which ``en`` also matches ``english-...`` ids."""
+    if mode == "prefix":
+        return _c(id_col).startswith(lang)
+    if mode == "equal":
+        return prefix_before(id_col, "-") == F.lit(lang)
+    raise ValueError(f"unknown language match mode {mode}")

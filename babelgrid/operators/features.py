@@ -64,10 +64,19 @@ def build_vocab(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     return ranked.select("token", "cnt", (F.lit(FIRST_WORD_ID) + F.col("off") + F.row_number().over(inner) - 1).cast("int").alias("token_id"))
 
 
+HOT_TOKENS = 1000
+
+
+def _hot(vocab: DataFrame, col: str, alias: str) -> DataFrame:
+    """The most frequent vocabulary entries: the join keys that can be hot."""
+    return vocab.orderBy(F.col("cnt").desc()).limit(HOT_TOKENS).select(F.col(col).alias(alias))
+
+
 def lookup_ids(rows: DataFrame, vocab: DataFrame, keys: list[str], token_col: str = "token") -> DataFrame:
-    """Token rows -> token ids (unknown -> <unk>); a hot token is salted."""
+    """Token rows -> token ids (unknown -> <unk>).  Broadcast when the
+    vocabulary is small; otherwise a shuffle join salting the frequent tokens."""
     v = vocab.select(F.col("token").alias(token_col), "token_id")
-    j = join_dim(rows, v, [token_col], how="left", salt_by=keys)
+    j = join_dim(rows, v, [token_col], how="left", salt_by=keys, hot=_hot(vocab, "token", token_col))
     return j.withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID)))
 
 
@@ -142,7 +151,7 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids") ->
     """Ids -> text, specials (pad, bos, eos, unk) skipped, in order."""
     e = encoded.select("id", F.posexplode(ids).alias("pos", "token_id")).filter(F.col("token_id") >= FIRST_WORD_ID)
     v = vocab.select("token_id", "token")
-    j = join_dim(e, v, ["token_id"], salt_by=["id", "pos"])
+    j = join_dim(e, v, ["token_id"], salt_by=["id", "pos"], hot=_hot(vocab, "token_id", "token_id"))
     g = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("pt"))
     g = encoded.select("id").join(g, "id", "left")
     return g.select("id", F.coalesce(F.array_join(F.transform("pt", lambda s: s["token"]), " "), F.lit("")).alias("text"))

@@ -71,7 +71,13 @@ def label_dim(spark, sf_dir):
 @register("lang_prefix_filter", with_fx("SELECT id, lang FROM fx_qa WHERE starts_with(id, 'en')", "fx_qa"))
 def lang_prefix_filter(spark, sf_dir):
     """B1: the reference's prefix test (an id of ``english-...`` would pass too)."""
-    return fx.fx_qa(spark, sf_dir).filter(F.col("id").startswith("en")).select("id", "lang")
+    return fx.fx_qa(spark, sf_dir).filter(T.language_filter("id", "en", "prefix")).select("id", "lang")
+
+
+@register("lang_equal_filter", with_fx("SELECT id, lang FROM fx_qa WHERE split_part(id, '-', 1) = 'de'", "fx_qa"))
+def lang_equal_filter(spark, sf_dir):
+    """B1 (default form): the language extracted from the id equals the one asked for."""
+    return fx.fx_qa(spark, sf_dir).filter(T.language_filter("id", "de")).select("id", "lang")
 
 
 @register("lang_extract", with_fx("""

@@ -39,3 +39,17 @@ def test_block_running_max_equals_window(spark):
     got2 = block_running_max(df, ["g"], "k", "m", 16, "best", include_current=True)
     want2 = df.withColumn("best", F.max("m").over(Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
     assert _rows(got2, ["g", "k", "best"]) == _rows(want2, ["g", "k", "best"])
+
+
+def test_vocabulary_lookup_salted_path_matches_broadcast(spark, small_dir, monkeypatch):
+    """Force the shuffle (salted hot-token) path of the vocabulary joins."""
+    from babelgrid.operators import features as D
+    from babelgrid.operators import joins as J
+    from babelgrid.plans import QUERIES
+    want = sorted(QUERIES["decode_ids"](spark, small_dir).collect())
+    orig = J.join_dim
+
+    def forced(fact, dim, on, how="inner", max_rows=0, buckets=4, salt_by=None, hot=None):
+        return orig(fact, dim, on, how, 0, buckets, salt_by, hot)
+    monkeypatch.setattr(D, "join_dim", forced)
+    assert sorted(QUERIES["decode_ids"](spark, small_dir).collect()) == want
