@@ -53,3 +53,19 @@ def test_vocabulary_lookup_salted_path_matches_broadcast(spark, small_dir, monke
         return orig(fact, dim, on, how, 0, buckets, salt_by, hot)
     monkeypatch.setattr(D, "join_dim", forced)
     assert sorted(QUERIES["decode_ids"](spark, small_dir).collect()) == want
+
+
+def test_naive_bayes_salted_path_matches_broadcast(spark, small_dir, monkeypatch):
+    """Force the model tables and language dimension through shuffle joins."""
+    from babelgrid import fixtures as fx
+    from babelgrid.operators import joins as J
+    from babelgrid.operators import transfer as TR
+    from babelgrid.plans import QUERIES
+    want = sorted(QUERIES["transfer_grid_nb"](spark, small_dir).collect())
+    orig = J.join_dim
+
+    def forced(fact, dim, on, how="inner", max_rows=0, buckets=4, salt_by=None, hot=None):
+        return orig(fact, dim, on, how, 0, buckets, salt_by, hot)
+    monkeypatch.setattr(TR, "join_dim", forced)
+    monkeypatch.setattr(fx, "join_dim", forced)
+    assert sorted(QUERIES["transfer_grid_nb"](spark, small_dir).collect()) == want
