@@ -34,7 +34,7 @@ def early_stop(runs: DataFrame, patience: int = PATIENCE, eval_every: int = 1, b
     ev = block_running_max(ev, ["run"], "k", "improved_k", block, "last_improved", include_current=True)
     stops = ev.filter(F.col("k") - F.col("last_improved") >= patience)
     stop = stops.groupBy("run").agg(F.min("step").alias("stop_step"))
-    last = ev.groupBy("run").agg(F.max("step").alias("last_step"))
+    last = runs.filter(F.pmod(F.col("step"), F.lit(eval_every)) == 0).groupBy("run").agg(F.max("step").alias("last_step"))
     return last.join(stop, "run", "left").select(
         "run", F.coalesce("stop_step", "last_step").alias("stop_step"), F.col("stop_step").isNotNull().cast("int").alias("stopped"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators.runs import KEEP_CHECKPOINTS, PATIENCE, best_checkpoint, early_stop, retain_checkpoints
 from ..operators.sampling import SEED, sample_exact_n, seeded_shuffle
+from ..session import materialize
 from .registry import register
 from .sqlfx import with_fx
 
@@ -86,7 +87,9 @@ best AS (SELECT run, step AS best_step, metric AS best_metric FROM (
 
 
 def _runs(spark, sf_dir):
-    r = fx.fx_runs(spark, sf_dir)
+    # the step-numbered evaluation log is read by several branches of each
+    # plan (stop step, best step, retention): written once, read back
+    r = materialize(fx.fx_runs(spark, sf_dir), "fx_runs")
     stops = early_stop(r)
     return r, stops, best_checkpoint(r, stops)
 
