@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import decode_array, masked_pairs
+from ..functions.labels import IGNORE_INDEX, decode_array
 from ..functions.text import strip, tag_target, ws_tokens
 from .qa import multiset_overlap
 
@@ -35,6 +35,13 @@ def _label_tables(labels: list[str]) -> tuple[list[str], Column, Column]:
     return types, type_of, is_b
 
 
+def _codes(labels: list[str]) -> Column:
+    """Per label id one integer: 2 * type index + (1 if ``B-``); ``O`` is 0."""
+    types, _, _ = _label_tables(labels)
+    return F.array(*[F.lit(0 if lab == "O" else 2 * (types.index(lab[2:]) + 1) + int(lab.startswith("B-")))
+                     for lab in labels])
+
+
 def shifted(a: Column, by: int, fill: Column) -> Column:
     """``a`` moved ``by`` places: by=+1 gives the previous element at each
     position (``fill`` first), by=-1 the next one (``fill`` last).
@@ -54,37 +61,39 @@ def with_entities(df: DataFrame, ids: str, out: str, labels: list[str]) -> DataF
 
     A token opens a chunk iff it is not ``O`` and (its prefix is ``B``, or it
     is the first token, or the previous token is ``O`` or of another type).
-    A chunk ends at a non-``O`` token whose successor is missing, ``O`` or
-    opens a chunk; the k-th start pairs with the k-th end.  Integer
-    comparisons only.  Each intermediate array is its own projection and is
+    A chunk ends at a non-``O`` token whose successor does not continue it;
+    the k-th start pairs with the k-th end.  Every token is one integer code
+    (2 * type + B flag), so each pass is an integer lambda; structs are built
+    per entity only.  Each intermediate array is its own projection and is
     referenced several times, so the optimizer keeps it as a column: array
     lambdas are interpreted and would otherwise recompute repeated
     subexpressions.
     """
-    _, type_of, is_b = _label_tables(labels)
-    t, o, c = f"_{out}_ty", f"_{out}_op", f"_{out}_cl"
-    df = df.withColumn(t, F.transform(ids, lambda x: F.get(type_of, x)))
-    df = df.withColumn(o, F.zip_with(F.arrays_zip(F.col(t).alias("t"), F.transform(ids, lambda x: F.get(is_b, x)).alias("b")),
-                                     shifted(F.col(t), 1, F.lit(-1)),
-                                     lambda x, p: (x["t"] > 0) & (x["b"] | (p != x["t"]))))
-    nxt = F.arrays_zip(F.col(t).alias("t"), shifted(F.col(o), -1, F.lit(True)).alias("o"), shifted(F.col(t), -1, F.lit(0)).alias("n"))
-    df = df.withColumn(c, F.transform(nxt, lambda x: (x["t"] > 0) & (x["o"] | (x["n"] == 0))))
-    starts = F.filter(F.transform(F.arrays_zip(F.col(o).alias("o"), F.col(t).alias("t")),
-                                  lambda x, i: F.when(x["o"], F.struct(x["t"].alias("type"), i.alias("start")))),
-                      lambda x: x.isNotNull())
-    ends = F.filter(F.transform(c, lambda v, i: F.when(v, i)), lambda x: x.isNotNull())
-    df = df.withColumn(out, F.zip_with(starts, ends, lambda st, e: F.struct(st["type"].alias("type"), st["start"].alias("start"), e.alias("end"))))
-    return df.drop(t, o, c)
+    codes = _codes(labels)
+    c, o, k = f"_{out}_c", f"_{out}_op", f"_{out}_cl"
+    df = df.withColumn(c, F.transform(ids, lambda x: F.get(codes, x)))
+    # opens: non-O and (B, first token, or previous of another type; O has type 0)
+    df = df.withColumn(o, F.zip_with(F.col(c), shifted(F.col(c), 1, F.lit(-2)),
+                                     lambda x, p: (x > 1) & ((x % 2 == 1) | (F.floor(p / 2) != F.floor(x / 2)))))
+    # the next token continues the chunk: it is not O and does not open one
+    cont = F.zip_with(shifted(F.col(o), -1, F.lit(True)), shifted(F.col(c), -1, F.lit(0)), lambda no, nc: ~no & (nc > 1))
+    df = df.withColumn(k, F.zip_with(F.col(c), cont, lambda x, nx: (x > 1) & ~nx))
+    starts = F.filter(F.transform(o, lambda v, i: F.when(v, i)), lambda x: x.isNotNull())
+    ends = F.filter(F.transform(k, lambda v, i: F.when(v, i)), lambda x: x.isNotNull())
+    df = df.withColumn(out, F.zip_with(starts, ends, lambda st, e: F.struct(
+        F.floor(F.get(F.col(c), st) / 2).cast("int").alias("type"), st.alias("start"), e.alias("end"))))
+    return df.drop(c, o, k)
 
 
 def ner_rows(preds: DataFrame, cell: list[str], labels: list[str], pred_arr: str = "pred_tags",
              label_arr: str = "labels") -> DataFrame:
-    """Per sentence: kept (pred, label) pairs re-indexed after dropping the
-    ignore index, true / predicted entities (type index) and their matches."""
-    z = preds.select(*cell, "id", masked_pairs(pred_arr, label_arr).alias("z"))
-    z = z.select(*cell, "id",
-                 F.size(F.filter("z", lambda s: s["p"] == s["l"])).alias("correct"), F.size("z").alias("tokens"),
-                 F.transform("z", lambda s: s["l"]).alias("tl"), F.transform("z", lambda s: s["p"]).alias("pl"))
+    """Per sentence: (pred, label) pairs left after dropping the ignore index
+    (re-indexed), true / predicted entities (type index) and their matches."""
+    lab = F.col(label_arr)
+    z = preds.select(*cell, "id", F.filter(label_arr, lambda x: x != F.lit(IGNORE_INDEX)).alias("tl"),
+                     F.filter(pred_arr, lambda p, i: F.get(lab, i) != F.lit(IGNORE_INDEX)).alias("pl"))
+    z = z.withColumn("correct", F.size(F.filter(F.zip_with("tl", "pl", lambda a, b: a == b), lambda x: x))) \
+         .withColumn("tokens", F.size("tl"))
     z = with_entities(z, "tl", "te", labels)
     z = with_entities(z, "pl", "pe", labels)
     return z.select(*cell, "id", "correct", "tokens", "te", "pe", F.array_intersect("te", "pe").alias("me"))
