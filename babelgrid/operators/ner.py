@@ -163,12 +163,26 @@ def tag_string_scores(gold: Column, pred: Column, g: Column, p: Column) -> tuple
 
 
 def tag_string_grid(preds: DataFrame, cell: list[str], labels: list[str], digits: int = 6) -> DataFrame:
-    """Generative NER: target strings from gold and predicted tag ids (C6),
-    then mean exact match and mean tag-multiset F1 per cell."""
-    s = preds.select(*cell, tag_target(decode_array("tags", labels)).alias("gold"),
-                     tag_target(decode_array("pred_tags", labels)).alias("pred"))
-    s = s.select(*cell, "gold", "pred", ws_tokens("gold").alias("gt"), ws_tokens("pred").alias("pt"))
-    em, f1 = tag_string_scores(F.col("gold"), F.col("pred"), F.col("gt"), F.col("pt"))
-    g = s.select(*cell, em.alias("em"), f1.alias("f1")).groupBy(*cell).agg(
+    """Generative NER: per row the target strings of gold and predicted tag ids
+    (C6: non-``O`` tag names joined by a space, ``None`` when there are none),
+    then mean exact match (H14) and mean tag-multiset F1 (H13) per cell.
+
+    Tag names hold no white space, so the white-space tokens of such a string
+    are exactly its non-``O`` tags (or ``None``): the scores are computed on
+    those id arrays directly, without building and re-splitting strings
+    (``tag_string_scores`` is the string form for decoded generations).
+    """
+    o = labels.index("O")
+    none = F.array(F.lit(-1))
+    s = preds.select(*cell, F.filter("tags", lambda x: x != o).alias("g0"), F.filter("pred_tags", lambda x: x != o).alias("p0"))
+    s = s.select(*cell, F.when(F.size("g0") == 0, none).otherwise(F.col("g0")).alias("gt"),
+                 F.when(F.size("p0") == 0, none).otherwise(F.col("p0")).alias("pt"))
+    p, g = F.col("pt"), F.col("gt")
+    tp = multiset_overlap(p, g)
+    prec = tp / F.size(p)
+    rec = tp / F.size(g)
+    f1 = F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0))
+    em = (p == g).cast("int")
+    g2 = s.select(*cell, em.alias("em"), f1.alias("f1")).groupBy(*cell).agg(
         F.avg("em").alias("exact_match"), F.avg("f1").alias("f1_score"))
-    return g.select(*cell, F.round("exact_match", digits).alias("exact_match"), F.round("f1_score", digits).alias("f1_score"))
+    return g2.select(*cell, F.round("exact_match", digits).alias("exact_match"), F.round("f1_score", digits).alias("f1_score"))
