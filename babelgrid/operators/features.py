@@ -38,9 +38,6 @@ def _not_ws() -> str:
     return "[^" + WS_CLASS[1:-1] + "]"
 
 
-# Split keeping the white-space runs as pieces: boundaries between a
-# white-space and a non-white-space character.
-_SPLIT_KEEP = f"(?<={WS_CLASS})(?={_not_ws()})|(?<={_not_ws()})(?={WS_CLASS})"
 
 
 # --- vocabulary ---------------------------------------------------------------------
@@ -161,16 +158,21 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids") ->
 
 def context_token_rows(examples: DataFrame, keys: list[str], text: str = "context") -> DataFrame:
     """Token rows (keys..., tok, s, e) with code-point offsets ``[s, e)`` into
-    the text, for any white space between tokens."""
-    pieces = examples.select(*keys, F.posexplode_outer(F.split(F.col(text), _SPLIT_KEEP)).alias("pi", "piece")) \
-        .filter(F.col("pi").isNotNull())
-    w = Window.partitionBy(*keys).orderBy("pi")
-    pieces = pieces.select(*keys, "pi", "piece",
-                           F.coalesce(F.sum(F.length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"),
-                           F.sum(F.when(F.col("piece").rlike("^" + _not_ws()), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("ntok"))
-    toks = pieces.filter(F.col("piece").rlike("^" + _not_ws()))
-    return toks.select(*keys, (F.col("ntok") - 1).cast("int").alias("tok"), F.col("s").cast("int").alias("s"),
-                       (F.col("s") + F.length("piece")).cast("int").alias("e"))
+    the text, for any white space between tokens.
+
+    Each token is matched with the white space before it; only the two
+    lengths per token travel through the shuffle that orders a text's tokens
+    for the running sum of lengths (no strings)."""
+    pat = f"({WS_CLASS}*)({_not_ws()}+)"
+    lead = F.regexp_extract_all(F.col(text), F.lit(pat), 1)
+    word = F.regexp_extract_all(F.col(text), F.lit(pat), 2)
+    lens = F.zip_with(lead, word, lambda a, b: F.struct(F.length(a).alias("lead"), F.length(b).alias("wl")))
+    rows = examples.select(*keys, F.posexplode_outer(lens).alias("tok", "x")).filter(F.col("tok").isNotNull())
+    rows = rows.select(*keys, "tok", F.col("x.lead").alias("lead"), F.col("x.wl").alias("wl"))
+    w = Window.partitionBy(*keys).orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col("lead") + F.col("wl")).over(w), F.lit(0))
+    rows = rows.withColumn("s", (before + F.col("lead")).cast("int"))
+    return rows.select(*keys, F.col("tok").cast("int").alias("tok"), "s", (F.col("s") + F.col("wl")).cast("int").alias("e"))
 
 
 def _window_frame(examples: DataFrame, max_len: int, stride: int) -> DataFrame:
