@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import IGNORE_INDEX, decode_array
-from ..functions.text import strip, tag_target, ws_tokens
+from ..functions.labels import IGNORE_INDEX
+from ..functions.text import strip
 from .qa import multiset_overlap
 
 
@@ -20,10 +20,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _etype(t: Column) -> Column:
-    return F.substring(t, 3, 1 << 20)
-
-
 def _label_tables(labels: list[str]) -> tuple[list[str], Column, Column]:
     """Entity type names, and per label id: type index (0 = ``O``) and B flag."""
     types: list[str] = []

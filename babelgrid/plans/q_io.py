@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from .. import fixtures as fx
 from ..operators.classification import argmax, classification_grid
-from ..operators.qa import last_prediction, squad_grid
+from ..operators.qa import last_prediction
 from ..operators.scoring import compute_metrics, linear_model, score
 from ..session import materialize
 from ..sources import io

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.labels import WIKIANN_LABELS, decode_array
+from ..functions.labels import WIKIANN_LABELS
 from ..operators.classification import token_classification_grid
 from ..operators.ner import _label_tables, ner_grid, with_entities, ner_rows, tag_string_grid, type_prf
 from .registry import register
