@@ -53,3 +53,11 @@ def seeded_shuffle(df: DataFrame, group: list[str], key: str, copy: str = "copy"
     d = df.withColumn("shuffle_key", hash_key(F.col(key), seed, F.col(copy)))
     b = F.substring("shuffle_key", 1, buckets_chars).alias("_hb")
     return bucketed_row_number(d, group, [b], [F.col("_hb")], [F.col("shuffle_key"), F.col(key), F.col(copy)], "shuffle_rank")
+
+
+def cap_per_group(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``.  The literal bound
+    lets Spark plan a map-side WindowGroupLimit, so each task ships at most
+    ``n`` rows per group into the shuffle."""
+    w = Window.partitionBy(*group).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")

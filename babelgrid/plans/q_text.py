@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import labels as L
 from ..functions import text as T
+from ..operators.sampling import cap_per_group
 from .registry import register
 from .sqlfx import NER_LABELS_SQL, UPOS_SQL, strip, with_fx, words
 
@@ -104,8 +105,7 @@ def first_n_cap(spark, sf_dir):
     """B8 per language: ``row_number() <= n`` is planned with a map-side
     WindowGroupLimit, so a huge language ships at most n rows per task."""
     q = fx.fx_qa(spark, sf_dir).select("lang", "id", "doc_id")
-    w = Window.partitionBy("lang").orderBy("doc_id")
-    return q.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= FIRST_N).select("lang", "id")
+    return cap_per_group(q, ["lang"], ["doc_id"], FIRST_N).select("lang", "id")
 
 
 # --- B9 / B10 -------------------------------------------------------------------------

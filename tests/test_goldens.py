@@ -134,3 +134,11 @@ def test_label_encoders(spark):
 def test_argmax_first_on_ties(spark):
     df = spark.createDataFrame([([1.0, 3.0, 3.0],)], "x array<double>")
     assert df.select(argmax("x")).first()[0] == 1
+
+
+def test_cap_per_group(spark):
+    from babelgrid.operators.sampling import cap_per_group
+    df = spark.createDataFrame([("a" if i % 3 else "b", i) for i in range(40)], "lang string, k int")
+    got = sorted((r["lang"], r["k"]) for r in cap_per_group(df, ["lang"], ["k"], 5).collect())
+    want = sorted([("a", k) for k in range(40) if k % 3][:5] + [("b", k) for k in range(40) if k % 3 == 0][:5])
+    assert got == want
