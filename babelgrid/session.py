@@ -9,6 +9,7 @@ checkpoint folder.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -47,8 +48,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting is given; only when it is unset (local tests) a
-    private folder is created and registered.
+    Unset is an error on a cluster: a folder of the driver's machine would not
+    be seen by the executors.  Only a ``local`` master, where driver and
+    executors are one process, gets a private folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -56,16 +58,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001 - Spark Connect: only the session conf is visible
         sc = None
     if sc is not None:
-        d = sc.getCheckpointDir() or d or sc.getConf().get("spark.checkpoint.dir", None)
+        d = d or sc.getCheckpointDir()
     if not d:
+        if sc is None or not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="babelgrid-ckpt-")
-        if sc is not None:
-            sc.setCheckpointDir(d)
-        else:
-            spark.conf.set("spark.checkpoint.dir", d)
+        sc.setCheckpointDir(d)
     return d
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; all of an application's scratch
+    paths lie in one folder, which ``drop_scratch`` deletes."""
+    return "/".join([_scratch_root(spark), f"{name}-{uuid.uuid4().hex}"])
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    app = spark.conf.get("spark.app.id", None) or "app"
+    return "/".join([checkpoint_dir(spark).rstrip("/"), "babelgrid", app])
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete every scratch table of this application (call when its results are consumed)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -74,6 +92,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     size statistics for the next join.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import checkpoint_dir
+from ..session import scratch_path  # noqa: F401 - the sinks' default target
 
 # Pattern of the reference's per-file convention ``<lang>_<split>.csv``.
 LANG_SPLIT_FILE = r"([^/]+)_([A-Za-z0-9]+)\.csv$"
@@ -26,11 +26,6 @@ LANG_SPLIT_DIRS = r"lang=([^/]+)/split=([^/]+)/"
 FILES_PER_PARTITION = 4
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "io", f"{name}-{uuid.uuid4().hex}")
-
-
 def read_csv_folder(spark: SparkSession, folder: str, schema: StructType | None = None,
                     glob: str = "*.csv", recursive: bool = True, multiline: bool = False) -> DataFrame:
     """A1 + A2: CSV files with a header under ``folder`` (glob on the file
