@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing
+from . import decontamination, line_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -17,6 +17,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents: one row per document and benchmark item."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.overlaps(docs, _table(spark, sf_dir, "benchmark"), ["doc_id"])
+
+
+QUERIES["op1_decontaminate"] = op1_decontaminate
+ORACLE["op1_decontaminate"] = decontamination.SQL
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     taken = (F.size("draws") * F.col("size")).cast("long")
