@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_rules, simhash
+from . import decontamination, line_dedup, mixing, quality_rules, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,6 +54,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op6_quality_rules"] = op6_quality_rules
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return warc.page_records(warc.write_archives(warc.plan_records(pages)))
+
+
+QUERIES["op7_warc"] = op7_warc
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
