@@ -37,8 +37,8 @@ def fit_sparse(rows: list[np.ndarray], value: np.ndarray, y: np.ndarray, l2: flo
                ) -> tuple[np.ndarray, float]:
     """Adam on rows of feature numbers; feature j has the value ``value[j]`` where present."""
     sizes = np.array([len(r) for r in rows])
-    cols = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(rows)), sizes)
+    cols = np.concatenate(rows) if len(rows) else np.zeros(0, np.int32)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
     w = np.zeros(len(value) + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):

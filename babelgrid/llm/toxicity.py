@@ -27,7 +27,7 @@ from .linear import fit_sparse, sigmoid
 ORDERS = (3, 4, 5)
 BITS = 18
 #: Labelled rows that the classifier is fitted on, at most (by expectation).
-MAX_TRAIN = 30_000
+MAX_TRAIN = 12_000
 #: Features kept, and the least number of training texts that have one.
 FEATURES = 4096
 MIN_TEXTS = 4
@@ -125,18 +125,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     top = top.where(F.col("chi") >= MIN_CHI).orderBy(F.col("chi").desc(), "f").limit(n_features).toPandas()
     keep = empty > 0
     keep[top["f"]] = True
-    number = np.zeros(1 << BITS, np.int64)
+    number = np.zeros(1 << BITS, np.int32)
     number[top["f"]] = np.arange(len(top))
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["f"] = [number[features(t, keep)].tolist() for t in pdf["text"]]
+            pdf["f"] = [number[features(t, keep)].tobytes() for t in pdf["text"]]
             yield pdf[["k", "y", "f"]]
 
     of_key = dict(d.dtypes)["k"]
-    x = d.mapInPandas(short, f"k {of_key}, y int, f array<long>").toPandas().sort_values("k", kind="stable")
+    x = d.mapInPandas(short, f"k {of_key}, y int, f binary").toPandas().sort_values("k", kind="stable")
     ratio = top["r"].to_numpy()
-    w, bias = fit_sparse([np.asarray(r, np.int64) for r in x["f"]], ratio, x["y"].to_numpy(float),
+    w, bias = fit_sparse([np.frombuffer(r, np.int32) for r in x["f"]], ratio, x["y"].to_numpy(float),
                          L2_ROWS / max(1, len(x)))
     weight = empty.copy()
     weight[top["f"]] = w * ratio
