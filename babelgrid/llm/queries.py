@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_rules, simhash, toxicity, warc
+from . import cotraining, decontamination, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_toxicity"] = op3_toxicity
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = cotraining.train(docs, _table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model).select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
+QUERIES["op4_quality_classifier"] = op4_quality_classifier
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id", "component_size")
@@ -73,6 +82,25 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op7_warc"] = op7_warc
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits of it: some
+    letters replaced at a quarter, words inserted in the middle, the end cut."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    quarter, half = F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int")
+    edits = F.array(*[F.struct(a.alias("start"), b.alias("stop"), F.lit(new).alias("text")) for a, b, new in (
+        (quarter, F.least(quarter + 3, half), "edited "), (half, half, " with a new clause,"),
+        (F.greatest(half, n - 5), n, ""))])
+    state = token_counts.build(docs.withColumn("edits", edits))
+    before = state.withColumn("before", F.col("n_tokens"))
+    done = token_counts.apply_edits(before)
+    return done.select("doc_id", F.col("before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"),
+                       "n_encoded")
+
+
+QUERIES["op8_token_counts"] = op8_token_counts
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.drop_boilerplate(docs).select("doc_id", "text", "n_lines", "n_dropped")
