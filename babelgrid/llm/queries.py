@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity, warc
+from . import cotraining, decontamination, html_text, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -108,3 +108,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op9_line_dedup"] = op9_line_dedup
 ORACLE["op9_line_dedup"] = line_dedup.SQL
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    done = html_text.extract(pages, html_text.train(pages))
+    return done.select("page_id", "url", "text", "n_chars")
+
+
+QUERIES["op10_html_text"] = op10_html_text
