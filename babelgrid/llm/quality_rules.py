@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +95,12 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def text_counts(text: Column) -> Column:
-    """``counts`` as a struct column."""
-    @F.pandas_udf(", ".join(c + " long" for c in _COUNTS))
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in texts:
-            yield pd.DataFrame([counts(t) for t in s], columns=_COUNTS)
+    """``counts`` as a struct column; one text at a time leaves the Arrow batch."""
+    @F.arrow_udf("struct<" + ", ".join(c + ": long" for c in _COUNTS) + ">")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in texts:
+            found = np.array([counts(t.as_py()) for t in a], np.int64).reshape(-1, len(_COUNTS))
+            yield pa.StructArray.from_arrays([pa.array(c) for c in found.T], names=_COUNTS)
     return of(text)
 
 

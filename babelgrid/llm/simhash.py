@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,11 +79,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
-    """``fingerprint`` as a long column (two's complement)."""
-    @F.pandas_udf("long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series(np.array([fingerprint(t, shingle) for t in s], np.uint64).view(np.int64))
+    """``fingerprint`` as a long column (two's complement); one text at a time
+    leaves the Arrow batch."""
+    @F.arrow_udf("long")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in texts:
+            yield pa.array(np.fromiter((fingerprint(t.as_py(), shingle) for t in a), np.uint64, len(a)).view(np.int64))
     return of(text)
 
 
