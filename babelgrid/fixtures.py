@@ -81,11 +81,7 @@ def transfer_languages(examples: DataFrame, split: str | None = "train") -> Data
 
 
 def with_transfer_languages(rows: DataFrame, langs: DataFrame) -> DataFrame:
-    """every example row once per transfer language of its task.
-
-    The language dimension is counted before it is broadcast; the rows are
-    never shuffled for this step.
-    """
+    """every example row once per transfer language of its task."""
     return join_dim(rows, langs, ["task"])
 
 
@@ -116,9 +112,9 @@ def fx_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First 10 embedding values as class logits, ``label`` as truth."""
+    """The embedding as class logits, ``label`` as truth."""
     e = read(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 10).alias("logits"),
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("logits"),
                     F.col("label").cast("int").alias("label"))
 
 

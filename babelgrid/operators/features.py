@@ -56,45 +56,63 @@ def build_vocab(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     # bucket table: one row per distinct (count, prefix), tiny next to the vocabulary
     ordered = Window.orderBy(F.col("cnt").desc(), F.col("pfx")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("cnt", "pfx", F.coalesce(F.sum("bn").over(ordered), F.lit(0)).alias("off"))
-    ranked = join_dim(counts, offsets, ["cnt", "pfx"], salt_by=["token"])
+    ranked = join_dim(counts, offsets, ["cnt", "pfx"])
     inner = Window.partitionBy("cnt", "pfx").orderBy("token")
     return ranked.select("token", "cnt", (F.lit(FIRST_WORD_ID) + F.col("off") + F.row_number().over(inner) - 1).cast("int").alias("token_id"))
 
 
-HOT_TOKENS = 1000
+EXAMPLE_KEYS = ("task", "lang", "id")
 
 
-def _hot(vocab: DataFrame, col: str, alias: str) -> DataFrame:
-    """The most frequent vocabulary entries: the join keys that can be hot."""
-    return vocab.orderBy(F.col("cnt").desc()).limit(HOT_TOKENS).select(F.col(col).alias(alias))
+def example_keys(df: DataFrame, keys: list[str] | None = None) -> list[str]:
+    """What identifies an example: ids may be shared by the languages of a
+    parallel corpus, so task and language belong to the key where present."""
+    return list(keys) if keys else [c for c in EXAMPLE_KEYS if c in df.columns]
 
 
-def lookup_ids(rows: DataFrame, vocab: DataFrame, keys: list[str], token_col: str = "token") -> DataFrame:
-    """Token rows -> token ids (unknown -> <unk>).  Broadcast when the
-    vocabulary is small; otherwise a shuffle join salting the frequent tokens."""
+def lookup_ids(rows: DataFrame, vocab: DataFrame, token_col: str = "token") -> DataFrame:
+    """Token rows -> token ids (unknown -> <unk>)."""
     v = vocab.select(F.col("token").alias(token_col), "token_id")
-    j = join_dim(rows, v, [token_col], how="left", salt_by=keys, hot=_hot(vocab, "token", token_col))
+    j = join_dim(rows, v, [token_col], how="left")
     return j.withColumn("token_id", F.coalesce("token_id", F.lit(UNK_ID)))
 
 
-def ordered_ids(rows: DataFrame, keys: list[str], pos: str = "pos", value: str = "token_id") -> DataFrame:
-    """Collect (pos, id) rows back into an id array ordered by position."""
-    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("pv"))
-    return g.select(*keys, F.transform("pv", lambda s: s["v"]).alias("ids"))
+def lower_tokens(text: str) -> Column:
+    return F.coalesce(ws_tokens(F.lower(F.col(text))), F.array().cast("array<string>"))
 
 
-def encode_single(docs: DataFrame, vocab: DataFrame, text: str = "text", max_len: int = SINGLE_MAX_LEN) -> DataFrame:
+def _side_ids(rows: DataFrame, vocab: DataFrame, keys: list[str], sides: list[str], extra: list[str]) -> DataFrame:
+    """Ids of token-array columns: one explode, one grouping shuffle.  Returns
+    keys, ``extra`` and one id array per side; empty sides keep their row."""
+    def marked(n: int) -> Column:
+        return F.transform(F.col(sides[n]), lambda t, p: F.struct(
+            F.lit(n).alias("side"), p.alias("pos"), t.alias("token")))
+
+    def one(n: int) -> Column:
+        return F.transform(F.filter("sp", lambda s: s["side"] == n), lambda s: s["token_id"]).alias(sides[n])
+
+    both = F.flatten(F.array(*[marked(n) for n in range(len(sides))]))
+    d = rows.select(*keys, *extra, both.alias("toks"))
+    d = d.select(*keys, *extra, F.explode_outer("toks").alias("t")).select(*keys, *extra, "t.side", "t.pos", "t.token")
+    d = lookup_ids(d, vocab)
+    g = d.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(F.when(
+        F.col("pos").isNotNull(), F.struct("side", "pos", "token_id")))).alias("sp"))
+    return g.select(*keys, *extra, *[one(n) for n in range(len(sides))])
+
+
+def encode_single(docs: DataFrame, vocab: DataFrame, text: str = "text", max_len: int = SINGLE_MAX_LEN,
+                  keys: list[str] | None = None) -> DataFrame:
     """<s> ids </s> truncated to ``max_len`` and padded, with attention
-    mask size and the token count of the whole text."""
-    d = docs.select("id", F.posexplode_outer(ws_tokens(F.lower(F.col(text)))).alias("pos", "token")).filter(F.col("pos").isNotNull())
-    n_all = d.groupBy("id").agg(F.count(F.lit(1)).alias("n_tokens"))
-    kept = d.filter(F.col("pos") < max_len - 2)     # the encoder's max_length
-    ids = ordered_ids(lookup_ids(kept, vocab, ["id", "pos"]), ["id"])
-    full = docs.select("id").join(ids, "id", "left").join(n_all, "id", "left")
-    body = F.concat(F.array(F.lit(BOS_ID)), F.coalesce("ids", F.array().cast("array<int>")), F.array(F.lit(EOS_ID)))
-    full = full.select("id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), body.alias("body"))
+    mask size and the token count of the whole text.  The text is cut in its
+    row, so only the tokens that stay are exploded."""
+    keys = example_keys(docs, keys)
+    w = docs.select(*keys, lower_tokens(text).alias("w"))
+    w = w.select(*keys, F.size("w").alias("n_tokens"), F.slice("w", 1, max_len - 2).alias("w"))
+    e = _side_ids(w, vocab, keys, ["w"], ["n_tokens"])
+    body = F.concat(F.array(F.lit(BOS_ID)), F.col("w"), F.array(F.lit(EOS_ID)))
+    e = e.select(*keys, "n_tokens", body.alias("body"))
     padded = F.concat("body", F.array_repeat(F.lit(PAD_ID), F.lit(max_len) - F.size("body")))
-    return full.select("id", "n_tokens", F.size("body").alias("attention"), padded.alias("input_ids"))
+    return e.select(*keys, "n_tokens", F.size("body").alias("attention"), padded.alias("input_ids"))
 
 
 def pair_lengths(la: Column, lb: Column, budget: int) -> tuple[Column, Column]:
@@ -108,50 +126,40 @@ def pair_lengths(la: Column, lb: Column, budget: int) -> tuple[Column, Column]:
 
 
 def encode_pair(pairs: DataFrame, vocab: DataFrame, a: str = "premise", b: str = "hypothesis",
-                max_len: int = PAIR_MAX_LEN) -> DataFrame:
+                max_len: int = PAIR_MAX_LEN, keys: list[str] | None = None) -> DataFrame:
     """<s> A </s></s> B </s>, longest-first truncated, unpadded."""
-    ta = pairs.select("id", F.lit(0).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(a)))).alias("pos", "token"))
-    tb = pairs.select("id", F.lit(1).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(b)))).alias("pos", "token"))
-    ta, tb = ta.filter(F.col("pos").isNotNull()), tb.filter(F.col("pos").isNotNull())
-    toks = ta.unionByName(tb)
-    lens = pairs.select("id", F.size(ws_tokens(F.lower(F.col(a)))).alias("la"), F.size(ws_tokens(F.lower(F.col(b)))).alias("lb"))
-    ka, kb = pair_lengths(F.col("la"), F.col("lb"), max_len - PAIR_SPECIALS)
-    lens = lens.select("id", ka.alias("ka"), kb.alias("kb"))
-    # lengths are per example: join on id (co-partitioned with the token rows' grouping)
-    t = toks.join(lens, "id").filter(F.when(F.col("side") == 0, F.col("pos") < F.col("ka")).otherwise(F.col("pos") < F.col("kb")))
-    t = lookup_ids(t, vocab, ["id", "side", "pos"])
-    g = t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "token_id"))).alias("sp"))
-    ida = F.transform(F.filter("sp", lambda s: s["side"] == 0), lambda s: s["token_id"])
-    idb = F.transform(F.filter("sp", lambda s: s["side"] == 1), lambda s: s["token_id"])
-    seq = F.concat(F.array(F.lit(BOS_ID)), ida, F.array(F.lit(EOS_ID), F.lit(EOS_ID)), idb, F.array(F.lit(EOS_ID)))
-    full = lens.join(g, "id", "left").select("id", "ka", "kb", F.coalesce("sp", F.array().cast(g.schema["sp"].dataType)).alias("sp"))
-    return full.select("id", F.col("ka").alias("len_a"), F.col("kb").alias("len_b"), seq.alias("input_ids"))
+    keys = example_keys(pairs, keys)
+    w = pairs.select(*keys, lower_tokens(a).alias("wa"), lower_tokens(b).alias("wb"))
+    ka, kb = pair_lengths(F.size("wa"), F.size("wb"), max_len - PAIR_SPECIALS)
+    w = w.select(*keys, ka.alias("ka"), kb.alias("kb"), "wa", "wb")
+    w = w.select(*keys, "ka", "kb", F.slice(F.col("wa"), F.lit(1), F.col("ka")).alias("wa"),
+                 F.slice(F.col("wb"), F.lit(1), F.col("kb")).alias("wb"))
+    e = _side_ids(w, vocab, keys, ["wa", "wb"], ["ka", "kb"])
+    seq = F.concat(F.array(F.lit(BOS_ID)), F.col("wa"), F.array(F.lit(EOS_ID), F.lit(EOS_ID)), F.col("wb"),
+                   F.array(F.lit(EOS_ID)))
+    return e.select(*keys, F.col("ka").alias("len_a"), F.col("kb").alias("len_b"), seq.alias("input_ids"))
 
 
 def encode_text2text(rows: DataFrame, vocab: DataFrame, source: str, target: str,
-                     source_max: int = T2T_INPUT_MAX, target_max: int = T2T_TARGET_MAX) -> DataFrame:
+                     source_max: int = T2T_INPUT_MAX, target_max: int = T2T_TARGET_MAX,
+                     keys: list[str] | None = None) -> DataFrame:
     """D3: input ids and label ids, each truncated to its cap with </s> last."""
-    ts = rows.select("id", F.lit(0).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(source)))).alias("pos", "token")) \
-        .filter(F.col("pos") < source_max - 1)
-    tt = rows.select("id", F.lit(1).alias("side"), F.posexplode_outer(ws_tokens(F.lower(F.col(target)))).alias("pos", "token")) \
-        .filter(F.col("pos") < target_max - 1)
-    t = lookup_ids(ts.unionByName(tt), vocab, ["id", "side", "pos"])
-    g = t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("side", "pos", "token_id"))).alias("sp"))
-    g = rows.select("id").join(g, "id", "left")
-    src = F.transform(F.filter(F.coalesce("sp", F.array()), lambda s: s["side"] == 0), lambda s: s["token_id"])
-    tgt = F.transform(F.filter(F.coalesce("sp", F.array()), lambda s: s["side"] == 1), lambda s: s["token_id"])
-    return g.select("id", F.concat(src, F.array(F.lit(EOS_ID))).alias("input_ids"),
-                    F.concat(tgt, F.array(F.lit(EOS_ID))).alias("labels"))
-
-
-def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids") -> DataFrame:
+    keys = example_keys(rows, keys)
+    w = rows.select(*keys, lower_tokens(source).alias("ws"), lower_tokens(target).alias("wt"))
+    w = w.select(*keys, F.slice("ws", 1, source_max - 1).alias("ws"), F.slice("wt", 1, target_max - 1).alias("wt"))
+    e = _side_ids(w, vocab, keys, ["ws", "wt"], [])
+    return e.select(*keys, F.concat("ws", F.array(F.lit(EOS_ID))).alias("input_ids"),
+                    F.concat("wt", F.array(F.lit(EOS_ID))).alias("labels"))
+
+
+def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids", keys: list[str] | None = None) -> DataFrame:
     """Ids -> text, specials (pad, bos, eos, unk) skipped, in order."""
-    e = encoded.select("id", F.posexplode(ids).alias("pos", "token_id")).filter(F.col("token_id") >= FIRST_WORD_ID)
-    v = vocab.select("token_id", "token")
-    j = join_dim(e, v, ["token_id"], salt_by=["id", "pos"], hot=_hot(vocab, "token_id", "token_id"))
-    g = j.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("pt"))
-    g = encoded.select("id").join(g, "id", "left")
-    return g.select("id", F.coalesce(F.array_join(F.transform("pt", lambda s: s["token"]), " "), F.lit("")).alias("text"))
+    keys = example_keys(encoded, keys)
+    e = encoded.select(*keys, F.posexplode_outer(F.filter(ids, lambda t: t >= FIRST_WORD_ID)).alias("pos", "token_id"))
+    j = join_dim(e, vocab.select("token_id", "token"), ["token_id"], "left")
+    g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(
+        F.col("token").isNotNull(), F.struct("pos", "token")))).alias("pt"))
+    return g.select(*keys, F.array_join(F.transform("pt", lambda s: s["token"]), " ").alias("text"))
 
 
 # --- long-context windows ----------------------------------------------------------------
@@ -167,7 +175,7 @@ def context_token_rows(examples: DataFrame, keys: list[str], text: str = "contex
     lead = F.regexp_extract_all(F.col(text), F.lit(pat), 1)
     word = F.regexp_extract_all(F.col(text), F.lit(pat), 2)
     lens = F.zip_with(lead, word, lambda a, b: F.struct(F.length(a).alias("lead"), F.length(b).alias("wl")))
-    rows = examples.select(*keys, F.posexplode_outer(lens).alias("tok", "x")).filter(F.col("tok").isNotNull())
+    rows = examples.select(*keys, F.posexplode_outer(lens).alias("tok", "x"))
     rows = rows.select(*keys, "tok", F.col("x.lead").alias("lead"), F.col("x.wl").alias("wl"))
     w = Window.partitionBy(*keys).orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("lead") + F.col("wl")).over(w), F.lit(0))
@@ -177,7 +185,7 @@ def context_token_rows(examples: DataFrame, keys: list[str], text: str = "contex
 
 def _window_frame(examples: DataFrame, max_len: int, stride: int) -> DataFrame:
     ex = examples.select(
-        "id", F.size(ws_tokens(strip("question"))).alias("qlen"),
+        *example_keys(examples), F.size(ws_tokens(strip("question"))).alias("qlen"),
         F.size(ws_tokens("context")).alias("n"), "context",
         F.get(F.col("answers.answer_start"), 0).alias("sc"),
         (F.get(F.col("answers.answer_start"), 0) + F.length(F.get(F.col("answers.text"), 0))).alias("ec"))
@@ -207,7 +215,8 @@ def qa_windows(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_
     cut_len = F.col("ec") - 1
     cut = ((cut_len > 0) & (F.length("context") > cut_len)
            & F.substring("context", cut_len + 1, 1).rlike(nws) & F.substring("context", cut_len, 1).rlike(nws))
-    ex = ex.select("id", "qlen", "n", "cap", "step", "nwin", "sc",
+    names = example_keys(ex)
+    ex = ex.select(*names, "qlen", "n", "cap", "step", "nwin", "sc",
                    F.size(ws_tokens(F.substring("context", 1, F.col("sc") + 1))).alias("a"),
                    (F.size(ws_tokens(F.substring("context", 1, cut_len))) - F.when(cut, 1).otherwise(0)).alias("b"))
     w = ex.select("*", F.explode(F.sequence(F.lit(0), F.col("nwin") - 1)).alias("feature_idx"))
@@ -217,7 +226,7 @@ def qa_windows(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_
     cs = F.col("qlen") + 3                       # <s> question </s></s>
     inside = F.col("sc").isNotNull() & (F.col("tok_start") < F.col("a")) & (F.col("tok_end") - 1 >= F.col("b"))
     return w.select(
-        "id", F.col("feature_idx").cast("int"), F.col("tok_start").cast("int"), F.col("tok_end").cast("int"),
+        *names, F.col("feature_idx").cast("int"), F.col("tok_start").cast("int"), F.col("tok_end").cast("int"),
         (cs + F.col("tok_end") - F.col("tok_start") + 1).cast("int").alias("seq_len"),
         F.when(inside, cs + F.least("a", "tok_end") - F.col("tok_start") - 1).otherwise(F.lit(0)).cast("int").alias("start_position"),
         F.when(inside, cs + F.least("b", "tok_end") - F.col("tok_start")).otherwise(F.lit(0)).cast("int").alias("end_position"))
@@ -226,22 +235,25 @@ def qa_windows(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_
 def qa_offsets(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_STRIDE) -> DataFrame:
     """Per window the offsets of every sequence position, null outside
     the context.  Needs the per-token offsets, so the context is exploded
-    into token rows (one shuffle by example id) and regrouped per window.
+    into token rows (one shuffle by example) and regrouped per window on the
+    same partitioning.  An empty context has its one window, without offsets.
     """
     ex = _window_frame(examples, max_len, stride)
-    keys = ["id", "qlen", "cap", "step", "nwin"]
+    names = example_keys(ex)
+    keys = [*names, "qlen", "cap", "step", "nwin"]
     toks = context_token_rows(ex, keys)
     # windows holding token t: k*step <= t < k*step + cap, 0 <= k < nwin
     k_lo = F.greatest(F.lit(0), F.ceil((F.col("tok") - F.col("cap") + 1) / F.col("step")).cast("int"))
     k_hi = F.least(F.col("nwin") - 1, F.floor(F.col("tok") / F.col("step")).cast("int"))
-    tw = toks.select(*keys, "tok", "s", "e", F.explode(F.sequence(k_lo, k_hi)).alias("feature_idx")) \
-        .filter((F.col("feature_idx") >= k_lo) & (F.col("feature_idx") <= k_hi))
-    g = tw.groupBy("id", "qlen", "feature_idx").agg(F.array_sort(F.collect_list(F.struct("tok", "s", "e"))).alias("toks"))
+    held = F.when(F.col("tok").isNull(), F.array(F.lit(0))).when(k_lo <= k_hi, F.sequence(k_lo, k_hi))
+    tw = toks.select(*keys, "tok", "s", "e", F.explode(held).alias("feature_idx"))
+    g = tw.groupBy(*keys, "feature_idx").agg(F.array_sort(F.collect_list(F.when(
+        F.col("tok").isNotNull(), F.struct("tok", "s", "e")))).alias("toks"))
     cs = F.col("qlen") + 3
     none = F.lit(None).cast("struct<s:int,e:int>")
     offsets = F.concat(F.array_repeat(none, cs), F.transform("toks", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))),
                        F.array(none))
-    return g.select("id", F.col("feature_idx").cast("int"), offsets.alias("offsets"))
+    return g.select(*names, F.col("feature_idx").cast("int"), offsets.alias("offsets"))
 
 
 def align_labels(word_ids: Column, labels: Column, ignore: int = -100, guarded: bool = False,

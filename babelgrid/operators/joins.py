@@ -1,69 +1,18 @@
-"""Join strategies used by the plans.
+"""Joins with dimensions (label sets, language sets, per-language models).
 
-* ``join_dim`` broadcasts a dimension only after counting it against a bound
-  (the count runs on an already small, usually materialised table); beyond the
-  bound it falls back to a salted shuffle join.
-* ``salted_join`` spreads every key of the large side over ``buckets``
-  partitions and replicates the matching rows of the small side, so a hot key
-  (one token, one language) never lands in a single task.
+``join_dim`` writes the dimension to the shared folder first, so the
+optimizer knows its size in bytes: below ``spark.sql.autoBroadcastJoinThreshold``
+it is broadcast, above it the join is a shuffle join whose hot keys are split
+by adaptive skew handling.  No row count decides, and nothing stays cached.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-# Rows of a dimension that may be broadcast (label sets, language sets,
-# per-language models); anything larger is shuffled.
-DEFAULT_MAX_BROADCAST_ROWS = 200_000
-DEFAULT_SALT_BUCKETS = 16
-_SALT = "_salt"
+from ..session import materialize
 
 
-def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    """True when ``df`` has at most ``bound`` rows (reads at most bound + 1)."""
-    return df.limit(bound + 1).count() <= bound
-
-
-def salted_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inner",
-                buckets: int = DEFAULT_SALT_BUCKETS, salt_by: list[str] | None = None,
-                hot: DataFrame | None = None) -> DataFrame:
-    """Equi-join with hot keys of the big side spread over ``buckets`` salts.
-
-    ``salt_by`` names columns of ``big`` that vary within a key (for example a
-    document id); their hash picks the bucket, so the result is deterministic.
-    ``hot`` (a small table of key values, bounded by construction, e.g. the
-    top-k most frequent tokens) limits salting to those keys: only their rows
-    of ``small`` are replicated.  Without it every key is salted.
-    """
-    if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
-        raise ValueError(f"salted_join keeps every big-side row only for inner/left joins, not {how}")
-    cols: list[Column] = [F.col(c) for c in (salt_by or big.columns)]
-    salt = F.pmod(F.xxhash64(*cols), F.lit(buckets))
-    every = F.sequence(F.lit(0), F.lit(buckets - 1))
-    if hot is None:
-        b = big.withColumn(_SALT, salt)
-        s = small.withColumn(_SALT, F.explode(every))
-    else:
-        h = F.broadcast(hot.select(*on).distinct().withColumn("_hot", F.lit(True)))
-        b = big.join(h, on, "left").withColumn(_SALT, F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
-        s = small.join(h, on, "left").withColumn(
-            _SALT, F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return b.join(s, on + [_SALT], how).drop(_SALT)
-
-
-def join_dim(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner",
-             max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, buckets: int = DEFAULT_SALT_BUCKETS,
-             salt_by: list[str] | None = None, hot: DataFrame | None = None) -> DataFrame:
-    """Join a fact table to a dimension: broadcast when the dimension is proven
-    small, otherwise a salted shuffle join (hot keys only, when known).
-
-    The dimension is persisted before it is counted, so the size check and the
-    join evaluate it once; beyond the bound it is released again.
-    """
-    dim = dim.persist(StorageLevel.MEMORY_AND_DISK)
-    if row_count_at_most(dim, max_rows):
-        return fact.join(F.broadcast(dim), on, how)
-    dim.unpersist()
-    return salted_join(fact, dim, on, how, buckets, salt_by, hot)
+def join_dim(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join of a fact table with a dimension of measured size."""
+    return fact.join(materialize(dim, "dim"), on, how)

@@ -26,7 +26,11 @@ def multiset_overlap(p: Column, g: Column) -> Column:
 
 def token_f1(p: Column, g: Column) -> Column:
     """Bag-of-token F1 of two token arrays; 0 when nothing overlaps."""
-    common = multiset_overlap(p, g)
+    # one-element array: the overlap is computed once, not in every branch
+    return F.transform(F.array(multiset_overlap(p, g)), lambda common: _f1(common, p, g))[0]
+
+
+def _f1(common: Column, p: Column, g: Column) -> Column:
     prec = common / F.size(p)
     rec = common / F.size(g)
     return F.when(common == 0, F.lit(0.0)).otherwise(2 * prec * rec / (prec + rec))
@@ -61,7 +65,9 @@ def squad_grid(refs: DataFrame, preds: DataFrame, cell_keys: list[str], digits:
     """
     langs = preds.select("task", "transfer_lang").distinct()
     r = with_transfer_languages(refs.select("task", "task_lang", "id", F.col("answers.text").alias("golds")), langs)
-    j = r.join(preds.select("task", "transfer_lang", "id", "pred_text"), ["task", "transfer_lang", "id"], "left")
+    # ids may be shared by the languages of a parallel corpus: the task language is part of the key
+    keys = ["task", "transfer_lang", "task_lang", "id"]
+    j = r.join(preds.select(*keys, "pred_text"), keys, "left")
     j = j.select(*cell_keys, "id", F.coalesce("pred_text", F.lit("")).alias("pred_text"),
                  F.when(F.size("golds") > 0, F.col("golds")).otherwise(F.array(F.lit(""))).alias("golds"))
     # one row per (cell, id, gold answer); normalised token arrays are columns

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import block_running_max
+from .ranking import block_running_max, bucketed_row_number
 
 # --- fixed values: defaults of the fine-tuning scripts ---------------------------
 PATIENCE = 5
@@ -19,6 +19,14 @@ KEEP_CHECKPOINTS = 2
 BLOCK = 4096
 
 
+def evaluations(runs: DataFrame, eval_every: int = 1, block: int = BLOCK) -> DataFrame:
+    """The evaluated steps of every run, numbered ``k`` = 1, 2, ... by step:
+    steps at the cadence, whatever gaps the log has."""
+    ev = runs.filter(F.pmod(F.col("step"), F.lit(eval_every)) == 0)
+    bucket = F.floor(F.col("step") / F.lit(block * eval_every)).alias("_blk_step")
+    return bucketed_row_number(ev, ["run"], [bucket], [F.col("_blk_step")], [F.col("step")], "k")
+
+
 def early_stop(runs: DataFrame, patience: int = PATIENCE, eval_every: int = 1, block: int = BLOCK) -> DataFrame:
     """K3: per run, the step at which training stops (or the last step).
 
@@ -27,8 +35,7 @@ def early_stop(runs: DataFrame, patience: int = PATIENCE, eval_every: int = 1, b
     first evaluation that is ``patience`` evaluations after the last
     improvement.
     """
-    ev = runs.filter(F.pmod(F.col("step"), F.lit(eval_every)) == 0)
-    ev = ev.withColumn("k", (F.col("step") / eval_every).cast("long"))
+    ev = evaluations(runs, eval_every, block)
     ev = block_running_max(ev, ["run"], "k", "metric", block, "best_before")
     ev = ev.withColumn("improved_k", F.when(F.col("best_before").isNull() | (F.col("metric") > F.col("best_before")), F.col("k")))
     ev = block_running_max(ev, ["run"], "k", "improved_k", block, "last_improved", include_current=True)
@@ -39,24 +46,28 @@ def early_stop(runs: DataFrame, patience: int = PATIENCE, eval_every: int = 1, b
         "run", F.coalesce("stop_step", "last_step").alias("stop_step"), F.col("stop_step").isNotNull().cast("int").alias("stopped"))
 
 
-def best_checkpoint(runs: DataFrame, stops: DataFrame | None = None) -> DataFrame:
-    """K2: per run, the step with the highest metric (earliest on ties),
-    among the steps up to the stop step when ``stops`` is given.
+def best_checkpoint(runs: DataFrame, stops: DataFrame | None = None, eval_every: int = 1) -> DataFrame:
+    """K2: per run, the evaluated step with the highest metric (earliest on
+    ties), among the steps up to the stop step when ``stops`` is given.
 
     A ``max`` over (metric, -step) structs: partial aggregation, no window.
     """
-    r = runs
+    r = runs.filter(F.pmod(F.col("step"), F.lit(eval_every)) == 0)
     if stops is not None:
         r = r.join(stops.select("run", "stop_step"), "run").filter(F.col("step") <= F.col("stop_step"))
     g = r.groupBy("run").agg(F.max(F.struct(F.col("metric"), (-F.col("step")).alias("neg_step"))).alias("b"))
     return g.select("run", (-F.col("b.neg_step")).cast("int").alias("best_step"), F.col("b.metric").alias("best_metric"))
 
 
-def retain_checkpoints(runs: DataFrame, stops: DataFrame, best: DataFrame, keep: int = KEEP_CHECKPOINTS) -> DataFrame:
-    """K4: checkpoints left on disk: the best one plus the most recent others,
-    ``keep`` in total (the best is never rotated out)."""
-    r = runs.join(stops.select("run", "stop_step"), "run").filter(F.col("step") <= F.col("stop_step"))
-    r = r.join(best.select("run", "best_step"), "run", "left")
+def retain_checkpoints(runs: DataFrame, stops: DataFrame, best: DataFrame | None = None, keep: int = KEEP_CHECKPOINTS,
+                       eval_every: int = 1) -> DataFrame:
+    """K4: checkpoints left on disk, one per evaluation: the best one plus the
+    most recent others, ``keep`` in total (the best is never rotated out);
+    without ``best`` the ``keep`` most recent ones."""
+    r = runs.filter(F.pmod(F.col("step"), F.lit(eval_every)) == 0)
+    r = r.join(stops.select("run", "stop_step"), "run").filter(F.col("step") <= F.col("stop_step"))
+    r = r.withColumn("best_step", F.lit(None).cast("int")) if best is None else \
+        r.join(best.select("run", "best_step"), "run", "left")
     others = r.filter(F.col("best_step").isNull() | (F.col("step") != F.col("best_step")))
     w = Window.partitionBy("run").orderBy(F.col("step").desc())
     n_others = F.when(F.col("best_step").isNull(), F.lit(keep)).otherwise(F.lit(keep - 1))

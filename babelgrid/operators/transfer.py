@@ -37,9 +37,6 @@ def doc_tokens(c) -> F.Column:
     return ws_tokens(F.lower(c if not isinstance(c, str) else F.col(c)))
 
 
-HOT_TOKENS = 1000
-
-
 @dataclass
 class NaiveBayesModel:
     token_counts: DataFrame   # task, transfer_lang, token, counts array<long>[K]
@@ -61,11 +58,10 @@ def train_naive_bayes(train: DataFrame, num_classes: int, persist: bool = True)
         F.count(F.lit(1)).alias("v"), *[F.sum(F.col("counts")[i]).alias(f"t{i}") for i in k])
     docs = train.groupBy("task", F.col("lang").alias("transfer_lang")).agg(
         F.count(F.lit(1)).alias("nd"), *[F.count(F.when(F.col("label") == i, F.lit(1))).alias(f"d{i}") for i in k])
-    st = per_lang.join(docs, ["task", "transfer_lang"])
+    # a language whose training texts have no token keeps its priors
+    st = docs.join(per_lang, ["task", "transfer_lang"], "left").fillna(0, ["v", *[f"t{i}" for i in k]])
     logprior = F.array(*[F.when(F.col(f"d{i}") > 0, F.log(F.col(f"d{i}") / F.col("nd"))) for i in k])
     logden = F.array(*[F.log(F.col(f"t{i}") + F.col("v")) for i in k])
-    # one row per (task, language): small, computed from the materialised
-    # counts; the size-checked join persists it
     class_stats = st.select("task", "transfer_lang", logprior.alias("logprior"), logden.alias("logden"))
     return NaiveBayesModel(token_counts, class_stats, num_classes)
 
@@ -78,19 +74,16 @@ def predict_naive_bayes(model: NaiveBayesModel, test: DataFrame, langs: DataFram
     """
     k = range(model.num_classes)
     keys = ["task", "lang", "id", "label"]
-    tf = test.select(*keys, F.explode_outer(doc_tokens("text")).alias("token")).filter(F.col("token").isNotNull()) \
-        .groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    # frequent tokens are the hot join keys; only they are salted when the
-    # weight table is too large to broadcast
-    hot = model.token_counts.select("task", "token", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("total")) \
-        .groupBy("task", "token").agg(F.sum("total").alias("total")).orderBy(F.col("total").desc()).limit(HOT_TOKENS)
-    hits = join_dim(tf, model.token_counts, ["task", "token"], salt_by=["id"], hot=hot) \
-        .select(*keys, "transfer_lang", "tf", "counts")
+    # one row per token occurrence: the sums below collapse a document on the
+    # map side, so its tokens are not shuffled to be counted first
+    toks = test.select(*keys, F.explode_outer(doc_tokens("text")).alias("token")).filter(F.col("token").isNotNull())
+    hits = toks.join(model.token_counts, ["task", "token"]).select(
+        *keys, "transfer_lang", F.lit(1).cast("long").alias("tf"), "counts")
     # every (row, transfer language) pair exists even with no known token
     base = with_transfer_languages(test.select(*keys), langs) \
         .select(*keys, "transfer_lang", F.lit(0).cast("long").alias("tf"), F.lit(None).cast("array<bigint>").alias("counts"))
     agg = hits.unionByName(base).groupBy(*keys, "transfer_lang").agg(
-        F.sum("tf").alias("nv"), *[F.sum(F.col("tf") * F.log1p(F.col("counts")[i])).alias(f"a{i}") for i in k])
+        F.sum("tf").alias("nv"), *[F.sum(F.log1p(F.col("counts")[i])).alias(f"a{i}") for i in k])
     scored = join_dim(agg, model.class_stats, ["task", "transfer_lang"])
     score = F.array(*[F.col("logprior")[i] + F.coalesce(F.col(f"a{i}"), F.lit(0.0)) - F.col("nv") * F.col("logden")[i] for i in k])
     return scored.select("task", "transfer_lang", F.col("lang").alias("task_lang"), "id", "label",

@@ -57,7 +57,7 @@ def decode_ids(spark, sf_dir):
     """Decode the D1 ids back to text; specials and unknowns skipped."""
     vocab = _vocab(spark, sf_dir)
     e = D.encode_single(fx.fx_cls(spark, sf_dir), vocab)
-    return D.decode_ids(e, vocab)
+    return D.decode_ids(e, vocab).select("id", "text")
 
 
 @register("encode_pair", with_fx(_VOCAB_SQL + f"""
@@ -87,7 +87,7 @@ SELECT s.id, array_to_string(coalesce(i1.ids, []) || [2], ' ') AS input_ids, arr
 FROM src s LEFT JOIN i1 USING (id) LEFT JOIN i2 USING (id)""", "fx_cls", "fx_qa"))
 def encode_text2text(spark, sf_dir):
     """D3 (+C2, C5): QA prompt -> input ids (cap 1024), first answer -> labels (cap 128)."""
-    q = fx.fx_qa(spark, sf_dir).select("id", qa_prompt("question", "context").alias("src"), first_answer("answers").alias("tgt"))
+    q = fx.fx_qa(spark, sf_dir).select("task", "lang", "id", qa_prompt("question", "context").alias("src"), first_answer("answers").alias("tgt"))
     e = D.encode_text2text(q, _vocab(spark, sf_dir), "src", "tgt")
     return e.select("id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"))
 

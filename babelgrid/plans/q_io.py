@@ -56,7 +56,7 @@ def grid_roundtrip_csv(spark, sf_dir):
 
 
 _QA_GRID_SQL = """
-, fin AS (SELECT task, transfer_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL)"""
+, fin AS (SELECT task, transfer_lang, task_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL)"""
 
 
 @register("grid_union", with_fx(f"""
@@ -68,8 +68,8 @@ SELECT 'qa' AS task, task_lang, transfer_lang, CAST(NULL AS DOUBLE) AS accuracy,
 FROM (SELECT q.lang AS task_lang, t.transfer_lang,
              CASE WHEN f.pred_text IS NOT NULL AND f.pred_text = coalesce(q.answers.text[1], '') THEN 1 ELSE 0 END AS hit
       FROM fx_qa q JOIN (SELECT DISTINCT task, lang AS transfer_lang FROM fx_qa) t ON q.task = t.task
-      LEFT JOIN (SELECT task, transfer_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL) f
-        ON f.task = q.task AND f.transfer_lang = t.transfer_lang AND f.id = q.id)
+      LEFT JOIN (SELECT task, transfer_lang, task_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL) f
+        ON f.task = q.task AND f.transfer_lang = t.transfer_lang AND f.task_lang = q.lang AND f.id = q.id)
 GROUP BY ALL""", "fx_pred", "fx_qapred"))
 def grid_union(spark, sf_dir):
     """I2 + A10: grids with different metric columns written as files, read
@@ -80,7 +80,7 @@ def grid_union(spark, sf_dir):
     langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = fx.with_transfer_languages(qa.select("task", F.col("lang").alias("task_lang"), "id",
                                                 F.coalesce(F.get(F.col("answers.text"), 0), F.lit("")).alias("gold")), langs)
-    rows = rows.join(fin.drop("task_lang"), ["task", "transfer_lang", "id"], "left")
+    rows = rows.join(fin, ["task", "transfer_lang", "task_lang", "id"], "left")
     hit = (F.col("pred_text").isNotNull() & (F.col("pred_text") == F.col("gold"))).cast("int")
     qa_grid = rows.groupBy(*CELL).agg(F.round(100.0 * F.avg(hit), 6).alias("exact_match"))
     base = io.scratch_path(spark, "grids")

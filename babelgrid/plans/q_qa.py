@@ -14,9 +14,10 @@ from .registry import register
 from .sqlfx import with_fx
 
 CELL = ["task_lang", "transfer_lang"]
+KEY = ["task", "transfer_lang", "task_lang", "id"]
 
 _FINAL = """
-, fin AS (SELECT task, transfer_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL)"""
+, fin AS (SELECT task, transfer_lang, task_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL)"""
 
 
 def _score_sql(pairs: str) -> str:
@@ -36,7 +37,7 @@ sc AS (SELECT np.task_lang, np.transfer_lang, np.id, CASE WHEN pn = gn THEN 1 EL
 @register("last_prediction", with_fx(_FINAL + "\nSELECT transfer_lang, id, pred_text FROM fin", "fx_qapred"))
 def last_prediction_q(spark, sf_dir):
     p = fx.fx_qapred(spark, sf_dir)
-    return last_prediction(p, ["task", "transfer_lang", "id"]).select("transfer_lang", "id", "pred_text")
+    return last_prediction(p, KEY).select("transfer_lang", "id", "pred_text")
 
 
 _SQUAD = with_fx(_FINAL + """,
@@ -45,7 +46,7 @@ refs AS (SELECT q.task, q.lang AS task_lang, q.id, t.transfer_lang,
          FROM fx_qa q JOIN fx_qa_langs t ON q.task = t.task),
 pairs AS (SELECT row_number() OVER () AS k, * FROM (
             SELECT r.task_lang, r.transfer_lang, r.id, coalesce(f.pred_text, '') AS pred_text, unnest(r.golds) AS gold
-            FROM refs r LEFT JOIN fin f ON f.task = r.task AND f.transfer_lang = r.transfer_lang AND f.id = r.id))"""
+            FROM refs r LEFT JOIN fin f ON f.task = r.task AND f.transfer_lang = r.transfer_lang AND f.task_lang = r.task_lang AND f.id = r.id))"""
                  + _score_sql("pairs") + """,
 best AS (SELECT task_lang, transfer_lang, id, max(em) AS em, max(f1) AS f1 FROM sc GROUP BY ALL)
 SELECT task_lang, transfer_lang, round(100.0 * avg(em), 6) AS exact_match, round(100.0 * avg(f1), 6) AS f1_score
@@ -61,7 +62,7 @@ def _qa(spark, sf_dir):
 @register("qa_squad_grid", _SQUAD)
 def qa_squad_grid(spark, sf_dir):
     qa = _qa(spark, sf_dir)
-    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), ["task", "transfer_lang", "task_lang", "id"])
+    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), KEY)
     return squad_grid(qa.withColumnRenamed("lang", "task_lang"), fin, CELL)
 
 
@@ -69,7 +70,7 @@ _FRAC = with_fx(_FINAL + """,
 pairs AS (SELECT row_number() OVER () AS k, q.lang AS task_lang, t.transfer_lang, q.id,
                  coalesce(f.pred_text, '') AS pred_text, coalesce(q.answers.text[1], '') AS gold
           FROM fx_qa q JOIN fx_qa_langs t ON q.task = t.task
-          LEFT JOIN fin f ON f.task = q.task AND f.transfer_lang = t.transfer_lang AND f.id = q.id)"""
+          LEFT JOIN fin f ON f.task = q.task AND f.transfer_lang = t.transfer_lang AND f.task_lang = q.lang AND f.id = q.id)"""
                 + _score_sql("pairs") + """
 SELECT task_lang, transfer_lang, round(avg(em), 6) AS em_frac, round(avg(f1), 6) AS f1_frac FROM sc GROUP BY ALL""",
                 "fx_qapred", "fx_qa_langs")
@@ -80,10 +81,10 @@ def qa_em_f1_frac(spark, sf_dir):
     """Generative QA during training: one target (first answer or empty) per
     example, mean EM / F1 as fractions."""
     qa = _qa(spark, sf_dir)
-    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), ["task", "transfer_lang", "id"])
+    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), KEY)
     langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = fx.with_transfer_languages(qa.select("task", F.col("lang").alias("task_lang"), "id", first_answer("answers").alias("gold")), langs)
-    rows = rows.join(fin, ["task", "transfer_lang", "id"], "left").withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
+    rows = rows.join(fin, KEY, "left").withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
     return em_f1_fraction_grid(rows, CELL, "pred_text", "gold")
 
 
@@ -95,7 +96,7 @@ refs AS (SELECT q.task, q.lang AS task_lang, q.id, t.transfer_lang,
          FROM fx_qa q JOIN fx_qa_langs t ON q.task = t.task),
 pairs AS (SELECT row_number() OVER () AS k, * FROM (
             SELECT r.task_lang, r.transfer_lang, r.id, coalesce(f.pred_text, '') AS pred_text, unnest(r.golds) AS gold
-            FROM refs r LEFT JOIN fin f ON f.task = r.task AND f.transfer_lang = r.transfer_lang AND f.id = r.id))"""
+            FROM refs r LEFT JOIN fin f ON f.task = r.task AND f.transfer_lang = r.transfer_lang AND f.task_lang = r.task_lang AND f.id = r.id))"""
                  + _score_sql("pairs") + """,
 best AS (SELECT task_lang, transfer_lang, id, max(em) AS em, max(f1) AS f1 FROM sc GROUP BY ALL),
 pct AS (SELECT task_lang, transfer_lang, 100.0 * avg(em) AS em, 100.0 * avg(f1) AS f1 FROM best GROUP BY ALL),
@@ -113,11 +114,11 @@ def grid_check(spark, sf_dir):
     transfer language under its own name, as in a published grid where one
     transfer language was stored as fractions; both issues are flagged."""
     qa = _qa(spark, sf_dir)
-    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), ["task", "transfer_lang", "task_lang", "id"])
+    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), KEY)
     pct = squad_grid(qa.withColumnRenamed("lang", "task_lang"), fin, CELL)
     langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = fx.with_transfer_languages(qa.select("task", F.col("lang").alias("task_lang"), "id", first_answer("answers").alias("gold")), langs)
-    rows = rows.join(fin.drop("task_lang"), ["task", "transfer_lang", "id"], "left").withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
+    rows = rows.join(fin, KEY, "left").withColumn("pred_text", F.coalesce("pred_text", F.lit("")))
     frac = em_f1_fraction_grid(rows.filter(F.col("transfer_lang") == "en"), CELL, "pred_text", "gold") \
         .select("task_lang", F.concat(F.col("transfer_lang"), F.lit("_frac")).alias("transfer_lang"),
                 F.col("em_frac").alias("exact_match"), F.col("f1_frac").alias("f1_score"))

@@ -72,18 +72,22 @@ def seeded_shuffle_q(spark, sf_dir):
 
 # --- K2-K4 ---------------------------------------------------------------------------
 
-_RUNS_SQL = f"""
-, ev AS (SELECT run, step, metric,
+def _runs_sql(source: str = "fx_runs") -> str:
+    return f"""
+, ev AS (SELECT run, step, metric, row_number() OVER (PARTITION BY run ORDER BY step) AS k,
                 max(metric) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before
-         FROM fx_runs),
-ev2 AS (SELECT *, max(CASE WHEN best_before IS NULL OR metric > best_before THEN step END)
+         FROM {source}),
+ev2 AS (SELECT *, max(CASE WHEN best_before IS NULL OR metric > best_before THEN k END)
                   OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS last_improved FROM ev),
-stops AS (SELECT run, coalesce(min(step) FILTER (WHERE step - last_improved >= {PATIENCE}), max(step)) AS stop_step,
-                 CAST(min(step) FILTER (WHERE step - last_improved >= {PATIENCE}) IS NOT NULL AS INTEGER) AS stopped
+stops AS (SELECT run, coalesce(min(step) FILTER (WHERE k - last_improved >= {PATIENCE}), max(step)) AS stop_step,
+                 CAST(min(step) FILTER (WHERE k - last_improved >= {PATIENCE}) IS NOT NULL AS INTEGER) AS stopped
           FROM ev2 GROUP BY run),
 best AS (SELECT run, step AS best_step, metric AS best_metric FROM (
            SELECT r.*, row_number() OVER (PARTITION BY r.run ORDER BY r.metric DESC, r.step) AS rn
-           FROM fx_runs r JOIN stops s USING (run) WHERE r.step <= s.stop_step) WHERE rn = 1)"""
+           FROM {source} r JOIN stops s USING (run) WHERE r.step <= s.stop_step) WHERE rn = 1)"""
+
+
+_RUNS_SQL = _runs_sql()
 
 
 def _runs(spark, sf_dir):
@@ -119,3 +123,33 @@ def retain_checkpoints_q(spark, sf_dir):
     """K4: checkpoints kept with save_total_limit = 2 (best always kept)."""
     r, stops, best = _runs(spark, sf_dir)
     return retain_checkpoints(r, stops, best).select("run", F.col("step").cast("int"))
+
+
+# a cadence, over logs with gaps: of every run the steps that 7 divides are missing
+EVAL_EVERY, KEEP_RECENT = 3, 5
+_GAPS = f", gaps AS (SELECT * FROM fx_runs WHERE step % 7 <> 0 AND step % {EVAL_EVERY} = 0)" + _runs_sql("gaps")
+
+
+def _gap_runs(spark, sf_dir):
+    r = materialize(fx.fx_runs(spark, sf_dir).filter(F.col("step") % 7 != 0), "fx_runs")
+    return r, early_stop(r, eval_every=EVAL_EVERY)
+
+
+@register("early_stop_cadence", with_fx(_GAPS + """
+SELECT s.run, CAST(stop_step AS INTEGER) AS stop_step, stopped, CAST(best_step AS INTEGER) AS best_step
+FROM stops s JOIN best b USING (run)""", "fx_runs"))
+def early_stop_cadence_q(spark, sf_dir):
+    """K2 + K3: every third step evaluated, patience counted in evaluations."""
+    r, stops = _gap_runs(spark, sf_dir)
+    best = best_checkpoint(r, stops, EVAL_EVERY)
+    return stops.join(best, "run").select("run", F.col("stop_step").cast("int"), "stopped", "best_step")
+
+
+@register("retain_recent", with_fx(_GAPS + f"""
+, o AS (SELECT g.run, g.step, row_number() OVER (PARTITION BY g.run ORDER BY g.step DESC) AS rk
+        FROM gaps g JOIN stops s USING (run) WHERE g.step <= s.stop_step)
+SELECT run, CAST(step AS INTEGER) AS step FROM o WHERE rk <= {KEEP_RECENT}""", "fx_runs"))
+def retain_recent_q(spark, sf_dir):
+    """K4: the five most recent checkpoints, no best one."""
+    r, stops = _gap_runs(spark, sf_dir)
+    return retain_checkpoints(r, stops, keep=KEEP_RECENT, eval_every=EVAL_EVERY).select("run", F.col("step").cast("int"))

@@ -43,7 +43,7 @@ FX: dict[str, tuple[list[str], str]] = {
                          THEN c.label ELSE (c.label + 1) % 4 END AS INTEGER) AS pred
         FROM fx_cls c JOIN fx_cls_langs t ON c.task = t.task
         WHERE c.split = 'test'"""),
-    "fx_logits": ([], "SELECT vec_id AS id, embedding[1:10] AS logits, CAST(label AS INTEGER) AS label FROM embeddings"),
+    "fx_logits": ([], "SELECT vec_id AS id, embedding AS logits, CAST(label AS INTEGER) AS label FROM embeddings"),
     "fx_qa_w": ([], f"SELECT doc_id, lang, {words('text')} AS words FROM documents"),
     "fx_qa": (["fx_qa_w"], """
         SELECT 'qa' AS task, lang, 'validation' AS split, lang || '-' || CAST(doc_id AS VARCHAR) AS id, doc_id,

@@ -9,8 +9,6 @@ by column name.
 
 from __future__ import annotations
 
-import os
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,23 +25,29 @@ FILES_PER_PARTITION = 4
 
 
 def read_csv_folder(spark: SparkSession, folder: str, schema: StructType | None = None,
-                    glob: str = "*.csv", recursive: bool = True, multiline: bool = False) -> DataFrame:
+                    glob: str = "*.csv", recursive: bool = True, multiline: bool = False,
+                    infer: bool = True) -> DataFrame:
     """A1 + A2: CSV files with a header under ``folder`` (glob on the file
     name), with the file path kept as ``source_file`` for provenance.  Pass a
     schema on large inputs: inference reads the data twice.  ``multiline``
     for quoted fields holding line breaks (free text)."""
     r = spark.read.option("header", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
     r = r.option("multiLine", multiline)
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
+    r = r.schema(schema) if schema is not None else r.option("inferSchema", infer)
     df = r.csv(folder)
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def read_lang_split_csv(spark: SparkSession, folder: str, schema: StructType | None = None,
                         pattern: str = LANG_SPLIT_FILE, multiline: bool = True) -> DataFrame:
-    """A3: language and split taken from the file path; an unnamed leading
-    index column (``_c0``) is dropped."""
-    df = read_csv_folder(spark, folder, schema, multiline=multiline)
+    """A3: language and split taken from the file path.  Columns are matched
+    by the header's names, so an unnamed leading index column is dropped also
+    where ``schema`` (types of the named columns) leaves it out."""
+    df = read_csv_folder(spark, folder, None, multiline=multiline, infer=schema is None)
+    if schema is not None:
+        have = set(df.columns)
+        df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in have
+                         else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "source_file")
     if "_c0" in df.columns:
         df = df.drop("_c0")
     return (df.withColumn("lang", F.regexp_extract("source_file", pattern, 1))

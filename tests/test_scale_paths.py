@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from babelgrid.operators.joins import join_dim, salted_join
 from babelgrid.operators.ranking import block_running_max, bucketed_row_number
 
 
@@ -11,19 +10,6 @@ def _rows(df, cols):
     return sorted(tuple(r[c] for c in cols) for r in df.select(*cols).collect())
 
 
-def test_salted_join_equals_plain_join(spark):
-    big = spark.range(2000).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
-    small = spark.range(5).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    plain = big.join(small, "k", "left")
-    cols = ["k", "v", "w"]
-    assert _rows(salted_join(big, small, ["k"], "left", buckets=4, salt_by=["v"]), cols) == _rows(plain, cols)
-    hot = spark.createDataFrame([(0,), (3,)], "k long")
-    assert _rows(salted_join(big, small, ["k"], "left", buckets=4, salt_by=["v"], hot=hot), cols) == _rows(plain, cols)
-    # join_dim beyond its bound takes the salted path
-    assert _rows(join_dim(big, small, ["k"], "inner", max_rows=1, buckets=3, salt_by=["v"]), cols) == \
-        _rows(big.join(small, "k"), cols)
-
-
 def test_bucketed_row_number_equals_window(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1000).alias("x"), "id")
     got = bucketed_row_number(df, ["g"], [F.floor(F.col("x") / 37).alias("_b")], [F.col("_b")], [F.col("x"), F.col("id")], "rn")
@@ -39,33 +25,3 @@ def test_block_running_max_equals_window(spark):
     got2 = block_running_max(df, ["g"], "k", "m", 16, "best", include_current=True)
     want2 = df.withColumn("best", F.max("m").over(Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
     assert _rows(got2, ["g", "k", "best"]) == _rows(want2, ["g", "k", "best"])
-
-
-def test_vocabulary_lookup_salted_path_matches_broadcast(spark, small_dir, monkeypatch):
-    """Force the shuffle (salted hot-token) path of the vocabulary joins."""
-    from babelgrid.operators import features as D
-    from babelgrid.operators import joins as J
-    from babelgrid.plans import QUERIES
-    want = sorted(QUERIES["decode_ids"](spark, small_dir).collect())
-    orig = J.join_dim
-
-    def forced(fact, dim, on, how="inner", max_rows=0, buckets=4, salt_by=None, hot=None):
-        return orig(fact, dim, on, how, 0, buckets, salt_by, hot)
-    monkeypatch.setattr(D, "join_dim", forced)
-    assert sorted(QUERIES["decode_ids"](spark, small_dir).collect()) == want
-
-
-def test_naive_bayes_salted_path_matches_broadcast(spark, small_dir, monkeypatch):
-    """Force the model tables and language dimension through shuffle joins."""
-    from babelgrid import fixtures as fx
-    from babelgrid.operators import joins as J
-    from babelgrid.operators import transfer as TR
-    from babelgrid.plans import QUERIES
-    want = sorted(QUERIES["transfer_grid_nb"](spark, small_dir).collect())
-    orig = J.join_dim
-
-    def forced(fact, dim, on, how="inner", max_rows=0, buckets=4, salt_by=None, hot=None):
-        return orig(fact, dim, on, how, 0, buckets, salt_by, hot)
-    monkeypatch.setattr(TR, "join_dim", forced)
-    monkeypatch.setattr(fx, "join_dim", forced)
-    assert sorted(QUERIES["transfer_grid_nb"](spark, small_dir).collect()) == want
