@@ -31,7 +31,6 @@ NER_DROP_BELOW_IN_LANG = 1
 # Entity type of a word by the first hex digit of md5(word).
 NER_TYPE_BY_DIGIT = {"0": "PER", "1": "PER", "2": "ORG", "3": "LOC"}
 MASK_EVERY = 7                 # label masked where pos % 7 == 6
-QA_MIN_WORDS = 12
 QA_UNANSWERABLE_MOD = 9        # doc_id % 10 == 9 -> no gold answer
 QA_MISSING_PRED_MOD = 17       # doc_id % 17 == 0 -> no prediction
 SPAN_NULL_BELOW = 8            # positions < 8 are outside the context
@@ -39,30 +38,10 @@ SPAN_WORD_WIDTH = 5            # 'w008 ' -> 5 characters per word
 # ---------------------------------------------------------------------------
 
 
-# Row key of every driver table; used to spread a scan that yields too few splits.
-TABLE_KEYS = {"documents": "doc_id", "labels": "doc_id", "conversations": "conv_id", "events": "event_id",
-              "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "lineitem": "l_orderkey",
-              "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one driver table.
-
-    A large table normally yields many splits; when the files give fewer
-    splits than the cluster has cores (one row group per file), the rows are
-    hash-spread on their key so per-row work (tokenising, array functions)
-    runs on every core.  With enough splits this is a no-op.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = TABLE_KEYS.get(name)
-    try:
-        cores = spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD API (e.g. a Spark Connect session): keep the scan as is
-        return df
-    if key and splits < cores:
-        df = df.repartition(cores, key)
-    return df
+    """Scan one driver table; its splits follow from the files and
+    ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def split_of(doc_id: Column) -> Column:
@@ -121,17 +100,15 @@ def fx_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- question answering ------------------------------------------------------
 
 def fx_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extractive QA examples over whole documents with at least 12 words."""
+    """Extractive QA examples over whole documents; a text of fewer than four
+    words is its own answer, one without words is unanswerable."""
     d = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    # at least 12 words, tested by an anchored regex before tokenizing (a size
-    # filter on the words would be pushed below and tokenize twice)
-    enough = "^" + WS_CLASS + "*(?:" + _NOT_WS + "+" + WS_CLASS + "+){" + str(QA_MIN_WORDS - 1) + "}" + _NOT_WS
-    w = d.filter(F.col("text").rlike(enough)).select("doc_id", "lang", ws_tokens("text").alias("words"))
+    w = d.select("doc_id", "lang", F.coalesce(ws_tokens("text"), F.array().cast("array<string>")).alias("words"))
     n = F.size("words")
-    a = F.pmod(F.col("doc_id"), n - 3).cast("int")
+    a = F.pmod(F.col("doc_id"), F.greatest(n - 3, F.lit(1))).cast("int")
     ans = F.array_join(F.slice("words", a + 1, 3), " ")
     start = F.when(a == 0, F.lit(0)).otherwise(F.length(F.array_join(F.slice("words", 1, a), " ")) + 1)
-    answerable = F.pmod(F.col("doc_id"), F.lit(10)) != QA_UNANSWERABLE_MOD
+    answerable = (F.pmod(F.col("doc_id"), F.lit(10)) != QA_UNANSWERABLE_MOD) & (n > 0)
     answers = F.when(answerable, F.struct(F.array(ans).alias("text"), F.array(start.cast("int")).alias("answer_start"))) \
         .otherwise(F.struct(F.array().cast("array<string>").alias("text"), F.array().cast("array<int>").alias("answer_start")))
     return w.select(
@@ -147,7 +124,8 @@ def fx_qapred(spark: SparkSession, sf_dir: str, qa: DataFrame | None = None) ->
     stale one, seq 1 the final one; some ids get none."""
     qa = qa if qa is not None else fx_qa(spark, sf_dir)
     rows = qa.filter((F.pmod("doc_id", F.lit(10)) != QA_UNANSWERABLE_MOD) & (F.pmod("doc_id", F.lit(QA_MISSING_PRED_MOD)) != 0))
-    rows = rows.select("task", "lang", "id", "doc_id", "question", F.get(F.col("answers.text"), 0).alias("ans"))
+    rows = rows.select("task", "lang", "id", "doc_id", "question",
+                       F.coalesce(F.get(F.col("answers.text"), 0), F.lit("")).alias("ans"))
     langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
     rows = with_transfer_languages(rows, langs)
     v = F.pmod(F.col("doc_id") + F.ascii("transfer_lang"), F.lit(4))

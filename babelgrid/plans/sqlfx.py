@@ -49,11 +49,11 @@ FX: dict[str, tuple[list[str], str]] = {
         SELECT 'qa' AS task, lang, 'validation' AS split, lang || '-' || CAST(doc_id AS VARCHAR) AS id, doc_id,
                array_to_string(words[1:5], ' ') || '?' AS question,
                array_to_string(words, ' ') AS context,
-               CASE WHEN doc_id % 10 <> 9
+               CASE WHEN doc_id % 10 <> 9 AND len(words) > 0
                     THEN {'text': [array_to_string(words[a + 1:a + 3], ' ')],
                           'answer_start': [CAST(CASE WHEN a = 0 THEN 0 ELSE length(array_to_string(words[1:a], ' ')) + 1 END AS INTEGER)]}
                     ELSE {'text': []::VARCHAR[], 'answer_start': []::INTEGER[]} END AS answers
-        FROM (SELECT *, CAST(doc_id % (len(words) - 3) AS INTEGER) AS a FROM fx_qa_w WHERE len(words) >= 12)"""),
+        FROM (SELECT *, CAST(doc_id % greatest(len(words) - 3, 1) AS INTEGER) AS a FROM fx_qa_w)"""),
     "fx_qa_langs": (["fx_qa"], "SELECT DISTINCT task, lang AS transfer_lang FROM fx_qa"),
     "fx_qapred": (["fx_qa", "fx_qa_langs"], """
         SELECT q.task, 'fixture' AS model, t.transfer_lang, q.lang AS task_lang, q.id, s.seq,
@@ -63,7 +63,7 @@ FX: dict[str, tuple[list[str], str]] = {
                          WHEN 1 THEN array_to_string(string_split(q.ans, ' ')[1:2], ' ')
                          WHEN 2 THEN 'the ' || q.ans || '.'
                          ELSE q.question END END AS pred_text
-        FROM (SELECT *, answers.text[1] AS ans FROM fx_qa WHERE doc_id % 10 <> 9 AND doc_id % 17 <> 0) q
+        FROM (SELECT *, coalesce(answers.text[1], '') AS ans FROM fx_qa WHERE doc_id % 10 <> 9 AND doc_id % 17 <> 0) q
         JOIN fx_qa_langs t ON q.task = t.task
         CROSS JOIN (VALUES (0), (1)) s(seq)"""),
     "fx_span": ([], """
