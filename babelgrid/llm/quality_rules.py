@@ -210,7 +210,8 @@ def estimates(stats: DataFrame, lang: str = "lang", source: str = "source", step
         at = p.alias("x").join(est.alias("e"), "g").select("g", F.col("x.n").alias("n"), *[
             (F.col(f"x.x{i}") - F.col(f"e.m{i}")).alias(f"u{i}") for i in range(_P)],
             _bin(_distance("x", "e")).alias("bin"))
-        cut = _at_share(at.groupBy("g", "bin").agg(F.sum("n").alias("n")), ["g"], SUBSET, "cut")
+        # a table of its own, so that its size is known and no row is shuffled to its group's cut
+        cut = materialize(_at_share(at.groupBy("g", "bin").agg(F.sum("n").alias("n")), ["g"], SUBSET, "cut"), "mcd-cut")
         inside = at.join(cut, "g").where(F.col("bin") <= F.col("cut"))
         sums = inside.groupBy("g").agg(
             F.sum("n").alias("k"), *[F.sum(F.col("n") * F.col(f"u{i}")).alias(f"s{i}") for i in range(_P)],
