@@ -10,9 +10,10 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from babelgrid.session import build_session
+    from babelgrid.session import build_session, drop_scratch
     s = build_session("local[4]", 8)
     yield s
+    drop_scratch(s)
     s.stop()
 
 
