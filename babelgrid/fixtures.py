@@ -30,6 +30,7 @@ NER_DROP_BELOW = 3             # of 16 hash values
 NER_DROP_BELOW_IN_LANG = 1
 # Entity type of a word by the first hex digit of md5(word).
 NER_TYPE_BY_DIGIT = {"0": "PER", "1": "PER", "2": "ORG", "3": "LOC"}
+NER_DATE_DIGIT = "4"           # only in label sets with dates
 MASK_EVERY = 7                 # label masked where pos % 7 == 6
 QA_UNANSWERABLE_MOD = 9        # doc_id % 10 == 9 -> no gold answer
 QA_MISSING_PRED_MOD = 17       # doc_id % 17 == 0 -> no prediction
@@ -176,20 +177,22 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "lang", "line", ws_tokens("line_text").alias("tokens"))
 
 
-def _word_type(w: Column) -> Column:
+def _word_type(w: Column, types: dict[str, str]) -> Column:
     digit = F.substring(F.md5(w), 1, 1)
     expr = F.lit("O")
-    for d, t in sorted(NER_TYPE_BY_DIGIT.items(), reverse=True):
+    for d, t in sorted(types.items(), reverse=True):
         expr = F.when(digit == d, F.lit(t)).otherwise(expr)
     return expr
 
 
-def fx_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged sentences: tags by md5 of the word, B- where the type changes."""
+def fx_ner(spark: SparkSession, sf_dir: str, labels: list[str] = WIKIANN_LABELS) -> DataFrame:
+    """Tagged sentences: tags by md5 of the word, B- where the type changes;
+    label sets with dates tag a further share of the words."""
     s = _sentences(spark, sf_dir)
-    types = F.transform("tokens", _word_type)
+    by_digit = {**NER_TYPE_BY_DIGIT, **({NER_DATE_DIGIT: "DATE"} if "B-DATE" in labels else {})}
+    types = F.transform("tokens", lambda w: _word_type(w, by_digit))
     s = s.select("doc_id", "lang", "line", "tokens", types.alias("types"))
-    lab = F.array(*[F.lit(x) for x in WIKIANN_LABELS])
+    lab = F.array(*[F.lit(x) for x in labels])
 
     def tag_of(t, prev):
         bio = F.when(prev.isNull() | (prev != t), F.lit("B-")).otherwise(F.lit("I-"))
@@ -212,18 +215,23 @@ def _pos_hash(i: Column) -> Column:
     return F.pmod(F.col("_h") + i * 7, F.lit(16))
 
 
-def fx_ner_pred(spark: SparkSession, sf_dir: str, ner: DataFrame | None = None) -> DataFrame:
-    """Per transfer language: gold ids (masked every 7th position) and
-    predictions that turn some tokens into ``O``."""
-    ner = ner if ner is not None else fx_ner(spark, sf_dir)
+def fx_ner_gold(spark: SparkSession, sf_dir: str, labels: list[str] = WIKIANN_LABELS) -> DataFrame:
+    """Gold ids with every 7th position masked."""
+    masked = F.transform("tags", lambda t, i: F.when(F.pmod(i, F.lit(MASK_EVERY)) == MASK_EVERY - 1, F.lit(IGNORE_INDEX)).otherwise(t))
+    return fx_ner(spark, sf_dir, labels).withColumn("labels", masked)
+
+
+def fx_ner_pred(spark: SparkSession, sf_dir: str, gold: DataFrame | None = None) -> DataFrame:
+    """Per transfer language: the gold rows (with whatever was derived from
+    them) and predictions that turn some tokens into ``O``."""
+    gold = gold if gold is not None else fx_ner_gold(spark, sf_dir)
     langs = _sentence_langs(spark, sf_dir, "ner")
-    rows = with_transfer_languages(ner, langs)
+    rows = with_transfer_languages(gold, langs)
     rows = rows.withColumn("_h", F.col("doc_id") * 31 + F.col("line") * 17 + F.ascii("transfer_lang") * 13)
     thr = F.when(F.col("transfer_lang") == F.col("lang"), F.lit(NER_DROP_BELOW_IN_LANG)).otherwise(F.lit(NER_DROP_BELOW))
     pred = F.transform("tags", lambda t, i: F.when(_pos_hash(i) < thr, F.lit(0)).otherwise(t))
-    labels = F.transform("tags", lambda t, i: F.when(F.pmod(i, F.lit(MASK_EVERY)) == MASK_EVERY - 1, F.lit(IGNORE_INDEX)).otherwise(t))
     return rows.select("task", F.lit(MODEL).alias("model"), "transfer_lang", F.col("lang").alias("task_lang"), "id",
-                       "tokens", "tags", labels.alias("labels"), pred.alias("pred_tags"))
+                       "tokens", "tags", "labels", pred.alias("pred_tags"), *[c for c in ("te", "nt") if c in gold.columns])
 
 
 _HEX = "0123456789abcdef"

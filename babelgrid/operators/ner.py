@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import IGNORE_INDEX
-from ..functions.text import strip
+from ..functions.text import strip, ws_tokens
 from .qa import multiset_overlap
 
 
@@ -20,24 +20,43 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def _label_tables(labels: list[str]) -> tuple[list[str], Column, Column]:
-    """Entity type names, and per label id: type index (0 = ``O``) and B flag."""
+def type_names(labels: list[str]) -> list[str]:
+    """Entity type names in label order; type index k is the k-th of them, 0 is ``O``."""
     types: list[str] = []
     for lab in labels:
         if lab != "O" and lab[2:] not in types:
             types.append(lab[2:])
-    type_of = F.array(*[F.lit(0 if lab == "O" else types.index(lab[2:]) + 1) for lab in labels])
-    is_b = F.array(*[F.lit(lab.startswith("B-")) for lab in labels])
-    return types, type_of, is_b
+    return types
 
 
 def _codes(labels: list[str]) -> Column:
     """Per label id one integer: 2 * type index + (1 if ``B-``); ``O`` is 0."""
-    types, _, _ = _label_tables(labels)
+    types = type_names(labels)
     return F.array(*[F.lit(0 if lab == "O" else 2 * (types.index(lab[2:]) + 1) + int(lab.startswith("B-")))
                      for lab in labels])
 
 
+#: Digits of an entity's long: type below 2**8, end below 2**28, then the start.
+_TYPE_SPAN, _END_SPAN = 1 << 8, 1 << 28
+
+
+def entity(kind: Column, start: Column, end: Column) -> Column:
+    """An entity as one long that is equal for equal (type, start, end)."""
+    return (start.cast("long") * _END_SPAN + end.cast("long")) * _TYPE_SPAN + kind.cast("long")
+
+
+def entity_type(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(_TYPE_SPAN - 1))
+
+
+def entity_start(e: Column) -> Column:
+    return F.shiftright(e, 36)
+
+
+def entity_end(e: Column) -> Column:
+    return F.shiftright(e, 8).bitwiseAND(F.lit(_END_SPAN - 1))
+
+
 def shifted(a: Column, by: int, fill: Column) -> Column:
     """``a`` moved ``by`` places: by=+1 gives the previous element at each
     position (``fill`` first), by=-1 the next one (``fill`` last).
@@ -53,14 +72,22 @@ def shifted(a: Column, by: int, fill: Column) -> Column:
 
 def with_entities(df: DataFrame, ids: str, out: str, labels: list[str]) -> DataFrame:
     """H6 chunking of a label-id array column into ``out``:
-    array<struct<type (index), start, end>>.
+    array<struct<type (index), start, end>>."""
+    df = with_entity_codes(df, ids, out, labels)
+    return df.withColumn(out, F.transform(out, lambda e: F.struct(
+        entity_type(e).cast("int").alias("type"), entity_start(e).cast("int").alias("start"),
+        entity_end(e).cast("int").alias("end"))))
+
+
+def with_entity_codes(df: DataFrame, ids: str, out: str, labels: list[str]) -> DataFrame:
+    """H6 chunking of a label-id array column into ``out``: one long per
+    entity (see ``entity``), so that entities are matched by hashing.
 
     A token opens a chunk iff it is not ``O`` and (its prefix is ``B``, or it
     is the first token, or the previous token is ``O`` or of another type).
     A chunk ends at a non-``O`` token whose successor does not continue it;
     the k-th start pairs with the k-th end.  Every token is one integer code
-    (2 * type + B flag), so each pass is an integer lambda; structs are built
-    per entity only.  Each intermediate array is its own projection and is
+    (2 * type + B flag), so each pass is an integer lambda.  Each intermediate array is its own projection and is
     referenced several times, so the optimizer keeps it as a column: array
     lambdas are interpreted and would otherwise recompute repeated
     subexpressions.
@@ -76,44 +103,74 @@ def with_entities(df: DataFrame, ids: str, out: str, labels: list[str]) -> DataF
     df = df.withColumn(k, F.zip_with(F.col(c), cont, lambda x, nx: (x > 1) & ~nx))
     starts = F.filter(F.transform(o, lambda v, i: F.when(v, i)), lambda x: x.isNotNull())
     ends = F.filter(F.transform(k, lambda v, i: F.when(v, i)), lambda x: x.isNotNull())
-    df = df.withColumn(out, F.zip_with(starts, ends, lambda st, e: F.struct(
-        F.floor(F.get(F.col(c), st) / 2).cast("int").alias("type"), st.alias("start"), e.alias("end"))))
+    df = df.withColumn(out, F.zip_with(starts, ends, lambda st, e: entity(
+        F.floor(F.get(F.col(c), st) / 2), st, e)))
     return df.drop(c, o, k)
 
 
+def _kept(labels: Column) -> Column:
+    return F.filter(labels, lambda x: x != F.lit(IGNORE_INDEX))
+
+
+def _of_type(arr: str, k: int) -> Column:
+    return F.size(F.filter(arr, lambda e: entity_type(e) == k))
+
+
+def _counts_of(arr: str, n_types: int) -> Column:
+    return F.array(*[_of_type(arr, k) for k in range(1, n_types + 1)])
+
+
+def gold_entities(gold: DataFrame, labels: list[str], label_arr: str = "labels") -> DataFrame:
+    """``gold`` with ``te``, its entities after dropping the ignore index, and
+    ``nt``, their number per type.  Run it before rows meet the predictions of
+    several models or transfer languages: it is the same for all of them."""
+    z = with_entity_codes(gold.withColumn("_tl", _kept(F.col(label_arr))), "_tl", "te", labels).drop("_tl")
+    return z.withColumn("nt", _counts_of("te", len(type_names(labels))))
+
+
+def token_counts(preds: DataFrame, pred_arr: str = "pred_tags", label_arr: str = "labels") -> tuple[Column, Column]:
+    """Per row: positions outside the ignore index with an equal prediction, and all of them."""
+    hits = F.zip_with(label_arr, pred_arr, lambda a, b: (a != F.lit(IGNORE_INDEX)) & (a == b))
+    return F.size(F.filter(hits, lambda x: x)), F.size(_kept(F.col(label_arr)))
+
+
 def ner_rows(preds: DataFrame, cell: list[str], labels: list[str], pred_arr: str = "pred_tags",
              label_arr: str = "labels") -> DataFrame:
-    """Per sentence: (pred, label) pairs left after dropping the ignore index
-    (re-indexed), true / predicted entities (type index) and their matches."""
-    lab = F.col(label_arr)
-    z = preds.select(*cell, "id", F.filter(label_arr, lambda x: x != F.lit(IGNORE_INDEX)).alias("tl"),
-                     F.filter(pred_arr, lambda p, i: F.get(lab, i) != F.lit(IGNORE_INDEX)).alias("pl"))
-    z = z.withColumn("correct", F.size(F.filter(F.zip_with("tl", "pl", lambda a, b: a == b), lambda x: x))) \
-         .withColumn("tokens", F.size("tl"))
-    z = with_entities(z, "tl", "te", labels)
-    z = with_entities(z, "pl", "pe", labels)
-    return z.select(*cell, "id", "correct", "tokens", "te", "pe", F.array_intersect("te", "pe").alias("me"))
-
-
-def _type_counts(rows: DataFrame, cell: list[str]) -> DataFrame:
-    """One pass over the sentences: per (cell, type index) true / predicted /
-    matched entity counts, plus type 0 carrying the token accuracy counts."""
-    def tagged(arr, t, p, tp):
-        return F.transform(arr, lambda e: F.struct(e["type"].alias("type"), F.lit(t).alias("t"), F.lit(p).alias("p"),
-                                                   F.lit(tp).alias("tp"), F.lit(0).alias("c"), F.lit(0).alias("n")))
-    tok = F.array(F.struct(F.lit(0).alias("type"), F.lit(0).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("tp"),
-                           F.col("correct").alias("c"), F.col("tokens").alias("n")))
-    # inline_outer: never empty here (the token row), and no inferred filter
-    ex = rows.select(*cell, F.inline_outer(F.concat(tagged(F.col("te"), 1, 0, 0), tagged(F.col("pe"), 0, 1, 0),
-                                              tagged(F.col("me"), 0, 0, 1), tok)))
-    return ex.groupBy(*cell, "type").agg(*[F.sum(c).cast("long").alias(c) for c in ("t", "p", "tp", "c", "n")])
-
-
-def _prf(g: DataFrame, labels: list[str], digits: int) -> DataFrame:
-    types, _, _ = _label_tables(labels)
-    g = g.filter(F.col("type") > 0)
-    g = _prf_cols(g)
-    return g.withColumn("type", F.element_at(F.array(*[F.lit(x) for x in types]), F.col("type")))
+    """Per sentence: token counts and, per type, the numbers of true,
+    predicted and matched entities (``nt``, ``np``, ``nm``) after dropping the
+    ignore index.  Rows from ``gold_entities`` keep its columns; others get them here."""
+    if "te" not in preds.columns:
+        preds = gold_entities(preds, labels, label_arr)
+    lab, n = F.col(label_arr), len(type_names(labels))
+    correct, tokens = token_counts(preds, pred_arr, label_arr)
+    z = preds.select(*cell, "te", "nt", correct.alias("correct"), tokens.alias("tokens"),
+                     F.filter(pred_arr, lambda p, i: F.get(lab, i) != F.lit(IGNORE_INDEX)).alias("_pl"))
+    z = with_entity_codes(z, "_pl", "pe", labels)
+    z = z.withColumn("me", F.array_intersect("te", "pe"))
+    return z.select(*cell, "correct", "tokens", "nt", _counts_of("pe", n).alias("np"), _counts_of("me", n).alias("nm"))
+
+
+def _type_counts(rows: DataFrame, cell: list[str], labels: list[str]) -> DataFrame:
+    """One aggregate over the sentences, without exploding entities: per (cell,
+    type index) true / predicted / matched entity counts, plus type 0 carrying
+    the token counts.  Types without an entity on either side have no row."""
+    n = len(type_names(labels))
+    sums = [F.sum(F.get(arr, k)).alias(f"{arr}{k}") for arr in ("nt", "np", "nm") for k in range(n)]
+    g = rows.groupBy(*cell).agg(F.sum("correct").alias("correct"), F.sum("tokens").alias("tokens"), *sums)
+
+    def row(k, t, p, tp, c, m):
+        return F.struct(F.lit(k).alias("type"), *[F.coalesce(x, F.lit(0)).cast("long").alias(a) for a, x in
+                                                  (("t", t), ("p", p), ("tp", tp), ("c", c), ("n", m))])
+    zero = F.lit(0)
+    out = [row(0, zero, zero, zero, F.col("correct"), F.col("tokens"))]
+    out += [row(k + 1, F.col(f"nt{k}"), F.col(f"np{k}"), F.col(f"nm{k}"), zero, zero) for k in range(n)]
+    g = g.select(*cell, F.inline(F.array(*out)))
+    return g.where((F.col("type") == 0) | (F.col("t") + F.col("p") > 0))
+
+
+def _prf(g: DataFrame, labels: list[str]) -> DataFrame:
+    g = _prf_cols(g.filter(F.col("type") > 0))
+    return g.withColumn("type", F.element_at(F.array(*[F.lit(x) for x in type_names(labels)]), F.col("type")))
 
 
 def _prf_cols(g: DataFrame) -> DataFrame:
@@ -127,7 +184,7 @@ def _prf_cols(g: DataFrame) -> DataFrame:
 
 def type_prf(rows: DataFrame, cell: list[str], labels: list[str], digits: int = 6) -> DataFrame:
     """Per (cell, entity type): true / predicted / matched counts, P, R, F1."""
-    g = _prf(_type_counts(rows, cell), labels, digits)
+    g = _prf(_type_counts(rows, cell, labels), labels)
     return g.select(*cell, "type", F.col("t").alias("n_true"), F.col("p").alias("n_pred"), "tp",
                     F.round("precision", digits).alias("precision"), F.round("recall", digits).alias("recall"), "f1")
 
@@ -135,17 +192,25 @@ def type_prf(rows: DataFrame, cell: list[str], labels: list[str], digits: int =
 def ner_grid(preds: DataFrame, cell: list[str], labels: list[str], digits: int = 6) -> DataFrame:
     """H7 + H8: macro-over-types F1 (0 when no entity on either side) and
     token accuracy per cell, from a single aggregate over the sentences."""
-    g = _type_counts(ner_rows(preds, cell, labels), cell)
+    g = _type_counts(ner_rows(preds, cell, labels), cell, labels)
     # one more (tiny) aggregate: token accuracy from type 0, macro F1 over the
     # entity types; both from the same per-type counts
     prf = _prf_cols(g)
     out = prf.groupBy(*cell).agg(
-        (F.sum(F.when(F.col("type") == 0, F.col("c"))) / F.sum(F.when(F.col("type") == 0, F.col("n")))).alias("accuracy"),
+        F.try_divide(F.sum("c"), F.sum("n")).alias("accuracy"),
         F.avg(F.when(F.col("type") > 0, F.col("f1"))).alias("f1_score"))
     return out.select(*cell, F.round("accuracy", digits).alias("accuracy"),
                       F.round(F.coalesce("f1_score", F.lit(0.0)), digits).alias("f1_score"))
 
 
+def token_accuracy_grid(preds: DataFrame, cell: list[str], digits: int = 6) -> DataFrame:
+    """H8 alone: share of right tokens outside the ignore index per cell."""
+    correct, tokens = token_counts(preds)
+    g = preds.select(*cell, correct.alias("c"), tokens.alias("n")).groupBy(*cell).agg(
+        F.try_divide(F.sum("c"), F.sum("n")).alias("accuracy"))
+    return g.select(*cell, F.round("accuracy", digits).alias("accuracy"))
+
+
 def tag_string_scores(gold: Column, pred: Column, g: Column, p: Column) -> tuple[Column, Column]:
     """H13 / H14 for generated tag strings: exact stripped match and the
     tag-multiset F1 (0 on zero division).  ``g`` / ``p`` are the whitespace
@@ -158,6 +223,22 @@ def tag_string_scores(gold: Column, pred: Column, g: Column, p: Column) -> tuple
     return em, f1
 
 
+def generated_tags_grid(rows: DataFrame, cell: list[str], gold: str, pred: str, digits: int = 6) -> DataFrame:
+    """H13 + H14 over decoded strings: mean exact match of the stripped strings
+    and mean tag-multiset F1 of their white-space tokens per cell.  A null
+    string counts as empty."""
+    g, p = F.coalesce(gold, F.lit("")), F.coalesce(pred, F.lit(""))
+    z = rows.select(*cell, g.alias("_g"), p.alias("_p"), ws_tokens(g).alias("_gt"), ws_tokens(p).alias("_pt"))
+    z = z.withColumn("_tp", multiset_overlap(F.col("_pt"), F.col("_gt")))
+    em = (strip(F.col("_p")) == strip(F.col("_g"))).cast("int")
+    # 2PR / (P + R) with P = tp / |p| and R = tp / |g|
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("_tp"), F.size("_pt") + F.size("_gt")), F.lit(0.0))
+    out = z.select(*cell, em.alias("em"), f1.alias("f1")).groupBy(*cell).agg(
+        F.avg("em").alias("exact_match"), F.avg("f1").alias("f1_score"))
+    return out.select(*cell, F.round("exact_match", digits).alias("exact_match"),
+                      F.round("f1_score", digits).alias("f1_score"))
+
+
 def tag_string_grid(preds: DataFrame, cell: list[str], labels: list[str], digits: int = 6) -> DataFrame:
     """Generative NER: per row the target strings of gold and predicted tag ids
     (C6: non-``O`` tag names joined by a space, ``None`` when there are none),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.labels import WIKIANN_LABELS
+from ..functions.labels import MASAKHANER_LABELS, WIKIANN_LABELS
 from ..operators.classification import token_classification_grid
-from ..operators.ner import _label_tables, ner_grid, with_entities, ner_rows, tag_string_grid, type_prf
+from ..operators.ner import (generated_tags_grid, gold_entities, ner_grid, ner_rows, tag_string_grid,
+                             token_accuracy_grid, type_names, type_prf, with_entities)
 from .registry import register
-from .sqlfx import NER_LABELS_SQL, cls_metrics_sql, with_fx
+from .sqlfx import NER9_LABELS_SQL, NER_LABELS_SQL, cls_metrics_sql, with_fx
 
 CELL = ["task_lang", "transfer_lang"]
 
@@ -19,6 +20,12 @@ def _ner_pred(spark, sf_dir):
     return fx.fx_ner_pred(spark, sf_dir)
 
 
+def _ner_chunked(spark, sf_dir, labels=WIKIANN_LABELS):
+    """The same with gold entities found once, before rows meet the transfer languages."""
+    gold = gold_entities(fx.fx_ner_gold(spark, sf_dir, labels), labels)
+    return fx.fx_ner_pred(spark, sf_dir, gold)
+
+
 def _chunks_sql(src: str, part: str, order: str, name: str) -> str:
     """Entities of tag-name column ``name`` in ``src``, rows grouped by ``part``
     and ordered by ``order`` -> (part..., type, s, e)."""
@@ -38,7 +45,7 @@ SELECT id, type, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end" FROM {
                                   "fx_ner_tok"))
 def ner_entities(spark, sf_dir):
     """F4 input: gold entities (type, first token, last token) per sentence."""
-    types = F.array(*[F.lit(t) for t in _label_tables(WIKIANN_LABELS)[0]])
+    types = F.array(*[F.lit(t) for t in type_names(WIKIANN_LABELS)])
     n = with_entities(fx.fx_ner(spark, sf_dir).select("id", "tags"), "tags", "ents", WIKIANN_LABELS)
     n = n.select("id", F.inline_outer("ents")).filter(F.col("start").isNotNull())
     return n.select("id", F.element_at(types, F.col("type")).alias("type"), F.col("start").cast("int"), F.col("end").cast("int"))
@@ -69,23 +76,32 @@ SELECT task_lang, transfer_lang, type, CAST(n_true AS BIGINT) AS n_true, CAST(n_
 def ner_type_prf(spark, sf_dir):
     """H6: per entity type precision / recall / F1 (lenient IOB2 chunks, after
     dropping ignored positions)."""
-    rows = ner_rows(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
+    rows = ner_rows(_ner_chunked(spark, sf_dir), CELL, WIKIANN_LABELS)
     return type_prf(rows, CELL, WIKIANN_LABELS).withColumn("f1", F.round("f1", 6))
 
 
-@register("ner_macro_grid", with_fx(_NER_BASE + """
+_MACRO = """
 SELECT a.task_lang, a.transfer_lang, round(a.accuracy, 6) AS accuracy, round(coalesce(m.f1, 0.0), 6) AS f1_score
-FROM acc a LEFT JOIN (SELECT task_lang, transfer_lang, avg(f1) AS f1 FROM prf1 GROUP BY ALL) m USING (task_lang, transfer_lang)""",
-                                    "fx_ner_pred_tok"))
+FROM acc a LEFT JOIN (SELECT task_lang, transfer_lang, avg(f1) AS f1 FROM prf1 GROUP BY ALL) m USING (task_lang, transfer_lang)"""
+
+
+@register("ner_macro_grid", with_fx(_NER_BASE + _MACRO, "fx_ner_pred_tok"))
 def ner_macro_grid(spark, sf_dir):
     """H7 + H8: the (task_lang, transfer_lang, accuracy, f1_score) NER grid."""
-    return ner_grid(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS)
+    return ner_grid(_ner_chunked(spark, sf_dir), CELL, WIKIANN_LABELS)
+
+
+@register("ner_macro_grid_9", with_fx(_NER_BASE.replace(NER_LABELS_SQL, NER9_LABELS_SQL) + _MACRO, "fx_ner9_pred_tok")
+          .replace("FROM fx_ner_pred_tok", "FROM fx_ner9_pred_tok"))
+def ner_macro_grid_9(spark, sf_dir):
+    """H7 + H8 with the nine-tag label set."""
+    return ner_grid(_ner_chunked(spark, sf_dir, MASAKHANER_LABELS), CELL, MASAKHANER_LABELS)
 
 
 @register("ner_token_accuracy", with_fx(_NER_BASE + """
 SELECT task_lang, transfer_lang, round(accuracy, 6) AS accuracy FROM acc""", "fx_ner_pred_tok"))
 def ner_token_accuracy(spark, sf_dir):
-    return ner_grid(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS).select(*CELL, "accuracy")
+    return token_accuracy_grid(_ner_pred(spark, sf_dir), CELL)
 
 
 _TAGSTR = with_fx(f"""
@@ -117,6 +133,51 @@ def tag_exact_match(spark, sf_dir):
     return tag_string_grid(_ner_pred(spark, sf_dir), CELL, WIKIANN_LABELS).select(*CELL, "exact_match")
 
 
+_GENERATED = with_fx(f"""
+, strs AS (SELECT transfer_lang, task_lang, id, any_value(line) AS line,
+                  coalesce(string_agg({NER_LABELS_SQL}[tag + 1], ' ' ORDER BY pos) FILTER (WHERE tag <> 0), 'None') AS gold,
+                  string_agg({NER_LABELS_SQL}[pred + 1], '  ' ORDER BY pos) FILTER (WHERE pred <> 0) AS wide,
+                  string_agg({NER_LABELS_SQL}[pred + 1], ' ' ORDER BY pos) FILTER (WHERE pred <> 0) AS narrow
+           FROM fx_ner_pred_tok GROUP BY ALL),
+gen AS (SELECT transfer_lang, task_lang, id, gold,
+               CASE line % 4 WHEN 0 THEN narrow WHEN 1 THEN ' ' || coalesce(narrow, 'None') || chr(10)
+                             WHEN 2 THEN chr(9) || wide ELSE '' END AS pred FROM strs),
+s2 AS (SELECT *, list_filter(regexp_split_to_array(coalesce(pred, ''), '\\s+'), lambda x: x <> '') AS pt,
+              string_split(gold, ' ') AS gt FROM gen),
+gt AS (SELECT transfer_lang, id, tok, count(*) AS c FROM (SELECT transfer_lang, id, unnest(gt) AS tok FROM s2) GROUP BY ALL),
+pt AS (SELECT transfer_lang, id, tok, count(*) AS c FROM (SELECT transfer_lang, id, unnest(pt) AS tok FROM s2) GROUP BY ALL),
+cm AS (SELECT transfer_lang, id, sum(least(g.c, p.c)) AS tp FROM gt g JOIN pt p USING (transfer_lang, id, tok) GROUP BY ALL),
+sc AS (SELECT s.task_lang, s.transfer_lang,
+              CASE WHEN gold = regexp_replace(coalesce(pred, ''), '^\\s+|\\s+$', '', 'g') THEN 1 ELSE 0 END AS em,
+              CASE WHEN len(pt) > 0 THEN coalesce(c.tp, 0) / len(pt) ELSE 0 END AS p, coalesce(c.tp, 0) / len(gt) AS r
+       FROM s2 s LEFT JOIN cm c USING (transfer_lang, id))
+SELECT task_lang, transfer_lang, round(avg(em), 6) AS exact_match,
+       round(avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END), 6) AS f1_score
+FROM sc GROUP BY ALL""", "fx_ner_pred_tok")
+
+
+@register("generated_tags_grid", _GENERATED)
+def generated_tags_query(spark, sf_dir):
+    """H13 + H14 over decoded strings with blanks around and between the tags,
+    empty and missing ones."""
+    p = _ner_pred(spark, sf_dir).select(*CELL, "id", "tags", "pred_tags")
+    names = F.array(*[F.lit(x) for x in WIKIANN_LABELS])
+    none = F.lit(None).cast("string")
+
+    def tags(arr):
+        return F.transform(F.filter(arr, lambda x: x != 0), lambda x: F.get(names, x))
+
+    p = p.select(*CELL, "id", tags("tags").alias("g"), tags("pred_tags").alias("p"))
+    some = F.size("p") > 0
+    narrow, wide = F.when(some, F.array_join("p", " ")), F.when(some, F.array_join("p", "  "))
+    form = F.pmod(F.split_part("id", F.lit(":"), F.lit(2)).cast("int"), F.lit(4))
+    pred = (F.when(form == 0, narrow)
+            .when(form == 1, F.concat(F.lit(" "), F.coalesce(narrow, F.lit("None")), F.lit("\n")))
+            .when(form == 2, F.coalesce(F.concat(F.lit("\t"), wide), none)).otherwise(F.lit("")))
+    gold = F.when(F.size("g") > 0, F.array_join("g", " ")).otherwise(F.lit("None"))
+    return generated_tags_grid(p.select(*CELL, gold.alias("gold"), pred.alias("pred")), CELL, "gold", "pred")
+
+
 @register("pos_metrics_grid", with_fx(f"""
 SELECT task_lang, transfer_lang, accuracy, f1_score
 FROM {cls_metrics_sql('(SELECT task_lang, transfer_lang, label, pred FROM fx_pos_pred_tok WHERE label <> -100)', CELL)}""",

@@ -7,6 +7,7 @@ and uses window functions.  ``with_fx`` assembles the CTEs a query needs.
 
 from __future__ import annotations
 
+from ..functions.labels import MASAKHANER_LABELS, UPOS_LABELS, WIKIANN_LABELS
 from ..functions.text import WS_CLASS
 
 
@@ -20,15 +21,34 @@ def strip(x: str) -> str:
 
 SPLIT = "CASE WHEN {d} % 10 < 7 THEN 'train' WHEN {d} % 10 = 7 THEN 'validation' ELSE 'test' END"
 
-NER_LABELS_SQL = "['O', 'B-PER', 'I-PER', 'B-ORG', 'I-ORG', 'B-LOC', 'I-LOC']"
-UPOS_SQL = ("['ADJ', 'ADP', 'ADV', 'AUX', 'CCONJ', 'DET', 'INTJ', 'NOUN', 'NUM', 'PART', 'PRON', "
-            "'PROPN', 'PUNCT', 'SCONJ', 'SYM', 'VERB', 'X', '_']")
+NER_LABELS_SQL, NER9_LABELS_SQL, UPOS_SQL = str(WIKIANN_LABELS), str(MASAKHANER_LABELS), str(UPOS_LABELS)
 
 
 def _hex(ch: str) -> str:
     return f"(strpos('0123456789abcdef', {ch}) - 1)"
 
 
+def _ner_tok(labels: str, more: str = "") -> str:
+    return f"""
+        SELECT doc_id, line, lang, id, pos, tok,
+               CASE WHEN typ = 'O' THEN 0
+                    ELSE list_position({labels},
+                         CASE WHEN pos = 0 OR prev_typ <> typ THEN 'B-' ELSE 'I-' END || typ) - 1 END AS tag
+        FROM (SELECT *, lag(typ) OVER (PARTITION BY id ORDER BY pos) AS prev_typ
+              FROM (SELECT *, CASE substr(md5(tok), 1, 1) WHEN '0' THEN 'PER' WHEN '1' THEN 'PER'
+                                   WHEN '2' THEN 'ORG' WHEN '3' THEN 'LOC' {more} ELSE 'O' END AS typ
+                    FROM (SELECT doc_id, line, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)))"""
+
+
+def _ner_pred(tok: str) -> str:
+    return f"""
+        SELECT t.transfer_lang, n.lang AS task_lang, n.id, n.line, n.pos, n.tok, n.tag,
+               CASE WHEN n.pos % 7 = 6 THEN -100 ELSE n.tag END AS label,
+               CASE WHEN (n.doc_id * 31 + n.line * 17 + ascii(t.transfer_lang) * 13 + n.pos * 7) % 16
+                         < CASE WHEN t.transfer_lang = n.lang THEN 1 ELSE 3 END THEN 0 ELSE n.tag END AS pred
+        FROM {tok} n CROSS JOIN fx_ner_langs t"""
+
+
 FX: dict[str, tuple[list[str], str]] = {
     "fx_cls": ([], f"""
         SELECT 'cls' AS task, d.lang, {SPLIT.format(d='d.doc_id')} AS split,
@@ -80,22 +100,11 @@ FX: dict[str, tuple[list[str], str]] = {
     "fx_sent": (["fx_lines"], f"""
         SELECT doc_id, lang, line, CAST(doc_id AS VARCHAR) || ':' || CAST(line AS VARCHAR) AS id, toks AS tokens
         FROM (SELECT *, {words('line_text')} AS toks FROM fx_lines) WHERE len(toks) > 0"""),
-    "fx_ner_tok": (["fx_sent"], f"""
-        SELECT doc_id, line, lang, id, pos, tok,
-               CASE WHEN typ = 'O' THEN 0
-                    ELSE list_position({NER_LABELS_SQL},
-                         CASE WHEN pos = 0 OR prev_typ <> typ THEN 'B-' ELSE 'I-' END || typ) - 1 END AS tag
-        FROM (SELECT *, lag(typ) OVER (PARTITION BY id ORDER BY pos) AS prev_typ
-              FROM (SELECT *, CASE substr(md5(tok), 1, 1) WHEN '0' THEN 'PER' WHEN '1' THEN 'PER'
-                                   WHEN '2' THEN 'ORG' WHEN '3' THEN 'LOC' ELSE 'O' END AS typ
-                    FROM (SELECT doc_id, line, lang, id, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok FROM fx_sent)))"""),
+    "fx_ner_tok": (["fx_sent"], _ner_tok(NER_LABELS_SQL)),
+    "fx_ner9_tok": (["fx_sent"], _ner_tok(NER9_LABELS_SQL, "WHEN '4' THEN 'DATE'")),
     "fx_ner_langs": (["fx_sent"], "SELECT DISTINCT lang AS transfer_lang FROM fx_sent"),
-    "fx_ner_pred_tok": (["fx_ner_tok", "fx_ner_langs"], """
-        SELECT t.transfer_lang, n.lang AS task_lang, n.id, n.pos, n.tok, n.tag,
-               CASE WHEN n.pos % 7 = 6 THEN -100 ELSE n.tag END AS label,
-               CASE WHEN (n.doc_id * 31 + n.line * 17 + ascii(t.transfer_lang) * 13 + n.pos * 7) % 16
-                         < CASE WHEN t.transfer_lang = n.lang THEN 1 ELSE 3 END THEN 0 ELSE n.tag END AS pred
-        FROM fx_ner_tok n CROSS JOIN fx_ner_langs t"""),
+    "fx_ner_pred_tok": (["fx_ner_tok", "fx_ner_langs"], _ner_pred("fx_ner_tok")),
+    "fx_ner9_pred_tok": (["fx_ner9_tok", "fx_ner_langs"], _ner_pred("fx_ner9_tok")),
     "fx_pos_tok": (["fx_sent"], f"""
         SELECT doc_id, line, lang, id, pos, tok,
                coalesce({UPOS_SQL}[((({_hex('substr(md5(tok), 1, 1)')}) * 16 + {_hex('substr(md5(tok), 2, 1)')}) % 19) + 1], 'UNK') AS upos
