@@ -15,10 +15,13 @@ windows by relational operators:
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS, strip, ws_tokens
+from ..session import materialize
 from .joins import join_dim
 
 # --- fixed values: special tokens and sequence limits ---------------------------
@@ -45,20 +48,23 @@ def _not_ws() -> str:
 def build_vocab(tokens: DataFrame, token_col: str = "token") -> DataFrame:
     """(token, cnt, token_id): ids by (count desc, token asc) after the specials.
 
-    The global rank is computed without a single-partition sort of the
-    vocabulary: tokens are bucketed by (count, first two characters); a small
-    table of bucket sizes gives each bucket its offset, and the rank inside a
-    bucket is a window partitioned by bucket.
+    Distinct tokens are range-partitioned and sorted by that order and written
+    once with their place in their partition; the sizes of the partitions (one
+    row each, whatever the vocabulary) give every partition its offset.
     """
     counts = tokens.groupBy(F.col(token_col).alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
-    counts = counts.withColumn("pfx", F.substring("token", 1, 2))
-    buckets = counts.groupBy("cnt", "pfx").agg(F.count(F.lit(1)).alias("bn"))
-    # bucket table: one row per distinct (count, prefix), tiny next to the vocabulary
-    ordered = Window.orderBy(F.col("cnt").desc(), F.col("pfx")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = buckets.select("cnt", "pfx", F.coalesce(F.sum("bn").over(ordered), F.lit(0)).alias("off"))
-    ranked = join_dim(counts, offsets, ["cnt", "pfx"])
-    inner = Window.partitionBy("cnt", "pfx").orderBy("token")
-    return ranked.select("token", "cnt", (F.lit(FIRST_WORD_ID) + F.col("off") + F.row_number().over(inner) - 1).cast("int").alias("token_id"))
+    order = [F.col("cnt").desc(), F.col("token")]
+    ranked = counts.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the partition number is in the upper bits of the id, the place in the lower 33
+    ranked = materialize(ranked.withColumn("at", F.monotonically_increasing_id()), "vocabulary")
+    ranked = ranked.withColumn("part", F.shiftright("at", 33))
+    sizes = sorted(ranked.groupBy("part").count().collect())
+    before = accumulate((n for _, n in sizes), initial=0)
+    offsets = tokens.sparkSession.createDataFrame([(k, off) for (k, _), off in zip(sizes, before)],
+                                                  "part long, off long")
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranked.join(F.broadcast(offsets), "part").select(
+        "token", "cnt", (F.lit(FIRST_WORD_ID) + F.col("off") + place).cast("int").alias("token_id"))
 
 
 EXAMPLE_KEYS = ("task", "lang", "id")

@@ -37,6 +37,22 @@ def bucketed_row_number(df: DataFrame, part: list[str], buckets: list[Column], b
     return j.withColumn(name, (F.col("_off") + F.row_number().over(inner)).cast("long")).drop("_off", *bnames)
 
 
+def first_rows(df: DataFrame, group: list[str], order: list[Column], n: int, name: str = "rank",
+               salts: int = 64) -> DataFrame:
+    """The first ``n`` rows of each group by ``order``, numbered from 1 as ``name``.
+
+    Two limits: within (group, a salt of the input partition) and then within
+    the group.  The literal bound is applied before each shuffle, so the last
+    task of a group sorts at most ``salts * n`` rows however many tasks read
+    the group, repeated keys included.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    near = Window.partitionBy(*group, "_salt").orderBy(*order)
+    few = salted.withColumn("_near", F.row_number().over(near)).filter(F.col("_near") <= n).drop("_near", "_salt")
+    w = Window.partitionBy(*group).orderBy(*order)
+    return few.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+
+
 def block_running_max(df: DataFrame, part: list[str], idx: str, value: str, block: int, name: str,
                       include_current: bool = False) -> DataFrame:
     """Running ``max(value)`` over earlier rows (by integer ``idx``) of each group.

@@ -2,18 +2,17 @@
 
 Rows are ranked per group by ``md5(seed ':' key)`` (a hash both Spark and
 SQL engines compute identically), never by ``sample()``, which is inexact.
-The per-group rank only has to be exact among the first n rows, so the window
-filter ``rank <= n`` is planned with a map-side WindowGroupLimit: a group of
-any size ships at most n rows per task into the shuffle.
+The per-group rank only has to be exact among the first n rows, so it is taken
+in two limited steps (``ranking.first_rows``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import join_dim
-from .ranking import bucketed_row_number
+from .ranking import bucketed_row_number, first_rows
 
 SEED = "42"   # fixed value: the seed of the reference sampler
 
@@ -33,8 +32,7 @@ def sample_exact_n(df: DataFrame, group: list[str], key: str, n: int, seed: str
     rows.  Adds ``copy`` (1-based) and ``rank``.
     """
     sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    w = Window.partitionBy(*group).orderBy(hash_key(F.col(key), seed), F.col(key))
-    top = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    top = first_rows(df, group, [hash_key(F.col(key), seed), F.col(key)], n)
     top = join_dim(top, sizes, group)
     copies = F.when(F.col("_size") >= n, F.lit(1)).otherwise(
         F.floor(F.lit(n) / F.col("_size")).cast("int") + F.when(F.col("rank") <= F.lit(n) % F.col("_size"), 1).otherwise(0))
@@ -42,22 +40,26 @@ def sample_exact_n(df: DataFrame, group: list[str], key: str, n: int, seed: str
     return out.drop("_size")
 
 
+#: Rows that one task numbers in a seeded shuffle, on average.
+ROWS_PER_BUCKET = 1 << 18
+
+
 def seeded_shuffle(df: DataFrame, group: list[str], key: str, copy: str = "copy", seed: str = SEED,
-                   buckets_chars: int = 2) -> DataFrame:
+                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """A seeded permutation within each group, as ``shuffle_key`` (hash)
     and ``shuffle_rank`` (1-based position).
 
-    The rank is computed in hash buckets (first hex digits of the key), so a
-    huge group is spread over many tasks.
+    The rank is computed in ranges of the hash, as many as the group's size
+    asks for, so a huge group is spread over many tasks.
     """
-    d = df.withColumn("shuffle_key", hash_key(F.col(key), seed, F.col(copy)))
-    b = F.substring("shuffle_key", 1, buckets_chars).alias("_hb")
-    return bucketed_row_number(d, group, [b], [F.col("_hb")], [F.col("shuffle_key"), F.col(key), F.col(copy)], "shuffle_rank")
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    d = join_dim(df.withColumn("shuffle_key", hash_key(F.col(key), seed, F.col(copy))), sizes, group)
+    head = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long")
+    b = F.shiftright(head * F.ceil(F.col("_size") / F.lit(rows_per_bucket)), 32).alias("_hb")
+    return bucketed_row_number(d, group, [b], [F.col("_hb")], [F.col("shuffle_key"), F.col(key), F.col(copy)],
+                               "shuffle_rank").drop("_size")
 
 
 def cap_per_group(df: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
-    """The first ``n`` rows of each group by ``order``.  The literal bound
-    lets Spark plan a map-side WindowGroupLimit, so each task ships at most
-    ``n`` rows per group into the shuffle."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    """The first ``n`` rows of each group by ``order``."""
+    return first_rows(df, group, [F.col(c) for c in order], n, "_rn").drop("_rn")

@@ -12,11 +12,11 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from .. import fixtures as fx
 from ..operators.classification import argmax, classification_grid
-from ..operators.qa import last_prediction
 from ..operators.scoring import compute_metrics, linear_model, score
 from ..session import materialize
 from ..sources import io
 from ..streaming.grid_stream import run_once
+from .q_qa import SQUAD_SQL, qa_squad_grid
 from .registry import register
 from .sqlfx import cls_metrics_sql, with_fx
 
@@ -36,8 +36,26 @@ def land_partitioned(spark, sf_dir):
 @register("discover_languages", with_fx("SELECT DISTINCT lang FROM fx_cls", "fx_cls"))
 def discover_languages(spark, sf_dir):
     """Languages of a landed table, from its partition values."""
+    rows = fx.fx_cls(spark, sf_dir).select("task", "lang", "split", "id")
+    return io.discover_languages(spark, io.land_partitioned(rows, io.scratch_path(spark, "cls_examples")))
+
+
+@register("land_partitioned_texts", with_fx("SELECT id, lang, split, label, md5(text) AS text_md5 FROM fx_cls", "fx_cls"))
+def land_partitioned_texts(spark, sf_dir):
+    """Every partition read back, texts by their hash."""
     path = io.land_partitioned(fx.fx_cls(spark, sf_dir), io.scratch_path(spark, "cls_examples"))
-    return io.discover_languages(spark, path)
+    return io.read_language(spark, path).select("id", "lang", "split", "label", F.md5("text").alias("text_md5"))
+
+
+@register("lang_split_csv_texts", with_fx("SELECT id, lang, split, label, md5(text) AS text_md5 FROM fx_cls", "fx_cls"))
+def lang_split_csv_texts(spark, sf_dir):
+    """A3: one-line CSV written per language and split and read back whole,
+    texts by their hash."""
+    c = fx.fx_cls(spark, sf_dir).select("lang", "split", "id", "text", "label")
+    path = io.write_lang_split_csv(c, io.scratch_path(spark, "cls_lines"))
+    schema = StructType([StructField("id", StringType()), StructField("text", StringType()), StructField("label", LongType())])
+    back = io.read_one_line_csv(spark, path, schema)
+    return back.select("id", "lang", "split", F.col("label").cast("int").alias("label"), F.md5("text").alias("text_md5"))
 
 
 _GRID_SCHEMA = StructType([StructField("task_lang", StringType()), StructField("accuracy", DoubleType()),
@@ -55,50 +73,35 @@ def grid_roundtrip_csv(spark, sf_dir):
     return back.select(*CELL, "accuracy", "f1_score")
 
 
-_QA_GRID_SQL = """
-, fin AS (SELECT task, transfer_lang, task_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL)"""
-
-
-@register("grid_union", with_fx(f"""
-SELECT 'cls' AS task, task_lang, transfer_lang, accuracy, CAST(NULL AS DOUBLE) AS exact_match, f1_score
-FROM ({_GRID_SQL})
+@register("grid_union", f"""
+SELECT 'cls' AS task, 'fixture' AS model, task_lang, transfer_lang, accuracy, CAST(NULL AS DOUBLE) AS exact_match, f1_score,
+       'cls/transfer_lang=' || transfer_lang AS source_file
+FROM ({with_fx(_GRID_SQL, 'fx_pred')})
 UNION ALL
-SELECT 'qa' AS task, task_lang, transfer_lang, CAST(NULL AS DOUBLE) AS accuracy, 0.0 + round(100.0 * avg(hit), 6) AS exact_match,
-       CAST(NULL AS DOUBLE) AS f1_score
-FROM (SELECT q.lang AS task_lang, t.transfer_lang,
-             CASE WHEN f.pred_text IS NOT NULL AND f.pred_text = coalesce(q.answers.text[1], '') THEN 1 ELSE 0 END AS hit
-      FROM fx_qa q JOIN (SELECT DISTINCT task, lang AS transfer_lang FROM fx_qa) t ON q.task = t.task
-      LEFT JOIN (SELECT task, transfer_lang, task_lang, id, arg_max(pred_text, seq) AS pred_text FROM fx_qapred GROUP BY ALL) f
-        ON f.task = q.task AND f.transfer_lang = t.transfer_lang AND f.task_lang = q.lang AND f.id = q.id)
-GROUP BY ALL""", "fx_pred", "fx_qapred"))
+SELECT 'qa', 'fixture', task_lang, transfer_lang, CAST(NULL AS DOUBLE), exact_match, f1_score,
+       'qa/transfer_lang=' || transfer_lang
+FROM ({SQUAD_SQL})""")
 def grid_union(spark, sf_dir):
     """I2 + A10: grids with different metric columns written as files, read
-    back and unioned by name (missing metrics NULL), one aggregated CSV."""
-    cls = classification_grid(fx.fx_pred(spark, sf_dir), CELL).select(*CELL, "accuracy", "f1_score")
-    qa = materialize(fx.fx_qa(spark, sf_dir), "fx_qa")
-    fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), ["task", "transfer_lang", "task_lang", "id"])
-    langs = qa.select("task", F.col("lang").alias("transfer_lang")).distinct()
-    rows = fx.with_transfer_languages(qa.select("task", F.col("lang").alias("task_lang"), "id",
-                                                F.coalesce(F.get(F.col("answers.text"), 0), F.lit("")).alias("gold")), langs)
-    rows = rows.join(fin, ["task", "transfer_lang", "task_lang", "id"], "left")
-    hit = (F.col("pred_text").isNotNull() & (F.col("pred_text") == F.col("gold"))).cast("int")
-    qa_grid = rows.groupBy(*CELL).agg(F.round(100.0 * F.avg(hit), 6).alias("exact_match"))
+    back and unioned by name (missing metrics NULL) with the model and the file
+    each row came from, one aggregated CSV."""
+    model = F.lit(fx.MODEL).alias("model")
+    cls = classification_grid(fx.fx_pred(spark, sf_dir), CELL).select(model, *CELL, "accuracy", "f1_score")
     base = io.scratch_path(spark, "grids")
     io.write_grid(cls, os.path.join(base, "cls"))
-    io.write_grid(qa_grid, os.path.join(base, "qa"))
+    io.write_grid(qa_squad_grid(spark, sf_dir).select(model, *CELL, "exact_match", "f1_score"), os.path.join(base, "qa"))
     parts = []
-    for task, cols in (("cls", ["accuracy", "f1_score"]), ("qa", ["exact_match"])):
-        schema = StructType([StructField("task_lang", StringType())] + [StructField(c, DoubleType()) for c in cols])
+    for task, first in (("cls", "accuracy"), ("qa", "exact_match")):
+        schema = StructType([StructField("model", StringType()), StructField("task_lang", StringType()),
+                             StructField(first, DoubleType()), StructField("f1_score", DoubleType())])
         g = io.read_csv_folder(spark, os.path.join(base, task), schema)
         g = g.withColumn("transfer_lang", F.regexp_extract("source_file", r"transfer_lang=([^/]+)/", 1))
-        parts.append(g.select(F.lit(task).alias("task"), *CELL, *cols))
+        g = g.withColumn("source_file", F.regexp_extract("source_file", r"([^/]+/transfer_lang=[^/]+)/", 1))
+        parts.append(g.select(F.lit(task).alias("task"), "model", *CELL, first, "f1_score", "source_file"))
     u = io.union_grids(parts)
     agg_path = io.write_single_csv(u, os.path.join(base, "aggregated"))
-    s2 = StructType([StructField("task", StringType()), StructField("task_lang", StringType()),
-                     StructField("transfer_lang", StringType()), StructField("accuracy", DoubleType()),
-                     StructField("f1_score", DoubleType()), StructField("exact_match", DoubleType())])
-    back = spark.read.option("header", True).schema(s2).csv(agg_path)
-    return back.select("task", *CELL, "accuracy", "exact_match", "f1_score")
+    back = spark.read.option("header", True).schema(u.schema).csv(agg_path)
+    return back.select("task", "model", *CELL, "accuracy", "exact_match", "f1_score", "source_file")
 
 
 @register("lang_split_csv", with_fx("SELECT lang, split, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS label_sum FROM fx_cls GROUP BY ALL", "fx_cls"))
@@ -171,10 +174,15 @@ _STREAM_SCHEMA = StructType([StructField("task", StringType()), StructField("mod
 
 @register("stream_grid", with_fx(_GRID_SQL, "fx_pred"))
 def stream_grid(spark, sf_dir):
-    """L1: result files streamed into a grid table, last row per key wins."""
-    g = classification_grid(fx.fx_pred(spark, sf_dir), ["task", "model"] + CELL)
+    """L1: result files streamed into a grid table in two rounds, the second
+    rewriting every cell; last row per key wins."""
+    cols = ["task", "model", "task_lang", "transfer_lang", "accuracy", "f1_score"]
+    g = materialize(classification_grid(fx.fx_pred(spark, sf_dir), ["task", "model"] + CELL).select(*cols), "stream-grid")
     base = io.scratch_path(spark, "stream")
     src = os.path.join(base, "incoming")
-    io.write_grid(g.select("task", "model", "task_lang", "transfer_lang", "accuracy", "f1_score"), src)
+    early = g.withColumn("accuracy", F.col("accuracy") / 2).withColumn("f1_score", F.lit(0.0))
+    io.write_grid(early, os.path.join(src, "early"))
+    run_once(spark, src, base, _STREAM_SCHEMA)
+    io.write_grid(g, os.path.join(src, "late"))
     grid = run_once(spark, src, base, _STREAM_SCHEMA)
     return grid.select(*CELL, "accuracy", "f1_score")

@@ -40,7 +40,7 @@ def last_prediction_q(spark, sf_dir):
     return last_prediction(p, KEY).select("transfer_lang", "id", "pred_text")
 
 
-_SQUAD = with_fx(_FINAL + """,
+SQUAD_SQL = with_fx(_FINAL + """,
 refs AS (SELECT q.task, q.lang AS task_lang, q.id, t.transfer_lang,
                 CASE WHEN len(q.answers.text) > 0 THEN q.answers.text ELSE [''] END AS golds
          FROM fx_qa q JOIN fx_qa_langs t ON q.task = t.task),
@@ -55,11 +55,11 @@ FROM best GROUP BY ALL""", "fx_qapred", "fx_qa_langs")
 
 def _qa(spark, sf_dir):
     """QA examples, materialised once: the plan reads them for references,
-    predictions and the language dimension."""
-    return materialize(fx.fx_qa(spark, sf_dir), "fx_qa")
+    predictions and the language dimension; none of them needs the context."""
+    return materialize(fx.fx_qa(spark, sf_dir).drop("context"), "fx_qa")
 
 
-@register("qa_squad_grid", _SQUAD)
+@register("qa_squad_grid", SQUAD_SQL)
 def qa_squad_grid(spark, sf_dir):
     qa = _qa(spark, sf_dir)
     fin = last_prediction(fx.fx_qapred(spark, sf_dir, qa), KEY)

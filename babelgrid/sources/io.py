@@ -21,7 +21,9 @@ from ..session import scratch_path  # noqa: F401 - the sinks' default target
 LANG_SPLIT_FILE = r"([^/]+)_([A-Za-z0-9]+)\.csv$"
 # The same information in Hive-style folders written by Spark.
 LANG_SPLIT_DIRS = r"lang=([^/]+)/split=([^/]+)/"
-FILES_PER_PARTITION = 4
+ROWS_PER_FILE = 5_000_000
+# Line breaks inside one-line CSV fields: the escape comes first when writing, last when reading.
+BREAKS = (("\\", "\\b"), ("\n", "\\n"), ("\r", "\\r"))
 
 
 def read_csv_folder(spark: SparkSession, folder: str, schema: StructType | None = None,
@@ -55,19 +57,45 @@ def read_lang_split_csv(spark: SparkSession, folder: str, schema: StructType | N
 
 
 def land_partitioned(df: DataFrame, path: str, cols: tuple[str, ...] = ("task", "lang", "split"),
-                     key: str = "id", files_per_partition: int = FILES_PER_PARTITION) -> str:
+                     rows_per_file: int = ROWS_PER_FILE) -> str:
     """A7 (+A11): write examples as one table partitioned by task/lang/split.
 
-    Rows are spread over ``files_per_partition`` writers per partition value
-    (hash of the row key), so a large language does not funnel into one task
-    and a small one does not produce a file per input split.
+    The rebalance hint lets Spark split a large language over as many writers
+    as its bytes need and join the pieces of small ones.
     """
-    salt = F.pmod(F.xxhash64(F.col(key)), F.lit(files_per_partition))
-    (df.repartition(*[F.col(c) for c in cols], salt)
-       .write.mode("overwrite").partitionBy(*cols).parquet(path))
+    (df.hint("rebalance", *cols).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file)
+       .partitionBy(*cols).parquet(path))
     return path
 
 
+def write_lang_split_csv(df: DataFrame, path: str, text_cols: tuple[str, ...] = ("text",)) -> str:
+    """A3's sink in a form that large files can be split in: one line per row,
+    with back-slashes and line breaks in ``text_cols`` escaped."""
+    for c in text_cols:
+        x = F.col(c)
+        for raw, code in BREAKS:
+            x = F.replace(x, F.lit(raw), F.lit(code))
+        df = df.withColumn(c, x)
+    (df.hint("rebalance", "lang", "split").write.mode("overwrite").option("header", True).option("escape", '"')
+       .partitionBy("lang", "split").csv(path))
+    return path
+
+
+def read_one_line_csv(spark: SparkSession, folder: str, schema: StructType,
+                      text_cols: tuple[str, ...] = ("text",)) -> DataFrame:
+    """What ``write_lang_split_csv`` wrote, texts restored."""
+    r = spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", True)
+    df = r.schema(schema).csv(folder)
+    for c in text_cols:
+        x = F.col(c)
+        for raw, code in reversed(BREAKS):
+            x = F.replace(x, F.lit(code), F.lit(raw))
+        df = df.withColumn(c, x)
+    df = df.withColumn("source_file", F.col("_metadata.file_path"))
+    return (df.withColumn("lang", F.regexp_extract("source_file", LANG_SPLIT_DIRS, 1))
+              .withColumn("split", F.regexp_extract("source_file", LANG_SPLIT_DIRS, 2)))
+
+
 def read_language(spark: SparkSession, path: str, lang: str | None = None, split: str | None = None,
                   task: str | None = None) -> DataFrame:
     """A5 + A6: partition-pruned read of one language / split."""
@@ -79,8 +107,11 @@ def read_language(spark: SparkSession, path: str, lang: str | None = None, split
 
 
 def discover_languages(spark: SparkSession, path: str) -> DataFrame:
-    """The languages present in a landed table (partition values)."""
-    return spark.read.parquet(path).select("lang").distinct()
+    """The languages present in a landed table, from a listing of its
+    files; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    lang = F.regexp_extract(F.col("path"), "/lang=([^/]+)/", 1)
+    return files.load(path).select(F.url_decode(F.replace(lang, F.lit("+"), F.lit("%2B"))).alias("lang")).distinct()
 
 
 def write_grid(grid: DataFrame, path: str, partition: str = "transfer_lang") -> str:

@@ -28,7 +28,8 @@ def start_grid_stream(spark: SparkSession, source_dir: str, table_dir: str, sche
     ``path_columns`` are read from Hive-style ``name=value`` folders of each
     file (one folder per transfer language)."""
     src = (spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True)
-           .csv(source_dir).withColumn("source_file", F.col("_metadata.file_path")))
+           .csv(source_dir).withColumn("source_file", F.col("_metadata.file_path"))
+           .withColumn("file_time", F.col("_metadata.file_modification_time")))
     for c in path_columns:
         src = src.withColumn(c, F.regexp_extract("source_file", c + "=([^/]+)/", 1))
 
@@ -43,10 +44,11 @@ def start_grid_stream(spark: SparkSession, source_dir: str, table_dir: str, sche
 
 
 def current_grid(spark: SparkSession, table_dir: str, keys: list[str] = GRID_KEYS) -> DataFrame:
-    """Last row per grid key over all batches (later batch, then later file)."""
+    """Last row per grid key over all batches (later batch, then later
+    file by modification time, then path)."""
     t = spark.read.parquet(table_dir)
-    metrics = [c for c in t.columns if c not in keys + ["batch_id", "source_file"]]
-    order = F.struct(F.col("batch_id"), F.col("source_file"))
+    metrics = [c for c in t.columns if c not in keys + ["batch_id", "source_file", "file_time"]]
+    order = F.struct("batch_id", "file_time", "source_file")
     g = t.groupBy(*keys).agg(*[F.max_by(F.col(m), order).alias(m) for m in metrics])
     return g
 
