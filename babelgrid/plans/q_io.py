@@ -109,7 +109,7 @@ def lang_split_csv(spark, sf_dir):
     """A3: CSV examples whose language and split come from the path."""
     c = fx.fx_cls(spark, sf_dir).select("lang", "split", "id", "text", "label")
     path = io.scratch_path(spark, "cls_csv")
-    c.repartition("lang", "split").write.mode("overwrite").option("header", True).partitionBy("lang", "split").csv(path)
+    c.hint("rebalance", "lang", "split").write.mode("overwrite").option("header", True).partitionBy("lang", "split").csv(path)
     schema = StructType([StructField("id", StringType()), StructField("text", StringType()), StructField("label", LongType())])
     back = io.read_lang_split_csv(spark, path, schema, io.LANG_SPLIT_DIRS)
     return back.groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"))

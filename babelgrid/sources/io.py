@@ -77,6 +77,7 @@ def write_lang_split_csv(df: DataFrame, path: str, text_cols: tuple[str, ...] =
             x = F.replace(x, F.lit(raw), F.lit(code))
         df = df.withColumn(c, x)
     (df.hint("rebalance", "lang", "split").write.mode("overwrite").option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
        .partitionBy("lang", "split").csv(path))
     return path
 

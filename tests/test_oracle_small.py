@@ -8,6 +8,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 
+from .test_plans import assert_spreads
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -36,7 +38,9 @@ def con(small_dir):
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_matches_sql(spark, con, small_dir, name):
-    sp = queries()[name](spark, small_dir).toPandas()
+    df = queries()[name](spark, small_dir)
+    assert_spreads(df, name)
+    sp = df.toPandas()
     dk = con.execute(oracle_sql()[name]).df()
     c1, r1 = _rows(sp)
     c2, r2 = _rows(dk)
