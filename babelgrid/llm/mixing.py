@@ -30,8 +30,8 @@ BLOCK_WORDS = 1 << 18
 SHARD_WORDS = 1 << 22
 MAX_BLOCKS = 1 << 20
 MAX_SHARDS = 1 << 12
-#: Documents of the boundary block tried to fill what is left of a quota.
-TOP_UP = 64
+#: Share of a boundary block's rest that may be missed before its largest rows are tried first.
+NEAR = 0.01
 SEED = 20
 
 
@@ -146,39 +146,76 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
 def _boundary(units: DataFrame, edge: DataFrame) -> DataFrame:
     """Which rows of each source's boundary block fill the rest of its quota.
 
-    In the order of their hash, rows are taken while they fit; then, of the
-    next ``TOP_UP`` rows below twice the gap, the largest that fit, and at last
-    one that overshoots if that leaves less than it fills.  Returns (source,
-    cut, extra): hashes up to ``cut`` and those in ``extra`` are taken.
+    In the order of their hash, every row that fits what is left is taken, a
+    longer one is passed over; at last the smallest row passed over goes in if
+    it overshoots by less than it fills.  What is left is then less than any
+    row not taken.  Where that misses the rest by more than ``NEAR`` of it (the
+    short rows are used up and a long one didn't fit any more), the same is
+    done with the largest rows first, and the better of the two stays.
+
+    Returns (source, cut, order, steps, but, extra), as ``_fills`` reads it:
+    ``steps`` holds a (limit, bound) for each time that a row which fitted when
+    the step began no longer does, about the logarithm of the block.  ``but``
+    are repeated rows that fit alone and not together.
     """
     e = edge.alias("e")
     u = units.alias("u").join(e, same(F.col("u.source"), F.col("e.source")) & (F.col("u.block") == F.col("e.block")))
-    u = u.select("u.source", "u.h", "u.size", "e.rest")
-    by_h = Window.partitionBy("source").orderBy("h")
-    u = u.select("*", F.sum("size").over(by_h).alias("cum"))
-    u = u.select("*", (F.col("rest") - F.coalesce(
-        F.max(F.when(F.col("cum") <= F.col("rest"), F.col("cum"))).over(Window.partitionBy("source")),
-        F.lit(0))).alias("gap"))
-    fits = (F.col("cum") > F.col("rest")) & (F.col("size") < 2 * F.col("gap")) & (F.col("size") > 0)
-    u = u.select("*", F.when(fits, F.row_number().over(
-        Window.partitionBy("source", fits).orderBy("h"))).alias("nth"))
-    g = u.groupBy("source").agg(
-        F.max(F.when(F.col("cum") <= F.col("rest"), F.col("h"))).alias("cut"), F.first("gap").alias("gap"),
-        F.sort_array(F.collect_list(F.when(F.col("nth") <= TOP_UP, F.struct("size", "h"))), asc=False).alias("more"))
+    u = u.where("u.size > 0").groupBy("u.source", "u.h").agg(
+        F.sum("u.size").alias("size"), F.max("u.size").alias("one"), F.first("e.rest").alias("rest"))
+    g = u.groupBy("source").agg(F.first("rest").alias("rest"),
+                                F.collect_list(F.struct("h", "size", "one")).alias("rows"))
+    g = g.select("source", "rest", F.explode(F.array(F.lit(0), F.lit(1))).alias("order"), "rows")
+    g = g.select("source", "rest", "order", F.sort_array(F.transform("rows", lambda x: F.struct(
+        _at(F.col("order"), x["one"], x["h"]).alias("at"), x["size"].alias("size"), x["one"].alias("one")))).alias("rows"))
 
     def fill(s: Column, x: Column) -> Column:
-        ok = x["size"] <= s["gap"]
-        return F.struct(F.when(ok, s["gap"] - x["size"]).otherwise(s["gap"]).alias("gap"),
-                        F.when(ok, F.concat(s["out"], F.array(x["h"]))).otherwise(s["out"]).alias("out"),
-                        F.when(ok, s["over"]).otherwise(x).alias("over"))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["over"]["size"] < 2 * s["gap"], F.concat(s["out"], F.array(s["over"]["h"]))).otherwise(s["out"])
-
-    none = F.lit(None).cast("struct<size:bigint,h:bigint>")
-    start = F.struct(F.col("gap").cast("double").alias("gap"), F.array().cast("array<bigint>").alias("out"),
-                     none.alias("over"))
-    return g.select("source", "cut", F.aggregate("more", start, fill, finish).alias("extra"))
+        ok, late = x["size"] <= s["gap"], x["size"] <= s["limit"]
+        step = F.array(F.struct(s["limit"].alias("limit"), x["at"].alias("bound")))
+        left_out = F.struct(x["size"].alias("size"), x["at"]["h"].alias("h"))
+        return F.struct(
+            F.when(ok, s["gap"] - x["size"]).otherwise(s["gap"]).alias("gap"),
+            F.when(late & ~ok, s["gap"]).otherwise(s["limit"]).alias("limit"),
+            F.when(late & ~ok, F.concat(s["steps"], step)).otherwise(s["steps"]).alias("steps"),
+            F.when(ok, s["cut"]).otherwise(F.coalesce(s["cut"], x["at"]["h"])).alias("cut"),
+            F.when(ok, s["over"]).otherwise(F.least(s["over"], left_out)).alias("over"))
+
+    place = "struct<place:bigint,h:bigint>"
+    start = F.struct(F.col("rest").alias("gap"), F.col("rest").alias("limit"),
+                     F.array().cast(f"array<struct<limit:double,bound:{place}>>").alias("steps"),
+                     F.lit(None).cast("bigint").alias("cut"),
+                     F.lit(None).cast("struct<size:bigint,h:bigint>").alias("over"))
+    g = g.select("source", "rest", "order", "rows", F.aggregate("rows", start, fill).alias("s"))
+    last = F.struct(F.col("s.limit").alias("limit"), F.lit(None).cast(place).alias("bound"))
+    g = g.select("source", "rest", "order", "rows", "s", F.concat("s.steps", F.array(last)).alias("steps"),
+                 F.least(F.col("s.gap"), F.col("s.over.size") - F.col("s.gap")).alias("miss"))
+    but = F.filter("rows", lambda x: (x["one"] < x["size"]) & (x["one"] <= _limit(F.col("steps"), x["at"]))
+                   & (x["size"] > _limit(F.col("steps"), x["at"])))
+    g = g.select("source", "order", "steps", F.transform(but, lambda x: x["at"]["h"]).alias("but"),
+                 F.col("s.cut").alias("cut"),
+                 F.when(F.col("s.over.size") < 2 * F.col("s.gap"), F.col("s.over.h")).alias("extra"),
+                 F.when((F.col("order") == 0) & (F.col("miss") <= NEAR * F.col("rest")), -1.0)
+                 .otherwise(F.col("miss")).alias("miss"))
+    best = g.groupBy("source").agg(
+        F.min_by(F.struct("order", "steps", "but", "extra"), F.struct("miss", "order")).alias("best"),
+        F.max(F.when(F.col("order") == 0, F.col("cut"))).alias("cut"))
+    return best.select("source", "cut", "best.*")
+
+
+def _at(order: Column, size: Column, h: Column) -> Column:
+    """Where a row comes: by hash in order 0, by size from the largest in order 1."""
+    return F.struct((-size * order).cast("long").alias("place"), h.alias("h"))
+
+
+def _limit(steps: Column, at: Column) -> Column:
+    """The largest size that is taken at a place of the order."""
+    return F.filter(steps, lambda s: s["bound"].isNull() | (at < s["bound"]))[0]["limit"]
+
+
+def _fills(h: Column, size: Column, g: str) -> Column:
+    """Whether a row of a boundary block is taken; those without words are up to the first hash passed over."""
+    fits = size <= _limit(F.col(g + ".steps"), _at(F.col(g + ".order"), size, h))
+    fits = (fits & ~F.array_contains(F.col(g + ".but"), h)) | h.eqNullSafe(F.col(g + ".extra"))
+    return F.when(size == 0, F.coalesce(h < F.col(g + ".cut"), F.lit(True))).otherwise(fits)
 
 
 def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id",
@@ -247,16 +284,16 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     given = given.select("b.source", "b.block", F.struct("d.epoch", "d.shard", part.alias("part")).alias("draw"))
     given = given.groupBy("source", "block").agg(F.sort_array(F.collect_list("draw")).alias("given"))
 
-    once = units.groupBy("source", "block", "h").agg(F.sum("size").alias("size"))
-    edge = _boundary(once, blocks.where("edge").select("source", "block", "rest")).alias("e")
+    edge = _boundary(units, blocks.where("edge").select("source", "block", "rest")).alias("e")
     given = given.alias("g").join(edge, same(F.col("g.source"), F.col("e.source")), "left")
-    given = materialize(given.select("g.source", "g.block", "given", "cut", "extra"), "mix-given").alias("g")
+    given = materialize(given.select("g.source", "g.block", "given", "cut", "order", "steps", "but", "extra"),
+                        "mix-given").alias("g")
 
     d = d.alias("d").join(s, same(F.col("d." + tmp("source")), F.col("s.source")))
     h = F.col("d." + tmp("h"))
     at_block = same(F.col("d." + tmp("source")), F.col("g.source")) & (F.pmod(h, F.col("s.blocks")) == F.col("g.block"))
     d = d.join(given, at_block, "left")
-    fills = (h <= F.col("g.cut")) | F.array_contains(F.col("g.extra"), h)
+    fills = _fills(h, F.col("d." + tmp("size")), "g")
     draws = F.filter(F.coalesce(F.col("g.given"), F.array().cast(given.schema["given"].dataType)),
                      lambda x: ~x["part"] | F.coalesce(fills, F.lit(False)))
     draws = F.transform(draws, lambda x: F.struct(

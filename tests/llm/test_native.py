@@ -176,6 +176,31 @@ def test_mix(spark, mixture):
     assert key(again) == key(out)
 
 
+def test_the_boundary_block_is_filled(spark):
+    rng = random.Random(4)
+    units, edge = [], []
+    for n in range(60):  # sources: each one long document among short ones, in another order of hashes
+        size, many = rng.choice([(400, 340), (100, 1300)])
+        rows = [(rng.getrandbits(60), size + rng.randint(-9, 9)) for _ in range(many)] + [(rng.getrandbits(60), 120_000)]
+        rows += [r for r in rows if rng.random() < 0.05 * (n % 2)]  # repeated rows are taken together
+        units += [(str(n), 0, h, k) for h, k in rows] + [(str(n), 0, -5, 0), (str(n), 1, 7, 10)]
+        edge.append((str(n), 0, rng.choice([0.4, 0.3, 0.7]) * sum(k for _, k in rows)))
+    df = spark.createDataFrame(units, "source string, block long, h long, size long")
+    got = mx._boundary(df, spark.createDataFrame(edge, "source string, block long, rest double")).alias("g")
+    d = df.where("block = 0").alias("d").join(got, "source").where(mx._fills(F.col("d.h"), F.col("d.size"), "g"))
+    taken = {r.source: r for r in d.groupBy("source").agg(F.sum("size").alias("words"), F.min("size").alias("least")).collect()}
+    for s, _, rest in edge:
+        assert abs(taken[s].words - rest) < 900 and taken[s].least == 0, (s, taken[s], rest)
+
+
+def test_a_long_document_does_not_end_the_mix(spark):
+    rows = [(n, "w " * (120 if n % 340 else 36_000), "ab"[n // 340]) for n in range(680)]
+    out = mx.mix(docs_of(spark, rows), seed=2).collect()
+    for s in "ab":
+        miss = sum(r["size"] * len(r.draws) for r in out if r.source == s) - next(r.target for r in out if r.source == s)
+        assert abs(miss) <= 60
+
+
 def test_shards_hold_the_draws(spark, mixture):
     _, df = mixture
     mixed = mx.mix(df, block_words=60, shard_words=500)
