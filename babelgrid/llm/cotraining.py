@@ -7,14 +7,15 @@ confident about, by calibrated probability, for the other one's training set.
 At the end both are calibrated on labelled rows held out of their training,
 combined by a logistic regression on their log odds, and score every row.
 
-Fitting takes two bounded samples by hash, at most about ``MAX_LABELLED`` and
-``MAX_POOL`` rows, as small vectors on the driver; scoring is one pass.
+Fitting takes at most about ``MAX_LABELLED`` labelled rows, by hash, as small
+vectors on the driver.  Each round is a pass over all unlabelled rows, of which
+the most confident per view and class reach the driver; scoring is one pass.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,6 @@ from .common import column, tmp
 from .linear import fit_dense, logit, sigmoid
 
 MAX_LABELLED = 8_000
-MAX_POOL = 8_000
 ROUNDS = 4
 #: Pseudo-labels a round and class, as a share of the labelled rows.
 GROWTH = 0.1
@@ -124,48 +124,107 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(np.c_[a, b] @ self.mix + self.bias)
 
 
-def _pick(p: np.ndarray, free: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most confident free rows of either class, and their labels."""
+def _pick(p: np.ndarray, free: np.ndarray, most: int, tie: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The most confident free rows of either class, and their labels; equal ones in the order of ``tie``."""
+    tie = np.arange(len(p)) if tie is None else tie
     rows, labels = [], []
     for y, q in ((1, p), (0, 1 - p)):
         sure = np.flatnonzero(free & (q >= CONFIDENT))
-        sure = sure[np.argsort(-q[sure], kind="stable")][:most]
+        sure = sure[np.lexsort((tie[sure], -q[sure]))][:most]
         rows.append(sure)
         labels.append(np.full(len(sure), y))
     return np.concatenate(rows), np.concatenate(labels)
 
 
+#: Views and a number of rows to, for each view, the features and labels of the rows that the other one passes on.
+Best = Callable[[dict[str, View], int], dict[str, tuple[np.ndarray, np.ndarray]]]
+
+
 def cotrain(lt: np.ndarray, lm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray,
             rounds: int = ROUNDS) -> Model:
     """Co-train on labelled rows (both views, labels) and unlabelled rows (both views)."""
+    free = {"t": np.ones(len(ut), bool), "m": np.ones(len(ut), bool)}
+
+    def best(views: dict[str, View], most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for teacher, pupil, ux, px in (("t", "m", ut, um), ("m", "t", um, ut)):
+            rows, labels = _pick(sigmoid(views[teacher].odds(ux)), free[pupil], most)
+            free[pupil][rows] = False
+            out[pupil] = px[rows], labels
+        return out
+
+    return exchange(lt, lm, y, best, rounds)
+
+
+def exchange(lt: np.ndarray, lm: np.ndarray, y: np.ndarray, best: Best, rounds: int = ROUNDS) -> Model:
+    """Co-train on labelled rows; ``best`` gives each round's rows from the unlabelled ones, each to a view once."""
     hold = np.arange(len(y)) % 4 == 0  # calibrates and combines; rows come in the order of a hash
     tr = ~hold
     if min(y[tr].sum(), (1 - y[tr]).sum(), y[hold].sum(), (1 - y[hold]).sum()) < 1:
         return Model(None, None, np.zeros(2), float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5))))
-    given = {"t": np.full(len(ut), -1), "m": np.full(len(ut), -1)}  # pseudo-labels for each view
+    given = {"t": [(lt[tr], y[tr])], "m": [(lm[tr], y[tr])]}  # training rows of each view
     counts = []
     for k in range(rounds + 1):
         views = {}
-        for v, lx, ux in (("t", lt, ut), ("m", lm, um)):
-            got = given[v] >= 0
-            views[v] = View.fit(np.vstack([lx[tr], ux[got]]), np.r_[y[tr], given[v][got]].astype(float))
+        for v, lx in (("t", lt), ("m", lm)):
+            views[v] = View.fit(np.vstack([x for x, _ in given[v]]),
+                                np.concatenate([labels for _, labels in given[v]]).astype(float))
             views[v].calibrate(lx[hold], y[hold].astype(float))
         if k == rounds:
             break
-        most, made = max(1, int(GROWTH * tr.sum())), []
-        for teacher, pupil, ux in (("t", "m", ut), ("m", "t", um)):
-            rows, labels = _pick(sigmoid(views[teacher].odds(ux)), given[pupil] < 0, most)
-            given[pupil][rows] = labels
-            made.append(len(rows))
-        counts.append(tuple(made))
-        if not any(made):
+        got = best(views, max(1, int(GROWTH * tr.sum())))
+        for v, rows in got.items():
+            given[v].append(rows)
+        counts.append((len(got["m"][1]), len(got["t"][1])))
+        if not any(counts[-1]):
             break
     mix, bias = fit_dense(np.c_[views["t"].odds(lt[hold]), views["m"].odds(lm[hold])], y[hold].astype(float), l2=1e-2)
     return Model(views["t"], views["m"], mix, bias, tuple(counts))
 
 
+def best_of(pool: DataFrame) -> Best:
+    """``exchange``'s rows from all rows of ``pool`` (h, t, lang, source, n_chars).
+
+    A round is one pass: each task keeps its most confident rows per view and
+    class, and the best of those over all tasks reach the driver.  ``h`` breaks
+    ties; rows of one ``h`` are repeated rows, passed on in one round only.
+    """
+    used = {"t": np.zeros(0, np.int64), "m": np.zeros(0, np.int64)}
+    dims = {"t": _STATS, "m": META_BUCKETS + 2}
+
+    def best(views: dict[str, View], most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept = []
+            for pdf in batches:
+                h = pdf["h"].to_numpy(np.int64)
+                x = {"t": np.frombuffer(b"".join(pdf["t"]), np.float64).reshape(-1, _STATS),
+                     "m": np.array([metadata(*r) for r in zip(pdf["lang"], pdf["source"], pdf["n_chars"], strict=True)]
+                                   ).reshape(-1, META_BUCKETS + 2)}
+                for teacher, pupil in (("t", "m"), ("m", "t")):
+                    p = sigmoid(views[teacher].odds(x[teacher]))
+                    rows, labels = _pick(p, ~np.isin(h, used[pupil]), most, h)
+                    kept.append(pd.DataFrame({
+                        "pupil": pupil, "y": labels, "q": np.where(labels == 1, p[rows], 1 - p[rows]), "h": h[rows],
+                        "x": [r.tobytes() for r in x[pupil][rows]]}))
+                kept = [pd.concat(kept).sort_values(["q", "h"], ascending=[False, True], kind="stable")
+                        .groupby(["pupil", "y"]).head(most)]
+            yield from kept
+
+        found = materialize(pool.mapInPandas(top, "pupil string, y int, q double, h long, x binary"), "cotrain-best")
+        out = {}
+        for v in ("t", "m"):
+            rows = [r for y in (1, 0) for r in found.where((F.col("pupil") == v) & (F.col("y") == y)).orderBy(
+                F.col("q").desc(), "h").limit(most).collect()]
+            used[v] = np.unique(np.r_[used[v], np.array([r.h for r in rows], np.int64)])
+            out[v] = (np.frombuffer(b"".join(r.x for r in rows), np.float64).reshape(-1, dims[v]),
+                      np.array([r.y for r in rows], int))
+        return out
+
+    return best
+
+
 def _views(docs: DataFrame, text: str, meta: tuple[str, str, str], extra: list[Column]) -> DataFrame:
-    """``extra`` columns and both views of every row."""
+    """``extra`` columns, the text view and what the metadata view is made of, for every row."""
     names = [f"c{i}" for i in range(len(extra))]
     d = docs.select(*[c.alias(n) for c, n in zip(extra, names, strict=True)], column(docs, text).alias("text"),
                     column(docs, meta[0]).alias("lang"), column(docs, meta[1]).alias("source"),
@@ -175,17 +234,18 @@ def _views(docs: DataFrame, text: str, meta: tuple[str, str, str], extra: list[C
         for pdf in batches:
             out = pdf[names].copy()
             out["t"] = [content(t).tobytes() for t in pdf["text"]]
-            out["m"] = [metadata(*r).tobytes() for r in zip(pdf["lang"], pdf["source"], pdf["n_chars"], strict=True)]
+            out[["lang", "source", "n_chars"]] = pdf[["lang", "source", "n_chars"]]
             yield out
 
     kinds = dict(d.dtypes)
-    return d.mapInPandas(of, ", ".join([f"{n} {kinds[n]}" for n in names] + ["t binary", "m binary"]))
+    return d.mapInPandas(of, ", ".join([f"{n} {kinds[n]}" for n in names] + ["t binary"] + [
+        f"{n} {kinds[n]}" for n in ("lang", "source", "n_chars")]))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           meta: tuple[str, str, str] = ("lang", "source", "n_chars"), max_labelled: int = MAX_LABELLED,
-          max_pool: int = MAX_POOL, rounds: int = ROUNDS) -> Model:
-    """Fit from the labelled rows of ``docs`` and a pool of the others.
+          rounds: int = ROUNDS) -> Model:
+    """Fit from labelled rows of ``docs``, at most about ``max_labelled``, and all rows without a label.
 
     Labels other than 0 and 1 and null keys are ignored; of several labels of
     a key the largest counts.  With too few rows of a class to train and
@@ -194,29 +254,21 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     # keys as text: pandas would turn longs with nulls into floats
     lab = labels.select(column(labels, key).cast("string").alias("k"), column(labels, label).cast("int").alias("y"))
     lab = lab.where("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
-    n_lab, n_all = lab.count(), docs.count()
-
-    def order(k: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(4), k), F.lit(1 << 30))  # a null key has one too
-
-    k = column(docs, key).cast("string")
-    in_lab = order(k) < int(min(1.0, max_labelled / max(1, n_lab)) * (1 << 30))
-    in_pool = order(k) >= (1 << 30) - int(min(1.0, max_pool / max(1, n_all - n_lab)) * (1 << 30))
-    d = docs.where(in_lab | in_pool)
-    x = materialize(_views(d, text, meta, [column(d, key).cast("string"), order(column(d, key).cast("string"))]), "cotrain-views")
     lab = materialize(lab, "cotrain-labels")
-    known = x.join(lab, x["c0"] == lab["k"]).where(
-        F.col("c1") < int(min(1.0, max_labelled / max(1, n_lab)) * (1 << 30)))
-    pool = x.join(lab, x["c0"] == lab["k"], "left_anti").where(
-        F.col("c1") >= (1 << 30) - int(min(1.0, max_pool / max(1, n_all - n_lab)) * (1 << 30)))
-    a = known.select("c1", "c0", "y", "t", "m").toPandas().sort_values(["c1", "c0", "t"], kind="stable")
-    u = pool.select("c1", "c0", "t", "m").toPandas().sort_values(["c1", "c0", "t"], kind="stable")
-
-    def matrix(column: pd.Series, n: int) -> np.ndarray:
-        return np.frombuffer(b"".join(column), np.float64).reshape(-1, n)
-
-    return cotrain(matrix(a["t"], _STATS), matrix(a["m"], META_BUCKETS + 2), a["y"].to_numpy(int),
-                   matrix(u["t"], _STATS), matrix(u["m"], META_BUCKETS + 2), rounds)
+    n_lab = lab.count()
+    k = column(docs, key).cast("string")
+    order = F.pmod(F.xxhash64(F.lit(4), k), F.lit(1 << 30))
+    row = F.xxhash64(F.lit(4), k, *[column(docs, c) for c in (text, *meta)])
+    x = materialize(_views(docs, text, meta, [k, order, row]), "cotrain-views")
+    known = x.where(F.col("c1") < int(min(1.0, max_labelled / max(1, n_lab)) * (1 << 30)))
+    a = known.join(lab, known["c0"] == lab["k"]).select("c1", "c0", "y", "t", "lang", "source", "n_chars").toPandas()
+    a = a.sort_values(["c1", "c0", "t"], kind="stable")
+    # rows without a key need no join, which would bring them together
+    free = x.where("c0 is not null").join(lab, x["c0"] == lab["k"], "left_anti").unionAll(x.where("c0 is null"))
+    pool = materialize(free.select(F.col("c2").alias("h"), "t", "lang", "source", "n_chars"), "cotrain-pool")
+    lt = np.frombuffer(b"".join(a["t"]), np.float64).reshape(-1, _STATS)
+    lm = np.array([metadata(*r) for r in zip(a["lang"], a["source"], a["n_chars"], strict=True)])
+    return exchange(lt, lm.reshape(-1, META_BUCKETS + 2), a["y"].to_numpy(int), best_of(pool), rounds)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text",

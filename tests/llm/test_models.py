@@ -122,6 +122,36 @@ def test_views_exchange_labels():
     assert set(one.score(a(t), m(t))[2]) == {one.score(a(t[:1]), m(t[:1]))[2][0]}
 
 
+def test_the_best_of_all_unlabelled_rows_are_exchanged(spark, monkeypatch):
+    n = 9000  # more than the 8,000 of a bounded pool
+    kind = "case when id % 100 = 7 then 'rare' else 'usual' end"
+    docs = spark.range(n).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), cast(1 + id % 97 as int)) as text",
+                                     "'en' as lang", f"{kind} as source", "id as n_chars").repartition(7)
+    labels = spark.range(200).selectExpr("id as doc_id", "cast(id % 97 > 40 as int) as quality")
+    seen = []
+
+    def spy(lt, lm, y, best, rounds):
+        t, m = (cotraining.View.fit(x, y.astype(float)) for x in (lt, lm))
+        for _ in range(2):
+            seen.append(best({"t": t, "m": m}, 30))
+        return t, m
+
+    monkeypatch.setattr(cotraining, "exchange", spy)
+    t, m = cotraining.train(docs, labels)
+    rows = [r for r in docs.collect() if r.doc_id >= 200]
+    x = {"t": np.array([cotraining.content(r.text) for r in rows]),
+         "m": np.array([cotraining.metadata(r.lang, r.source, r.n_chars) for r in rows])}
+    for teacher, view, pupil in (("t", t, "m"), ("m", m, "t")):
+        p = cotraining.sigmoid(view.odds(x[teacher]))
+        for y, q in ((1, p), (0, 1 - p)):
+            want = np.sort(q[q >= cotraining.CONFIDENT])[::-1][:60]
+            got = [r for s in seen for r, k in zip(*s[pupil], strict=True) if k == y]
+            sure = {x[pupil][i].tobytes(): q[i] for i in np.argsort(q)}
+            assert len(got) == len(want)
+            if pupil == "m":  # its rows are told apart by their length
+                assert np.allclose(sorted((sure[r.tobytes()] for r in got), reverse=True), want)
+
+
 def test_quality_classifier_held_out(spark):
     docs, labels = (spark.read.parquet(f"{MID}/{t}.parquet") for t in ("documents", "labels"))
     model = cotraining.train(docs, labels.where("doc_id % 3 <> 1"))
