@@ -11,11 +11,16 @@ Only the seeds of the benchmark are broadcast, in blocks of at most
 ``MAX_SEEDS`` (a larger benchmark takes more passes over the texts, each with
 a bounded table).  Texts are never shuffled: positions, probes and the
 verification are one stage, and only verified overlaps leave it.
+
+The masks find what a window of 13 words may differ in.  Items shorter than
+the window have masks of their own, made for their length; texts are probed
+under those only if the benchmark has items of that length.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,27 @@ MAX_SEEDS = 500_000
 GAP = r"[^\p{L}\p{N}]+"
 
 
+#: Items of fewer words match as an exact sequence of words.
+MIN_INEXACT = 7
+
+
+def short_masks(n: int, similarity: float = SIMILARITY) -> list[tuple[str, int]]:
+    """Masks for items of ``n`` words, of which ``similarity`` must agree, and where in the item each begins.
+
+    With s words that may differ the item is cut into s + 2 runs (at most n), and every
+    mask leaves out s of them: wherever s words differ, they lie in s runs at
+    most, and the mask without those still meets.
+    """
+    s = 0 if n < MIN_INEXACT else sum(n - k >= n * similarity for k in range(1, n))
+    parts = min(n, s + 2)
+    runs = [k * parts // n for k in range(n)]
+    out = []
+    for holes in combinations(range(parts), s):
+        mask = "".join("0" if r in holes else "1" for r in runs)
+        out.append((mask.strip("0"), mask.index("1")))
+    return sorted(set(out))
+
+
 def word_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), GAP), lambda w: F.length(w) > 0)
     return F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
@@ -39,9 +65,9 @@ def word_hashes(text: Column) -> Column:
 def _seeds(h: Column, i: Column, masks: tuple[str, ...]) -> Column:
     """The seed hashes that start at position ``i``, null where a mask doesn't fit."""
     keys = []
-    for m, mask in enumerate(masks):
+    for mask in masks:
         picked = [F.get(h, i + k) for k, on in enumerate(mask) if on == "1"]
-        keys.append(F.when(i + len(mask) <= F.size(h), F.xxhash64(F.lit(m), *picked)))
+        keys.append(F.when(i + len(mask) <= F.size(h), F.xxhash64(F.lit(mask), *picked)))
     return F.array(*keys)
 
 
@@ -57,20 +83,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str =
     that share a passage: ``matched`` of ``window`` aligned words agree at the
     best place, at least ``similarity`` of them.
 
-    The window is ``window`` words, or the whole item where that is shorter.
-    Items too short for the shortest mask, null and empty ones have no seeds
-    and match nothing; null and empty texts match nothing.  Items with equal
+    The window is ``window`` words, or the whole item where that is shorter;
+    items of fewer than ``MIN_INEXACT`` words match as an exact sequence of
+    words.  Null and empty items and texts match nothing.  Items with equal
     words are looked up once and all reported; repeated rows and rows with
     equal ``keys`` report once.
     """
     items = benchmark.select(column(benchmark, item).alias("item"),
                              word_hashes(column(benchmark, item_text)).alias("h"))
-    items = items.where(F.size("h") >= min(len(m) for m in masks)).groupBy("h").agg(
+    items = items.where(F.size("h") > 0).groupBy("h").agg(
         F.collect_list(F.struct("item")).alias("items"))
     items = materialize(items.select(F.md5(F.array_join(F.col("h").cast("array<string>"), ",")).alias("id"),
                                      "h", "items"), "benchmark-items")
-    seeds = _positions(items, ["id"], masks).where(F.col("seed").isNotNull())
-    seeds = materialize(seeds.select("id", F.col("i").alias("j"), "seed"), "benchmark-seeds")
+    seeds = [_positions(items.where(F.size("h") >= window), ["id"], masks).select("id", F.col("i").alias("j"), "seed")]
+    sizes = items.where(F.size("h") < window).select(F.size("h").alias("n")).distinct()
+    for n in sorted(r.n for r in sizes.collect()):  # fewer than ``window``
+        short = items.where(F.size("h") == n)
+        for mask, at in short_masks(n, similarity):
+            seeds.append(short.select("id", F.lit(at).alias("j"), _seeds(F.col("h"), F.lit(at), (mask,))[0].alias("seed")))
+            masks = masks if mask in masks else (*masks, mask)
+    seeds = materialize(reduce(DataFrame.unionAll, seeds).where(F.col("seed").isNotNull()), "benchmark-seeds")
     parts = max(1, -(-seeds.count() // max_seeds))
 
     names = [tmp(f"k{n}") for n in range(len(keys))]

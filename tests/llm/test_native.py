@@ -3,6 +3,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,29 @@ def test_overlaps(spark, contaminated):
         assert {(r.doc_id, r.item_id): (r.matched, r.window) for r in got} == plain_overlaps(rows, items)
 
 
+def test_short_masks_hit_every_substitution():
+    for n in range(1, 13):
+        subs = 0 if n < 7 else max(s for s in range(n) if n - s >= 0.8 * n)
+        for changed in combinations(range(n), subs):
+            assert any(all(mask[p - at] == "0" for p in changed if at <= p < at + len(mask))
+                       for mask, at in dc.short_masks(n)), (n, changed)
+
+
+def test_short_items_are_found(spark):
+    items, rows = [], []
+    for n in range(1, 13):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        subs = 0 if n < 7 else max(s for s in range(n) if n - s >= 0.8 * n)
+        for changed in combinations(range(n), subs):
+            copy = ["changed" if k in changed else w for k, w in enumerate(item)]
+            edge = len(rows) % 3  # at the start, inside, at the end
+            rows.append((len(rows), " ".join(["before"] * (edge > 0) + copy + ["after"] * (edge < 2)), str(n)))
+        rows.append((len(rows), " ".join(["other"] * (subs + 1) + item[subs + 1:]), "none"))
+    got = dc.overlaps(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"])
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(k, int(s)) for k, _, s in rows if s != "none"}
+
+
 def test_decontaminate(spark, contaminated):
     rows, items = contaminated
     df = docs_of(spark, rows)
