@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, html_text, line_dedup, mixing, quality_rules, simhash, token_counts, toxicity, warc
+from . import cotraining, decontamination, html_text, line_dedup, merkle, mixing, quality_rules, simhash, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +117,15 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_html_text"] = op10_html_text
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents; a seventh of them tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    leaves = merkle.manifest(docs, tampered={"n_chars": F.when(chosen, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+    return merkle.verify(leaves)
+
+
+QUERIES["op13_merkle"] = op13_merkle
+ORACLE["op13_merkle"] = merkle.SQL
