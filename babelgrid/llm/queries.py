@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotraining, decontamination, html_text, line_dedup, merkle, mixing, quality_rules, simhash, token_counts, toxicity, warc
+from . import (
+    conversation_repair, cotraining, decontamination, html_text, line_dedup, merkle, mixing, quality_rules, simhash,
+    token_counts, toxicity, warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -119,6 +122,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op10_html_text"] = op10_html_text
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after the contract's damage: faults, cheapest edits, digest of the repaired turns."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversation_repair.report(rows, conversation_repair.damage(rows))
+
+
+QUERIES["op11_conversation_repair"] = op11_conversation_repair
+ORACLE["op11_conversation_repair"] = conversation_repair.SQL
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents; a seventh of them tampered with."""
     docs = _table(spark, sf_dir, "documents")
