@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     conversation_repair, cotraining, decontamination, html_text, line_dedup, merkle, mixing, quality_rules, simhash,
-    token_counts, toxicity, warc,
+    substring_dedup, token_counts, toxicity, warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,15 @@ QUERIES["op11_conversation_repair"] = op11_conversation_repair
 ORACLE["op11_conversation_repair"] = conversation_repair.SQL
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that repeat a 13-word window of an earlier one."""
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op12_substring_dedup"] = op12_substring_dedup
+ORACLE["op12_substring_dedup"] = substring_dedup.SQL
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of all documents; a seventh of them tampered with."""
     docs = _table(spark, sf_dir, "documents")
