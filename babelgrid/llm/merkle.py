@@ -53,11 +53,10 @@ def _levels(arity: int) -> int:
 
 
 def _blocks(nodes: DataFrame, arity: int) -> DataFrame:
-    """(g, pos, node, left) to (g, pos, block, path, top, left): ``path`` holds the
+    """(g, pos, block, i, node, left) to (g, pos, block, i, path, top, left): ``path`` holds the
     siblings on the way up the block, ``top`` the block's root in the block's first row."""
     k = _levels(arity)
-    width = arity ** k
-    d = nodes.withColumn("block", F.expr(f"pos div {width}")).withColumn("i", F.pmod("pos", F.lit(width)))
+    d = nodes
     w = Window.partitionBy("g", "block").orderBy("i")
     for level in range(k):
         step = arity ** level
@@ -88,8 +87,16 @@ def trees(nodes: DataFrame, arity: int = ARITY) -> tuple[DataFrame, DataFrame]:
     every ``arity`` consecutive ones (the last run: fewer, even one) become
     the digest of their concatenated digests; a single node is its own root.
     """
-    depth = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", _depth(F.col("n"), arity).alias("left"))
-    return _grow(nodes.join(depth, "g").select("g", "pos", "node", "left"), arity)
+    nodes = _cut(nodes, arity)
+    # the depth is joined by group and block: by group alone, the windows would inherit that partitioning
+    sizes = nodes.groupBy("g", "block").agg(F.count(F.lit(1)).alias("n"))
+    depth = sizes.select("g", "block", _depth(F.sum("n").over(Window.partitionBy("g")), arity).alias("left"))
+    return _grow(nodes.join(materialize(depth, "merkle-depths"), ["g", "block"]), arity)
+
+
+def _cut(nodes: DataFrame, arity: int) -> DataFrame:
+    width = arity ** _levels(arity)
+    return nodes.select("*", F.expr(f"pos div {width}").alias("block"), F.pmod("pos", F.lit(width)).alias("i"))
 
 
 def _grow(nodes: DataFrame, arity: int) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +106,7 @@ def _grow(nodes: DataFrame, arity: int) -> tuple[DataFrame, DataFrame]:
     paths = done.select("g", "pos", "block", "path")
     if not more:
         return paths.drop("block"), tops.select("g", F.col("node").alias("root"))
-    upper, roots = _grow(tops, arity)
+    upper, roots = _grow(_cut(tops, arity), arity)
     upper = upper.select("g", F.col("pos").alias("block"), F.col("path").alias("more"))
     return paths.join(upper, ["g", "block"]).select("g", "pos", F.concat("path", "more").alias("path")), roots
 

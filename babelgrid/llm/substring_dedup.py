@@ -216,7 +216,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: in
     rounds = rounds_for(window)
     d = docs.select(column(docs, key).cast("long").alias("id"), F.xxhash64(column(docs, text)).alias("tag"), column(docs, text).alias("text"))
     facts = materialize(d.mapInArrow(_facts, "id long, tag long, n_words long, whole string"), "substring-facts")
-    first = facts.where("id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("first"))
+    # a table of its own, of copied texts only: a text with very many copies is a skewed join, which Spark splits
+    first = facts.where("id IS NOT NULL").groupBy("whole").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    first = materialize(first.where("first < last").select("whole", "first"), "substring-firsts")
     facts = materialize(facts.join(first, "whole", "left").select(
         "id", "tag", "n_words", "whole", F.coalesce(F.col("first") < F.col("id"), F.lit(False)).alias("copy")), "substring-copies")
 
