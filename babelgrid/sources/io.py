@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import scratch_path  # noqa: F401 - the sinks' default target
+from .quoted_csv import NULL_MARK, read_quoted_csv
 
 # Pattern of the reference's per-file convention ``<lang>_<split>.csv``.
 LANG_SPLIT_FILE = r"([^/]+)_([A-Za-z0-9]+)\.csv$"
@@ -31,10 +32,13 @@ def read_csv_folder(spark: SparkSession, folder: str, schema: StructType | None
                     infer: bool = True) -> DataFrame:
     """A1 + A2: CSV files with a header under ``folder`` (glob on the file
     name), with the file path kept as ``source_file`` for provenance.  Pass a
-    schema on large inputs: inference reads the data twice.  ``multiline``
-    for quoted fields holding line breaks (free text)."""
+    schema on large inputs: inference reads the data twice.  Quotes are
+    doubled inside fields.  ``multiline`` for quoted fields holding line breaks
+    (free text): columns are then matched by the header's names, texts without a schema."""
+    if multiline:
+        return read_quoted_csv(spark, folder, schema, glob, recursive)
     r = spark.read.option("header", True).option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
-    r = r.option("multiLine", multiline)
+    r = r.option("escape", '"').option("nullValue", NULL_MARK)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", infer)
     df = r.csv(folder)
     return df.withColumn("source_file", F.col("_metadata.file_path"))
@@ -45,8 +49,8 @@ def read_lang_split_csv(spark: SparkSession, folder: str, schema: StructType | N
     """A3: language and split taken from the file path.  Columns are matched
     by the header's names, so an unnamed leading index column is dropped also
     where ``schema`` (types of the named columns) leaves it out."""
-    df = read_csv_folder(spark, folder, None, multiline=multiline, infer=schema is None)
-    if schema is not None:
+    df = read_csv_folder(spark, folder, schema if multiline else None, multiline=multiline, infer=schema is None)
+    if schema is not None and not multiline:
         have = set(df.columns)
         df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in have
                          else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], "source_file")
@@ -68,6 +72,14 @@ def land_partitioned(df: DataFrame, path: str, cols: tuple[str, ...] = ("task",
     return path
 
 
+def write_quoted_csv(df: DataFrame, path: str, cols: tuple[str, ...]) -> str:
+    """A3's sink as other tools write it: quoted fields with doubled quotes and
+    line breaks as they are, empty texts quoted and nulls not."""
+    (df.hint("rebalance", *cols).write.mode("overwrite").option("header", True).option("escape", '"')
+       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).partitionBy(*cols).csv(path))
+    return path
+
+
 def write_lang_split_csv(df: DataFrame, path: str, text_cols: tuple[str, ...] = ("text",)) -> str:
     """A3's sink in a form that large files can be split in: one line per row,
     with back-slashes and line breaks in ``text_cols`` escaped."""
@@ -85,7 +97,8 @@ def write_lang_split_csv(df: DataFrame, path: str, text_cols: tuple[str, ...] =
 def read_one_line_csv(spark: SparkSession, folder: str, schema: StructType,
                       text_cols: tuple[str, ...] = ("text",)) -> DataFrame:
     """What ``write_lang_split_csv`` wrote, texts restored."""
-    r = spark.read.option("header", True).option("escape", '"').option("recursiveFileLookup", True)
+    r = spark.read.option("header", True).option("escape", '"').option("nullValue", NULL_MARK)
+    r = r.option("recursiveFileLookup", True)
     df = r.schema(schema).csv(folder)
     for c in text_cols:
         x = F.col(c)
@@ -118,14 +131,14 @@ def discover_languages(spark: SparkSession, path: str) -> DataFrame:
 def write_grid(grid: DataFrame, path: str, partition: str = "transfer_lang") -> str:
     """One CSV folder per transfer language; with dynamic partition
     overwrite a rerun replaces only the languages it produced."""
-    (grid.repartition(partition).write.mode("overwrite").option("header", True)
+    (grid.repartition(partition).write.mode("overwrite").option("header", True).option("escape", '"')
          .option("partitionOverwriteMode", "dynamic").partitionBy(partition).csv(path))
     return path
 
 
 def write_single_csv(df: DataFrame, path: str) -> str:
     """A10: one CSV file with a header (grids are small: one writer)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     return path
 
 
