@@ -74,17 +74,18 @@ def seeded_shuffle_q(spark, sf_dir):
 
 def _runs_sql(source: str = "fx_runs") -> str:
     return f"""
-, ev AS (SELECT run, step, metric, row_number() OVER (PARTITION BY run ORDER BY step) AS k,
+, nums AS (SELECT run, step, CASE WHEN NOT isnan(metric) THEN metric END AS metric FROM {source}),
+ev AS (SELECT run, step, metric, row_number() OVER (PARTITION BY run ORDER BY step) AS k,
                 max(metric) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before
-         FROM {source}),
-ev2 AS (SELECT *, max(CASE WHEN best_before IS NULL OR metric > best_before THEN k END)
-                  OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING) AS last_improved FROM ev),
+         FROM nums),
+ev2 AS (SELECT *, coalesce(max(CASE WHEN metric IS NOT NULL AND (best_before IS NULL OR metric > best_before) THEN k END)
+                  OVER (PARTITION BY run ORDER BY step ROWS UNBOUNDED PRECEDING), 0) AS last_improved FROM ev),
 stops AS (SELECT run, coalesce(min(step) FILTER (WHERE k - last_improved >= {PATIENCE}), max(step)) AS stop_step,
                  CAST(min(step) FILTER (WHERE k - last_improved >= {PATIENCE}) IS NOT NULL AS INTEGER) AS stopped
           FROM ev2 GROUP BY run),
-best AS (SELECT run, step AS best_step, metric AS best_metric FROM (
-           SELECT r.*, row_number() OVER (PARTITION BY r.run ORDER BY r.metric DESC, r.step) AS rn
-           FROM {source} r JOIN stops s USING (run) WHERE r.step <= s.stop_step) WHERE rn = 1)"""
+best AS (SELECT run, CASE WHEN metric IS NOT NULL THEN step END AS best_step, metric AS best_metric FROM (
+           SELECT r.*, row_number() OVER (PARTITION BY r.run ORDER BY r.metric DESC NULLS LAST, r.step) AS rn
+           FROM nums r JOIN stops s USING (run) WHERE r.step <= s.stop_step) WHERE rn = 1)"""
 
 
 _RUNS_SQL = _runs_sql()
@@ -125,6 +126,25 @@ def retain_checkpoints_q(spark, sf_dir):
     return retain_checkpoints(r, stops, best).select("run", F.col("step").cast("int"))
 
 
+_UNDEFINED = """, undef AS (
+SELECT run, step, CASE WHEN step % 11 = 3 OR step <= CAST(run AS BIGINT) % 4 THEN CAST('nan' AS DOUBLE)
+                       WHEN step % 13 = 5 OR CAST(run AS BIGINT) % 10 = 7 THEN NULL ELSE metric END AS metric FROM fx_runs)"""
+
+
+@register("early_stop_undefined", with_fx(_UNDEFINED + _runs_sql("undef") + """
+SELECT run, CAST(stop_step AS INTEGER) AS stop_step, stopped, CAST(coalesce(best_step, 0) AS INTEGER) AS best_step, best_metric
+FROM stops JOIN best USING (run)""", "fx_runs"))
+def early_stop_undefined_q(spark, sf_dir):
+    """K2 + K3: logs whose metrics are partly NaN or missing, some runs' all (best step 0)."""
+    run, step = F.col("run").cast("long"), F.col("step")
+    metric = (F.when((step % 11 == 3) | (step <= run % 4), F.lit(float("nan")))
+              .when((step % 13 == 5) | (run % 10 == 7), F.lit(None)).otherwise(F.col("metric")))
+    r = materialize(fx.fx_runs(spark, sf_dir).withColumn("metric", metric), "fx_runs")
+    stops = early_stop(r)
+    d = stops.join(best_checkpoint(r, stops), "run")
+    return d.select("run", F.col("stop_step").cast("int").alias("stop_step"), "stopped", F.coalesce("best_step", F.lit(0)).alias("best_step"), "best_metric")
+
+
 # a cadence, over logs with gaps: of every run the steps that 7 divides are missing
 EVAL_EVERY, KEEP_RECENT = 3, 5
 _GAPS = f", gaps AS (SELECT * FROM fx_runs WHERE step % 7 <> 0 AND step % {EVAL_EVERY} = 0)" + _runs_sql("gaps")

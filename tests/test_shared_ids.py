@@ -90,3 +90,31 @@ def test_csv_with_an_index_column_under_a_schema(spark, tmp_path):
     schema = StructType([StructField("text", StringType()), StructField("classification", IntegerType())])
     got = sorted((r.text, r.classification, r.lang, r.split) for r in io.read_lang_split_csv(spark, str(tmp_path), schema).collect())
     assert got == [("bye", None, "deu", "test"), ("hello, you", 2, "deu", "test")]
+
+
+def test_runs_with_undefined_metrics(spark):
+    """NaN and null improve nothing, over any cut into blocks."""
+    nan = float("nan")
+    logs = {"a": [0.1, nan, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95], "b": [nan, nan, nan, 0.2], "c": [None, None, None, None, None, 0.9],
+            "d": [0.5, nan, None, 0.4, 0.6, 0.6, nan, 0.1, 0.2], "e": [nan], "f": [0.3, 0.2, 0.1]}
+    rows = [(r, k + 1, m) for r, ms in logs.items() for k, m in enumerate(ms)]
+    df = spark.createDataFrame(rows, "run string, step int, metric double")
+    for block in (2, 3, 4096):
+        stops = early_stop(df, 3, block=block)
+        got = {r.run: (r.stop_step, r.stopped) for r in stops.collect()}
+        best = {r.run: (r.best_step, r.best_metric) for r in best_checkpoint(df, stops).collect()}
+        want, tops = {}, {}
+        for run, ms in logs.items():
+            top, at, stop = None, 0, None
+            for k, m in enumerate(ms, 1):
+                if m is not None and m == m and (top is None or m > top):
+                    top, at = m, k
+                if k - at >= 3:
+                    stop = k
+                    break
+            want[run] = (stop or len(ms), int(stop is not None))
+            seen = [(m, -k) for k, m in enumerate(ms[:want[run][0]], 1) if m is not None and m == m]
+            tops[run] = (-max(seen)[1], max(seen)[0]) if seen else (None, None)
+        assert got == want and best == tops, block
+    kept = retain_checkpoints(df, early_stop(df, 3), best_checkpoint(df), keep=2)
+    assert {r.step for r in kept.where("run = 'e'").collect()} == {1}
