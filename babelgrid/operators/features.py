@@ -190,9 +190,10 @@ def context_token_rows(examples: DataFrame, keys: list[str], text: str = "contex
 
 
 def _window_frame(examples: DataFrame, max_len: int, stride: int) -> DataFrame:
+    """Window sizes per example; a null question or context has no tokens."""
     ex = examples.select(
-        *example_keys(examples), F.size(ws_tokens(strip("question"))).alias("qlen"),
-        F.size(ws_tokens("context")).alias("n"), "context",
+        *example_keys(examples), F.coalesce(F.size(ws_tokens(strip("question"))), F.lit(0)).alias("qlen"),
+        F.coalesce(F.size(ws_tokens("context")), F.lit(0)).alias("n"), "context",
         F.get(F.col("answers.answer_start"), 0).alias("sc"),
         (F.get(F.col("answers.answer_start"), 0) + F.length(F.get(F.col("answers.text"), 0))).alias("ec"))
     cap = F.lit(max_len) - F.col("qlen") - PAIR_SPECIALS

@@ -60,7 +60,7 @@ SELECT d.label, CAST(d.label_id AS INTEGER) AS label_id, CAST(count(t.tag) AS BI
 FROM (SELECT unnest({NER_LABELS_SQL}) AS label, unnest(range(7)) AS label_id) d
 LEFT JOIN fx_ner_tok t ON t.tag = d.label_id GROUP BY ALL""", "fx_ner_tok"))
 def label_dim(spark, sf_dir):
-    n = fx.fx_ner(spark, sf_dir).select(F.explode("tags").alias("label_id"))
+    n = fx.fx_ner(spark, sf_dir).select(F.explode_outer("tags").alias("label_id")).filter(F.col("label_id").isNotNull())
     counts = n.groupBy("label_id").agg(F.count(F.lit(1)).alias("n"))
     dim = L.label_dim(spark, L.WIKIANN_LABELS)
     return dim.join(counts, "label_id", "left").select(
