@@ -14,6 +14,7 @@ the article), whose labels are known by construction.
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
 import zlib
@@ -21,15 +22,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, tmp
 
-#: Pages of the training sample, and composed pages.
+#: Bounds of the training sample: pages, their size in characters, blocks of each label that pages are composed of; composed pages.
 MAX_PAGES = 200
+MAX_CHARS = 200_000
+MAX_BLOCKS = 5000
 COMPOSED = 1000
+#: Blocks of a page that are labelled in one matrix; longer pages go chunk by chunk.
+LONG = 20_000
 EPOCHS = 8
 HIDDEN = 24
 PATH_DIM, WORD_DIM, SIZES = 128, 32, 6
@@ -52,41 +57,127 @@ _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
+class Element:
+    """An open element: its tag, class words and parent, and what its path says (``_weak``)."""
+
+    __slots__ = ("depth", "inside", "names", "parent", "said", "tag", "vector")
+
+    def __init__(self, tag: str, names: tuple[str, ...], parent: Element | None) -> None:
+        self.tag, self.names, self.parent, self.vector = tag, names, parent, None
+        self.depth = parent.depth + 1 if parent else 1
+        self.inside, self.said = (parent.inside, parent.said) if parent else (False, None)
+        for w in (tag, *names):
+            if w in _ON:
+                self.inside, self.said = self.inside or w in ("article", "main"), 1
+            elif w in _OFF and not (w == "header" and self.inside):
+                self.said = 0
+
+
 @dataclass
 class Block:
-    path: list[str]
+    element: Element | None
+    vector: np.ndarray  #: how many distinct words of the path fall into each bucket
     text: str
     linked: int = 0  #: characters inside links
 
+    @property
+    def path(self) -> list[str]:
+        out: list[str] = []
+        e = self.element
+        while e is not None:
+            out += [*reversed(e.names), e.tag]
+            e = e.parent
+        return out[::-1]
+
+
+class _Open:
+    """The open elements, with the places of each tag, of blocks and of lists and
+    tables, and the hashed words of the path: pushing, popping and finding take constant time."""
+
+    def __init__(self) -> None:
+        self.top: Element | None = None
+        self.items: list[Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.block_at: list[int] = []
+        self.scope_at: list[int] = []
+        self.words: dict[str, int] = {}
+        self.vector = np.zeros(PATH_DIM, np.int64)
+
+    def push(self, tag: str, names: tuple[str, ...]) -> None:
+        self.top = Element(tag, names, self.top)
+        k = len(self.items)
+        self.items.append(self.top)
+        self.at.setdefault(tag, []).append(k)
+        if tag in BLOCK:
+            self.block_at.append(k)
+        if tag in _SCOPE:
+            self.scope_at.append(k)
+        for w in (tag, *names):
+            n = self.words.get(w, 0)
+            self.words[w] = n + 1
+            if not n:
+                self.vector[_bucket(w, PATH_DIM)] += 1
+
+    def pop(self) -> Element:
+        e = self.items.pop()
+        self.at[e.tag].pop()
+        if e.tag in BLOCK:
+            self.block_at.pop()
+        if e.tag in _SCOPE:
+            self.scope_at.pop()
+        for w in (e.tag, *e.names):
+            self.words[w] -= 1
+            if not self.words[w]:
+                del self.words[w]
+                self.vector[_bucket(w, PATH_DIM)] -= 1
+        self.top = e.parent
+        return e
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def path_vector(self) -> np.ndarray:
+        if self.top is None:
+            return np.zeros(PATH_DIM, np.uint8)
+        if self.top.vector is None:
+            self.top.vector = np.minimum(self.vector, 255).astype(np.uint8)
+        return self.top.vector
+
 
 def blocks(page: str | None) -> list[Block]:
-    """The non-empty leaf blocks of a page, in order; text is decoded and its white space folded."""
+    """The non-empty leaf blocks of a page, in order; text is decoded and its
+    white space folded.  Takes time in proportion to the page, however deep it nests."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    opened = _Open()
     parts: list[str] = []
-    state = {"path": None, "linked": 0, "links": 0}
+    place: tuple[Element | None, np.ndarray] | None = None
+    linked = links = 0
 
     def flush() -> None:
-        if state["path"] is not None:
+        nonlocal place, linked
+        if place is not None:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(Block(state["path"], text, state["linked"]))
+                out.append(Block(*place, text, linked))
         parts.clear()
-        state["path"], state["linked"] = None, 0
+        place, linked = None, 0
 
     def pop_to(k: int) -> None:
-        while len(stack) > k:
-            if stack.pop()[0] == "a":
-                state["links"] = max(0, state["links"] - 1)
+        nonlocal links
+        while len(opened.items) > k:
+            if opened.pop().tag == "a":
+                links = max(0, links - 1)
 
     def add(text: str) -> None:
-        if state["path"] is None:
+        nonlocal place, linked
+        if place is None:
             if text.isspace():
                 return
-            state["path"] = [w for tag, names in stack for w in (tag, *names)]
+            place = (opened.top, opened.path_vector())
         parts.append(text)
-        if state["links"]:
-            state["linked"] += len(text)
+        if links:
+            linked += len(text)
 
     page, at = page or "", 0
     while m := _TOKEN.match(page, at):
@@ -104,9 +195,9 @@ def blocks(page: str | None) -> list[Block]:
                 flush()
             elif name == "br":
                 add(" ")
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            k = opened.last((name,))
             # an inline end tag does not close blocks
-            if k is not None and (name in BLOCK or not any(t in BLOCK for t, _ in stack[k + 1:])):
+            if k >= 0 and (name in BLOCK or not opened.block_at or opened.block_at[-1] < k):
                 pop_to(k)
             continue
         if name in RAW and not attrs.rstrip().endswith("/"):
@@ -117,46 +208,43 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if k is not None and not any(t in BLOCK for t, _ in stack[k + 1:]):
+            k = opened.last(("p",))
+            if k >= 0 and opened.block_at[-1] == k:
                 pop_to(k)  # a block ends an open paragraph
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(name, ()):
-                    pop_to(k)
-                    if name != "tr":
-                        break
-                elif stack[k][0] in _SCOPE:
+            while name in CLOSES:
+                k = opened.last(CLOSES[name])
+                if k < 0 or (opened.scope_at and opened.scope_at[-1] > k):
+                    break
+                pop_to(k)
+                if name != "tr":
                     break
         if name in VOID:
             if name in ("br", "wbr", "hr"):
                 add(" " if name != "wbr" else "")
             continue
         names = [w.lower() for g in _NAMES.findall(attrs) for w in _SPLIT.findall("".join(g))] if attrs else []
-        stack.append((name, tuple("." + w for w in names)))
-        state["links"] += name == "a"
+        opened.push(name, tuple("." + w for w in names))
+        links += name == "a"
     flush()
     return out
 
 
+@functools.lru_cache(50_000)
 def _bucket(word: str, n: int) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
 
 
 def vectors(page: list[Block]) -> np.ndarray:
-    """The labeller's input, a row per block."""
+    """The labeller's input, a row per block, from the whole path and all words."""
     x = np.zeros((len(page), PATH_DIM + WORD_DIM + SIZES), np.float32)
     for row, b in zip(x, page, strict=True):
-        for w in set(b.path):
-            row[_bucket(w, PATH_DIM)] += 1
-        tags = [w for w in b.path if w[0] != "."]
-        row[_bucket("last " + " ".join(tags[-1:]), PATH_DIM)] += 1
-        words = b.text.lower().split(None, 200)[:200]  # a vector of words, not the text: long blocks are told by size
-        for w in words:
-            row[PATH_DIM + _bucket(w, WORD_DIM)] += 1
-        row[PATH_DIM:PATH_DIM + WORD_DIM] = np.log1p(row[PATH_DIM:PATH_DIM + WORD_DIM]) / 4
+        row[:PATH_DIM] = b.vector
+        row[_bucket("last " + (b.element.tag if b.element else ""), PATH_DIM)] += 1
+        hits = [_bucket(w, WORD_DIM) for w in b.text.lower().split()]
+        row[PATH_DIM:PATH_DIM + WORD_DIM] = np.log1p(np.bincount(hits, minlength=WORD_DIM)) / 4
         n = len(b.text)
         row[-SIZES:] = (np.log1p(n) / 6, min(1.0, b.linked / n), sum(map(b.text.count, ".,;:!?")) * 10 / (n + 20),
-                        len(tags) / 8, b.text[-1:] in ".!?", "©" in b.text)
+                        (b.element.depth if b.element else 0) / 8, b.text[-1:] in ".!?", "©" in b.text)
     return x
 
 
@@ -175,11 +263,13 @@ class Labeller:
         w["o"], w["k"] = rng.normal(0, 0.1, 2 * HIDDEN), np.zeros(1)
         return cls({k: v.astype(np.float32) for k, v in w.items()})
 
-    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """x [time, pages, dim] in reading order; states outside a page's mask stay."""
+    def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None,
+             state: list[np.ndarray] | None = None) -> np.ndarray:
+        """x [time, pages, dim] in reading order; cells outside a page's mask stay.
+        ``state`` holds (h, c) to go on from and is left at those of the end."""
         z = x @ self.w["x" + d] + self.w["c" + d]
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        c, out = h.copy(), np.empty((*x.shape[:2], HIDDEN), np.float32)
+        h, c = state or [np.zeros((x.shape[1], HIDDEN), np.float32)] * 2
+        out = np.empty((*x.shape[:2], HIDDEN), np.float32)
         for t in range(len(x)):
             a = z[t] + h @ self.w["h" + d]
             s = 1 / (1 + np.exp(-np.clip(a[:, :3 * HIDDEN], -30, 30)))
@@ -193,6 +283,8 @@ class Labeller:
                 keep.append((i, f, o, g, c, y, h))
             h, c = h2, c2
             out[t] = h
+        if state is not None:
+            state[:] = [h, c]
         return out
 
     def odds(self, x: np.ndarray, mask: np.ndarray, keep: tuple[list, list] | None = None) -> tuple:
@@ -201,6 +293,22 @@ class Labeller:
         y = np.concatenate([f, b], axis=2)
         return y @ self.w["o"] + self.w["k"][0], y
 
+    def long_odds(self, page: list[Block], chunk: int = 0) -> np.ndarray:
+        """``odds`` of one page of any length, its input made a chunk at a time, forward and then backward."""
+        chunk = chunk or LONG
+        z = np.full(len(page), self.w["k"][0])
+        cuts = range(0, len(page), chunk)
+        for d, starts, o in (("f", cuts, self.w["o"][:HIDDEN]), ("b", reversed(cuts), self.w["o"][HIDDEN:])):
+            state = [np.zeros((1, HIDDEN), np.float32)] * 2
+            for k in starts:
+                x = vectors(page[k:k + chunk])[:, None]
+                ones = np.ones(x.shape[:2], np.float32)
+                if d == "f":
+                    z[k:k + chunk] += self._run(d, x, ones, state=state)[:, 0] @ o
+                else:
+                    z[k:k + chunk] += (self._run(d, x[::-1], ones, state=state)[:, 0] @ o)[::-1]
+        return z
+
     def gradient(self, x: np.ndarray, mask: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         keep: tuple[list, list] = ([], [])
         z, y = self.odds(x, mask, keep)
@@ -235,7 +343,11 @@ class Labeller:
         order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
         while order:
             longest = len(pages[order[-1]])  # so few pages at a time that the group's cells are bounded
-            n = max(1, min(group, 200_000 // longest))
+            if longest > LONG:
+                k = order.pop()
+                out[k] = self.long_odds(pages[k]) >= 0
+                continue
+            n = max(1, min(group, 10 * LONG // longest))
             mine, order = order[-n:], order[:-n]
             x, mask = _pad([vectors(pages[k]) for k in mine])
             z, _ = self.odds(x, mask)
@@ -261,14 +373,7 @@ _ON = frozenset("article main .article .content .post .entry .story .main".split
 
 def _weak(b: Block) -> int | None:
     """1, 0 or None (nothing said); the innermost hint counts, and an article's own header is part of it."""
-    inside = False
-    said = None
-    for w in b.path:
-        if w in _ON:
-            inside, said = inside or w in ("article", "main"), 1
-        elif w in _OFF and not (w == "header" and inside):
-            said = 0
-    return said
+    return b.element.said if b.element else None
 
 
 _OPEN = ["<article>", "<article class=\"{on}\">", "<main>", "<main id=\"{on}\">", "<div class=\"{on}\">",
@@ -396,8 +501,8 @@ def fit(sample: list[str | None], composed: int = COMPOSED, epochs: int = EPOCHS
         found = blocks(page)
         said = [_weak(b) for b in found]
         for b, y in zip(found, said, strict=True):
-            if y is not None and len(main if y else other) < 5000:
-                (main if y else other).append(b.text[:600])
+            if y is not None and len(main if y else other) < MAX_BLOCKS:
+                (main if y else other).append(b.text)
         if found and all(y is not None for y in said):
             data.append((vectors(found), np.array(said, np.float32)))
     main = main or ["A sentence of an article that says something, and then some more of it."]
@@ -436,8 +541,7 @@ def train(pages: DataFrame, html: str = "html", key: str = "page_id", max_pages:
     drawn = F.pmod(F.xxhash64(F.lit(SEED), column(pages, key)), F.lit(1 << 30))
     share = min(1.0, max_pages / max(1, n))
     d = pages.where(drawn < int(share * (1 << 30))).select(column(pages, html).alias("html"))
-    # a training page needs its layout, not megabytes of it
-    d = d.where(F.coalesce(F.length("html"), F.lit(0)) <= 200_000)
+    d = d.where(F.coalesce(F.length("html"), F.lit(0)) <= MAX_CHARS)
     return fit(sorted(r.html for r in d.limit(4 * max_pages).collect() if r.html))
 
 
@@ -448,15 +552,23 @@ def extract(pages: DataFrame, model: Labeller, html: str = "html") -> DataFrame:
     Null and empty pages have an empty text.  Whole pages are read.  Input
     columns of these names are replaced.
     """
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
+    @F.arrow_udf("string")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
             out: list[str] = []
-            for k in range(0, len(s), 256):
-                found = [blocks(p) for p in s.iloc[k:k + 256]]
+            found: list[list[Block]] = []
+
+            def done(found: list[list[Block]], out: list[str]) -> None:
                 for b, y in zip(found, model.labels(found), strict=True):
                     out.append("\n\n".join(x.text for x, on in zip(b, y, strict=True) if on))
-            yield pd.Series(out, dtype=object)
+                found.clear()
+
+            for p in a:  # one page at a time leaves the Arrow batch
+                found.append(blocks(p.as_py()))
+                if len(found) >= 64 or sum(map(len, found)) >= LONG:
+                    done(found, out)
+            done(found, out)
+            yield pa.array(out, pa.string())
 
     t = tmp("text")
     d = pages.select(*[column(pages, c) for c in pages.columns if c not in ("text", "n_chars")],

@@ -232,3 +232,42 @@ def test_odd_pages(spark, labeller):
     got = {r.page_id: r for r in html_text.extract(df, labeller).collect()}
     assert len(got) == 4 and got[1].text == got[2].text == "" and got[None].text == "A plain text of some words."
     assert html_text.extract(df.where("false"), labeller).collect() == []
+
+
+def test_parser_is_linear():
+    """Deep and unclosed markup of a megabyte takes about as long as flat markup."""
+    import time
+    flat = "<div><p>x</p></div>" * 55_000
+    t0 = time.time()
+    assert len(html_text.blocks(flat)) == 55_000
+    base = time.time() - t0
+    for page, n in (("<div>x" * 170_000, 170_000), ("<b>x<i>y</u>" * 87_000, 1), ("<ul><li>x" * 110_000, 110_000),
+                    ("<table><tr><td>x" * 65_000, 65_000), ("<p><a href=x>y" * 75_000, 75_000), ("<li>x" * 200_000, 200_000)):
+        t0 = time.time()
+        assert len(html_text.blocks(page)) == n
+        assert time.time() - t0 < 8 * base + 2, page[:20]
+
+
+def test_paths_of_open_elements():
+    got = html_text.blocks("<div class='a b'>1<p>2<p id=c>3<ul><li>4<li>5</ul></div>6<table><tr><td>7<td>8<tr><td>9</table>")
+    assert [(b.text, " ".join(b.path)) for b in got] == [
+        ("1", "div .a .b"), ("2", "div .a .b p"), ("3", "div .a .b p .c"), ("4", "div .a .b ul li"), ("5", "div .a .b ul li"),
+        ("6", ""), ("7", "table tr td"), ("8", "table tr td"), ("9", "table tr td")]
+    for b in got:
+        row = np.zeros(html_text.PATH_DIM)
+        for w in set(b.path):
+            row[html_text._bucket(w, html_text.PATH_DIM)] += 1
+        assert (row == b.vector).all()
+
+
+def test_long_pages_go_in_chunks(labeller):
+    page = html_text.blocks("<nav><a href=x>Home</a></nav><article>" + "".join(f"<p>Line {k} of it, said twice.</p>" for k in range(300))
+                            + "</article><footer>Bye</footer>")
+    x, mask = html_text._pad([html_text.vectors(page)])
+    whole, _ = labeller.odds(x, mask)
+    assert np.allclose(whole[:, 0], labeller.long_odds(page, 37), atol=1e-3)
+
+
+def test_all_words_of_a_block_count():
+    one, two = html_text.blocks("<p>" + "a " * 300 + "b</p>"), html_text.blocks("<p>" + "a " * 300 + "c</p>")
+    assert (html_text.vectors(one) != html_text.vectors(two)).any()
