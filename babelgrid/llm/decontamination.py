@@ -13,8 +13,8 @@ a bounded table).  Texts are never shuffled: positions, probes and the
 verification are one stage, and only verified overlaps leave it.
 
 The masks find what a window of 13 words may differ in.  Items shorter than
-the window have masks of their own, made for their length; texts are probed
-under those only if the benchmark has items of that length.
+the window are found by runs of up to three words, of which one is whole
+wherever the allowed substitutions are.
 """
 
 from __future__ import annotations
@@ -38,23 +38,22 @@ GAP = r"[^\p{L}\p{N}]+"
 
 #: Items of fewer words match as an exact sequence of words.
 MIN_INEXACT = 7
+#: Words of a seed of a short item, as far as its runs have so many.
+SHORT_SEED = 3
 
 
-def short_masks(n: int, similarity: float = SIMILARITY) -> list[tuple[str, int]]:
-    """Masks for items of ``n`` words, of which ``similarity`` must agree, and where in the item each begins.
+def short_seeds(n: int, similarity: float = SIMILARITY) -> list[tuple[str, int]]:
+    """Masks for an item of ``n`` words, of which ``similarity`` must agree, and where in the item each begins.
 
-    With s words that may differ the item is cut into s + 2 runs (at most n), and every
-    mask leaves out s of them: wherever s words differ, they lie in s runs at
-    most, and the mask without those still meets.
+    With s words that may differ the item is cut into s + 1 runs, of which one
+    stays whole wherever the s words are; its first words are the seed.  All
+    short lengths so share the masks ``1``, ``11`` and ``111``, and a position of a
+    text is probed under three more masks at most, whatever the benchmark.
     """
     s = 0 if n < MIN_INEXACT else sum(n - k >= n * similarity for k in range(1, n))
-    parts = min(n, s + 2)
-    runs = [k * parts // n for k in range(n)]
-    out = []
-    for holes in combinations(range(parts), s):
-        mask = "".join("0" if r in holes else "1" for r in runs)
-        out.append((mask.strip("0"), mask.index("1")))
-    return sorted(set(out))
+    starts = [k * n // (s + 1) for k in range(s + 2)]
+    size = min(SHORT_SEED, *(b - a for a, b in zip(starts, starts[1:])))
+    return [("1" * size, at) for at in starts[:-1]]
 
 
 def word_hashes(text: Column) -> Column:
@@ -95,12 +94,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str =
         F.collect_list(F.struct("item")).alias("items"))
     items = materialize(items.select(F.md5(F.array_join(F.col("h").cast("array<string>"), ",")).alias("id"),
                                      "h", "items"), "benchmark-items")
-    seeds = [_positions(items.where(F.size("h") >= window), ["id"], masks).select("id", F.col("i").alias("j"), "seed")]
+    long = items.where(F.size("h") >= window).select("id", F.size("h").alias("n"), F.posexplode("h").alias("j", "first"), "h")
+    seeds = [long.select("id", "n", "j", F.posexplode(_seeds(F.col("h"), F.col("j"), masks)).alias("mask", "seed")).select(
+        "id", "n", "j", F.array(*[F.lit(len(m)) for m in masks])[F.col("mask")].alias("span"), "seed")]
     sizes = items.where(F.size("h") < window).select(F.size("h").alias("n")).distinct()
     for n in sorted(r.n for r in sizes.collect()):  # fewer than ``window``
         short = items.where(F.size("h") == n)
-        for mask, at in short_masks(n, similarity):
-            seeds.append(short.select("id", F.lit(at).alias("j"), _seeds(F.col("h"), F.lit(at), (mask,))[0].alias("seed")))
+        for mask, at in short_seeds(n, similarity):
+            seeds.append(short.select("id", F.lit(n).alias("n"), F.lit(at).alias("j"), F.lit(len(mask)).alias("span"),
+                                      _seeds(F.col("h"), F.lit(at), (mask,))[0].alias("seed")))
             masks = masks if mask in masks else (*masks, mask)
     seeds = materialize(reduce(DataFrame.unionAll, seeds).where(F.col("seed").isNotNull()), "benchmark-seeds")
     parts = max(1, -(-seeds.count() // max_seeds))
@@ -113,15 +115,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str =
     for part in range(parts):
         mine = F.pmod(F.xxhash64("id"), F.lit(parts)) == part
         hits = probes.join(F.broadcast(seeds.where(mine)), "seed")
+        # the windows of the item that hold the seed begin between ``lo`` and ``hi``
+        size = F.least(F.lit(window), F.col("n"))
+        hits = hits.select(*names, "id", "h", (F.col("i") - F.col("j")).alias("shift"), size.alias("window"),
+                           F.greatest(F.lit(0), F.col("j") + F.col("span") - size).alias("lo"),
+                           F.least(F.col("j"), F.col("n") - size).alias("hi"))
         it = items.where(mine).select("id", F.col("h").alias("ih"))
         hits = hits.join(F.broadcast(it), "id").select(
-            *names, "id", F.least(F.lit(window), F.size("ih")).alias("window"),
-            F.transform("ih", lambda w, t: F.coalesce(
-                F.get(F.col("h"), F.col("i") - F.col("j") + t) == w, F.lit(False)).cast("int")).alias("equal"))
-        best = F.array_max(F.transform(F.sequence(F.lit(0), F.size("equal") - F.col("window")), lambda s: F.aggregate(
+            *names, "id", "window", (F.col("hi") - F.col("lo")).alias("more"),
+            F.transform(F.sequence("lo", F.col("hi") + F.col("window") - 1), lambda t: F.coalesce(
+                F.get(F.col("h"), F.col("shift") + t) == F.get(F.col("ih"), t), F.lit(False)).cast("int")).alias("equal"))
+        best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("more")), lambda s: F.aggregate(
             F.slice("equal", s + 1, F.col("window")), F.lit(0), lambda a, x: a + x)))
         hits = hits.select(*names, "id", "window", best.alias("matched"))
-        found.append(hits.where(F.col("matched") >= F.col("window") * F.lit(similarity)))
+        exact = F.col("window") < min(MIN_INEXACT, window)
+        found.append(hits.where(F.col("matched") >= F.col("window") * F.when(exact, 1.0).otherwise(similarity)))
     found = reduce(DataFrame.unionAll, found)
     found = found.groupBy(*names, "id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
     ids = items.select("id", F.explode("items.item").alias("item")).distinct()
@@ -163,6 +171,14 @@ eq AS (
   FROM hit JOIN d USING (r) JOIN b USING (item_id)),
 best AS (SELECT doc_id, item_id, win,
          list_max(list_transform(range(1, n - win + 2), lambda s: list_sum(e[s:s + win - 1]))) AS k FROM eq)
-SELECT doc_id, item_id, max(k)::BIGINT AS matched, max(win)::BIGINT AS "window" FROM best
-WHERE k >= win * {SIMILARITY} GROUP BY doc_id, item_id
+
+SELECT doc_id, item_id, max(k)::BIGINT AS matched, max(win)::BIGINT AS "window" FROM (
+  SELECT doc_id, item_id, win, k FROM best WHERE win = {WINDOW}
+  -- items shorter than the window: every alignment that lets all but a fifth of the words agree
+  UNION ALL
+  SELECT doc_id, item_id, len(v) AS win, list_sum(list_transform(range(1, len(v) + 1), lambda t: CASE
+         WHEN t + d >= 1 AND t + d <= len(w) AND w[t + d] = v[t] THEN 1 ELSE 0 END)) AS k
+  FROM (SELECT d.doc_id, d.w, s.item_id, s.v, unnest(range(-len(s.v), len(d.w))) AS d
+        FROM d, (SELECT item_id, w AS v FROM b WHERE len(w) BETWEEN 1 AND {WINDOW} - 1) s) x) y
+WHERE k >= win * CASE WHEN win < {MIN_INEXACT} THEN 1 ELSE {SIMILARITY} END GROUP BY doc_id, item_id
 """

@@ -112,12 +112,36 @@ def test_overlaps(spark, contaminated):
         assert {(r.doc_id, r.item_id): (r.matched, r.window) for r in got} == plain_overlaps(rows, items)
 
 
-def test_short_masks_hit_every_substitution():
+def test_short_seeds_hit_every_substitution():
     for n in range(1, 13):
         subs = 0 if n < 7 else max(s for s in range(n) if n - s >= 0.8 * n)
         for changed in combinations(range(n), subs):
             assert any(all(mask[p - at] == "0" for p in changed if at <= p < at + len(mask))
-                       for mask, at in dc.short_masks(n)), (n, changed)
+                       for mask, at in dc.short_seeds(n)), (n, changed)
+    assert {mask for n in range(1, 13) for mask, _ in dc.short_seeds(n)} == {"1", "11", "111"}
+    assert {mask for n in range(1, 13) for mask, _ in dc.short_seeds(n, 0.6)} <= {"1", "11", "111"}
+
+
+def test_sql_twin_with_short_items(spark, tmp_path):
+    """The twin agrees for items of every length, with substitutions inside and at the edges of texts."""
+    import duckdb
+    rng = random.Random(9)
+    items = [(n, " ".join(f"i{n}w{k % 5}" for k in range(n))) for n in range(1, 31)] + [(40, ""), (41, None), (42, "i3w0 i3w1 i3w2")]
+    rows = []
+    for k in range(300):
+        w = words(rng.choice(items[:30])[1])
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = "x"
+        body = [rng.choice("abc") for _ in range(rng.randint(0, 6))]
+        at = rng.randint(0, len(body))
+        rows.append((k, " ".join(body[:at] + w[rng.choice([0, 0, 1, 2]):] + body[at:])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas())
+    want = con.sql(dc.SQL).fetchall()
+    got = [(r.doc_id, r.item_id, r.matched, r.window) for r in dc.overlaps(docs, bench, ["doc_id"]).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 200
 
 
 def test_short_items_are_found(spark):
