@@ -16,7 +16,7 @@ from ..operators import scoring
 from ..operators.batched import map_batched
 from ..operators.scoring import compute_metrics, linear_model, score
 from ..session import materialize
-from ..sources import io
+from ..sources import io, landing
 from ..streaming.grid_stream import run_once
 from .q_qa import SQUAD_SQL, qa_squad_grid
 from .registry import register
@@ -117,6 +117,21 @@ def lang_split_csv(spark, sf_dir):
     return back.select("id", "lang", "split", F.col("label").cast("int").alias("label"), F.md5("text").alias("text_md5"))
 
 
+@register("land_incremental", with_fx("""
+SELECT id, lang, split, md5(CASE WHEN lang = 'de' AND split = 'train' THEN text || '!' ELSE text END) AS text_md5,
+       CAST(CASE WHEN lang = 'de' AND split = 'train' THEN 2 ELSE 1 END AS INTEGER) AS version
+FROM fx_cls""", "fx_cls"))
+def land_incremental(spark, sf_dir):
+    """A7 + A9: a landing, then a rerun of one language of which one split has
+    changed: that split alone is written anew, the version tells."""
+    c = fx.fx_cls(spark, sf_dir)
+    path = io.scratch_path(spark, "landed")
+    landing.land(c, path)
+    edited = F.when(F.col("split") == "train", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    landing.land(c.filter(F.col("lang") == "de").withColumn("text", edited), path)
+    return landing.read_landed(spark, path).select("id", "lang", "split", F.md5("text").alias("text_md5"), "version")
+
+
 @register("split_leakage", with_fx("""
 SELECT lang, split, CAST(count(*) AS BIGINT) AS n_leaked
 FROM fx_cls e WHERE split <> 'train' AND md5(text) IN (SELECT md5(text) FROM fx_cls WHERE split = 'train')
