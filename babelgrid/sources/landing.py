@@ -127,12 +127,12 @@ def read_landed(spark: SparkSession, path: str, version: int | None = None, **eq
     return data.join(m, on).drop(LANDING, "m_landing", *[f"m_{c}" for c in keys])
 
 
-def vacuum(spark: SparkSession, path: str) -> list[str]:
-    """Delete the landings that the current manifest doesn't use (old versions, killed runs); their names."""
-    used = {r[0] for r in manifest(spark, path).select(LANDING).distinct().collect()}
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Delete the landings that none of the last ``keep`` manifests uses (old versions, killed runs); their names."""
+    used = {r[0] for v in versions(spark, path)[-keep:] for r in manifest(spark, path, v).select(LANDING).distinct().collect()}
     fs, p = _fs(spark, f"{path}/{_DATA}")
     gone = []
-    for s in fs.listStatus(p):
+    for s in fs.listStatus(p) if fs.exists(p) else ():
         name = s.getPath().getName().removeprefix(f"{LANDING}=")
         if name not in used:
             fs.delete(s.getPath(), True)
