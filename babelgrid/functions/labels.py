@@ -6,7 +6,7 @@ stay inside whole-stage codegen: no join, no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values: label vocabularies of the benchmark tasks, in id order ----
@@ -23,6 +23,9 @@ UPOS_DEFAULT = "X"
 # Label that marks a position to ignore in token-level label arrays.
 IGNORE_INDEX = -100
 # ---------------------------------------------------------------------------
+#: Entries of the sketch of unknown labels, and characters of a label it keeps.
+MISSES_TRACKED = 4096
+MISS_CHARS = 200
 
 
 def _c(x) -> Column:
@@ -45,6 +48,28 @@ def encode_or_null(c, labels: list[str]) -> Column:
     return encode_map(labels)[_c(c)]
 
 
+def observe_misses(df: DataFrame, c: str, labels: list[str], name: str = "misses", tracked: int = MISSES_TRACKED) -> tuple[DataFrame, Observation]:
+    """B5 with a report: ``df`` as it is, and an observation filled by the first
+    action on it, without a pass of its own: ``rows``, ``unknown`` (labels outside
+    the vocabulary, null included) and ``by_label``, the unknown texts with their counts.
+
+    The texts are kept in a frequent-items sketch of ``tracked`` entries: exact
+    up to three quarters of that many different texts, and the commonest beyond."""
+    unknown = ~F.coalesce(F.col(c).isin(labels), F.lit(False))
+    o = Observation(name)
+    # what the sketch can't hold, nulls, is counted apart
+    texts = F.when(unknown, F.substring(F.col(c), 1, MISS_CHARS))
+    return df.observe(o, F.count(F.lit(1)).alias("rows"), F.count_if(unknown).alias("unknown"), F.count_if(F.col(c).isNull()).alias("null"),
+                      F.call_function("approx_top_k", texts, F.lit(tracked * 3 // 4), F.lit(tracked)).alias("by_label")), o
+
+
+def misses(o: Observation) -> dict[str | None, int]:
+    """Unknown label text -> number of rows, from a filled observation."""
+    got = o.get
+    out = {r["item"]: r["count"] for r in got["by_label"] if r["item"] is not None}
+    return out | ({None: got["null"]} if got["null"] else {})
+
+
 def encode_or_default(c, labels: list[str], default: str) -> Column:
     """Unknown label becomes the id of ``default``."""
     return F.coalesce(encode_map(labels)[_c(c)], F.lit(labels.index(default)))

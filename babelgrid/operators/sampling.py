@@ -2,13 +2,13 @@
 
 Rows are ranked per group by ``md5(seed ':' key)`` (a hash both Spark and
 SQL engines compute identically), never by ``sample()``, which is inexact.
-The per-group rank only has to be exact among the first n rows, so it is taken
-in two limited steps (``ranking.first_rows``).
+The per-group rank only has to be exact among the first n rows: a histogram of
+the hash gives each group a threshold just above n, and only rows below it are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_dim
@@ -24,20 +24,35 @@ def hash_key(key: Column, seed: str = SEED, copy: Column | None = None) -> Colum
     return F.md5(F.concat(*parts))
 
 
+def _bin(h: Column) -> Column:
+    """The first 16 bits of a hash, which sort as it does."""
+    return F.conv(F.substring(h, 1, 4), 16, 10).cast("int")
+
+
+def thresholds(df: DataFrame, group: list[str], h: Column, n: int) -> DataFrame:
+    """(group..., _size, _upto): a group's rows, and the last bin of the hash that
+    its ``n`` smallest rows reach into.  At most 65,536 counts per group are shuffled."""
+    bins = df.select(*group, _bin(h).alias("_bin")).groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return bins.groupBy(*group).agg(F.sum("_n").alias("_size"), F.max(F.when(F.col("_before") < n, F.col("_bin"))).alias("_upto"))
+
+
 def sample_exact_n(df: DataFrame, group: list[str], key: str, n: int, seed: str = SEED) -> DataFrame:
     """E1 + E2 (+E3): exactly ``n`` rows per group.
 
     size >= n: the n rows with the smallest hash rank.  size < n: every row
     ``n div size`` times plus one more copy for the ``n mod size`` best ranked
-    rows.  Adds ``copy`` (1-based) and ``rank``.
+    rows.  Adds ``copy`` (1-based) and ``rank``.  No more than n rows and those of
+    one bin are ranked per group, repeated keys in two limited steps.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    top = first_rows(df, group, [hash_key(F.col(key), seed), F.col(key)], n)
-    top = join_dim(top, sizes, group)
+    h = hash_key(F.col(key), seed)
+    near = join_dim(df, thresholds(df, group, h, n), group).filter(_bin(h) <= F.col("_upto"))
+    top = first_rows(near, group, [h, F.col(key)], n)
     copies = F.when(F.col("_size") >= n, F.lit(1)).otherwise(
         F.floor(F.lit(n) / F.col("_size")).cast("int") + F.when(F.col("rank") <= F.lit(n) % F.col("_size"), 1).otherwise(0))
     out = top.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    return out.drop("_size")
+    return out.drop("_size", "_upto")
 
 
 #: Rows that one task numbers in a seeded shuffle, on average.

@@ -9,6 +9,7 @@ from .. import fixtures as fx
 from ..functions import labels as L
 from ..functions import text as T
 from ..operators.sampling import cap_per_group
+from ..session import materialize
 from .registry import register
 from .sqlfx import NER_LABELS_SQL, UPOS_SQL, strip, with_fx, words
 
@@ -39,6 +40,20 @@ def label_encode_null(spark, sf_dir):
                                            F.col("label").isNull().cast("int").alias("unknown"))
 
 
+@register("label_misses", with_fx(f"""
+SELECT classification AS label, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT {str(_TAXI_PLUS)}[doc_id % 7 + 1] || CASE WHEN doc_id % 5 = 0 THEN '?' ELSE '' END AS classification FROM fx_cls)
+WHERE classification NOT IN ({str(L.TAXI_LABELS)[1:-1]}) GROUP BY ALL""", "fx_cls"))
+def label_misses(spark, sf_dir):
+    """Unknown labels counted while the encoded table is written, in the same pass."""
+    c = fx.fx_cls(spark, sf_dir)
+    label = F.element_at(F.array(*[F.lit(x) for x in _TAXI_PLUS]), F.pmod("doc_id", F.lit(7)).cast("int") + 1)
+    c = c.withColumn("classification", F.concat(label, F.when(F.col("doc_id") % 5 == 0, "?").otherwise("")))
+    seen, observed = L.observe_misses(c, "classification", L.TAXI_LABELS)
+    materialize(seen.withColumn("label", L.encode_or_null("classification", L.TAXI_LABELS)), "encoded")
+    return spark.createDataFrame(list(L.misses(observed).items()), "label string, n long")
+
+
 @register("label_encode_default", with_fx(f"""
 SELECT id, string_agg(CAST(coalesce(list_position({UPOS_SQL}, upos) - 1, 16) AS VARCHAR), ' ' ORDER BY pos) AS upos_ids
 FROM fx_pos_tok GROUP BY id""", "fx_pos_tok"))
