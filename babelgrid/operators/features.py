@@ -35,6 +35,8 @@ SINGLE_MAX_LEN = 128
 PAIR_MAX_LEN = 256
 T2T_INPUT_MAX = 1024
 T2T_TARGET_MAX = 128
+TAG_TARGET_MAX = 32
+CLASS_TARGET_MAX = 8
 # ---------------------------------------------------------------------------------
 
 def _not_ws() -> str:

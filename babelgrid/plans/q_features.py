@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.labels import UPOS_DEFAULT, UPOS_LABELS, encode_or_default
-from ..functions.text import first_answer, qa_prompt
+from ..functions.labels import UPOS_DEFAULT, UPOS_LABELS, WIKIANN_LABELS, decode_array, encode_or_default
+from ..functions.text import first_answer, ner_prompt, pair_prompt, qa_prompt, tag_target
 from ..operators import features as D
 from ..operators.spans import best_spans, candidates, with_top_k
 from ..operators.transfer import doc_tokens
 from .registry import register
-from .sqlfx import UPOS_SQL, strip, with_fx, words
+from .sqlfx import NER_LABELS_SQL, UPOS_SQL, strip, with_fx, words
 
 
 def _vocab(spark, sf_dir):
@@ -77,19 +77,48 @@ def encode_pair(spark, sf_dir):
     return e.select("id", F.col("len_a").cast("int"), F.col("len_b").cast("int"), F.array_join("input_ids", " ").alias("input_ids"))
 
 
-@register("encode_text2text", with_fx(_VOCAB_SQL + f"""
-, src AS (SELECT id, 'question: ' || {strip('question')} || '  context: ' || context AS s, coalesce(answers.text[1], '') AS t FROM fx_qa),
+def _t2t_sql(src: str, target_max: int, *names: str) -> str:
+    """``src``: a query of (id, s, t), source and target texts."""
+    return with_fx(_VOCAB_SQL + f"""
+, src AS ({src}),
 ts AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT id, {words('lower(s)')} AS w FROM src)),
 tt AS (SELECT id, unnest(range(len(w))) AS pos, unnest(w) AS token FROM (SELECT id, {words('lower(t)')} AS w FROM src)),
-i1 AS (SELECT t.id, list(coalesce(v.token_id, 3) ORDER BY t.pos) AS ids FROM ts t LEFT JOIN vocab v USING (token) WHERE t.pos < 1023 GROUP BY t.id),
-i2 AS (SELECT t.id, list(coalesce(v.token_id, 3) ORDER BY t.pos) AS ids FROM tt t LEFT JOIN vocab v USING (token) WHERE t.pos < 127 GROUP BY t.id)
+i1 AS (SELECT t.id, list(coalesce(v.token_id, 3) ORDER BY t.pos) AS ids FROM ts t LEFT JOIN vocab v USING (token) WHERE t.pos < {D.T2T_INPUT_MAX - 1} GROUP BY t.id),
+i2 AS (SELECT t.id, list(coalesce(v.token_id, 3) ORDER BY t.pos) AS ids FROM tt t LEFT JOIN vocab v USING (token) WHERE t.pos < {target_max - 1} GROUP BY t.id)
 SELECT s.id, array_to_string(coalesce(i1.ids, []) || [2], ' ') AS input_ids, array_to_string(coalesce(i2.ids, []) || [2], ' ') AS labels
-FROM src s LEFT JOIN i1 USING (id) LEFT JOIN i2 USING (id)""", "fx_cls", "fx_qa"))
+FROM src s LEFT JOIN i1 USING (id) LEFT JOIN i2 USING (id)""", "fx_cls", *names)
+
+
+def _t2t(e):
+    return e.select("id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"))
+
+
+@register("encode_text2text", _t2t_sql(f"""
+SELECT id, 'question: ' || {strip('question')} || '  context: ' || context AS s, coalesce(answers.text[1], '') AS t FROM fx_qa""",
+                                       D.T2T_TARGET_MAX, "fx_qa"))
 def encode_text2text(spark, sf_dir):
     """D3 (+C2, C5): QA prompt -> input ids (cap 1024), first answer -> labels (cap 128)."""
     q = fx.fx_qa(spark, sf_dir).select("task", "lang", "id", qa_prompt("question", "context").alias("src"), first_answer("answers").alias("tgt"))
-    e = D.encode_text2text(q, _vocab(spark, sf_dir), "src", "tgt")
-    return e.select("id", F.array_join("input_ids", " ").alias("input_ids"), F.array_join("labels", " ").alias("labels"))
+    return _t2t(D.encode_text2text(q, _vocab(spark, sf_dir), "src", "tgt"))
+
+
+@register("encode_text2text_tags", _t2t_sql(f"""
+SELECT s.id, 'ner: ' || array_to_string(s.tokens, ' ') AS s,
+       coalesce(nullif(string_agg({NER_LABELS_SQL}[t.tag + 1], ' ' ORDER BY t.pos) FILTER (WHERE t.tag <> 0), ''), 'None') AS t
+FROM fx_sent s LEFT JOIN fx_ner_tok t ON t.id = s.id GROUP BY s.id, s.tokens""", D.TAG_TARGET_MAX, "fx_sent", "fx_ner_tok"))
+def encode_text2text_tags(spark, sf_dir):
+    """D3 (+C4, C6): tagging prompt -> input ids, entity tags -> labels (cap 32)."""
+    n = fx.fx_ner(spark, sf_dir).select("task", "lang", "id", ner_prompt("tokens").alias("src"),
+                                        tag_target(decode_array("tags", WIKIANN_LABELS)).alias("tgt"))
+    return _t2t(D.encode_text2text(n, _vocab(spark, sf_dir), "src", "tgt", target_max=D.TAG_TARGET_MAX))
+
+
+@register("encode_text2text_pairs", _t2t_sql("""
+SELECT id, 'xnli: premise: ' || premise || ' hypothesis: ' || hypothesis AS s, hypothesis AS t FROM fx_pair""", D.CLASS_TARGET_MAX, "fx_pair"))
+def encode_text2text_pairs(spark, sf_dir):
+    """D3 (+C3): pair prompt -> input ids, a text longer than the cap -> labels (cap 8)."""
+    p = fx.fx_pair(spark, sf_dir).select("task", "lang", "id", pair_prompt("premise", "hypothesis").alias("src"), F.col("hypothesis").alias("tgt"))
+    return _t2t(D.encode_text2text(p, _vocab(spark, sf_dir), "src", "tgt", target_max=D.CLASS_TARGET_MAX))
 
 
 # --- D4-D7 ------------------------------------------------------------------------
