@@ -4,7 +4,8 @@ Counts of every whole text (words, symbols, repeated lines, words in repeated
 8-word windows) give base rules, and a vector of transformed statistics that
 is judged against its language and source: the minimum covariance determinant
 (MCD) estimate of the group's location and scatter, by concentration steps
-over all of its rows, and the vector's Mahalanobis distance from it.
+over all of its rows from two starts (median and interquartile range; mean and
+scatter of all rows), and the vector's Mahalanobis distance from it.
 
 The counts are one Arrow pass per text.  The estimates never gather a group:
 a concentration step is two aggregates over a narrow table, a histogram of
@@ -44,7 +45,10 @@ FLOOR = (0.035, 0.05, 0.1, 0.1)
 #: Share of a group's rows that the estimate is to hold, and its least size.
 SUBSET = 0.75
 MIN_GROUP = 100
-STEPS = 12
+#: Concentration steps after which estimates that still change are an error.
+STEPS = 100
+#: Parts of a group's vectors in a join with its estimate.
+SALTS = 16
 #: Squared distance beyond which a vector is an outlier: about the 1 - 1e-6 quantile of chi-squared with 4 degrees.
 CUT = 33.4
 #: Median of chi-squared with 4 degrees, for the scale of the estimate.
@@ -106,7 +110,7 @@ def text_counts(text: Column) -> Column:
 
 _P = len(STATS)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i, _P)]
-_EST = "g string, n long, " + ", ".join([f"m{i} double" for i in range(_P)] + [f"w{i}{j} double" for i, j in _PAIRS]
+_EST = "g string, start int, n long, " + ", ".join([f"m{i} double" for i in range(_P)] + [f"w{i}{j} double" for i, j in _PAIRS]
                                         + ["scale double", "logdet double"])
 
 
@@ -154,15 +158,15 @@ def _invert(cov: np.ndarray) -> tuple[np.ndarray, float]:
     return np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
-def _row(g: str, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
+def _row(g: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray) -> list:
     w, logdet = _invert(cov)
-    return [g, n, *mean, *[w[i, j] for i, j in _PAIRS], 1.0, logdet]
+    return [g, start, n, *mean, *[w[i, j] for i, j in _PAIRS], 1.0, logdet]
 
 
 def _start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Median and interquartile range of each statistic, no correlation."""
     for pdf in batches:
-        rows = [_row(r.g, r.n, np.array(r.mid) / 512.0, np.diag(np.square((np.array(r.hi) - np.array(r.lo))
+        rows = [_row(r.g, 0, r.n, np.array(r.mid) / 512.0, np.diag(np.square((np.array(r.hi) - np.array(r.lo))
                                                                           / 512.0 / 1.349)))
                 for r in pdf.itertuples()]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _EST.split(", ")])
@@ -177,7 +181,7 @@ def _refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cov = np.zeros((_P, _P))
             for i, j in _PAIRS:
                 cov[i, j] = cov[j, i] = r[f"q{i}{j}"] / r["k"] - s[i] * s[j]
-            rows.append(_row(r["g"], r["n"], np.array([r[f"m{i}"] for i in range(_P)]) + s, cov))
+            rows.append(_row(r["g"], r["start"], r["n"], np.array([r[f"m{i}"] for i in range(_P)]) + s, cov))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in _EST.split(", ")])
 
 
@@ -193,7 +197,9 @@ def estimates(stats: DataFrame, lang: str = "lang", source: str = "source", step
     p = p.select(F.explode(F.array(*_groups(F.col("lang"), F.col("source")))).alias("g"),
                  *[x.alias(f"x{i}") for i, x in enumerate(_vector(F.col("prior")))])
     # equal vectors of a group (most short statistics are zero) are one row with a weight
-    p = materialize(p.groupBy("g", *[f"x{i}" for i in range(_P)]).agg(F.count(F.lit(1)).alias("n")), "mcd-vectors")
+    xs = [f"x{i}" for i in range(_P)]
+    p = p.groupBy("g", *xs).agg(F.count(F.lit(1)).alias("n"))
+    p = materialize(p.withColumn("salt", F.pmod(F.xxhash64(*xs), F.lit(SALTS)).cast("int")), "mcd-vectors")
     sizes = p.groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_GROUP)
 
     flat = p.select("g", "n", F.posexplode(F.array(*[F.floor(F.col(f"x{i}") * 512).cast("int") for i in range(_P)]))
@@ -203,34 +209,62 @@ def estimates(stats: DataFrame, lang: str = "lang", source: str = "source", step
         _at_share(flat, ["g", "i"], 0.75, "hi"), ["g", "i"])
     qs = qs.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "mid", "lo", "hi"))).alias("q"))
     start = qs.join(sizes, "g").select("g", "n", "q.mid", "q.lo", "q.hi")
-    est = materialize(start.mapInPandas(_start, _EST), "mcd-start")
-
-    before = None
-    for _ in range(steps):
-        at = p.alias("x").join(est.alias("e"), "g").select("g", F.col("x.n").alias("n"), *[
-            (F.col(f"x.x{i}") - F.col(f"e.m{i}")).alias(f"u{i}") for i in range(_P)],
-            _bin(_distance("x", "e")).alias("bin"))
-        # a table of its own, so that its size is known and no row is shuffled to its group's cut
-        cut = materialize(_at_share(at.groupBy("g", "bin").agg(F.sum("n").alias("n")), ["g"], SUBSET, "cut"), "mcd-cut")
-        inside = at.join(cut, "g").where(F.col("bin") <= F.col("cut"))
-        sums = inside.groupBy("g").agg(
-            F.sum("n").alias("k"), *[F.sum(F.col("n") * F.col(f"u{i}")).alias(f"s{i}") for i in range(_P)],
-            *[F.sum(F.col("n") * F.col(f"u{i}") * F.col(f"u{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
-        old = est.select("g", "n", *[f"m{i}" for i in range(_P)])
-        est = materialize(sums.join(old, "g").mapInPandas(_refit, _EST), "mcd-step")
-        now = est.agg(F.sum(F.round("logdet", 6))).first()[0]
-        if now == before:
-            break
-        before = now
-
-    at = p.alias("x").join(est.alias("e"), "g").select("g", "x.n", _bin(_distance("x", "e")).alias("bin"))
-    mid = _at_share(at.groupBy("g", "bin").agg(F.sum("n").alias("n")), ["g"], 0.5, "mid")
+    robust = materialize(start.mapInPandas(_start, _EST), "mcd-start")
+    # the other start: mean and scatter of all rows, as the refit of a subset that holds everything
+    plain = _sums(_at(p, robust)).join(_narrow(robust), _RUN).mapInPandas(_refit, _EST)
+    plain = plain.withColumn("start", F.lit(1)).select(robust.columns)
+    best = F.min_by(F.struct(*robust.columns), F.struct("logdet", "start"))
+    est = _settle(p, materialize(robust.unionAll(plain), "mcd-starts"), steps)
+    est = materialize(est.groupBy("g").agg(best.alias("e")).select("e.*"), "mcd-best")
+
+    mid = _at_share(_at(p, est).groupBy(*_RUN, "bin").agg(F.sum("n").alias("n")), _RUN, 0.5, "mid").drop("start")
     # scaled up only: where the floors are the scatter, the median distance is small by design
     scale = F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("mid") + 1) / float(_BINS)) / MEDIAN)
     est = est.join(mid, "g").withColumn("scale", scale).drop("mid")
     return materialize(est, "mcd"), priors
 
 
+#: A group's estimate from one of the starts.
+_RUN = ["g", "start"]
+
+
+def _at(p: DataFrame, est: DataFrame, *more: str) -> DataFrame:
+    """(g, start, n, u*, bin): the vectors about their group's estimate, binned by distance.
+
+    Joined by group and salt, the few estimates once per salt: where they are
+    too many to be broadcast, a group's vectors are still spread, and what
+    is summed by group next is summed in their own task first."""
+    e = est.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
+    return p.alias("x").join(e.alias("e"), ["g", "salt"]).select(
+        *_RUN, F.col("x.n").alias("n"), *[(F.col(f"x.x{i}") - F.col(f"e.m{i}")).alias(f"u{i}") for i in range(_P)],
+        _bin(_distance("x", "e")).alias("bin"), *[F.col(f"e.{c}").alias(c) for c in more])
+
+
+def _sums(at: DataFrame) -> DataFrame:
+    return at.groupBy(*_RUN).agg(
+        F.sum("n").alias("k"), *[F.sum(F.col("n") * F.col(f"u{i}")).alias(f"s{i}") for i in range(_P)],
+        *[F.sum(F.col("n") * F.col(f"u{i}") * F.col(f"u{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
+
+
+def _narrow(est: DataFrame) -> DataFrame:
+    return est.select(*_RUN, "n", *[f"m{i}" for i in range(_P)])
+
+
+def _settle(p: DataFrame, est: DataFrame, steps: int) -> DataFrame:
+    """Concentration steps until no determinant changes; not settling is an error."""
+    before = None
+    for _ in range(steps):
+        # tables of their own, so that their size is known
+        cut = materialize(_at_share(_at(p, est).groupBy(*_RUN, "bin").agg(F.sum("n").alias("n")), _RUN, SUBSET, "cut"), "mcd-cut")
+        inside = _at(p, est.join(cut, _RUN), "cut").where(F.col("bin") <= F.col("cut"))
+        est = materialize(_sums(inside).join(_narrow(est), _RUN).mapInPandas(_refit, _EST), "mcd-step")
+        now = est.agg(F.sum(F.round("logdet", 4))).first()[0]
+        if now is None or now == before:
+            return est
+        before = now
+    raise RuntimeError(f"the estimates did not settle in {steps} steps")
+
+
 def judge(stats: DataFrame, est: DataFrame, priors: DataFrame, lang: str = "lang", source: str = "source",
           cut: float = CUT) -> DataFrame:
     """Adds ``base_failed``, ``distance2`` and ``kept`` to rows with ``counts`` columns.
@@ -246,7 +280,7 @@ def judge(stats: DataFrame, est: DataFrame, priors: DataFrame, lang: str = "lang
     d = d.join(pr, same(column(d, lang), pr[tmp("lang")]), "left")
     cols = d.columns
     for k, g in enumerate(gs):
-        e = est.select(*[F.col(c).alias(tmp(f"{c}_{k}")) for c in est.columns])
+        e = est.where(F.left("g", F.lit(1)) == str(k)).select(*[F.col(c).alias(tmp(f"{c}_{k}")) for c in est.columns])
         d = d.join(e, d[g] == e[tmp(f"g_{k}")], "left")
     x = _vector(F.col(tmp("prior")))
     found = []

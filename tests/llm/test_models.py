@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from babelgrid.llm import cotraining, html_text, quality_rules, toxicity
 from babelgrid.llm.queries import QUERIES
@@ -152,6 +153,76 @@ def test_the_best_of_all_unlabelled_rows_are_exchanged(spark, monkeypatch):
                 assert np.allclose(sorted((sure[r.tobytes()] for r in got), reverse=True), want)
 
 
+def test_estimates_settle_at_a_small_determinant(spark):
+    """No concentration step on the whole group lowers the determinant found, and plain starts from random
+    elemental subsets find none that is clearly less; ``kept`` follows from it."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(1500):
+        n = int(rng.integers(30, 400))
+        odd = k % 9 == 0
+        rows.append((k, "en", "s", n, int(n * (9 if odd else 5) + rng.normal(0, n * 0.3)), int(rng.poisson(n * (0.2 if odd else 0.01))),
+                     int(rng.poisson(3 if odd else 0.2)), int(min(n // 4, rng.poisson(2)))))
+    d = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
+    est, priors = quality_rules.estimates(d)
+    est = {r.g: r for r in est.collect()}
+    assert len(est) == 3
+    prior = priors.first().prior
+    x = np.array([[np.log((c + prior * 50) / (n + 50)), np.sqrt(s / (n + 50)), np.sqrt(u * 10 / (n + 50)), np.sqrt(p / (n + 50))]
+                  for _, _, _, n, c, s, u, p in rows])
+
+    def step(m, w, share=quality_rules.SUBSET):
+        u = x - m
+        d2 = np.einsum("ni,ij,nj->n", u, w, u)
+        b = np.floor(np.log2(np.maximum(d2, 1e-9)) * 32)
+        mine = x[b <= np.sort(b)[int(np.ceil(len(b) * share)) - 1]]
+        c = np.cov(mine.T, bias=True)
+        inv, logdet = quality_rules._invert(c)
+        return mine.mean(axis=0), inv, logdet
+
+    def settle(m, w):
+        best = np.inf
+        for _ in range(100):
+            m, w, now = step(m, w)
+            if abs(now - best) < 1e-9:
+                break
+            best = now
+        return best
+    r = next(r for g, r in est.items() if g.startswith("0"))
+    w = np.zeros((4, 4))
+    for i, j in quality_rules._PAIRS:
+        w[i, j] = w[j, i] = r[f"w{i}{j}"]
+    m = np.array([r[f"m{i}"] for i in range(4)])
+    assert step(m, w)[2] >= r.logdet - 1e-3
+    least = min(settle(x[pick].mean(axis=0), quality_rules._invert(np.cov(x[pick].T, bias=True))[0])
+                for pick in (rng.choice(len(x), 10, replace=False) for _ in range(60)))
+    assert r.logdet <= least + 0.02
+    fitted = spark.createDataFrame(list(est.values()), spark.createDataFrame([], quality_rules._EST).schema)
+    got = {r.doc_id: r for r in quality_rules.judge(d, fitted, priors).collect()}
+    u = x - m
+    d2 = np.einsum("ni,ij,nj->n", u, w, u) / r.scale
+    for k, row in enumerate(rows):
+        assert got[k].base_failed or (got[k].kept == (d2[k] <= quality_rules.CUT) and got[k].distance2 == pytest.approx(d2[k], rel=1e-6))
+    assert sum(not got[k].kept for k in range(1500) if k % 9 == 0) > 100
+
+
+def test_vectors_are_never_shuffled_by_group_alone(spark):
+    """Without broadcasts a group's vectors are dealt by group and salt."""
+    d = spark.range(300).selectExpr("'en' lang", "'s' source", "id + 30 n_words", "(id + 30) * (5 + id % 3) word_chars", "id % 4 n_symbols",
+                                    "id % 2 n_dup_lines", "id % 5 n_repeat_words")
+    p = d.selectExpr("'2' g", "cast(n_words as double) x0", "cast(n_symbols as double) x1", "0d x2", "0d x3", "1L n",
+                     "cast(n_words % 16 as int) salt")
+    est = quality_rules.estimates(d)[0]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quality_rules._at(p, est).groupBy("g", "bin").agg(F.sum("n"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    dealt = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", plan)
+    assert len(dealt) >= 3 and all("salt" in x or "bin" in x for x in dealt)
+
+
 def test_quality_classifier_held_out(spark):
     docs, labels = (spark.read.parquet(f"{MID}/{t}.parquet") for t in ("documents", "labels"))
     model = cotraining.train(docs, labels.where("doc_id % 3 <> 1"))
