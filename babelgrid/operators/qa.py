@@ -24,7 +24,8 @@ def multiset_overlap(p: Column, g: Column) -> Column:
     equal tokens: linear after the sort, whatever the number of distinct tokens."""
     sides = F.array_sort(F.concat(F.transform(p, lambda x: F.struct(x.alias("t"), F.lit(0).alias("side"))),
                                   F.transform(g, lambda x: F.struct(x.alias("t"), F.lit(1).alias("side")))))
-    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("p"), F.lit(0).alias("common"))
+    # a null of the tokens' type, whatever it is
+    start = F.struct(F.when(F.lit(False), F.get(sides, 0)["t"]).alias("t"), F.lit(0).alias("p"), F.lit(0).alias("common"))
 
     def step(s: Column, x: Column) -> Column:
         same = s["t"] == x["t"]
