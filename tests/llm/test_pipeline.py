@@ -49,5 +49,5 @@ def test_stages(spark, small_dir):
 
 def test_registered():
     names = queries()
-    assert "pipeline" in names and sum(n.startswith("op") and n[2:3].isdigit() for n in names) == 10
-    assert {"op1_decontaminate", "op9_line_dedup"} <= set(oracle_sql())
+    assert "pipeline" in names and sum(n.startswith("op") and n[2:3].isdigit() for n in names) == 13
+    assert {"op1_decontaminate", "op9_line_dedup", "op11_conversation_repair", "op12_substring_dedup", "op13_merkle"} <= set(oracle_sql())
