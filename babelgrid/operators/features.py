@@ -5,19 +5,16 @@ white-space-separated word of the text, ids come from a vocabulary built with
 ``groupBy(token).count()``, and long contexts are cut into overlapping
 windows by relational operators:
 
-* the context is exploded into token rows with character offsets (one
-  shuffle, keyed by example id),
-* each token row is assigned to the (at most ceil(capacity / step)) windows
-  that contain it,
-* window features (range, masked offsets, answer token span) are grouped
-  aggregates on (id, window) that reuse the id partitioning.
+* windows and answer spans follow from token counts alone,
+* character offsets come from prefix sums in two levels: the lengths of blocks
+  of tokens first, then the tokens of a window, all in the row of the text.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS_CLASS, strip, ws_tokens
@@ -172,23 +169,42 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids", key
 
 # --- long-context windows ----------------------------------------------------------------
 
-def context_token_rows(examples: DataFrame, keys: list[str], text: str = "context") -> DataFrame:
-    """Token rows (keys..., tok, s, e) with code-point offsets ``[s, e)`` into
-    the text, for any white space between tokens.
-
-    Each token is matched with the white space before it; only the two
-    lengths per token travel through the shuffle that orders a text's tokens
-    for the running sum of lengths (no strings)."""
-    pat = f"({WS_CLASS}*)({_not_ws()}+)"
-    lead = F.regexp_extract_all(F.col(text), F.lit(pat), 1)
-    word = F.regexp_extract_all(F.col(text), F.lit(pat), 2)
-    lens = F.zip_with(lead, word, lambda a, b: F.struct(F.length(a).alias("lead"), F.length(b).alias("wl")))
-    rows = examples.select(*keys, F.posexplode_outer(lens).alias("tok", "x"))
-    rows = rows.select(*keys, "tok", F.col("x.lead").alias("lead"), F.col("x.wl").alias("wl"))
-    w = Window.partitionBy(*keys).orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("lead") + F.col("wl")).over(w), F.lit(0))
-    rows = rows.withColumn("s", (before + F.col("lead")).cast("int"))
-    return rows.select(*keys, F.col("tok").cast("int").alias("tok"), "s", (F.col("s") + F.col("wl")).cast("int").alias("e"))
+def running_sums(values: Column, block: int = 64) -> Column:
+    """Array of numbers to the sums of the elements up to and with each.
+
+    Two levels: sums within blocks, then each block's offset.  Appending copies
+    an array, so a block is short and there is one append per block above it."""
+    def fold(xs: Column) -> Column:
+        return F.aggregate(xs, F.array().cast("array<bigint>"), lambda acc, x: F.concat(
+            acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("bigint")) + x)))
+
+    def join(within: Column) -> Column:
+        offsets = F.concat(F.array(F.lit(0).cast("bigint")), fold(F.transform(within, lambda w: F.get(w, F.size(w) - 1))))
+        return F.flatten(F.zip_with(within, F.slice(offsets, 1, F.size(within)),
+                                    lambda w, o: F.transform(w, lambda v: v + o)))
+
+    def blocks(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(block)))
+        return F.coalesce(F.transform(starts, lambda i: fold(F.slice(v, i, block))), F.array().cast("array<array<bigint>>"))
+
+    # one-element arrays: each level is computed once, not at every use
+    return F.transform(F.array(F.transform(F.array(values), blocks)[0]), join)[0]
+
+
+def token_blocks(text: Column, size: Column) -> Column:
+    """A text cut into pieces of ``size`` tokens, each with the white space before it."""
+    # possessive: the matcher loops, it doesn't recurse or try again
+    one = F.concat(F.lit(f"(?:{WS_CLASS}*+{_not_ws()}++){{1,"), size.cast("string"), F.lit("}+"))
+    return F.regexp_extract_all(text, one, F.lit(0))
+
+
+def token_offsets(text: Column, base: Column) -> Column:
+    """(s, e) of every token of ``text``, in code points from ``base``; as long as it has tokens."""
+    pat = F.lit(f"({WS_CLASS}*+)({_not_ws()}++)")
+    words = F.transform(F.regexp_extract_all(text, pat, F.lit(2)), lambda w: F.length(w))
+    both = F.transform(F.regexp_extract_all(text, pat, F.lit(0)), lambda w: F.length(w))
+    return F.zip_with(running_sums(both), words, lambda e, w: F.struct(
+        (base + e - w).cast("int").alias("s"), (base + e).cast("int").alias("e")))
 
 
 def _window_frame(examples: DataFrame, max_len: int, stride: int) -> DataFrame:
@@ -243,26 +259,31 @@ def qa_windows(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_
 
 def qa_offsets(examples: DataFrame, max_len: int = QA_MAX_LEN, stride: int = QA_STRIDE) -> DataFrame:
     """Per window the offsets of every sequence position, null outside
-    the context.  Needs the per-token offsets, so the context is exploded
-    into token rows (one shuffle by example) and regrouped per window on the
-    same partitioning.  An empty context has its one window, without offsets.
+    the context.  No shuffle: a context is cut into blocks of ``step`` tokens, a
+    window is the text of a few consecutive blocks, and where it begins is the
+    sum of the lengths of the blocks before it.  The tokens of one window are
+    the most that is ever held as an array.  A null or empty context has its
+    one window, without offsets.
     """
     ex = _window_frame(examples, max_len, stride)
     names = example_keys(ex)
-    keys = [*names, "qlen", "cap", "step", "nwin"]
-    toks = context_token_rows(ex, keys)
-    # windows holding token t: k*step <= t < k*step + cap, 0 <= k < nwin
-    k_lo = F.greatest(F.lit(0), F.ceil((F.col("tok") - F.col("cap") + 1) / F.col("step")).cast("int"))
-    k_hi = F.least(F.col("nwin") - 1, F.floor(F.col("tok") / F.col("step")).cast("int"))
-    held = F.when(F.col("tok").isNull(), F.array(F.lit(0))).when(k_lo <= k_hi, F.sequence(k_lo, k_hi))
-    tw = toks.select(*keys, "tok", "s", "e", F.explode(held).alias("feature_idx"))
-    g = tw.groupBy(*keys, "feature_idx").agg(F.array_sort(F.collect_list(F.when(
-        F.col("tok").isNotNull(), F.struct("tok", "s", "e")))).alias("toks"))
+    span = F.ceil(F.col("cap") / F.col("step")).cast("int")
+
+    def windows(b: Column) -> Column:
+        before = running_sums(F.transform(b, lambda t: F.length(t)), 512)
+        return F.transform(F.array(before), lambda ends: F.transform(
+            F.sequence(F.lit(0), F.col("nwin") - 1), lambda k: F.struct(
+                k.alias("feature_idx"), F.coalesce(F.get(ends, k - 1), F.lit(0)).alias("base"),
+                F.array_join(F.slice(b, k + 1, span), "").alias("part"))))[0]
+
+    blocks = F.coalesce(token_blocks(F.col("context"), F.col("step")), F.array().cast("array<string>"))
+    w = ex.select(*names, "qlen", "cap", F.explode_outer(F.transform(F.array(blocks), windows)[0]).alias("w"))
+    w = w.select(*names, "qlen", F.col("w.feature_idx").alias("feature_idx"),
+                 F.slice(token_offsets(F.col("w.part"), F.col("w.base")), F.lit(1), F.col("cap")).alias("toks"))
     cs = F.col("qlen") + 3
     none = F.lit(None).cast("struct<s:int,e:int>")
-    offsets = F.concat(F.array_repeat(none, cs), F.transform("toks", lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"))),
-                       F.array(none))
-    return g.select(*names, F.col("feature_idx").cast("int"), offsets.alias("offsets"))
+    offsets = F.concat(F.array_repeat(none, cs), F.col("toks"), F.array(none))
+    return w.select(*names, F.col("feature_idx").cast("int"), offsets.alias("offsets"))
 
 
 def align_labels(word_ids: Column, labels: Column, ignore: int = -100, guarded: bool = False,

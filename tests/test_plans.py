@@ -46,6 +46,6 @@ def test_guard_sees_a_window_over_one_partition(spark):
         assert_spreads(df, "unpartitioned")
 
 
-def test_offsets_shuffle_tokens_once(spark, small_dir):
+def test_offsets_need_no_shuffle(spark, small_dir):
     p = plan_of(QUERIES["qa_offset_mask"](spark, small_dir))
-    assert p.count("Exchange hashpartitioning") <= 1
+    assert "Exchange hashpartitioning" not in p and "Window" not in p
