@@ -16,3 +16,10 @@ from ..session import materialize
 def join_dim(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Equi-join of a fact table with a dimension of measured size."""
     return fact.join(materialize(dim, "dim"), on, how)
+
+
+def fits_broadcast(table: DataFrame) -> bool:
+    """Whether the optimizer's size of a (written) table is within the session's broadcast threshold."""
+    spark = table.sparkSession
+    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most

@@ -13,7 +13,8 @@ with ``N_V(d)`` the number of tokens of ``d`` that are in the vocabulary.  The
 per-token weight table therefore never needs a (token x class) completion.
 
 A document's tokens are counted in its row.  The weights of a token are one row
-with the counts of all languages.  The most frequent tokens of the scored
+with the counts of all languages.  Weights whose size is below the session's
+threshold are broadcast.  Beyond it the most frequent tokens of the scored
 documents, found by a mergeable sketch of bounded size, meet their weights in a
 broadcast and are summed to one row per document and language before anything
 is shuffled; the rest, which few languages share, are joined by token.
@@ -22,6 +23,7 @@ is shuffled; the rest, which few languages share, are joined by token.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from ..fixtures import transfer_languages, with_transfer_languages
 from ..functions.text import ws_tokens
 from ..session import materialize
 from .classification import argmax, classification_grid
-from .joins import join_dim
+from .joins import fits_broadcast, join_dim
 
 #: Tokens of a task whose weights are broadcast: a bound on what is sent, times languages and classes.
 HOT_TOKENS = 1024
@@ -111,27 +113,30 @@ def predict_naive_bayes(model: NaiveBayesModel, test: DataFrame, langs: DataFram
     """
     k = range(model.num_classes)
     keys = ["task", "lang", "id", "label"]
-    bags = materialize(test.select(*keys, token_bag(doc_tokens("text")).alias("bag")), "nb_bags")
-    toks = bags.select(*keys, F.explode_outer("bag").alias("x")).filter(F.col("x").isNotNull()) \
-        .select(*keys, "x.token", "x.tf")
-    # hot tokens without weights stay in, so that they are not looked for again
-    hot = materialize(frequent_tokens(bags).join(model.weights, ["task", "token"], "left"), "nb_hot")
-    known = toks.join(F.broadcast(hot), ["task", "token"])
-    rest = toks.join(F.broadcast(hot.select("task", "token")), ["task", "token"], "left_anti") \
-        .join(model.weights, ["task", "token"])
-
-    def sums(rows: DataFrame) -> DataFrame:
-        r = rows.select(*keys, "tf", F.explode("per_lang").alias("w")).select(*keys, "w.transfer_lang", "tf", "w.counts")
-        return r.groupBy(*keys, "transfer_lang").agg(
-            F.sum("tf").alias("nv"), *[F.sum(F.col("tf") * F.log1p(F.col("counts")[i])).alias(f"a{i}") for i in k])
-
+    tokens = doc_tokens("text")
+    if fits_broadcast(model.weights):
+        # one row per occurrence: the sums collapse a document before the shuffle
+        toks = test.select(*keys, F.explode_outer(tokens).alias("token"), F.lit(1).cast("long").alias("tf")) \
+            .filter(F.col("token").isNotNull())
+        parts = [toks.join(F.broadcast(model.weights), ["task", "token"])]
+    else:
+        bags = materialize(test.select(*keys, token_bag(tokens).alias("bag")), "nb_bags")
+        toks = bags.select(*keys, F.explode_outer("bag").alias("x")).filter(F.col("x").isNotNull()) \
+            .select(*keys, "x.token", "x.tf")
+        # hot tokens without weights stay in, so that they are not looked for again
+        hot = materialize(frequent_tokens(bags).join(model.weights, ["task", "token"], "left"), "nb_hot")
+        parts = [toks.join(F.broadcast(hot), ["task", "token"]),
+                 toks.join(F.broadcast(hot.select("task", "token")), ["task", "token"], "left_anti")
+                 .join(model.weights, ["task", "token"])]
+    hits = [p.select(*keys, "tf", F.explode("per_lang").alias("w")).select(*keys, "w.transfer_lang", "tf", "w.counts")
+            for p in parts]
     # every (row, transfer language) pair exists even with no known token
-    base = with_transfer_languages(test.select(*keys), langs).select(
-        *keys, "transfer_lang", F.lit(0).cast("long").alias("nv"), *[F.lit(0.0).alias(f"a{i}") for i in k])
-    agg = sums(known).unionByName(sums(rest)).unionByName(base).groupBy(*keys, "transfer_lang").agg(
-        F.sum("nv").alias("nv"), *[F.sum(f"a{i}").alias(f"a{i}") for i in k])
+    base = with_transfer_languages(test.select(*keys), langs) \
+        .select(*keys, "transfer_lang", F.lit(0).cast("long").alias("tf"), F.lit(None).cast("array<bigint>").alias("counts"))
+    agg = reduce(DataFrame.unionByName, hits, base).groupBy(*keys, "transfer_lang").agg(
+        F.sum("tf").alias("nv"), *[F.sum(F.col("tf") * F.log1p(F.col("counts")[i])).alias(f"a{i}") for i in k])
     scored = join_dim(agg, model.class_stats, ["task", "transfer_lang"])
-    score = F.array(*[F.col("logprior")[i] + F.col(f"a{i}") - F.col("nv") * F.col("logden")[i] for i in k])
+    score = F.array(*[F.col("logprior")[i] + F.coalesce(F.col(f"a{i}"), F.lit(0.0)) - F.col("nv") * F.col("logden")[i] for i in k])
     return scored.select("task", "transfer_lang", F.col("lang").alias("task_lang"), "id", "label",
                          argmax(score).alias("pred"))
 

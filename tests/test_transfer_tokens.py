@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from babelgrid.operators import transfer as T
@@ -56,22 +57,23 @@ def _check(spark, rows):
         assert scores[r.pred] >= max(scores) - 1e-9
 
 
-def test_scores_equal_plain_loops(spark, monkeypatch):
-    rows = _examples(1)
-    _check(spark, rows)
-    monkeypatch.setattr(T.frequent_tokens, "__defaults__", (2, 64))  # nearly all tokens by the shuffled way
-    _check(spark, rows)
+def test_scores_equal_plain_loops(spark):
+    _check(spark, _examples(1))
 
 
-def test_frequent_token_is_broadcast_when_nothing_else_is(spark):
-    rows = _examples(2)
-    train, test, langs = _frames(spark, rows)
+@pytest.mark.parametrize("hot", [T.HOT_TOKENS, 2])
+def test_scores_when_the_weights_exceed_a_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(T.frequent_tokens, "__defaults__", (hot, 4096))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
+        rows = _examples(2)
+        _check(spark, rows)
+        train, test, langs = _frames(spark, rows)
         df = T.predict_naive_bayes(T.train_naive_bayes(train, K), test, langs)
         plan = df._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("BroadcastHashJoin") >= 2 and "SortMergeJoin" in plan
+        # the hot tokens and nothing else: once for their weights, once to leave them out
+        assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
