@@ -169,7 +169,16 @@ def decode_ids(encoded: DataFrame, vocab: DataFrame, ids: str = "input_ids", key
 
 # --- long-context windows ----------------------------------------------------------------
 
-def running_sums(values: Column, block: int = 64) -> Column:
+def _token_pattern() -> str:
+    """A token after its white space, as two groups.
+
+    Visible ASCII is tried first, since the class of all white space costs some
+    ten comparisons a character; possessive, so the matcher loops and never
+    recurses or tries again."""
+    return f"((?: |(?![!-~]){WS_CLASS})*+)((?:[!-~]++|{_not_ws()})++)"
+
+
+def running_sums(values: Column, block: int = 16) -> Column:
     """Array of numbers to the sums of the elements up to and with each.
 
     Two levels: sums within blocks, then each block's offset.  Appending copies
@@ -193,14 +202,13 @@ def running_sums(values: Column, block: int = 64) -> Column:
 
 def token_blocks(text: Column, size: Column) -> Column:
     """A text cut into pieces of ``size`` tokens, each with the white space before it."""
-    # possessive: the matcher loops, it doesn't recurse or try again
-    one = F.concat(F.lit(f"(?:{WS_CLASS}*+{_not_ws()}++){{1,"), size.cast("string"), F.lit("}+"))
+    one = F.concat(F.lit(f"(?:{_token_pattern()}){{1,"), size.cast("string"), F.lit("}+"))
     return F.regexp_extract_all(text, one, F.lit(0))
 
 
 def token_offsets(text: Column, base: Column) -> Column:
     """(s, e) of every token of ``text``, in code points from ``base``; as long as it has tokens."""
-    pat = F.lit(f"({WS_CLASS}*+)({_not_ws()}++)")
+    pat = F.lit(_token_pattern())
     words = F.transform(F.regexp_extract_all(text, pat, F.lit(2)), lambda w: F.length(w))
     both = F.transform(F.regexp_extract_all(text, pat, F.lit(0)), lambda w: F.length(w))
     return F.zip_with(running_sums(both), words, lambda e, w: F.struct(
