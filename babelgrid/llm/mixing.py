@@ -10,10 +10,13 @@ inversion).  A leaf is a shard with its quota of every source.  A source's
 shards then own disjoint ranges of its permuted draws, and the rows of a shard
 are ordered by a hash: the only shuffle that a shard needs is its own.
 
-What grows with the rows is one narrow table (source, size, hash).  The tree
-and the assignment of blocks have at most ``MAX_BLOCKS`` blocks and
-``MAX_SHARDS`` shards at any input size, as blocks and shards get larger with
-the total; everything per source is a table with a row per source.
+Blocks and shards keep their size in words, so their number follows the total.
+Everything per source, block or shard is a table: sources are numbered by a
+range partition, running sums over a source's blocks or shards go through
+ordered buckets, and a node of the tree is one row per ``CHUNK`` of its
+sources.  A node with more sources deals its draws to chunks of sources first
+and then, within each chunk, to the sources, which is the same law.  Only what
+a single block of a source holds is ever an array of rows.
 """
 
 from __future__ import annotations
@@ -22,14 +25,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import column, n_words, same, tmp
+from .common import column, n_words, numbered, same, tmp
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 BLOCK_WORDS = 1 << 18
 SHARD_WORDS = 1 << 22
-MAX_BLOCKS = 1 << 20
-MAX_SHARDS = 1 << 12
+#: Sources in one row of the tree.
+CHUNK = 256
+#: Levels of the tree in one plan; the nodes are then spread over tasks anew.
+STEP_LEVELS = 6
+#: Shards in a bucket of running sums, and bits of a hash that make one.
+SHARD_BUCKET = 1 << 12
+HASH_BUCKET_BITS = 12
 #: Share of a boundary block's rest that may be missed before its largest rows are tried first.
 NEAR = 0.01
 SEED = 20
@@ -48,26 +56,32 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_epochs: float
 
     Sources by code point, null last, take the weights in turn.  All sizes are
     shared by weight; targets stop at ``max_epochs`` times their source, and
-    the excess is reshared by weight: the level at which the shares settle is
-    where the sources, by cap over weight, stop being capped.  One row per
-    source goes through an unpartitioned window.
+    the excess is reshared by weight until no further source is stopped.  Each
+    round is one aggregate over the table of sources, in whole numbers per
+    weight, so that reruns agree to the last digit.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]),
-                     ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int"))
-    d = sizes.select("source", "source_size", w.alias("weight"),
-                     (F.col("source_size") * float(max_epochs)).alias("cap"))
-    order = [(F.col("cap") / F.col("weight")), F.col("source").asc_nulls_last()]
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rest = Window.orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    every = Window.partitionBy(F.lit(0))
-    level = ((F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-             / F.sum("weight").over(rest))
-    d = d.select("*", level.alias("level"))
-    d = d.select("*", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level")))
-                 .over(every).alias("settled"))
-    return d.select("source", "source_size",
-                    F.least("cap", F.coalesce("settled", F.lit(0.0)) * F.col("weight")).alias("target"))
+    d = numbered(sizes, [], [F.col("source").asc_nulls_last()], "n", "mix-ranked")
+    turn = (F.col("n") % len(weights)).cast("int")
+    d = materialize(d.select("source", "source_size", turn.alias("turn"),
+                             F.element_at(F.array(*[F.lit(float(x)) for x in weights]), turn + 1).alias("weight"),
+                             (F.col("source_size") * float(max_epochs)).alias("cap")), "mix-caps")
+    level, stopped = 0.0, None
+    while True:
+        full = F.col("weight") * F.lit(level) > F.col("cap")
+        rows = d.groupBy("turn").agg(
+            F.sum("source_size").alias("words"), F.sum(F.when(full, F.col("source_size"))).alias("full"),
+            F.count(F.when(full, 1)).alias("stopped"), F.count(F.when(~full, 1)).alias("free")).collect()
+        now = sum(r.stopped for r in rows)
+        if now == stopped:
+            break
+        stopped = now
+        free = sum(r.free * float(weights[r.turn]) for r in sorted(rows, key=lambda r: r.turn))
+        if free <= 0:
+            level = float("inf")  # every source with a weight is used up
+            break
+        level = (sum(r.words for r in rows) - float(max_epochs) * sum(r.full or 0 for r in rows)) / free
+    share = F.when(F.col("weight") > 0, F.lit(level) * F.col("weight")).otherwise(0.0)
+    return d.select("source", "source_size", F.least("cap", share).alias("target"))
 
 
 def _uniform(*cols: Column) -> Column:
@@ -80,9 +94,15 @@ def hypergeometric(total: Column, good: Column, n: Column, u: Column) -> Column:
     by inversion at the uniform ``u``.
 
     Two passes over the support keep a running log weight: the first sums the
-    weights relative to the largest, the second counts the steps below u.
+    weights relative to the largest, the second counts the steps below u.  The
+    support stops at five roots of the smallest margin from the mean: what lies
+    beyond has a probability under 2 exp(-50) (Hoeffding's bound), less than
+    the distance of two neighbouring u.
     """
     lo, hi = F.greatest(F.lit(0), n - (total - good)).cast("long"), F.least(good, n).cast("long")
+    mean = F.try_divide(n.cast("double") * good.cast("double"), total.cast("double"))
+    far = 5 * F.sqrt(F.greatest(F.lit(0), F.least(good, n, total - good, total - n)).cast("double")) + 1
+    lo, hi = F.greatest(lo, F.floor(mean - far)), F.least(hi, F.ceil(mean + far))
     support = F.sequence(lo, hi)
 
     def up(w: Column, x: Column) -> Column:  # log weight of x + 1 from that of x
@@ -109,38 +129,86 @@ def hypergeometric(total: Column, good: Column, n: Column, u: Column) -> Column:
     return F.when(hi <= lo, hi).otherwise(F.least(hi, lo + picked[0]))
 
 
+def _dealt(rows: DataFrame, height: int, depth: int, seed: int) -> DataFrame:
+    """(node, c, q) plus ``left``: how many of each entry's draws go left.
+
+    ``q`` holds (name, k) in a fixed order, a chunk of the node's entries; ``c``
+    numbers the chunks, of which a node has up to ``CHUNK ** height``.  With
+    one chunk the node's half is dealt to its entries; with more it is first
+    dealt to the chunks, as entries of their own.
+    """
+    d = rows.select("node", "c", "q", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x["k"]).alias("n"))
+    if height == 0:
+        # an odd draw goes left or right at random
+        odd = F.pmod(F.xxhash64(F.lit(seed), F.lit(depth), "node"), F.lit(2))
+        d = d.select("*", F.floor((F.col("n") + odd) / 2).cast("long").alias("half"))
+    else:
+        d = materialize(d, "mix-chunks")
+        up = d.groupBy("node", F.floor(F.col("c") / CHUNK).cast("long").alias("up")).agg(
+            F.sort_array(F.collect_list(F.struct(F.col("c").alias("name"), F.col("n").alias("k")))).alias("q"))
+        up = _dealt(up.select("node", F.col("up").alias("c"), "q"), height - 1, depth, seed)
+        half = up.select("node", F.explode(F.arrays_zip(F.col("q.name").alias("c"), F.col("left").alias("half"))).alias("x"))
+        d = d.join(half.select("node", "x.c", "x.half"), ["node", "c"])
+    salt = [F.lit(seed + 1), F.lit(depth), F.col("node")] + ([F.lit(height)] if height else [])
+
+    def take(s: Column, x: Column) -> Column:
+        got = F.transform(F.array(hypergeometric(s["total"], x["k"], s["n"], _uniform(*salt, x["name"]))), lambda v: v)
+        return F.transform(got, lambda g: F.struct(
+            (s["total"] - x["k"]).alias("total"), (s["n"] - g).alias("n"),
+            F.concat(s["out"], F.array(g)).alias("out")))[0]
+
+    start = F.struct(F.col("n").alias("total"), F.col("half").alias("n"), F.array().cast("array<bigint>").alias("out"))
+    return d.select("node", "c", "q", F.aggregate("q", start, take, lambda s: s["out"]).alias("left"))
+
+
 def split_quotas(quotas: DataFrame, levels: int, seed: int = SEED) -> DataFrame:
     """(source, quota) to (shard, source, quota) over ``2 ** levels`` shards.
 
-    A node is one row with its sources in an array; a level of the tree turns
-    each row into its two children.
+    A node is a row for each ``CHUNK`` of its sources, those with draws left; a
+    level of the tree turns each row into one of either child.
     """
-    nodes = quotas.groupBy().agg(F.sort_array(F.collect_list(F.struct(
-        F.col("source").isNull().alias("none"), "source", F.col("quota").cast("long").alias("k")))).alias("q"))
-    nodes = nodes.select(F.lit(0).cast("long").alias("node"), "q")
+    many, height, chunks = quotas.count(), 0, 1
+    while chunks * CHUNK < many:
+        height, chunks = height + 1, chunks * CHUNK
+    if height:  # chunks of neighbours by name
+        q = numbered(quotas, [], [F.col("source").asc_nulls_last()], "n", "mix-numbered")
+    else:
+        q = quotas.select("*", F.lit(0).cast("long").alias("n"))
+    nodes = q.groupBy(F.floor(F.col("n") / CHUNK).cast("long").alias("c")).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("source").isNull().alias("none"), F.col("source").alias("name"), F.col("quota").cast("long").alias("k"))))
+        .alias("q"))
+    nodes = nodes.select(F.lit(0).cast("long").alias("node"), "c", "q")
     for level in range(levels):
-        depth = F.lit(level)
-        sums = nodes.select("*", F.aggregate("q", F.lit(0).cast("long"), lambda s, x: s + x["k"]).alias("n"))
-        # an odd draw goes left or right at random
-        half = F.floor((F.col("n") + F.pmod(F.xxhash64(F.lit(seed), depth, "node"), F.lit(2))) / 2)
-
-        def take(s: Column, x: Column) -> Column:
-            u = _uniform(F.lit(seed + 1), depth, F.col("node"), x["source"])
-            got = F.transform(F.array(hypergeometric(s["total"], x["k"], s["n"], u)), lambda v: v)
-            return F.transform(got, lambda g: F.struct(
-                (s["total"] - x["k"]).alias("total"), (s["n"] - g).alias("n"),
-                F.concat(s["out"], F.array(g)).alias("out")))[0]
-
-        start = F.struct(F.col("n").alias("total"), half.cast("long").alias("n"),
-                         F.array().cast("array<bigint>").alias("out"))
-        left = sums.select("node", "q", F.aggregate("q", start, take, lambda s: s["out"]).alias("left"))
-        child = left.select("node", F.explode(F.array(
+        left = _dealt(nodes, height, level, seed)
+        child = left.select("node", "c", F.explode(F.array(
             F.struct(F.lit(0).alias("side"), F.zip_with("q", "left", lambda x, g: x.withField("k", g)).alias("q")),
             F.struct(F.lit(1).alias("side"),
-                     F.zip_with("q", "left", lambda x, g: x.withField("k", x["k"] - g)).alias("q")))).alias("c"))
-        nodes = child.select((F.col("node") * 2 + F.col("c.side")).alias("node"), F.col("c.q").alias("q"))
+                     F.zip_with("q", "left", lambda x, g: x.withField("k", x["k"] - g)).alias("q")))).alias("x"))
+        nodes = child.select((F.col("node") * 2 + F.col("x.side")).alias("node"), "c",
+                             F.filter("x.q", lambda x: x["k"] > 0).alias("q"))
+        if (level + 1) % STEP_LEVELS == 0:
+            nodes = materialize(nodes.where(F.size("q") > 0).repartition("node", "c"), "mix-tree")
     leaf = nodes.select(F.col("node").alias("shard"), F.explode("q").alias("x"))
-    return leaf.select("shard", "x.source", F.col("x.k").alias("quota")).where("quota > 0")
+    return leaf.select("shard", F.col("x.name").alias("source"), F.col("x.k").alias("quota")).where("quota > 0")
+
+
+def _running(d: DataFrame, bucket: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``d`` plus, per source, the sums over the rows before each in ``order``.
+
+    ``bucket`` rises with the order: a table of one row per source and bucket
+    gives each bucket its start, a window over (source, bucket) the rest.
+    """
+    at = tmp("bucket")
+    d = d.select("*", bucket.alias(at))
+    each = d.groupBy("source", at).agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    before = Window.partitionBy("source").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    each = each.select(F.col("source").alias(tmp("source")), F.col(at).alias(tmp("at")), *[
+        F.coalesce(F.sum(n).over(before), zero).alias(tmp(n)) for n in sums])
+    within = Window.partitionBy("source", at).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(each, same(d["source"], each[tmp("source")]) & (d[at] == each[tmp("at")]))
+    new = [(F.col(tmp(n)) + F.coalesce(F.sum(v).over(within), zero)).alias(n) for n, v in sums.items()]
+    return d.select("*", *new).drop(at, tmp("source"), tmp("at"), *[tmp(n) for n in sums])
 
 
 def _boundary(units: DataFrame, edge: DataFrame) -> DataFrame:
@@ -237,12 +305,10 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     narrow = materialize(narrow, "mix-sizes")
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, max_epochs)
-    grand = F.sum("source_size").over(Window.partitionBy(F.lit(0)))
-    per_block = F.greatest(F.lit(block_words), F.ceil(grand / MAX_BLOCKS))
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     sources = materialize(targets.select(
-        "*", F.greatest(F.lit(1), F.ceil(F.col("source_size") / per_block)).cast("long").alias("blocks"),
-        F.floor(share).cast("long").alias("epochs"), grand.alias("grand")), "mix-sources")
+        "*", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long").alias("blocks"),
+        F.floor(share).cast("long").alias("epochs")), "mix-sources")
     s = sources.alias("s")
 
     # blocks: a permutation of a source's rows cut by hash, then permuted again
@@ -250,9 +316,10 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     units = (narrow.alias("n").join(s, same(F.col("n.source"), F.col("s.source")))
              .select("n.source", block.alias("block"), "h", "size"))
     blocks = units.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    shuffled = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "block"), "block")
-    blocks = blocks.select("*", (F.row_number().over(shuffled) - 1).cast("long").alias("p"),
-                           F.sum("words").over(shuffled).alias("cum"))
+    blocks = blocks.select("*", F.xxhash64(F.lit(seed + 2), "source", "block").alias("mixed"))
+    blocks = _running(blocks, F.shiftright("mixed", 64 - HASH_BUCKET_BITS), [F.col("mixed"), F.col("block")],
+                      {"p": F.lit(1), "cum": F.col("words")})
+    blocks = blocks.select("source", "block", "words", "p", (F.col("cum") + F.col("words")).alias("cum"))
     rest = F.col("s.target") - F.col("s.epochs") * F.col("s.source_size")
     b = blocks.alias("b").join(s, same(F.col("b.source"), F.col("s.source")))
     blocks = materialize(b.select(
@@ -267,11 +334,10 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     quotas = n_draws.alias("q").join(s, same(F.col("q.source"), F.col("s.source"))).select(
         "q.source", (F.col("epochs") * F.col("filled") + F.col("part")).alias("quota"), "filled")
     quotas = materialize(quotas, "mix-quotas")
-    words = sources.agg(F.max("grand")).first()[0] or 0
-    shards = min(MAX_SHARDS, max(1, -(-words // shard_words)))
-    leaf = split_quotas(quotas.select("source", "quota"), (shards - 1).bit_length(), seed)
-    at = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    leaf = leaf.select("*", F.coalesce(F.sum("quota").over(at), F.lit(0)).alias("first"))
+    words = sources.agg(F.sum("source_size")).first()[0] or 0
+    shards = max(1, -(-words // shard_words))
+    leaf = materialize(split_quotas(quotas.select("source", "quota"), (shards - 1).bit_length(), seed), "mix-leaves")
+    leaf = _running(leaf, F.floor(F.col("shard") / SHARD_BUCKET), [F.col("shard")], {"first": F.col("quota")})
     draw = leaf.select("source", "shard", F.explode(F.sequence(
         F.col("first"), F.col("first") + F.col("quota") - 1)).alias("j")).alias("d")
     draw = draw.join(quotas.alias("q"), same(F.col("d.source"), F.col("q.source"))).select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from babelgrid.llm import decontamination as dc
 from babelgrid.llm import line_dedup as ld
 from babelgrid.llm import mixing as mx
+from babelgrid.session import materialize
 
 DOCS = "doc_id long, text string, source string, n_lines int, size string, item_id int"
 
@@ -283,3 +284,69 @@ def test_quotas_are_split_exactly(spark):
     for r in leaf:
         per[r.shard] += r.quota
     assert max(per.values()) - min(per.values()) <= 3 and len(per) == 8
+
+
+def test_quotas_of_very_many_sources(spark):
+    """100,000 sources, one with a third of all draws: no row holds more than a chunk of them."""
+    q = spark.range(100_000).select(F.concat(F.lit("host"), "id").alias("source"), F.lit(2).cast("long").alias("quota"))
+    q = q.unionAll(spark.sql("select cast(null as string) as source, 100000L as quota"))
+    leaf = materialize(mx.split_quotas(q, 3), "leaf")
+    total = leaf.groupBy("source").agg(F.sum("quota").alias("got")).alias("t")
+    wrong = q.alias("q").join(total, F.col("q.source").eqNullSafe(F.col("t.source")), "full").where("not (quota <=> got)")
+    assert wrong.count() == 0
+    per = {r.shard: (r.n, r.hot) for r in leaf.groupBy("shard").agg(
+        F.sum("quota").alias("n"), F.sum(F.when(F.col("source").isNull(), F.col("quota"))).alias("hot")).collect()}
+    assert len(per) == 8 and max(n for n, _ in per.values()) - min(n for n, _ in per.values()) <= 3
+    assert all(abs(hot - 12_500) < 5 * (100_000 / 8) ** 0.5 for _, hot in per.values())
+    both = leaf.where("quota = 2").count() / 100_000  # two draws of a source share a shard by chance 1/8
+    assert abs(both - 1 / 8) < 0.01
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(3)
+    sizes = {f"s{n}": int(10 ** rng.uniform(0, 6)) for n in range(2000)} | {None: 7, "": 0}
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mx.source_targets(df).collect()}
+    want = plain_targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - t) <= 1e-9 * max(1, t) for s, t in want.items())
+    assert abs(sum(got.values()) - sum(sizes.values())) < 1e-3
+    again = mx.source_targets(df.repartition(7)).collect()
+    assert {r.source: r.target for r in again} == got
+    low = {r.source: r.target for r in mx.source_targets(df, (1, 0), 0.5).collect()}
+    assert all(t in (0, 0.5 * sizes[s]) for s, t in low.items()) and low[None] in (0, 3.5)
+
+
+def test_hypergeometric_of_millions(spark):
+    total, good, n = 40_000_000, 9_000_000, 20_000_000
+    d = spark.range(400).select(mx.hypergeometric(
+        F.lit(total).cast("long"), F.lit(good).cast("long"), F.lit(n).cast("long"), (F.col("id") + 0.5) / 400).alias("x"))
+    x = [r.x for r in d.collect()]
+    sd = (n * good / total * (1 - good / total) * (total - n) / (total - 1)) ** 0.5
+    assert x == sorted(x) and abs(sum(x) / 400 - n * good / total) < 0.05 * sd
+    assert abs((sum((v - n * good / total) ** 2 for v in x) / 400) ** 0.5 - sd) < 0.05 * sd
+
+
+def test_running_sums_by_bucket(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", None]), n, rng.randint(0, 9)) for n in range(500)]
+    d = spark.createDataFrame(rows, "source string, at long, v long")
+    got = mx._running(d, F.floor(F.col("at") / 16), [F.col("at")], {"before": F.col("v"), "n": F.lit(1)}).collect()
+    for r in got:
+        mine = [v for s, n, v in rows if s == r.source and n < r["at"]]
+        assert (r.before, r.n) == (sum(mine), len(mine))
+    assert len(got) == 500
+
+
+def test_the_mix_has_no_window_over_everything(spark, mixture, monkeypatch):
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name)
+
+    monkeypatch.setattr(mx, "materialize", seen)
+    mx.mix(mixture[1], block_words=60, shard_words=500).collect()
+    for name, plan in plans:
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+        # the numbering's offsets are a row for each task that wrote its table
+        assert "Exchange SinglePartition" not in plan or name == "mix-caps", name
