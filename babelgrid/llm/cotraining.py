@@ -2,8 +2,12 @@
 
 One classifier sees what a text says (content statistics), the other what is
 recorded about it (language, source, recorded length).  They start from the
-labelled rows; in each round either labels the unlabelled rows that it is
-confident about, by calibrated probability, for the other one's training set.
+labelled rows; in each round either labels the unlabelled rows that it is most
+confident about, by the rank of its calibrated probability among all rows, for
+the other one's training set.  A view has its own bound: a row must be likelier
+in the class than a labelled row taken blindly.  What is passed on is the
+calibrated probability as a soft label, so that a weak view teaches as much as
+it knows and no more.
 At the end both are calibrated on labelled rows held out of their training,
 combined by a logistic regression on their log odds, and score every row.
 
@@ -31,7 +35,6 @@ MAX_LABELLED = 8_000
 ROUNDS = 4
 #: Pseudo-labels a round and class, as a share of the labelled rows.
 GROWTH = 0.1
-CONFIDENT = 0.95
 THRESHOLD = 0.5
 META_BUCKETS = 64
 _SPACES = " \t\n\x0b\x0c\r"
@@ -83,6 +86,7 @@ class View:
     bias: float
     a: float = 1.0
     b: float = 0.0
+    share: float = 0.5  #: of class 1 among labelled rows: what the view must exceed to speak for a class
 
     @staticmethod
     def wide(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -95,13 +99,14 @@ class View:
         iqr = (np.percentile(x, 75, axis=0) - np.percentile(x, 25, axis=0)) / 1.349
         scale = np.where(iqr > 0.05 * spread, iqr, spread) + 1e-3
         w, bias = fit_dense(cls.wide(x, mid, scale), y, l2=1e-3)
-        return cls(mid, scale, w, bias)
+        return cls(mid, scale, w, bias, share=float(y.mean()))
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> View:
         """Scale and shift of the log odds on rows not trained on; the scale is never negative."""
         if 0 < y.sum() < len(y):
             w, b = fit_dense(self.odds(x)[:, None], y, l2=1e-2)
             self.a, self.b = self.a * max(0.0, w[0]), b + max(0.0, w[0]) * self.b
+            self.share = float(y.mean())
         return self
 
     def odds(self, x: np.ndarray) -> np.ndarray:
@@ -124,19 +129,21 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(np.c_[a, b] @ self.mix + self.bias)
 
 
-def _pick(p: np.ndarray, free: np.ndarray, most: int, tie: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The most confident free rows of either class, and their labels; equal ones in the order of ``tie``."""
+def _pick(p: np.ndarray, free: np.ndarray, most: int, share: float, tie: np.ndarray | None = None
+          ) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` free rows likeliest in either class, of those likelier in it than its share,
+    and the class; equal ones in the order of ``tie``."""
     tie = np.arange(len(p)) if tie is None else tie
     rows, labels = [], []
-    for y, q in ((1, p), (0, 1 - p)):
-        sure = np.flatnonzero(free & (q >= CONFIDENT))
+    for y, q, least in ((1, p, share), (0, 1 - p, 1 - share)):
+        sure = np.flatnonzero(free & (q > least))
         sure = sure[np.lexsort((tie[sure], -q[sure]))][:most]
         rows.append(sure)
         labels.append(np.full(len(sure), y))
     return np.concatenate(rows), np.concatenate(labels)
 
 
-#: Views and a number of rows to, for each view, the features and labels of the rows that the other one passes on.
+#: Views and a number of rows to, for each view, the features and soft labels of the rows that the other one passes on.
 Best = Callable[[dict[str, View], int], dict[str, tuple[np.ndarray, np.ndarray]]]
 
 
@@ -148,9 +155,10 @@ def cotrain(lt: np.ndarray, lm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: n
     def best(views: dict[str, View], most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         out = {}
         for teacher, pupil, ux, px in (("t", "m", ut, um), ("m", "t", um, ut)):
-            rows, labels = _pick(sigmoid(views[teacher].odds(ux)), free[pupil], most)
+            p = sigmoid(views[teacher].odds(ux))
+            rows, _ = _pick(p, free[pupil], most, views[teacher].share)
             free[pupil][rows] = False
-            out[pupil] = px[rows], labels
+            out[pupil] = px[rows], p[rows]
         return out
 
     return exchange(lt, lm, y, best, rounds)
@@ -202,7 +210,7 @@ def best_of(pool: DataFrame) -> Best:
                                    ).reshape(-1, META_BUCKETS + 2)}
                 for teacher, pupil in (("t", "m"), ("m", "t")):
                     p = sigmoid(views[teacher].odds(x[teacher]))
-                    rows, labels = _pick(p, ~np.isin(h, used[pupil]), most, h)
+                    rows, labels = _pick(p, ~np.isin(h, used[pupil]), most, views[teacher].share, h)
                     kept.append(pd.DataFrame({
                         "pupil": pupil, "y": labels, "q": np.where(labels == 1, p[rows], 1 - p[rows]), "h": h[rows],
                         "x": [r.tobytes() for r in x[pupil][rows]]}))
@@ -217,7 +225,7 @@ def best_of(pool: DataFrame) -> Best:
                 F.col("q").desc(), "h").limit(most).collect()]
             used[v] = np.unique(np.r_[used[v], np.array([r.h for r in rows], np.int64)])
             out[v] = (np.frombuffer(b"".join(r.x for r in rows), np.float64).reshape(-1, dims[v]),
-                      np.array([r.y for r in rows], int))
+                      np.array([r.q if r.y else 1 - r.q for r in rows], float))
         return out
 
     return best

@@ -144,13 +144,29 @@ def test_the_best_of_all_unlabelled_rows_are_exchanged(spark, monkeypatch):
          "m": np.array([cotraining.metadata(r.lang, r.source, r.n_chars) for r in rows])}
     for teacher, view, pupil in (("t", t, "m"), ("m", m, "t")):
         p = cotraining.sigmoid(view.odds(x[teacher]))
-        for y, q in ((1, p), (0, 1 - p)):
-            want = np.sort(q[q >= cotraining.CONFIDENT])[::-1][:60]
-            got = [r for s in seen for r, k in zip(*s[pupil], strict=True) if k == y]
+        given = [(r, k) for s in seen for r, k in zip(*s[pupil], strict=True)]
+        for q, share, of in ((p, view.share, lambda k: k), (1 - p, 1 - view.share, lambda k: 1 - k)):
+            want = np.sort(q[q > share])[::-1][:60]
+            got = [(r, of(k)) for r, k in given if of(k) > share]
+            assert len(got) == len(want) == 60
+            assert np.allclose(sorted((k for _, k in got), reverse=True), want)  # the label is the probability
             sure = {x[pupil][i].tobytes(): q[i] for i in np.argsort(q)}
-            assert len(got) == len(want)
             if pupil == "m":  # its rows are told apart by their length
-                assert np.allclose(sorted((sure[r.tobytes()] for r in got), reverse=True), want)
+                assert np.allclose([sure[r.tobytes()] for r, _ in got], [k for _, k in got])
+
+
+def test_a_weak_view_teaches_what_it_knows():
+    """A view that never nears certainty still passes on rows of both classes, and does the other no harm."""
+    rng = np.random.default_rng(6)
+    y, u, t = ((rng.random(n) < 0.85).astype(int) for n in (600, 4000, 2000))
+    strong = lambda y: np.c_[2 * y + rng.normal(0, 0.4, len(y)), rng.normal(size=len(y))]
+    weak = lambda y: np.c_[0.5 * y + rng.normal(0, 1, len(y)), rng.normal(size=len(y))]
+    ly, lw, tt, tw = strong(y), weak(y), strong(t), weak(t)
+    alone = cotraining.cotrain(ly, lw, y, strong(u[:0]), weak(u[:0]))
+    model = cotraining.cotrain(ly, lw, y, strong(u), weak(u))
+    assert len(model.pseudo) == cotraining.ROUNDS and all(a > 0 and b > 0 for a, b in model.pseudo)
+    right = [((m.score(tt, tw)[2] >= 0.5) == t).mean() for m in (alone, model)]
+    assert right[1] >= right[0] - 0.005 and right[1] > 0.98
 
 
 def test_estimates_settle_at_a_small_determinant(spark):
