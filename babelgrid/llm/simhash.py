@@ -200,20 +200,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` less near-duplicates: of each component the row with
     the smallest key stays (null keys last; of equal keys the one with the
-    smaller text hash; of wholly equal rows one)."""
+    smaller text hash; of rows equal in both the one whose columns come first
+    as JSON).
+
+    Rows meet a narrow table once: that of the (key, text hash) which goes or
+    is repeated.  Only repeated rows are read a second time, where there are any.
+    """
     k, t = tmp("key"), tmp("text")
     near = materialize(near_duplicates(docs.select(column(docs, key).alias(k), column(docs, text).alias(t)), k, t,
                                        **how), "simhash-near")
     stays = same(F.col(k), F.col("component_id")) & same(F.col("text_hash"), F.col("first_hash"))
-    gone = materialize(near.where(~stays).select(k, "text_hash").distinct(), "simhash-gone")
-    again = near.where(stays).groupBy(k, "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = materialize(again, "simhash-again")
+    verdict = near.groupBy(k, "text_hash").agg(F.first(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    verdict = materialize(verdict.where("not stays or n > 1"), "simhash-verdicts")
     d = docs.select("*", column(docs, key).alias(k), F.xxhash64(column(docs, text)).alias(t))
 
     def at(o: DataFrame) -> Column:
         return same(d[k], o[k]) & (d[t] == o["text_hash"])
 
-    d = d.join(gone, at(gone), "left_anti")
-    once = d.join(again, at(again), "left_anti")
-    one = d.join(again, at(again), "left_semi").dropDuplicates([k, t])
-    return once.unionAll(one).drop(k, t)
+    once = d.join(verdict, at(verdict), "left_anti").drop(k, t)
+    again = verdict.where("stays")
+    if again.isEmpty():
+        return once
+    row = F.struct(*[column(d, c) for c in docs.columns])
+    one = d.join(again, at(again), "left_semi").groupBy(k, t).agg(
+        F.min_by(row, F.to_json(row, {"ignoreNullFields": "false"})).alias("row"))
+    return once.unionAll(one.select("row.*"))

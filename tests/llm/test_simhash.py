@@ -110,3 +110,19 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(df).collect() == []
     assert simhash.dedup(df).collect() == []
+
+
+def test_repeated_rows_leave_the_first_as_json(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "b"), (1, text, "a"), (1, text, None), (1, text, "a"), (2, text, "0"), (None, None, "z"), (None, None, "y"),
+            (7, "nine ten eleven twelve thirteen", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string").repartition(4)
+    got = sorted((r.doc_id or 0, r.text, r.note) for r in simhash.dedup(df).collect())
+    assert got == [(0, None, "y"), (1, text, "a"), (7, rows[-1][1], "q")]
+
+
+def test_rows_meet_the_verdicts_once(spark):
+    df = spark.range(40).selectExpr("id as doc_id", "concat_ws(' ', 'alpha beta gamma', cast(id % 30 as string), 'delta') as text")
+    out = simhash.dedup(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert {r.doc_id for r in out.collect()} == {c for _, _, c in brute([(r.doc_id, r.text) for r in df.collect()])}
