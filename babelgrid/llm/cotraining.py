@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -238,15 +239,15 @@ def _views(docs: DataFrame, text: str, meta: tuple[str, str, str], extra: list[C
                     column(docs, meta[0]).alias("lang"), column(docs, meta[1]).alias("source"),
                     column(docs, meta[2]).cast("double").alias("n_chars"))
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[names].copy()
-            out["t"] = [content(t).tobytes() for t in pdf["text"]]
-            out[["lang", "source", "n_chars"]] = pdf[["lang", "source", "n_chars"]]
-            yield out
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # one text at a time leaves the Arrow batch
+            seen = pa.array([content(t.as_py()).tobytes() for t in b.column("text")], pa.binary())
+            rest = ["lang", "source", "n_chars"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], seen, *[b.column(n) for n in rest]],
+                                             names=[*names, "t", *rest])
 
     kinds = dict(d.dtypes)
-    return d.mapInPandas(of, ", ".join([f"{n} {kinds[n]}" for n in names] + ["t binary"] + [
+    return d.mapInArrow(of, ", ".join([f"{n} {kinds[n]}" for n in names] + ["t binary"] + [
         f"{n} {kinds[n]}" for n in ("lang", "source", "n_chars")]))
 
 
@@ -289,12 +290,14 @@ def score(docs: DataFrame, model: Model, text: str = "text",
     """
     s = tmp("score")
 
-    @F.pandas_udf("text_score double, meta_score double, score double")
-    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for texts, langs, sources, sizes in batches:
-            t = np.array([content(x) for x in texts]).reshape(-1, _STATS)
-            m = np.array([metadata(*r) for r in zip(langs, sources, sizes, strict=True)]).reshape(-1, META_BUCKETS + 2)
-            yield pd.DataFrame(dict(zip(("text_score", "meta_score", "score"), model.score(t, m), strict=True)))
+    @F.arrow_udf("struct<text_score: double, meta_score: double, score: double>")
+    def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, *meta_of in batches:
+            t = np.array([content(x.as_py()) for x in texts]).reshape(-1, _STATS)
+            m = np.array([metadata(*r) for r in zip(*[c.to_pylist() for c in meta_of], strict=True)]
+                         ).reshape(-1, META_BUCKETS + 2)
+            yield pa.StructArray.from_arrays([pa.array(p, pa.float64()) for p in model.score(t, m)],
+                                             names=["text_score", "meta_score", "score"])
 
     new = ("text_score", "meta_score", "score", "kept")
     d = docs.select(*[column(docs, c) for c in docs.columns if c not in new],

@@ -9,7 +9,8 @@ leaf end behind it where old and new pre-tokens meet again; only the changed
 leaves and the sums above them are updated.
 
 State is columns (``chars``, ``tokens``: the trees), so a later batch of edits
-joins to it by key.  Texts are handled one at a time in Arrow batches.
+joins to it by key.  Texts leave an Arrow batch ``PIECE`` at a time.  The
+vocabulary file (``path``) must be readable under that name on every executor.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import base64
 import functools
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ LEAF = 64
 LOOK = 2
 _CACHE = 200_000
 _LONG = 1 << 20
+#: Texts of an Arrow batch that are Python objects at a time, with their trees.
+PIECE = 64
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 
 
@@ -168,17 +171,26 @@ def edit(text: str, tree: Tree, start: int, stop: int, new: str, of: _Counts) ->
     return changed, tree, n
 
 
+_TREE = "chars: array<int>, tokens: array<int>, n_tokens: long"
+
+
+def _arrays(trees: list[Tree]) -> list[pa.Array]:
+    ints = pa.list_(pa.int32())
+    return [pa.array([t.chars for t in trees], ints), pa.array([t.tokens for t in trees], ints),
+            pa.array([t.tokens[1] for t in trees], pa.int64())]
+
+
 def build(docs: DataFrame, text: str = "text", path: str = RANKS) -> DataFrame:
     """All rows and columns of ``docs`` plus ``chars`` and ``tokens``, the trees
     of the whole text (null: as empty), and ``n_tokens``.  Input columns of
     these names are replaced."""
-    @F.pandas_udf("chars array<int>, tokens array<int>, n_tokens long")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"struct<{_TREE}>")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count = counter(path)
-        for s in texts:
-            trees = [Tree.of_text(t or "", count) for t in s]
-            yield pd.DataFrame({"chars": [t.chars for t in trees], "tokens": [t.tokens for t in trees],
-                                "n_tokens": [t.tokens[1] for t in trees]})
+        for a in texts:
+            for k in range(0, len(a), PIECE):
+                trees = [Tree.of_text(t.as_py() or "", count) for t in a.slice(k, PIECE)]
+                yield pa.StructArray.from_arrays(_arrays(trees), names=["chars", "tokens", "n_tokens"])
 
     t = tmp("tree")
     new = ("chars", "tokens", "n_tokens")
@@ -194,19 +206,25 @@ def apply_edits(state: DataFrame, edits: str = "edits", text: str = "text", path
     places beyond the text mean its end, null replacements nothing, null or
     empty lists no edit.  Adds ``n_encoded``, the pre-tokens that were encoded.
     """
-    @F.pandas_udf("text string, chars array<int>, tokens array<int>, n_tokens long, n_encoded long")
-    def of(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(f"struct<text: string, {_TREE}, n_encoded: long>")
+    def of(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         count = counter(path)
-        for texts, chars, tokens, todo in batches:
-            rows = []
-            for t, c, k, es in zip(texts, chars, tokens, todo, strict=True):
-                t, tree, n = t or "", Tree(list(c), list(k)), 0
-                es = [] if es is None else [(e["start"], e["stop"], e["text"] or "") for e in es]
-                for a, b, new in sorted(es, key=lambda e: (e[0], e[1]), reverse=True):
-                    t, tree, k = edit(t, tree, a, b, new, count)
-                    n += k
-                rows.append((t, tree.chars, tree.tokens, tree.tokens[1], n))
-            yield pd.DataFrame(rows, columns=["text", "chars", "tokens", "n_tokens", "n_encoded"])
+        for columns in batches:
+            for at in range(0, len(columns[0]), PIECE):
+                changed, trees, encoded = [], [], []
+                for row in zip(*[c.slice(at, PIECE) for c in columns], strict=True):
+                    t, chars, tokens, es = (v.as_py() for v in row)
+                    t, tree, n = t or "", Tree(chars, tokens), 0
+                    es = [(e["start"], e["stop"], e["text"] or "") for e in es or []]
+                    for a, b, new in sorted(es, key=lambda e: (e[0], e[1]), reverse=True):
+                        t, tree, k = edit(t, tree, a, b, new, count)
+                        n += k
+                    changed.append(t)
+                    trees.append(tree)
+                    encoded.append(n)
+                yield pa.StructArray.from_arrays(
+                    [pa.array(changed, pa.string()), *_arrays(trees), pa.array(encoded, pa.int64())],
+                    names=["text", "chars", "tokens", "n_tokens", "n_encoded"])
 
     r = tmp("edited")
     new = ("chars", "tokens", "n_tokens", "n_encoded")

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,10 +152,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS weights, whatever the data
 
-    @F.pandas_udf("double")
-    def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([shared.value.score(t) for t in s], dtype="float64")
+    @F.arrow_udf("double")
+    def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in texts:  # one text at a time leaves the Arrow batch
+            yield pa.array([float(shared.value.score(t.as_py())) for t in a], pa.float64())
 
     s = tmp("score")
     d = docs.select(*[column(docs, c) for c in docs.columns if c not in ("score", "predicted")],
