@@ -311,6 +311,13 @@ def generated_tags_grid(rows: DataFrame, cell: list[str], gold: str, pred: str,
                       F.round("f1_score", digits).alias("f1_score"))
 
 
+def _without(arr: str, x: int) -> Column:
+    """The elements of an array other than ``x`` and null."""
+    rest = F.array_remove(arr, x)
+    # null instead of false: an element is null (rare, and lambdas are interpreted)
+    return F.when(F.array_contains(rest, F.lit(x)).isNull(), F.filter(rest, lambda e: e.isNotNull())).otherwise(rest)
+
+
 def tag_string_grid(preds: DataFrame, cell: list[str], labels: list[str], digits: int = 6) -> DataFrame:
     """Generative NER: per row the target strings of gold and predicted tag ids
     (C6: non-``O`` tag names joined by a space, ``None`` when there are none),
@@ -323,7 +330,7 @@ def tag_string_grid(preds: DataFrame, cell: list[str], labels: list[str], digits
     """
     o = labels.index("O")
     none = F.array(F.lit(-1))
-    s = preds.select(*cell, F.filter("tags", lambda x: x != o).alias("g0"), F.filter("pred_tags", lambda x: x != o).alias("p0"))
+    s = preds.select(*cell, _without("tags", o).alias("g0"), _without("pred_tags", o).alias("p0"))
     s = s.select(*cell, F.when(F.size("g0") == 0, none).otherwise(F.col("g0")).alias("gt"),
                  F.when(F.size("p0") == 0, none).otherwise(F.col("p0")).alias("pt"))
     p, g = F.col("pt"), F.col("gt")
