@@ -141,8 +141,7 @@ FROM fx_ner_pred_tok GROUP BY ALL""", "fx_ner_pred_tok"))
 def masked_pairs(spark, sf_dir):
     p = fx.fx_ner_pred(spark, sf_dir).select("transfer_lang", "id", L.masked_pairs("pred_tags", "labels").alias("z"))
     return p.select("transfer_lang", "id", F.size("z").alias("n_kept"),
-                    F.array_join(F.transform("z", lambda s: s["p"]), " ").alias("preds"),
-                    F.array_join(F.transform("z", lambda s: s["l"]), " ").alias("labels"))
+                    F.array_join("z.p", " ").alias("preds"), F.array_join("z.l", " ").alias("labels"))
 
 
 # --- C1 / C8 / C9 over conversation turns ---------------------------------------------

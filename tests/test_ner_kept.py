@@ -28,6 +28,34 @@ def test_a_word_of_a_batch_is_hashed_once(monkeypatch):
     assert fx._first_digits(pa.array([], pa.string())).tolist() == []
 
 
+def pairs(preds, labels):
+    if preds is None or labels is None:
+        return None
+    preds = preds + [None] * (len(labels) - len(preds))
+    return [(p, x) for p, x in zip(preds, labels) if x is not None and x != -100]
+
+
+@pytest.mark.parametrize("element", ["int", "bigint"])
+def test_masked_pairs_of_a_batch(spark, element):
+    rng = random.Random(7)
+    rows = [(0, [], []), (1, None, [1, 2]), (2, [1, 2], None), (3, None, None), (4, [1], [1, 2, -100, 3]),
+            (5, [1, 2, 3], [-100]), (6, [None, 2, 3], [1, None, -100]), (7, [-100, 5], [0, 5])]
+    for i in range(8, 150):
+        n = rng.randrange(30)
+        rows.append((i, [rng.randrange(7) for _ in range(n)], [rng.choice([-100, None, *range(7)]) for _ in range(n)]))
+    df = spark.createDataFrame(rows, f"i int, p array<{element}>, l array<{element}>").repartition(3)
+    # whole rows, then those of equal lengths only: a batch of them takes the short way
+    for some in (df, df.where("i >= 8")):
+        z = some.select("i", L.masked_pairs("p", "l", element=element).alias("z"))
+        assert z.schema["z"].dataType.simpleString() == f"array<struct<p:{element},l:{element}>>"
+        got = {r["i"]: r["z"] and [tuple(x) for x in r["z"]] for r in z.collect()}
+        assert got == {i: pairs(p, x) for i, p, x in rows if i in got} and len(got) in (150, 142)
+
+
+def test_masked_pairs_query_has_no_interpreted_lambda(spark, small_dir):
+    assert "lambdafunction" not in plan_of(QUERIES["masked_pairs"](spark, small_dir))
+
+
 def test_tag_strings_without_o_and_null(spark, small_dir):
     rows = [("a", [0, 1, 0, 2], [1, 2]), ("a", [0, 0], []), ("a", [1, None, 0], [None, 1]), ("a", [1], [2]),
             ("b", None, [1]), ("b", [None], [0]), ("c", [None, 1], [1, 1])]
