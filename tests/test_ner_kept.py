@@ -28,6 +28,18 @@ def test_a_word_of_a_batch_is_hashed_once(monkeypatch):
     assert fx._first_digits(pa.array([], pa.string())).tolist() == []
 
 
+def test_words_are_tagged_once_for_tags_and_labels(spark, small_dir):
+    p = plan_of(QUERIES["ner_token_accuracy"](spark, small_dir))
+    assert "_some_masked(pythonUDF" in p and "lambdafunction" not in p
+
+
+def test_every_seventh_label_is_masked(spark):
+    rows = [(0, []), (1, None), (2, [3]), (3, list(range(20))), (4, [1, 2, None, 4, 5, 6, None, 0])]
+    df = spark.createDataFrame(rows, "i int, a array<int>").repartition(2)
+    got = dict(df.select("i", fx._some_masked("a")).collect())
+    assert got == {i: a if a is None else [-100 if k % 7 == 6 else x for k, x in enumerate(a)] for i, a in rows}
+
+
 def pairs(preds, labels):
     if preds is None or labels is None:
         return None
