@@ -8,9 +8,14 @@ text probes that table, and a hit is verified where it occurs: along the hit's
 alignment, some window of the item must agree with the text in enough words.
 
 Only the seeds of the benchmark are broadcast, in blocks of at most
-``MAX_SEEDS`` (a larger benchmark takes more passes over the texts, each with
-a bounded table).  Texts are never shuffled: positions, probes and the
-verification are one stage, and only verified overlaps leave it.
+``MAX_SEEDS`` (a larger benchmark takes more passes over the texts, one after
+the other, each with a bounded table).  Texts are never shuffled: positions,
+probes and the verification are one stage, and only verified overlaps leave it.
+
+Spark holds all rows that one row of a stage makes until the next operator
+takes them, so a hit must not carry its whole text or item: both are cut into
+blocks of ``BLOCK`` positions that overlap as far as a window reaches.  What a
+task holds at a time is then the hits of one block, whatever the text's length.
 
 The masks find what a window of 13 words may differ in.  Items shorter than
 the window are found by runs of up to three words, of which one is whole
@@ -32,6 +37,8 @@ MASKS = ("1110111", "11011011", "110101101", "1100110011")
 WINDOW = 13
 SIMILARITY = 0.8
 MAX_SEEDS = 500_000
+#: Positions of a text or item that are looked up together.
+BLOCK = 64
 #: What separates words, which are compared in lower case.
 GAP = r"[^\p{L}\p{N}]+"
 
@@ -70,9 +77,20 @@ def _seeds(h: Column, i: Column, masks: tuple[str, ...]) -> Column:
     return F.array(*keys)
 
 
-def _positions(d: DataFrame, keep: list[str], masks: tuple[str, ...]) -> DataFrame:
-    at = d.select(*keep, "h", F.posexplode("h").alias("i", "first"))
-    return at.select(*keep, "h", "i", F.explode(_seeds(F.col("h"), F.col("i"), masks)).alias("seed"))
+def _blocks(h: Column, step: int, reach: int) -> Column:
+    """``h`` as blocks of ``step`` positions, with up to ``reach`` words before and after them: ``h``, the block's words,
+    of which the positions begin at ``i0``, and ``at``, the place of its first word.  None of an empty ``h``."""
+    def block(b: Column) -> Column:
+        at = F.greatest(b - reach, F.lit(0))
+        words = F.sequence(at, F.least(b + step + reach, F.size(h)) - 1)
+        return F.struct(at.alias("at"), (b - at).alias("i0"), F.transform(words, lambda k: F.get(h, k)).alias("h"))
+    return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.size(h) - 1, F.lit(step)), block))
+
+
+def _positions(d: DataFrame, keep: list[str], step: int) -> DataFrame:
+    """A row for each position ``i`` of each block."""
+    at = F.sequence("i0", F.least(F.col("i0") + step, F.size("h")) - 1)
+    return d.select(*keep, "h", F.explode(at).alias("i"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str = "text", item: str = "item_id",
@@ -92,46 +110,59 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, keys: list[str], text: str =
                              word_hashes(column(benchmark, item_text)).alias("h"))
     items = items.where(F.size("h") > 0).groupBy("h").agg(
         F.collect_list(F.struct("item")).alias("items"))
-    items = materialize(items.select(F.md5(F.array_join(F.col("h").cast("array<string>"), ",")).alias("id"),
-                                     "h", "items"), "benchmark-items")
-    long = items.where(F.size("h") >= window).select("id", F.size("h").alias("n"), F.posexplode("h").alias("j", "first"), "h")
-    seeds = [long.select("id", "n", "j", F.posexplode(_seeds(F.col("h"), F.col("j"), masks)).alias("mask", "seed")).select(
-        "id", "n", "j", F.array(*[F.lit(len(m)) for m in masks])[F.col("mask")].alias("span"), "seed")]
-    sizes = items.where(F.size("h") < window).select(F.size("h").alias("n")).distinct()
-    for n in sorted(r.n for r in sizes.collect()):  # fewer than ``window``
-        short = items.where(F.size("h") == n)
+    items = items.select(F.md5(F.array_join(F.col("h").cast("array<string>"), ",")).alias("id"), "h", "items",
+                         F.size("h").alias("n"))
+    step, reach = max(BLOCK, window), max(window, *map(len, masks))
+    items = materialize(items, "benchmark-items")
+    pieces = items.select("id", "n", F.explode(_blocks(F.col("h"), step, reach)).alias("b")).select("id", "n", "b.*")
+    pieces = materialize(pieces.withColumn("piece", F.monotonically_increasing_id()), "benchmark-pieces")
+    long = _positions(pieces.where(F.col("n") >= window), ["piece", "n", "at"], step).withColumnRenamed("i", "j")
+    seeds = [long.select("piece", "n", "at", "j", F.posexplode(_seeds(F.col("h"), F.col("j"), masks)).alias("mask", "seed")).select(
+        "piece", "n", "at", "j", F.array(*[F.lit(len(m)) for m in masks])[F.col("mask")].alias("span"), "seed")]
+    sizes = items.where(F.col("n") < window).select("n").distinct()
+    for n in sorted(r.n for r in sizes.collect()):  # fewer than ``window``: one block
+        short = pieces.where(F.col("n") == n)
         for mask, at in short_seeds(n, similarity):
-            seeds.append(short.select("id", F.lit(n).alias("n"), F.lit(at).alias("j"), F.lit(len(mask)).alias("span"),
+            seeds.append(short.select("piece", "n", "at", F.lit(at).alias("j"), F.lit(len(mask)).alias("span"),
                                       _seeds(F.col("h"), F.lit(at), (mask,))[0].alias("seed")))
             masks = masks if mask in masks else (*masks, mask)
-    seeds = materialize(reduce(DataFrame.unionAll, seeds).where(F.col("seed").isNotNull()), "benchmark-seeds")
+    # the windows of the item that hold the seed begin between ``lo`` and ``hi``, places of the block as ``j``
+    size = F.least(F.lit(window), F.col("n"))
+    seeds = reduce(DataFrame.unionAll, seeds).where(F.col("seed").isNotNull()).select(
+        "seed", "piece", "j", size.alias("window"),
+        F.greatest(-F.col("at"), F.col("j") + F.col("span") - size).alias("lo"),
+        F.least(F.col("j"), F.col("n") - size - F.col("at")).alias("hi"))
+    seeds = materialize(seeds, "benchmark-seeds")
     parts = max(1, -(-seeds.count() // max_seeds))
 
     names = [tmp(f"k{n}") for n in range(len(keys))]
     d = docs.select(*[column(docs, k).alias(n) for k, n in zip(keys, names, strict=True)],
                     word_hashes(column(docs, text)).alias("h"))
-    probes = _positions(d, names, masks)
+    d = d.select(*names, F.explode(_blocks(F.col("h"), step, reach)).alias("b")).select(*names, "b.*")
+    probes = _positions(d, names, step).select(*names, "h", "i", F.explode(_seeds(F.col("h"), F.col("i"), masks)).alias("seed"))
     found = []
     for part in range(parts):
-        mine = F.pmod(F.xxhash64("id"), F.lit(parts)) == part
+        mine = F.pmod(F.xxhash64("piece"), F.lit(parts)) == part
         hits = probes.join(F.broadcast(seeds.where(mine)), "seed")
-        # the windows of the item that hold the seed begin between ``lo`` and ``hi``
-        size = F.least(F.lit(window), F.col("n"))
-        hits = hits.select(*names, "id", "h", (F.col("i") - F.col("j")).alias("shift"), size.alias("window"),
-                           F.greatest(F.lit(0), F.col("j") + F.col("span") - size).alias("lo"),
-                           F.least(F.col("j"), F.col("n") - size).alias("hi"))
-        it = items.where(mine).select("id", F.col("h").alias("ih"))
-        hits = hits.join(F.broadcast(it), "id").select(
+        hits = hits.select(*names, "piece", "h", (F.col("i") - F.col("j")).alias("shift"), "window", "lo", "hi")
+        it = pieces.where(mine).select("piece", "id", F.col("h").alias("ih"))
+        hits = hits.join(F.broadcast(it), "piece").select(
             *names, "id", "window", (F.col("hi") - F.col("lo")).alias("more"),
             F.transform(F.sequence("lo", F.col("hi") + F.col("window") - 1), lambda t: F.coalesce(
                 F.get(F.col("h"), F.col("shift") + t) == F.get(F.col("ih"), t), F.lit(False)).cast("int")).alias("equal"))
         best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("more")), lambda s: F.aggregate(
             F.slice("equal", s + 1, F.col("window")), F.lit(0), lambda a, x: a + x)))
-        hits = hits.select(*names, "id", "window", best.alias("matched"))
         exact = F.col("window") < min(MIN_INEXACT, window)
-        found.append(hits.where(F.col("matched") >= F.col("window") * F.when(exact, 1.0).otherwise(similarity)))
+        least = F.col("window") * F.when(exact, 1.0).otherwise(similarity)
+        # no window has more equal words than all of them together; most hits end here
+        hits = hits.where(F.size(F.filter("equal", lambda x: x == 1)) >= least)
+        hits = hits.select(*names, "id", "window", least.alias("least"), best.alias("matched")).where(F.col("matched") >= F.col("least"))
+        # one pass's tables at a time: those of a union would all be held together
+        best = hits.groupBy(*names, "id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+        found.append(best if parts == 1 else materialize(best, "overlaps"))
     found = reduce(DataFrame.unionAll, found)
-    found = found.groupBy(*names, "id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
+    if parts > 1:
+        found = found.groupBy(*names, "id").agg(F.max("matched").alias("matched"), F.max("window").alias("window"))
     ids = items.select("id", F.explode("items.item").alias("item")).distinct()
     return found.join(ids, "id").select(
         *[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], F.col("item").alias(item),

@@ -113,6 +113,39 @@ def test_overlaps(spark, contaminated):
         assert {(r.doc_id, r.item_id): (r.matched, r.window) for r in got} == plain_overlaps(rows, items)
 
 
+def test_hits_carry_a_block_not_the_text(spark):
+    """160,000 hits in one text: with its 40,000 words in each of them they would take 51 GB."""
+    item = [f"w{k}" for k in range(40)]
+    rows = [(1, " ".join(item * 1000), "s"), (2, " ".join(item[:9] + ["x"] + item[10:13]), "s"), (3, " ".join(item[:9]), "s")]
+    got = dc.overlaps(docs_of(spark, rows), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"), ["doc_id"])
+    assert {(r.doc_id, r.item_id, r.matched) for r in got.collect()} == {(1, 7, 13), (2, 7, 12)}
+
+
+def test_passages_across_blocks(spark):
+    """A window anywhere in a text and anywhere in an item, each of several blocks."""
+    item = [f"i{k}" for k in range(3 * dc.BLOCK + 5)]
+    other = [f"o{k}" for k in range(dc.BLOCK + 1)]
+    rows = []
+    for at in range(len(item) - dc.WINDOW + 1):
+        passage = item[at:at + dc.WINDOW]
+        passage[at % dc.WINDOW] = "changed"
+        before = at * 7 % (2 * dc.BLOCK + 9)
+        rows.append((at, " ".join([f"b{k}" for k in range(before)] + passage + ["after"] * (at % 3 * dc.BLOCK)), "s"))
+    rows += [(1000 + n, " ".join(["x"] * n + other), "s") for n in (0, 1, dc.BLOCK - 1, dc.BLOCK)]
+    bench = [(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[5:12]))]
+    got = dc.overlaps(docs_of(spark, rows), spark.createDataFrame(bench, "item_id long, text string"), ["doc_id"]).collect()
+    assert {(r.doc_id, r.item_id): (r.matched, r.window) for r in got} == plain_overlaps(rows, bench)
+    assert {r.doc_id for r in got} == {k for k, _, _ in rows}
+
+
+def test_one_pass_at_a_time(spark, contaminated):
+    """A benchmark in blocks: no plan holds the tables of more than one."""
+    rows, items = contaminated
+    out = dc.overlaps(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], max_seeds=600)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 2
+
+
 def test_short_seeds_hit_every_substitution():
     for n in range(1, 13):
         subs = 0 if n < 7 else max(s for s in range(n) if n - s >= 0.8 * n)
